@@ -1,8 +1,65 @@
-"""The corpus pipeline."""
+"""Documents in, token ids out: five stages, each written as Parquet before the next one reads it.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents. A table with no rows, nulls, repeated rows or further columns passes as its operator says.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm.bpe import digests
+from tessella.llm.common import Workspace, read
+from tessella.llm.decontam import contamination
+from tessella.llm.neardup import near_duplicates
+from tessella.llm.pii import redact_personal_data
+from tessella.llm.toxicity import without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't predicted toxic."""
+    return without_toxic(docs, read(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component, its smallest id, and rows without an id."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated by benchmark items; a row without an id is judged too."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    rows = docs.select(key.alias("row"), "text")
+    gone = contamination(rows, read(spark, sf_dir, "benchmark"), id_col="row").where("contaminated").select(F.col("doc_id").alias("row")).distinct()
+    return docs.withColumn("row", key).join(gone, "row", "left_anti").select(docs.columns)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their personal data replaced; n_chars follows the text."""
+    out = redact_personal_data(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts, and digests of the ids and of the bytes that they decode to."""
+    return digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii), ("bpe", bpe)]
+#: SQL can't express the trained stages; tests hold each stage against its operator's brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES over documents; what a stage leaves is deleted once the stage after it is written."""
+    ws = Workspace(spark, "pipeline")
+    docs, last = read(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs = ws.keep(stage(spark, docs, sf_dir), name)
+        if last:
+            ws.drop(last)
+        last = name
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -17,8 +17,8 @@ ALNUM = bytes(LOWER[b] if b >= 128 or chr(b).isalnum() else 32 for b in range(25
 
 #: Rows in an Arrow batch: texts may be long, so a batch must not hold many of them.
 BATCH_ROWS = 512
-#: Entries of a worker's memo before it is emptied.
-MEMO_ENTRIES = 200_000
+#: Entries of a worker's memo before it is emptied or becomes the old one (some 50 MB).
+MEMO_ENTRIES = 400_000
 
 
 def bounded_batches(spark: SparkSession) -> None:

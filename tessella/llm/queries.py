@@ -4,14 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracles
+from pyspark.sql import functions as F
+
+from . import bpe, oracles, pii, quality, toxicity
 from .common import read
+from .decontam import contamination
 from .neardup import near_duplicates
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read(spark, sf_dir, "documents"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.withColumn("items_sha256", F.sha2(F.concat_ws(",", "items"), 256)).drop("items")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_toxicity, op4_decontamination, op5_bpe, op7_near_dedup)}
 ORACLES = oracles.ORACLES
