@@ -7,9 +7,9 @@
    large group of copies gets as many edges as it has members and not their square.
 4. A pair's signature bytes are compared batch by batch; a pair whose posterior probability of reaching
    the threshold falls under the chosen miss probability goes.
-5. Each member first has one promising head verified on full sets. Confirmed links give components.
-   Then every pair within a bucket that still lies in two components is a candidate, goes through the same
-   pruning, and all survivors are verified. Pairs already connected need no verdict: it can't change
+5. Each member first has its few most similar heads verified on full sets, then those other heads that lie
+   in another component. Then every pair within a bucket that still lies in two components is a
+   candidate, goes through the same pruning, and all survivors are verified. Pairs already connected need no verdict: it can't change
    any component.
 """
 
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, WordHashes, Workspace, bounded_batches, mix64
@@ -30,6 +30,8 @@ from .components import connected_components
 BANDS, ROWS = 40, 5
 BATCHES = (32, 64, 128, 200)
 MISS = 1e-6
+#: Heads of a member that are verified before components are looked at.
+FIRST_HEADS = 4
 #: Bits of the filter that keeps texts in no candidate pair out of the shuffle: 1 MB, at any input size.
 FILTER_BITS = 1 << 23
 
@@ -189,6 +191,14 @@ class _Search:
         return self.ws.keep(both.mapInArrow(_verify(self.k, self.num, self.den), "a long, b long").distinct(), name)
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those pairs whose ends lie in different components."""
+    a = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    b = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    both = pairs.join(a, "a", "left").join(b, "b", "left")
+    return both.where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: the near-duplicate components of whole texts.
 
@@ -218,12 +228,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     star = crowded.where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
     star = search.pruned(star, "star")
-    # of a member's heads, the first in one order for all among those that look alike most
-    sure = math.ceil(BATCHES[-1] * (num / den + 1) / 2)
-    rank = F.when(F.col("matches") >= sure, F.struct(F.lit(0).alias("x"), F.xxhash64("b").alias("y"), F.col("b").alias("b"))).otherwise(F.struct((F.lit(10_000) - F.col("matches")).alias("x"), F.xxhash64("b").alias("y"), F.col("b").alias("b")))
-    first = star.groupBy("a").agg(F.min(rank).alias("best")).select("a", F.col("best.b").alias("b"))
-    links = search.confirmed(first, "first")
+    best = Window.partitionBy("a").orderBy(F.desc("matches"), F.xxhash64("b"), "b")  # a member has BANDS heads at most
+    first = ws.keep(star.withColumn("rank", F.row_number().over(best)), "ranked")
+    links = search.confirmed(first.where(f"rank <= {FIRST_HEADS}"), "first")
     labels = connected_components(links, ws, "first-components")
+    other = _apart(first.where(f"rank > {FIRST_HEADS}").select("a", "b"), labels)
+    second = search.confirmed(ws.keep(other, "other"), "second")
+    links = links.unionByName(second)
+    labels = connected_components(links, ws, "second-components")
 
     label = labels.select(F.col("node").alias("doc_id"), "label")
     spread = ws.keep(crowded.select("key", "doc_id").join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label")), "spread")

@@ -1,5 +1,7 @@
 """DuckDB SQL for those corpus queries that SQL can express."""
 
+from .licenses import oracle as _licenses
+
 #: Words, shingle sets, every pair that shares a shingle, and the smallest id along links.
 NEAR_DEDUP = r"""
 WITH RECURSIVE words AS (
@@ -47,4 +49,4 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM docs d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-ORACLES = {"op4_decontamination": DECONTAMINATION, "op7_near_dedup": NEAR_DEDUP}
+ORACLES = {"op10_licenses": _licenses(), "op4_decontamination": DECONTAMINATION, "op7_near_dedup": NEAR_DEDUP}
