@@ -49,4 +49,12 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM docs d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-ORACLES = {"op10_licenses": _licenses(), "op4_decontamination": DECONTAMINATION, "op7_near_dedup": NEAR_DEDUP}
+#: The tables hold no tool content, so every turn is plain; tests cover calls by brute force.
+CHAT = r"""
+SELECT conv_id, turn, role, turn AS order_turn, 0 AS order_step, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked,
+  CAST(0 AS BIGINT) AS n_invalid, CAST(NULL AS BOOLEAN) AS answers_call,
+  '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS message
+FROM conversations
+"""
+
+ORACLES = {"op9_chat": CHAT, "op10_licenses": _licenses(), "op4_decontamination": DECONTAMINATION, "op7_near_dedup": NEAR_DEDUP}
