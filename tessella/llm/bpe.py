@@ -14,60 +14,49 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, bounded_batches
+from .common import bounded_batches, owns_memory
+
+
+#: Pre-tokens in each of a worker's two memos (some 40 MB each).
+MEMO_ENTRIES = 200_000
 
 
 class RankQueue:
-    """Smallest rank first: a bucket of positions for each rank, and a tree of 64-bit words over them.
+    """Smallest rank first: a bucket of positions for each rank, and a bitmap of two levels over them.
 
-    Bit b of word w on level 0 says that bucket 64 * w + b isn't empty; each level above says the same
-    of the words below, so that find-first-set from the top takes as many steps as there are levels.
+    Bit b of words[w] says that bucket 256 * w + b isn't empty, and bit w of top that words[w] isn't
+    zero, so that two find-first-set steps lead to the next rank. It is empty again after each use.
     """
 
     def __init__(self, ranks: int):
         self.buckets: dict[int, list[int]] = {}
-        self.levels: list[list[int]] = []
-        n = ranks
-        while True:
-            n = (n + 63) // 64
-            self.levels.append([0] * n)
-            if n == 1:
-                break
+        self.words = [0] * ((ranks >> 8) + 1)
+        self.top = 0
 
     def push(self, rank: int, at: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket:
             heapq.heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
-        for level in self.levels:
-            word, bit = rank >> 6, 1 << (rank & 63)
-            before = level[word]
-            level[word] = before | bit
-            if before:
-                return
-            rank = word
-
-    def pop(self) -> tuple[int, int] | None:
-        """(rank, leftmost position), or None when it is empty."""
-        rank = 0
-        for level in reversed(self.levels):
-            word = level[rank]
-            if not word:
-                return None
-            rank = (rank << 6) | ((word & -word).bit_length() - 1)
+        else:
+            self.buckets[rank] = [at]
+            self.words[rank >> 8] |= 1 << (rank & 255)
+            self.top |= 1 << (rank >> 8)
+
+    def pop(self) -> tuple[int, int]:
+        """(rank, leftmost position) of a queue that isn't empty."""
+        top = self.top
+        w = (top & -top).bit_length() - 1
+        word = self.words[w]
+        rank = (w << 8) + (word & -word).bit_length() - 1
         bucket = self.buckets[rank]
-        at = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            clear = rank
-            for level in self.levels:
-                word = clear >> 6
-                level[word] &= ~(1 << (clear & 63))
-                if level[word]:
-                    break
-                clear = word
-        return rank, at
+        if len(bucket) > 1:
+            return rank, heapq.heappop(bucket)
+        del self.buckets[rank]
+        word &= word - 1
+        self.words[w] = word
+        if not word:
+            self.top = top & (top - 1)
+        return rank, bucket[0]
 
 
 class Bpe:
@@ -86,30 +75,31 @@ class Bpe:
         """Ids of one pre-token: the pair of least rank, leftmost first, merges until none has a rank."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        ranks, queue, n = self.ranks, self.queue, len(piece)
+        ranks, queue, n = self.ranks.get, self.queue, len(piece)
+        push, pop = queue.push, queue.pop
         end = list(range(1, n + 1))  # where the part that starts here ends; 0 once it is merged away
         before = list(range(-1, n - 1))  # start of the part on the left
         for at in range(n - 1):
-            if (rank := ranks.get(piece[at : at + 2])) is not None:
-                queue.push(rank, at)
-        while (top := queue.pop()) is not None:
-            rank, at = top
+            if (rank := ranks(piece[at : at + 2])) is not None:
+                push(rank, at)
+        while queue.top:
+            rank, at = pop()
             middle = end[at]
             # stale: the part is gone, or it or its right neighbour has grown since
-            if not middle or middle >= n or ranks.get(piece[at : end[middle]]) != rank:
+            if not middle or middle >= n or ranks(piece[at : end[middle]]) != rank:
                 continue
             stop = end[at] = end[middle]
             end[middle] = 0
             if stop < n:
                 before[stop] = at
-                if (rank := ranks.get(piece[at : end[stop]])) is not None:
-                    queue.push(rank, at)
+                if (rank := ranks(piece[at : end[stop]])) is not None:
+                    push(rank, at)
             left = before[at]
-            if left >= 0 and (rank := ranks.get(piece[left:stop])) is not None:
-                queue.push(rank, left)
+            if left >= 0 and (rank := ranks(piece[left:stop])) is not None:
+                push(rank, left)
         out, at = [], 0
         while at < n:
-            out.append(ranks[piece[at : end[at]]])
+            out.append(self.ranks[piece[at : end[at]]])
             at = end[at]
         return out
 
@@ -147,6 +137,7 @@ def load(path: str, pattern: str) -> Bpe:
 
 def _encode(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns_memory("bpe", load.cache_clear)
         bpe = load(path, pattern)
         for batch in batches:
             ids = [bpe.encode(x.as_py() or "") for x in batch.column(1)]

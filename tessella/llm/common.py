@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,8 +19,22 @@ ALNUM = bytes(LOWER[b] if b >= 128 or chr(b).isalnum() else 32 for b in range(25
 
 #: Rows in an Arrow batch: texts may be long, so a batch must not hold many of them.
 BATCH_ROWS = 512
-#: Entries of a worker's memo before it is emptied or becomes the old one (some 50 MB).
-MEMO_ENTRIES = 400_000
+#: Entries of a worker's memo of words before it is emptied (some 20 MB).
+MEMO_ENTRIES = 100_000
+
+
+_owner, _release = "", None
+
+
+def owns_memory(name: str, release) -> None:
+    """Workers live on from one operator to the next: before another one starts, what the last one kept is let go."""
+    global _owner, _release
+    if name != _owner:
+        if _release:
+            _release()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _owner, _release = name, release
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Workspace, bounded_batches
+from .common import ALNUM, Workspace, bounded_batches, owns_memory
 
 WINDOW = 13
 #: Words of benchmark items in one automaton (about 130 MB in a worker). More items take more passes.
@@ -70,6 +70,7 @@ def _scan(block, key: str):
     """Adds what one block of items finds to the columns runs and items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns_memory("decontam", _built.clear)
         if key not in _built:
             _built.clear()
             _built[key] = Automaton(block.value)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, Workspace, bounded_batches, mix64
+from .common import LOWER, WordHashes, Workspace, bounded_batches, mix64, owns_memory
 from .components import connected_components
 
 BANDS, ROWS = 40, 5
@@ -86,6 +86,7 @@ _SIGNED = "doc_id long, n_shingles long, fp_hi long, fp_lo long, bytes binary, b
 
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns_memory("neardup", _hashes.clear)
         for batch in batches:
             n, hi, lo, low, keys = [], [], [], [], []
             for text in batch.column(1):
@@ -147,6 +148,7 @@ def _verify(k: int, num: int, den: int):
     """(a, b, left, right) texts -> (a, b) with den * |intersection| >= num * |union|."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns_memory("neardup", _hashes.clear)
         last, kept = None, None
         for batch in batches:
             good = []

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
-from .common import bounded_batches
+from .common import bounded_batches, owns_memory
 from .labelled import Logistic
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -236,6 +236,7 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    owns_memory("pii", model.cache_clear)
     judge = model()
     for batch in batches:
         counts, base_out, out = [[] for _ in BASE_KINDS], [], []
@@ -267,6 +268,7 @@ def redact_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns_memory("pii", model.cache_clear)
         judge = model()
         for batch in batches:
             texts = [t if t is None else redact(t, judge(t)[1]) for t in batch.column(at).to_pylist()]

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, owns_memory
 from .labelled import Logistic, class_weights, labelled_sample, remainder
 
 DICT_BYTES = 65_536
@@ -80,6 +80,7 @@ class Model:
 
 def _score(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns_memory("quality", None)
         model = held.value
         sizes = Sizes(model.good, model.bad)
         for batch in batches:

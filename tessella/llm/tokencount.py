@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, bounded_batches
+from .common import MEMO_ENTRIES, bounded_batches, owns_memory
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -140,6 +140,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns_memory("tokencount", load.cache_clear)
         counter = load(path)
         for batch in batches:
             n = [counter.count(t.as_py() or "") for t in batch.column(1)]

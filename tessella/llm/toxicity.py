@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, MEMO_ENTRIES, bounded_batches, mix64
+from .common import ALNUM, MEMO_ENTRIES, bounded_batches, mix64, owns_memory
 from .labelled import Logistic, class_weights, labelled_sample, remainder, sigmoid
 
 BITS = 22
@@ -25,7 +25,7 @@ class Features:
 
     def __init__(self):
         self.at: dict[bytes, int] = {}
-        self.table = np.empty((MEMO_ENTRIES, 1 + len(STEMS)), np.uint64)
+        self.table = np.empty((MEMO_ENTRIES + 65_538, 1 + len(STEMS)), np.uint64)
 
     def _number(self, word: bytes) -> int:
         k = self.at[word] = len(self.at)
@@ -41,7 +41,7 @@ class Features:
         out, at = [np.zeros(1, np.int64)], self.at
         for start in range(0, len(words), 65_536):  # with two words more, for the pairs
             part = words[start : start + 65_538]
-            if len(at) + len(part) > MEMO_ENTRIES:
+            if len(at) + len(part) > len(self.table):
                 at.clear()
             rows = self.table[[at[w] if w in at else self._number(w) for w in part]]
             h = rows[:, 0]
@@ -113,6 +113,7 @@ class Model:
 
 def _score(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns_memory("toxicity", None)
         w, features = held.value.dense(), Features()
         for batch in batches:
             s = held.value.scores(w, features, [t or b"" for t in batch.column(2).to_pylist()])
@@ -147,6 +148,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns_memory("toxicity", None)
         w, features = kept.value.dense(), Features()
         for batch in batches:
             s = kept.value.scores(w, features, [(t or "").encode() for t in batch.column(at).to_pylist()])
