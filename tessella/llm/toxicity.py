@@ -15,8 +15,10 @@ from .labelled import Logistic, class_weights, labelled_sample, remainder, sigmo
 
 BITS = 22
 STEMS = (4, 5)
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 2.0, 1.0
-EPOCHS = 3
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
+EPOCHS = 8
+#: A slot that fewer texts of the sample have isn't learnt.
+LEAST_TEXTS = 3
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,6 +86,10 @@ class Model:
         features, ftrl = Features(), Ftrl()
         order = np.random.default_rng(11)
         seen = [(np.unique(features(t)).astype(np.int32), y) for t, y in train]
+        held = np.zeros(1 << BITS, np.int32)
+        for i, _ in seen:
+            held[i] += 1
+        seen = [(i[held[i] >= LEAST_TEXTS], y) for i, y in seen]
         for _ in range(EPOCHS):
             for k in order.permutation(len(seen)):
                 ftrl.learn(*seen[k])
