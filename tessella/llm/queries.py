@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, oracles, pii, quality, tokencount, toxicity
+from . import ann, bpe, chat, licenses, oracles, pii, quality, tokencount, toxicity
 from .common import read
 from .decontam import contamination
 from .neardup import near_duplicates
@@ -43,6 +43,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(read(spark, sf_dir, "embeddings"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link_tool_calls(read(spark, sf_dir, "conversations"))
 
@@ -51,5 +55,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_toxicity, op4_decontamination, op5_bpe, op6_token_counts, op7_near_dedup, op9_chat, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_toxicity, op4_decontamination, op5_bpe, op6_token_counts, op7_near_dedup, op8_ann, op9_chat, op10_licenses)}
 ORACLES = oracles.ORACLES
