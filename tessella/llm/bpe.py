@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, owns_memory
 
 
-#: Pre-tokens in each of a worker's two memos (some 40 MB each).
-MEMO_ENTRIES = 200_000
+#: Pre-tokens in each of a worker's two memos (some 30 MB each).
+MEMO_ENTRIES = 150_000
 
 
 class RankQueue:

@@ -66,8 +66,8 @@ def merged(runs) -> list[tuple[int, int]]:
 _built: dict[str, Automaton] = {}
 
 
-def _scan(block, key: str):
-    """Adds what one block of items finds to the columns runs and items."""
+def _scan(block, key: str, last: bool, spans: bool):
+    """(text, id, runs and items so far) -> the same with what one block of items finds; the last block gives the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owns_memory("decontam", _built.clear)
@@ -76,8 +76,8 @@ def _scan(block, key: str):
             _built[key] = Automaton(block.value)
         auto = _built[key]
         for batch in batches:
-            total, runs, items = [], [], []
-            for text, before, names in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            total, runs, items, places = [], [], [], []
+            for text, before, names in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                 ws = words(text)
                 now, new = auto.scan(ws)
                 if before:
@@ -85,8 +85,15 @@ def _scan(block, key: str):
                 total.append(len(ws))
                 runs.append([*chain.from_iterable(now)])
                 items.append(sorted(new.union(names or ())))
-            rest = [batch.column(i) for i in range(3, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(total, pa.int64()), *rest[1:]], [*batch.schema.names[:3], "n_words", *batch.schema.names[4:]])
+                places.append(_places(text, runs[-1]) if last and spans and now else [])
+            found = [pa.array(runs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+            if not last:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], ["text", "doc_id", "runs", "items"])
+                continue
+            hit = [sum(r[1::2]) - sum(r[::2]) for r in runs]
+            bad = [h > 0 and 20 * h >= n for h, n in zip(hit, total, strict=True)]
+            counts = [pa.array(c, pa.int64()) for c in (total, hit, [len(x) for x in items])]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *counts, found[1], pa.array(bad, pa.bool_()), pa.array(places, pa.list_(pa.int32()))], ["doc_id", "n_words", "n_hit", "n_items", "items", "contaminated", "spans"])
 
     return run
 
@@ -104,16 +111,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     bounded_batches(spark)
     ws = Workspace(spark, "decontam")
-    out = docs.select(F.col(text_col).cast("binary").alias("_text"), F.lit(None).cast("array<int>").alias("_runs"), F.lit(None).cast("array<string>").alias("_items"), F.lit(0).cast("long").alias("_n"), F.col(id_col).alias("doc_id"))
-    schema = f"_text binary, _runs array<int>, _items array<string>, n_words long, doc_id {docs.schema[id_col].dataType.simpleString()}"
+    kind = docs.schema[id_col].dataType.simpleString()
+    out = docs.select(F.col(text_col).cast("binary").alias("text"), F.col(id_col).alias("doc_id"), F.lit(None).cast("array<int>").alias("runs"), F.lit(None).cast("array<string>").alias("items"))
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.col(item_text).cast("binary"))
-    for k, block in enumerate(_blocks(items)):
-        if k:  # one automaton in a worker at a time
-            out = ws.keep(out, f"pass-{k}").withColumnRenamed("n_words", "_n")
-        held = spark.sparkContext.broadcast(block)
-        out = out.mapInArrow(_scan(held, f"{ws.root}-{k}"), schema)
-    digest = out.mapInArrow(_digest(spans), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_hit long, n_items long, items array<string>, contaminated boolean, spans array<int>")
-    return digest if spans else digest.drop("spans")
+    blocks = _blocks(items)
+    block, k = next(blocks), 0
+    while (after := next(blocks, None)) is not None:  # one automaton in a worker at a time
+        scan = _scan(spark.sparkContext.broadcast(block), f"{ws.root}-{k}", False, spans)
+        out = ws.keep(out.mapInArrow(scan, f"text binary, doc_id {kind}, runs array<int>, items array<string>"), f"pass-{k}")
+        block, k = after, k + 1
+    scan = _scan(spark.sparkContext.broadcast(block), f"{ws.root}-{k}", True, spans)
+    out = out.mapInArrow(scan, f"doc_id {kind}, n_words long, n_hit long, n_items long, items array<string>, contaminated boolean, spans array<int>")
+    return out if spans else out.drop("spans")
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[str, list[bytes]]]]:
@@ -130,20 +139,6 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[str, list[bytes]]]]:
         yield block
 
 
-def _digest(spans: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, runs, items, total = (batch.column(i).to_pylist() for i in range(4))
-            hit = [sum(r[1::2]) - sum(r[::2]) for r in runs]
-            places = [_places(t, r) if spans and r else [] for t, r in zip(texts, runs, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(4), batch.column(3), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), batch.column(2), pa.array([h > 0 and 20 * h >= n for h, n in zip(hit, total, strict=True)], pa.bool_()), pa.array(places, pa.list_(pa.int32()))],
-                ["doc_id", "n_words", "n_hit", "n_items", "items", "contaminated", "spans"],
-            )
-
-    return run
-
-
 def _places(text: bytes, runs: list[int]) -> list[int]:
     """Word runs as code point offsets of the original text."""
     at = [m.span() for m in _WORD.finditer(text.decode("utf-8", "replace"))]

@@ -9,7 +9,8 @@
    the threshold falls under the chosen miss probability goes.
 5. Each member first has its few most similar heads verified on full sets, then those other heads that lie
    in another component. Then every pair within a bucket that still lies in two components is a
-   candidate, goes through the same pruning, and all survivors are verified. Pairs already connected need no verdict: it can't change
+   candidate, unless too little of either set occurs in any other text of those buckets for a link;
+   candidates go through the same pruning, and all survivors are verified. Pairs already connected need no verdict: it can't change
    any component.
 """
 
@@ -144,6 +145,18 @@ def _compare(limits: list[tuple[int, int]]):
     return run
 
 
+def _flatten(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns_memory("neardup", _hashes.clear)
+        for batch in batches:
+            sets = [shingle_set(t, k) for t in batch.column(1).to_pylist()]
+            ids = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], ["doc_id", "shingle"])
+
+    return run
+
+
 def _verify(k: int, num: int, den: int):
     """(a, b, left, right) texts -> (a, b) with den * |intersection| >= num * |union|."""
 
@@ -178,21 +191,42 @@ class _Search:
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
         return self.ws.keep(both.mapInArrow(_compare(self.limits), "a long, b long, matches int"), name)
 
-    def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
-        """(a, b) -> the pairs that full sets confirm. Only texts that a fixed-size filter lets through are dealt out."""
+    def chosen(self, ids: DataFrame, name: str) -> DataFrame:
+        """The texts of ids (doc_id), and few others: what a filter of fixed size lets through, without a shuffle."""
         slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).select(slot.alias("s"))
-        marks = ids.groupBy(F.expr("bitmap_bucket_number(s)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("bits"))
+        marks = ids.select(slot.alias("s")).groupBy(F.expr("bitmap_bucket_number(s)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("bits"))
         marks = self.ws.keep(marks, f"{name}-marks")
         texts = self.texts.withColumn("s", slot).withColumn("bucket", F.expr("bitmap_bucket_number(s)")).withColumn("bit", F.expr("bitmap_bit_position(s)"))
         # at most FILTER_BITS / 8 bytes, whatever the input
-        texts = texts.join(F.broadcast(marks), "bucket").where("(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int) >> cast(bit % 8 as int)) & 1 = 1")
+        return texts.join(F.broadcast(marks), "bucket").where("(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int) >> cast(bit % 8 as int)) & 1 = 1").select("doc_id", "text")
+
+    def linkable(self, spread: DataFrame) -> DataFrame:
+        """Rows of those documents that may have a link among these, with n, the size of their set, and shared, how much of
+        it some other of these texts has too. An intersection lies in both shared parts, so a part under the threshold's
+        share of the larger set rules a link out, whatever the pair."""
+        flat = self.chosen(spread.select("doc_id").distinct(), "spread").mapInArrow(_flatten(self.k), "doc_id long, shingle long")
+        once = flat.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n = 1").groupBy("doc_id").agg(F.count("*").alias("once"))
+        size = self.reps.select("doc_id", F.col("n_shingles").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
+        out = spread.join(once, "doc_id", "left").join(size, "doc_id")
+        out = out.withColumn("shared", F.col("n") - F.coalesce("once", F.lit(0)))
+        return out.where(f"{self.den} * shared >= {self.num} * n").select("key", "doc_id", "label", "n", "shared")
+
+    def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
+        """(a, b) -> the pairs that full sets confirm."""
+        texts = self.chosen(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), name)
         member = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
         head = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
         both = pairs.select("a", "b").join(member, "a").join(head, "b").select("a", "b", "left", "right")
         return self.ws.keep(both.mapInArrow(_verify(self.k, self.num, self.den), "a long, b long").distinct(), name)
 
 
+def _mixed(spread: DataFrame) -> DataFrame:
+    """Rows of buckets with several labels, with main, the label that most of a bucket's members have."""
+    sizes = spread.groupBy("key", "label").agg(F.count("*").alias("_n"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("_n", "label")).alias("_m"), F.count("*").alias("_labels")).where("_labels > 1")
+    return spread.drop("main").join(main.select("key", F.col("_m.label").alias("main")), "key")
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Those pairs whose ends lie in different components."""
     a = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
@@ -219,7 +253,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = ws.keep(full.groupBy("fp_hi", "fp_lo").agg(F.min("doc_id").alias("rep")), "classes")
     stand = classes.select("fp_hi", "fp_lo", F.col("rep").alias("doc_id"))
-    reps = ws.keep(full.join(stand, ["fp_hi", "fp_lo", "doc_id"], "left_semi").select("doc_id", "bytes", "bands").dropDuplicates(["doc_id", "bytes"]), "reps")
+    reps = ws.keep(full.join(stand, ["fp_hi", "fp_lo", "doc_id"], "left_semi").select("doc_id", "n_shingles", "bytes", "bands").dropDuplicates(["doc_id", "bytes"]), "reps")
 
     members = reps.select("doc_id", F.explode("bands").alias("key"))
     # a head by the key's own order: flipping ids by the key's bits and back needs no further column
@@ -239,13 +273,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.unionByName(second)
     labels = connected_components(links, ws, "second-components")
 
+    # what may still be linked across components
     label = labels.select(F.col("node").alias("doc_id"), "label")
-    spread = ws.keep(crowded.select("key", "doc_id").join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label")), "spread")
-    mixed = spread.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    spread = spread.join(mixed, "key", "left_semi")
-    a = spread.select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"))
-    b = spread.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"))
-    rest = a.join(b, "key").where("la < lb").select("a", "b").distinct()
+    spread = crowded.select("key", "doc_id").join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    spread = search.linkable(_mixed(ws.keep(spread, "spread")))
+    spread = _mixed(ws.keep(spread, "linkable"))
+    a = spread.where("label <> main").select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"), "main", F.col("n").alias("na"), F.col("shared").alias("sa"))
+    b = spread.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
+    least = f"{num} * (na + nb) <= {num + den} * least(sa, sb)"
+    rest = a.join(b, "key").where(f"la <> lb and (lb = main or la < lb) and {least}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = search.confirmed(search.pruned(rest, "rest"), "more")
 
     labels = connected_components(links.unionByName(more), ws, "components")
