@@ -74,7 +74,8 @@ def feature_records(records: DataFrame, config: Config) -> DataFrame:
         "_overview": overview_block(F.col("overview"), config), "_keywords": keywords, "_removed": removed, "_genres": genre_block(F.col("genres"), config),
         "_cast": cast_block(F.col("cast"), config), "_director": director_block(F.col("crew"), config),
     })
-    document = F.concat(*(F.transform(F.col(f"_{f}"), lambda t, f=f: F.concat(F.lit(f"{PREFIXES[f]}:"), t)) for f in FIELDS))
+    prefixed = lambda f: F.transform(F.col(f"_{f}"), lambda t: F.concat(F.lit(f"{PREFIXES[f]}:"), t))
+    document = F.concat(*(prefixed(f) for f in FIELDS))
     return blocks.select(
         "id", "title", "original_title", "release_date", year_of(F.col("release_date")).alias("release_year"), "original_language",
         F.when(F.col("runtime") > 0, F.col("runtime")).alias("runtime_minutes"), "collection_name", "popularity", "vote_average", "vote_count", F.coalesce("adult", F.lit(False)).alias("adult"),

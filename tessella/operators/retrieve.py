@@ -25,6 +25,10 @@ def by_score() -> list[Column]:
 
 def ranked(scored: DataFrame) -> DataFrame:
     """Every candidate with its rank from 1: best score first, ties to the smaller id."""
+    return _ranked(scored).withColumn("rank", F.col("rank").cast("long"))
+
+
+def _ranked(scored: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*by_score())))
 
 
@@ -32,7 +36,8 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     """The first k of each query; a limit for each partition goes before the shuffle."""
     if k < 1:
         raise ValueError(f"k must be >= 1, got {k}")
-    return ranked(scored).where(F.col("rank") <= k)
+    # the cast comes after the filter, so that the plan can limit each group before it is dealt out
+    return _ranked(scored).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def _reason(min_score: float, min_shared: int) -> Column:
@@ -57,7 +62,7 @@ def skipped(scored: DataFrame, k: int, min_score: float = 0.0, min_shared: int =
     judged = judged.withColumn("_accepted", F.coalesce(F.sum(F.when(F.col("reason").isNull(), 1).otherwise(0)).over(above), F.lit(0)))
     passed_over = judged.where((F.col("_accepted") < k) & F.col("reason").isNotNull())
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(*by_score()))
-    return passed_over.withColumn("place", place).select("query_id", "place", "item_id", "reason")
+    return passed_over.withColumn("place", place.cast("long")).select("query_id", "place", "item_id", "reason")
 
 
 def evidence(accepted: DataFrame, rejected: DataFrame, queries: DataFrame, k: int, min_shared: int) -> DataFrame:

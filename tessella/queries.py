@@ -111,7 +111,7 @@ def project_nested(spark, d):
 
 
 def resume_anti_join(spark, d):
-    done = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    done = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
     return table(spark, d, "part").join(done, "p_partkey", "left_anti").select("p_partkey", "p_name")
 
 
