@@ -8,9 +8,9 @@
 4. A pair's signature bytes are compared batch by batch; a pair whose posterior probability of reaching
    the threshold falls under the chosen miss probability goes.
 5. Each member first has its few most similar heads verified on full sets, then those other heads that lie
-   in another component. Then every pair within a bucket that still lies in two components is a
-   candidate, unless too little of either set occurs in any other text of those buckets for a link;
-   candidates go through the same pruning, and all survivors are verified. Pairs already connected need no verdict: it can't change
+   in another component. Documents whose buckets still hold several components are then compared across
+   components, all of them: candidates share a shingle early enough in rarity order, which loses no
+   link. They go through the same pruning, and all survivors are verified. Pairs already connected need no verdict: it can't change
    any component.
 """
 
@@ -150,9 +150,10 @@ def _flatten(k: int):
         owns_memory("neardup", _hashes.clear)
         for batch in batches:
             sets = [shingle_set(t, k) for t in batch.column(1).to_pylist()]
-            ids = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
-            if len(ids):
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], ["doc_id", "shingle"])
+            sizes = np.array([len(s) for s in sets], np.int64)
+            if sizes.any():
+                ids = np.repeat(batch.column(0).to_numpy(), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets).view(np.int64))], ["doc_id", "n", "shingle"])
 
     return run
 
@@ -200,16 +201,26 @@ class _Search:
         # at most FILTER_BITS / 8 bytes, whatever the input
         return texts.join(F.broadcast(marks), "bucket").where("(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int) >> cast(bit % 8 as int)) & 1 = 1").select("doc_id", "text")
 
-    def linkable(self, spread: DataFrame) -> DataFrame:
-        """Rows of those documents that may have a link among these, with n, the size of their set, and shared, how much of
-        it some other of these texts has too. An intersection lies in both shared parts, so a part under the threshold's
-        share of the larger set rules a link out, whatever the pair."""
-        flat = self.chosen(spread.select("doc_id").distinct(), "spread").mapInArrow(_flatten(self.k), "doc_id long, shingle long")
-        once = flat.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n = 1").groupBy("doc_id").agg(F.count("*").alias("once"))
-        size = self.reps.select("doc_id", F.col("n_shingles").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
-        out = spread.join(once, "doc_id", "left").join(size, "doc_id")
-        out = out.withColumn("shared", F.col("n") - F.coalesce("once", F.lit(0)))
-        return out.where(f"{self.den} * shared >= {self.num} * n").select("key", "doc_id", "label", "n", "shared")
+    def across(self, labelled: DataFrame) -> DataFrame:
+        """(a, b): pairs of these documents (doc_id, label) that may be linked and have different labels.
+
+        With the shingles of each set in one order for all, rarest first, linked sets have a first common one early in
+        both: from its places p and q on, 1 + min(n - p, m - q) shingles are all that can be common, and
+        that must reach num / (num + den) of n + m. Shingles that one set alone has only push places on. Nothing is lost.
+        """
+        num, den = self.num, self.den
+        texts = self.chosen(labelled.select("doc_id"), "across")
+        flat = texts.mapInArrow(_flatten(self.k), "doc_id long, n long, shingle long").distinct()
+        flat = self.ws.keep(flat.join(labelled, "doc_id"), "flat")
+        known = flat.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+        mine = Window.partitionBy("doc_id", "n")  # one document's shingles
+        place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "shingle"))
+        early = flat.join(known, "shingle").withColumn("place", place).where(f"{den} * (n - place + 1) >= {num} * n")
+        early = _mixed(self.ws.keep(early.select(F.col("shingle").alias("key"), "doc_id", "label", "n", "place"), "early"))
+        a = early.where("label <> main").select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"), "main", F.col("n").alias("na"), F.col("place").alias("pa"))
+        b = early.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+        both = a.join(b, "key").where(f"la <> lb and (lb = main or la < lb) and {num + den} * (1 + least(na - pa, nb - pb)) >= {num} * (na + nb)")
+        return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
         """(a, b) -> the pairs that full sets confirm."""
@@ -253,7 +264,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = ws.keep(full.groupBy("fp_hi", "fp_lo").agg(F.min("doc_id").alias("rep")), "classes")
     stand = classes.select("fp_hi", "fp_lo", F.col("rep").alias("doc_id"))
-    reps = ws.keep(full.join(stand, ["fp_hi", "fp_lo", "doc_id"], "left_semi").select("doc_id", "n_shingles", "bytes", "bands").dropDuplicates(["doc_id", "bytes"]), "reps")
+    reps = ws.keep(full.join(stand, ["fp_hi", "fp_lo", "doc_id"], "left_semi").select("doc_id", "bytes", "bands").dropDuplicates(["doc_id", "bytes"]), "reps")
 
     members = reps.select("doc_id", F.explode("bands").alias("key"))
     # a head by the key's own order: flipping ids by the key's bits and back needs no further column
@@ -276,12 +287,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # what may still be linked across components
     label = labels.select(F.col("node").alias("doc_id"), "label")
     spread = crowded.select("key", "doc_id").join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    spread = search.linkable(_mixed(ws.keep(spread, "spread")))
-    spread = _mixed(ws.keep(spread, "linkable"))
-    a = spread.where("label <> main").select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"), "main", F.col("n").alias("na"), F.col("shared").alias("sa"))
-    b = spread.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
-    least = f"{num} * (na + nb) <= {num + den} * least(sa, sb)"
-    rest = a.join(b, "key").where(f"la <> lb and (lb = main or la < lb) and {least}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    apart = _mixed(ws.keep(spread, "spread")).select("doc_id", "label").distinct()
+    rest = search.across(ws.keep(apart, "apart"))
     more = search.confirmed(search.pruned(rest, "rest"), "more")
 
     labels = connected_components(links.unionByName(more), ws, "components")
