@@ -1,10 +1,11 @@
-"""Byte-level BPE by a rank queue of hierarchical bitmaps."""
+"""Byte-level BPE by a rank queue under hierarchical bitmaps."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
 import heapq
+import struct
 from collections.abc import Iterator
 from functools import cache
 
@@ -17,46 +18,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, owns_memory
 
 
-#: Pre-tokens in each of a worker's two memos (some 30 MB each).
-MEMO_ENTRIES = 150_000
-
-
-class RankQueue:
-    """Smallest rank first: a bucket of positions for each rank, and a bitmap of two levels over them.
-
-    Bit b of words[w] says that bucket 256 * w + b isn't empty, and bit w of top that words[w] isn't
-    zero, so that two find-first-set steps lead to the next rank. It is empty again after each use.
-    """
-
-    def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.words = [0] * ((ranks >> 8) + 1)
-        self.top = 0
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heapq.heappush(bucket, at)
-        else:
-            self.buckets[rank] = [at]
-            self.words[rank >> 8] |= 1 << (rank & 255)
-            self.top |= 1 << (rank >> 8)
-
-    def pop(self) -> tuple[int, int]:
-        """(rank, leftmost position) of a queue that isn't empty."""
-        top = self.top
-        w = (top & -top).bit_length() - 1
-        word = self.words[w]
-        rank = (w << 8) + (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heapq.heappop(bucket)
-        del self.buckets[rank]
-        word &= word - 1
-        self.words[w] = word
-        if not word:
-            self.top = top & (top - 1)
-        return rank, bucket[0]
+#: Pre-tokens in each of a worker's two memos (some 50 MB each).
+MEMO_ENTRIES = 300_000
 
 
 class Bpe:
@@ -68,35 +31,89 @@ class Bpe:
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.split = regex.compile(pattern)
-        self.queue = RankQueue(max(self.tokens) + 1)
+        self.words = [0] * ((max(self.tokens) >> 8) + 1)
+        self.bits = [1 << b for b in range(max(256, len(self.words)))]
         self.packed = _Packed(self)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token: the pair of least rank, leftmost first, merges until none has a rank."""
+        """Ids of one pre-token: the pair of least rank, leftmost first, merges until none has a rank.
+
+        The queue is a bucket of positions for each rank under a bitmap of two levels: bit b of words[w] says that bucket
+        256 * w + b isn't empty, and bit w of top that words[w] isn't zero, so two find-first-set steps lead to
+        the next rank. A bucket of one position is that number, a larger one a heap. words is all zeros before and after.
+        It is written out in line, because calls would cost more than the queue itself.
+        """
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        ranks, queue, n = self.ranks.get, self.queue, len(piece)
-        push, pop = queue.push, queue.pop
-        end = list(range(1, n + 1))  # where the part that starts here ends; 0 once it is merged away
+        ranks, words, bits, n = self.ranks.get, self.words, self.bits, len(piece)
+        end = list(range(1, n + 1))  # where the part that starts here ends
         before = list(range(-1, n - 1))  # start of the part on the left
+        due = [None] * n  # rank of the pair that starts here, None if it has none
+        buckets: dict[int, int | list[int]] = {}
+        top = 0
         for at in range(n - 1):
-            if (rank := ranks(piece[at : at + 2])) is not None:
-                push(rank, at)
-        while queue.top:
-            rank, at = pop()
-            middle = end[at]
-            # stale: the part is gone, or it or its right neighbour has grown since
-            if not middle or middle >= n or ranks(piece[at : end[middle]]) != rank:
+            rank = ranks(piece[at : at + 2])
+            if rank is not None:
+                due[at] = rank
+                if rank in buckets:
+                    bucket = buckets[rank]
+                    if type(bucket) is int:
+                        buckets[rank] = [bucket, at] if bucket <= at else [at, bucket]
+                    else:
+                        heapq.heappush(bucket, at)
+                else:
+                    buckets[rank] = at
+                    words[rank >> 8] |= bits[rank & 255]
+                    top |= bits[rank >> 8]
+        while top:
+            w = (top & -top).bit_length() - 1
+            word = words[w]
+            rank = (w << 8) + (word & -word).bit_length() - 1
+            at = buckets[rank]
+            if type(at) is int:
+                del buckets[rank]
+                words[w] = word = word & (word - 1)
+                if not word:
+                    top &= top - 1
+            else:
+                bucket, at = at, heapq.heappop(at)
+                if len(bucket) == 1:
+                    buckets[rank] = bucket[0]
+            if due[at] != rank:  # stale: one of its parts has grown or gone since
                 continue
+            middle = end[at]
             stop = end[at] = end[middle]
-            end[middle] = 0
+            due[middle] = None
             if stop < n:
                 before[stop] = at
-                if (rank := ranks(piece[at : end[stop]])) is not None:
-                    push(rank, at)
+                due[at] = rank = ranks(piece[at : end[stop]])
+                if rank is not None:
+                    if rank in buckets:
+                        bucket = buckets[rank]
+                        if type(bucket) is int:
+                            buckets[rank] = [bucket, at] if bucket <= at else [at, bucket]
+                        else:
+                            heapq.heappush(bucket, at)
+                    else:
+                        buckets[rank] = at
+                        words[rank >> 8] |= bits[rank & 255]
+                        top |= bits[rank >> 8]
+            else:
+                due[at] = None
             left = before[at]
-            if left >= 0 and (rank := ranks(piece[left:stop])) is not None:
-                push(rank, left)
+            if left >= 0:
+                due[left] = rank = ranks(piece[left:stop])
+                if rank is not None:
+                    if rank in buckets:
+                        bucket = buckets[rank]
+                        if type(bucket) is int:
+                            buckets[rank] = [bucket, left] if bucket <= left else [left, bucket]
+                        else:
+                            heapq.heappush(bucket, left)
+                    else:
+                        buckets[rank] = left
+                        words[rank >> 8] |= bits[rank & 255]
+                        top |= bits[rank >> 8]
         out, at = [], 0
         while at < n:
             out.append(self.ranks[piece[at : end[at]]])
@@ -111,6 +128,10 @@ class Bpe:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Packed(dict):
     """Pre-token to its packed ids; a full memo becomes the old one, and what is used comes over."""
 
@@ -121,7 +142,7 @@ class _Packed(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = np.array(self.bpe.merge(piece.encode()), "<u4").tobytes()
+            ids = pack(self.bpe.merge(piece.encode()))
         if len(piece) <= 64:
             if len(self) >= MEMO_ENTRIES:
                 self.old = dict(self)
