@@ -1,0 +1,287 @@
+"""Each operator against a plain version, and its defined cases."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from tokenizers import Tokenizer, models, normalizers
+
+from tessella.llm import bpe, decontam, licenses, pii, quality, tokencount, toxicity
+from tessella.llm.labelled import Logistic, remainder
+
+BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+ODD = [(1, None), (2, ""), (3, " "), (4, "été 🙂 日本語\n\n  tab\tend"), (4, "same id"), (5, "x" * 30_000), (6, "word " * 20_000), (None, "no id")]
+#: Columns that an operator may use as names of its own.
+SCHEMA = "doc_id long, text string, score double, spans string, n_tokens long, held_out string, items string, bucket int"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, 1.0, "s", 1, "h", "i", 1) for i, t in rows], SCHEMA)
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+# -- byte-level BPE ---------------------------------------------------------------------------------
+
+
+def encoding():
+    ranks = bpe.load(BPE, public_tokenizers.PATTERN).ranks
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_equals_the_library():
+    own, known, r = bpe.load(BPE, public_tokenizers.PATTERN), encoding(), random.Random(2)
+    texts = ["", "a" * 5_000, "the cat's hat", "<|endoftext|>", " \n\n  x"]
+    texts += ["".join(r.choice(r.choice(("ab", "aé日 \n", "thequick ", "🙂ñ 12.", "a"))) for _ in range(r.choice((2, 20, 200)))) for _ in range(400)]
+    for text in texts:
+        ids = own.encode(text)
+        assert np.frombuffer(ids, "<u4").tolist() == known.encode_ordinary(text)
+        assert own.decode(ids) == text.encode()
+
+
+def test_bpe_columns(spark):
+    got = rows_of(bpe.digests(frame(spark, ODD), BPE, public_tokenizers.PATTERN))
+    want = []
+    for i, t in ODD:
+        ids = encoding().encode_ordinary(t or "")
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert got == sorted(want, key=repr)
+    whole = bpe.encode_decode(frame(spark, ODD), BPE, public_tokenizers.PATTERN)
+    assert whole.columns == ["doc_id", "n_tokens", "ids", "decoded"] and whole.where("length(ids) <> 4 * n_tokens").count() == 0
+    assert bpe.digests(frame(spark, []), BPE, public_tokenizers.PATTERN).count() == 0
+
+
+# -- token counts -----------------------------------------------------------------------------------
+
+
+def unigram(vocabulary, byte_fallback=True):
+    known = Tokenizer(models.Unigram([(p, s) for p, s, _ in vocabulary], 0, byte_fallback))
+    known.normalizer = normalizers.Sequence([normalizers.Prepend(tokencount.SPACE), normalizers.Replace(" ", tokencount.SPACE)])
+    return lambda t: len(known.encode(t, add_special_tokens=False).ids) if t else 0
+
+
+def test_counts_equal_the_library():
+    vocabulary = tokencount.pieces(PIECES)
+    own, known, r = tokencount.Counter(vocabulary), unigram(vocabulary), random.Random(3)
+    for _ in range(500):
+        text = "".join(r.choice(r.choice(("ab \n", "aé日 \n", "the  thing", "🙂🙃ñ ", "a"))) for _ in range(r.randrange(80)))
+        assert own.count(text) == known(text)
+    assert own.parts is not None
+
+
+def test_counts_with_ties_and_broken_scores():
+    """Ties go to the longer last piece; scores that aren't whole keep the text in one."""
+    ties = [("<unk>", 0.0, 2), ("a", -2.0, 1), ("aa", -4.0, 1), ("aaa", -6.0, 1), ("▁", -1.0, 1), ("▁a", -3.0, 1)]
+    broken = [("<unk>", 0.0, 2), ("a", -0.1, 1), ("aa", -0.2, 1), ("b▁a", -0.25, 1), ("▁", -0.3, 1), ("b", -0.7, 1)]
+    for vocabulary in (ties, broken):
+        own, known = tokencount.Counter(vocabulary), unigram(vocabulary, False)
+        for text in ("a", "aaaa", "aaaaaaa a aa", "ab ab aba", "zz a zz", "z"):
+            assert own.count(text) == known(text), (text, vocabulary)
+
+
+def test_counts_columns(spark):
+    known = unigram(tokencount.pieces(PIECES))
+    assert rows_of(tokencount.token_counts(frame(spark, ODD), PIECES)) == sorted(((i, known(t or "")) for i, t in ODD), key=repr)
+    assert tokencount.token_counts(frame(spark, []), PIECES).count() == 0
+
+
+# -- decontamination --------------------------------------------------------------------------------
+
+
+def plain_contamination(docs, items):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    out = []
+    for i, t in docs:
+        w, hit, names = split(t), set(), set()
+        for name, item in items:
+            x = split(item)
+            for at in range(max(1, len(x) - 12)) if x else ():
+                window = x[at : at + 13]
+                for p in range(len(w) - len(window) + 1):
+                    if w[p : p + len(window)] == window:
+                        hit.update(range(p, p + len(window)))
+                        names.add(str(name))
+        out.append((i, len(w), len(hit), len(names), sorted(names), len(hit) > 0 and 20 * len(hit) >= len(w)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("block", [250_000, 20])
+def test_contamination(spark, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
+    r = random.Random(5)
+    word = lambda: r.choice(("alpha", "Beta", "été", "x1", "zz", "O"))
+    items = [(k, " ".join(word() for _ in range(r.choice((1, 4, 13, 14, 40))))) for k in range(9)] + [(9, None), (10, "..."), (2, "one two"), (11, "alpha")]
+    docs = [*ODD, (20, "alpha"), (21, "ALPHA-beta"), (22, None)]
+    for k in range(30, 60):
+        body = [word() for _ in range(r.choice((0, 5, 60, 400)))]
+        body[5:5] = (r.choice(items)[1] or "").split()
+        docs.append((k, r.choice((" ", ", ", "-")).join(body)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.contamination(frame(spark, docs), bench)
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r["items"], r.contaminated) for r in found.collect()), key=repr) == plain_contamination(docs, items)
+    assert decontam.contamination(frame(spark, []), bench).count() == 0
+    assert decontam.contamination(frame(spark, docs), bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_contamination_places(spark):
+    bench = spark.createDataFrame([(1, "Größe, two three")], "item_id long, text string")
+    docs = frame(spark, [(1, "é — größe two THREE; and größe: two: three")])
+    row = decontam.contamination(docs, bench, spans=True).first()
+    text = docs.first().text
+    assert [text[a:b] for a, b in zip(row.spans[::2], row.spans[1::2], strict=True)] == ["größe two THREE", "größe: two: three"]
+
+
+# -- personal data ----------------------------------------------------------------------------------
+
+
+def plain_spans(text):
+    found = []
+    for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "phone" and not 10 <= len(digits) <= 15:
+                continue
+            if kind == "card":
+                total = sum(int(d) if k % 2 == 0 else sum(divmod(2 * int(d), 10)) for k, d in enumerate(reversed(digits)))
+                if not 14 <= len(digits) <= 19 or total % 10:
+                    continue
+            found.append((m.start(), m.end(), kind))
+    return sorted(found, key=lambda s: (s[0], pii.BASE_KINDS.index(s[2])))
+
+
+def test_base_spans_equal_the_patterns():
+    r = random.Random(6)
+    for _ in range(4_000):
+        text = "".join(r.choice("a1.@-+ é_(9)40") for _ in range(r.randrange(60)))
+        assert pii.base_spans(text) == plain_spans(text), text
+    assert [s[2] for s in pii.base_spans("4539 1488 0343 6467 is a card, +1 (212) 555-0199 a phone")] == ["card", "phone"]
+
+
+def test_added_spans():
+    judge = pii.model()
+    x, y, kinds = pii._made(77, 3_000)
+    score = judge.curve(judge.trees.margins(x)[:, None])
+    for k, name in enumerate(pii.ADDED_KINDS):
+        mine, said = kinds == k, (score >= judge.thresholds[name])[kinds == k]
+        assert y[mine][said].mean() >= 0.95 and said[y[mine] == 1].mean() >= 0.8, name
+    text = 'a token = "f91f2b873bc89b9c5b8b3a486adf32c8523be758" and commit f91f2b873bc89b9c5b8b3a486adf32c8523be758, mail jo@ex.org'
+    base, spans = judge(text)
+    assert set(base) <= set(spans) and [s[2] for s in spans] == ["secret", "email"]
+    assert pii.redact(text, spans).startswith('a token = "[SECRET]" and commit f91f')
+
+
+def test_personal_data_columns(spark):
+    docs = [*ODD, (9, "mail a.b@c.de from 10.0.0.255, not 1.2.3.256, card 4539148803436467"), (10, "é" * 9 + "a@b.c")]
+    got = rows_of(pii.find_personal_data(frame(spark, docs)).drop("spans"))
+    want = []
+    for i, t in docs:
+        spans = plain_spans(t or "")
+        digest = hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in spans).encode()).hexdigest()
+        want.append((i, *(sum(s[2] == k for s in spans) for k in pii.BASE_KINDS), digest))
+    assert got == sorted(want, key=repr)
+    clean = pii.redact_personal_data(frame(spark, docs))
+    assert clean.columns == frame(spark, docs).columns and clean.where("text rlike '[a-z]@[a-z]'").count() == 0
+    assert {r.doc_id: r.text for r in clean.collect()}[1] is None
+    assert pii.find_personal_data(frame(spark, [])).count() == 0
+
+
+# -- classifiers ------------------------------------------------------------------------------------
+
+
+def corpus(n=600):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice(("an", "er", "on", "th", "lo", "mi")) for _ in range(r.randint(1, 3)))
+    docs, labels = [], []
+    for k in range(n):
+        body = [word() for _ in range(r.randint(20, 80))]
+        bad, toxic = r.random() < 0.3, r.random() < 0.3
+        if toxic:
+            for _ in range(4):
+                body[r.randrange(len(body))] = r.choice(("scoundrel", "villain", "wretch"))
+        if bad:
+            body = [w + r.choice(("%%%", "&&&", "$$$")) for w in body]
+        docs.append((k, " ".join(body)))
+        labels.append((k, int(not bad), int(toxic)))
+    return docs, labels
+
+
+@pytest.mark.parametrize(("scores", "truth", "modulus", "held"), [(quality.quality_scores, 1, 4, 2), (toxicity.toxicity_scores, 2, 3, 1)])
+def test_classifiers(spark, scores, truth, modulus, held):
+    docs, labels = corpus()
+    known = spark.createDataFrame([*labels, (1_000, 1, None), (1_001, None, 1), (5, labels[5][1], labels[5][2]), (None, 1, 1), (3, 1 - labels[3][1], 1 - labels[3][2])], "doc_id long, quality int, toxic int")
+    all_docs = frame(spark, [*docs, (9_001, None), (9_002, ""), (None, "x"), (9_003, "an er " * 30_000)])
+    got = scores(all_docs, known)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.count() == len(docs) + 4
+    rows = got.collect()
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+    import zlib
+
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % modulus == held) for r in rows)
+    out = {r.doc_id: r.predicted for r in rows if r.held_out}
+    right = [out[i] == labels[i][truth] for i in out if i < 1_000]
+    assert np.mean(right) >= 0.9
+    # labels of held-out rows teach nothing
+    flipped = [(i, 1 - q, 1 - t) if zlib.crc32(str(i).encode()) % modulus == held else (i, q, t) for i, q, t in labels]
+    again = scores(all_docs, spark.createDataFrame(flipped, known.schema))
+    first = scores(all_docs, spark.createDataFrame(labels, known.schema))
+    assert rows_of(again) == rows_of(first)
+    none = scores(all_docs, known.limit(0))
+    assert {r.score for r in none.collect()} == {0.5}
+    assert scores(frame(spark, []), known).count() == 0
+
+
+def test_rejecting_toxic_documents(spark):
+    docs, labels = corpus()
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = toxicity.without_toxic(frame(spark, docs), known)
+    scored = toxicity.toxicity_scores(frame(spark, docs), known)
+    assert kept.columns == frame(spark, docs).columns
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in scored.where("predicted = 0").collect()}
+
+
+def test_logistic_and_remainder(spark):
+    x = np.linspace(-3, 3, 200)[:, None]
+    curve = Logistic(x, (x[:, 0] > 0.5).astype(float), np.ones(200))
+    assert curve(np.array([[2.5]]))[0] > 0.95 and curve(np.array([[-2.0]]))[0] < 0.05
+    assert spark.range(3).select(remainder("id", 4).alias("r")).first().r == __import__("zlib").crc32(b"0") % 4
+
+
+# -- licences ---------------------------------------------------------------------------------------
+
+
+def plain_licences(text):
+    code, path = licenses.known(), []
+    for part in re.split(licenses.BREAK.replace("(", "(?:"), text or ""):
+        if (c := code.get(licenses.normal(part))) is not None:
+            path.append(c)
+    rest, found, n = "".join(path), {}, 0
+    for name, rule in licenses.rules():
+        times = rest.count(rule)
+        rest = rest.replace(rule, "#")
+        n += times
+        if times:
+            found[name] = found.get(name, 0) + times
+    return len(path), n, rest.count("<"), ",".join(f"{k}:{v}" for k, v in sorted(found.items()))
+
+
+def test_licences(spark):
+    full = {name: "\n".join(licenses.SENTENCES[i] for i in ids) for name, ids in reversed(licenses.RULES)}
+    r = random.Random(1)
+    docs = [*ODD, *((100 + k, f"Some words here. {t} More words; indeed") for k, t in enumerate(full.values()))]
+    docs += [(200 + k, "\n".join(r.choice([*licenses.SENTENCES.values(), "other line", "See here: 2.0."]) for _ in range(12))) for k in range(40)]
+    docs += [(300, "LICENSED UNDER the mit -- license!!"), (301, "Licensed under the MIT License")]
+    got = {r.doc_id: tuple(r)[1:] for r in licenses.scan_licenses(frame(spark, [d for d in docs if d[0] != 4])).collect()}
+    assert got == {i: plain_licences(t) for i, t in docs if i != 4}
+    for k, name in enumerate(full):
+        assert got[100 + k][3].startswith(f"{name}:1"), name
+    assert all(any(c in s.lower() for c in licenses.CUES) for s in licenses.SENTENCES.values())
+    assert licenses.scan_licenses(frame(spark, [])).count() == 0
