@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.bpe import digests
 from tessella.llm.common import Workspace, read
-from tessella.llm.decontam import contamination
+from tessella.llm.decontam import without_contaminated
 from tessella.llm.neardup import near_duplicates
 from tessella.llm.pii import redact_personal_data
 from tessella.llm.toxicity import without_toxic
@@ -30,11 +30,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated by benchmark items; a row without an id is judged too."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256)))
-    rows = docs.select(key.alias("row"), "text")
-    gone = contamination(rows, read(spark, sf_dir, "benchmark"), id_col="row").where("contaminated").select(F.col("doc_id").alias("row")).distinct()
-    return docs.withColumn("row", key).join(gone, "row", "left_anti").select(docs.columns)
+    """Documents that aren't contaminated by benchmark items."""
+    return without_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

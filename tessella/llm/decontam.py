@@ -8,7 +8,7 @@ from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ALNUM, Workspace, bounded_batches, owns_memory
@@ -66,8 +66,8 @@ def merged(runs) -> list[tuple[int, int]]:
 _built: dict[str, Automaton] = {}
 
 
-def _scan(block, key: str, last: bool, spans: bool):
-    """(text, id, runs and items so far) -> the same with what one block of items finds; the last block gives the result."""
+def _scan(block, key: str, text_at: int, finish):
+    """(row, runs, items) with what one block of items finds in the row's text; finish makes the last block's result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owns_memory("decontam", _built.clear)
@@ -76,8 +76,10 @@ def _scan(block, key: str, last: bool, spans: bool):
             _built[key] = Automaton(block.value)
         auto = _built[key]
         for batch in batches:
-            total, runs, items, places = [], [], [], []
-            for text, before, names in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+            row = batch.column(0)
+            texts = [(t or "").encode() for t in row.field(text_at).to_pylist()]
+            total, runs, items = [], [], []
+            for text, before, names in zip(texts, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 ws = words(text)
                 now, new = auto.scan(ws)
                 if before:
@@ -85,19 +87,31 @@ def _scan(block, key: str, last: bool, spans: bool):
                 total.append(len(ws))
                 runs.append([*chain.from_iterable(now)])
                 items.append(sorted(new.union(names or ())))
-                places.append(_places(text, runs[-1]) if last and spans and now else [])
-            found = [pa.array(runs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-            if not last:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], ["text", "doc_id", "runs", "items"])
+            if finish is None:
+                yield pa.RecordBatch.from_arrays([row, pa.array(runs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["row", "runs", "items"])
                 continue
             hit = [sum(r[1::2]) - sum(r[::2]) for r in runs]
             bad = [h > 0 and 20 * h >= n for h, n in zip(hit, total, strict=True)]
-            counts = [pa.array(c, pa.int64()) for c in (total, hit, [len(x) for x in items])]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *counts, found[1], pa.array(bad, pa.bool_()), pa.array(places, pa.list_(pa.int32()))], ["doc_id", "n_words", "n_hit", "n_items", "items", "contaminated", "spans"])
+            yield finish(row, texts, total, hit, runs, items, bad)
 
     return run
 
 
+def _passes(docs: DataFrame, row: Column, text_at: int, benchmark: DataFrame, item_col: str, item_text: str, finish, schema) -> DataFrame:
+    """docs through the automaton of each block of items, one automaton in a worker at a time."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    ws = Workspace(spark, "decontam")
+    out = docs.select(row.alias("row"), F.lit(None).cast("array<int>").alias("runs"), F.lit(None).cast("array<string>").alias("items"))
+    blocks = _blocks(benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.col(item_text).cast("binary")))
+    block, k = next(blocks), 0
+    while (after := next(blocks, None)) is not None:
+        scan = _scan(spark.sparkContext.broadcast(block), f"{ws.root}-{k}", text_at, None)
+        out = ws.keep(out.mapInArrow(scan, out.schema), f"pass-{k}")
+        block, k = after, k + 1
+    return out.mapInArrow(_scan(spark.sparkContext.broadcast(block), f"{ws.root}-{k}", text_at, finish), schema)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", spans: bool = False) -> DataFrame:
     """docs' row ids with what benchmark items leave in their texts: doc_id, n_words, n_hit, n_items,
     items (sorted ids as strings), contaminated; spans adds the hit passages as original code point
@@ -108,23 +122,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     texts have no words; null items and items without words have no window; an item id on several
     rows is one item, a null id counts as the empty string. One row for each row of docs. Only the named columns are read.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    ws = Workspace(spark, "decontam")
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(text_col).cast("binary").alias("text"), F.col(id_col).alias("doc_id"), F.lit(None).cast("array<int>").alias("runs"), F.lit(None).cast("array<string>").alias("items"))
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.col(item_text).cast("binary"))
-    blocks = _blocks(items)
-    block, k = next(blocks), 0
-    while (after := next(blocks, None)) is not None:  # one automaton in a worker at a time
-        scan = _scan(spark.sparkContext.broadcast(block), f"{ws.root}-{k}", False, spans)
-        out = ws.keep(out.mapInArrow(scan, f"text binary, doc_id {kind}, runs array<int>, items array<string>"), f"pass-{k}")
-        block, k = after, k + 1
-    scan = _scan(spark.sparkContext.broadcast(block), f"{ws.root}-{k}", True, spans)
-    out = out.mapInArrow(scan, f"doc_id {kind}, n_words long, n_hit long, n_items long, items array<string>, contaminated boolean, spans array<int>")
+
+    def finish(row, texts, total, hit, runs, items, bad):
+        counts = [pa.array(c, pa.int64()) for c in (total, hit, [len(x) for x in items])]
+        places = [_places(t, r) if spans and r else [] for t, r in zip(texts, runs, strict=True)]
+        columns = [row.field(0), *counts, pa.array(items, pa.list_(pa.string())), pa.array(bad, pa.bool_()), pa.array(places, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items", "contaminated", "spans"])
+
+    row = F.struct(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_hit long, n_items long, items array<string>, contaminated boolean, spans array<int>"
+    out = _passes(docs, row, 1, benchmark, item_col, item_text, finish, schema)
     return out if spans else out.drop("spans")
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, whole, that contamination() doesn't call contaminated; nothing is shuffled."""
+
+    def finish(row, texts, total, hit, runs, items, bad):
+        return pa.RecordBatch.from_arrays([row.filter(pa.array([not b for b in bad], pa.bool_()))], ["row"])
+
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    out = _passes(docs, row, docs.columns.index(text_col), benchmark, item_col, item_text, finish, docs.select(row.alias("row")).schema)
+    return out.select("row.*")
+
+
 def _blocks(items: DataFrame) -> Iterator[list[tuple[str, list[bytes]]]]:
     """Items in blocks of bounded size, at least one block; the driver holds one at a time."""
     block, size, any_block = [], 0, False
