@@ -13,6 +13,7 @@ from tessella.plans.config import FUNCTION_WORDS, Config
 
 #: White space of every script, control separators included.
 SPACES = r"[\s\x1c-\x1f\x85\p{Z}]+"
+WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 #: Letters and numbers; an underscore is none.
 TOKEN = r"([\p{L}\p{N}]+)"
 NOT_WORD = r"[^\p{L}\p{N}_]+"
@@ -46,23 +47,30 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
+def stripped(text: Column) -> Column:
+    """No white space at the ends."""
+    return F.btrim(text, F.lit(WHITE))
+
+
+def folded(value: Column, config: Config) -> Column:
+    """Composed and lower-cased, white space as it is; null is empty."""
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    return F.lower(nfc(text) if config.unicode_form == "NFC" else text)
+
+
 def normalise_text(value: Column, config: Config) -> Column:
     """Composed, lower-cased, squeezed; null is empty. Accents stay."""
-    text = F.coalesce(value.cast("string"), F.lit(""))
-    if config.unicode_form == "NFC":
-        text = nfc(text)
-    return squeezed(F.lower(text))
+    return squeezed(folded(value, config))
 
 
 def tokens(text: Column, config: Config, min_length: int = 2, drop_function_words: bool = False) -> Column:
-    """Tokens of a normalised text in order, repetitions kept."""
+    """Tokens of a folded text in order, repetitions kept; white space separates them like anything else."""
     found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))
     keep = lambda t: F.length(t) >= min_length
     if not config.keep_digits:
         keep = lambda t, keep=keep: keep(t) & ~t.rlike(r"\p{Nd}")
     if drop_function_words:
-        stop = F.array(*(F.lit(w) for w in FUNCTION_WORDS))
-        return F.filter(found, lambda t: keep(t) & ~F.array_contains(stop, t))
+        return F.filter(found, lambda t: keep(t) & ~t.isin(*FUNCTION_WORDS))  # a hash set of literals
     return F.filter(found, keep)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions import text
 from tessella.functions.text import normalise_title
 from tessella.operators.evaluate import value_places
 
@@ -17,7 +18,7 @@ SHORT_OVERVIEW = 40
 
 
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$", "")
+    return text.stripped(F.coalesce(c, F.lit("")))
 
 
 def names(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import canonical_phrase, nfc, normalise_text, phrase_token, squeezed, tokens, year_of
+from tessella.functions.text import canonical_phrase, folded, nfc, phrase_token, squeezed, stripped, tokens, year_of
 from tessella.plans.config import FIELDS, PREFIXES, STINGERS, Config
 
 
@@ -16,12 +16,8 @@ def _strings() -> Column:
 def overview_block(overview: Column, config: Config) -> Column:
     """Prose of enough characters; a stub gives nothing."""
     f = config.fields["overview"]
-    found = tokens(normalise_text(overview, config), config, f.min_token_length, f.drop_function_words)
-    return F.when(F.length(squeezed(F.coalesce(overview, F.lit("")))) == 0, _strings()).when(F.length(_stripped(overview)) >= config.min_overview_chars, found).otherwise(_strings())
-
-
-def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$", "")
+    found = tokens(folded(overview, config), config, f.min_token_length, f.drop_function_words)
+    return F.when(F.length(stripped(overview)) >= config.min_overview_chars, found).otherwise(_strings())
 
 
 def _labels(values: Column, config: Config) -> Column:

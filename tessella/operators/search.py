@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import casefold
+from tessella.functions.text import casefold, stripped
 
 MATCHES = ("exact", "title_prefix", "original_title_prefix", "title_contains", "title_contains")
 
@@ -17,7 +17,7 @@ def search_titles(features: DataFrame, query: str, limit: int) -> DataFrame:
     matches, before the limit.
     """
     asked = F.lit(query.strip())
-    key = lambda c: F.regexp_replace(casefold(F.coalesce(c, F.lit(""))), r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$", "")
+    key = lambda c: stripped(casefold(F.coalesce(c, F.lit(""))))
     rows = features.select("id", "title", key(F.col("title")).alias("_title"), key(F.col("original_title")).alias("_original"), key(asked).alias("_asked"))
     t, o, q = F.col("_title"), F.col("_original"), F.col("_asked")
     tier = F.when((t == q) | (o == q), 0).when(F.startswith(t, q), 1).when(F.startswith(o, q), 2).when(F.contains(t, q), 3).when(F.contains(o, q), 4)

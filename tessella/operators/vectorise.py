@@ -55,7 +55,8 @@ def row_norm(w: str, *by: str) -> Column:
 
 def tfidf(features: DataFrame, config: Config, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(item_id, field, term, tf, df, idf, w), w not yet normalised."""
-    counts = term_counts(token_table(features, fields))
+    # dealt by item once, as arrays: counts and norms stay where they are, and both branches read the same shuffle
+    counts = term_counts(token_table(features.select("id", "tokens").repartition("id"), fields))
     n = features.agg(F.count("*")).scalar()
     known = vocabulary(counts, config).withColumn("idf", smooth_idf(n, F.col("df")))
     tf = sublinear(F.col("tf")) if config.sublinear_tf else F.col("tf").cast("double")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import gates
-from tessella.functions.text import canonical_phrase, normalise_name, normalise_text, phrase_token, tokens, year_of
+from tessella.functions.text import canonical_phrase, folded, normalise_name, normalise_text, phrase_token, tokens, year_of
 from tessella.operators import audit, evaluate, features, labels, retrieve, search, vectorise
 from tessella.plans import experiments
 from tessella.plans.config import CUTOFFS, SELECTED_GENRE_WEIGHT, SELECTED_SHARED_TERMS
@@ -82,7 +82,7 @@ def text_normalise(spark, d):
 
 
 def tokenize_documents(spark, d):
-    found = tokens(normalise_text(F.col("text"), DOC_CONFIG), DOC_CONFIG, 2, True)
+    found = tokens(folded(F.col("text"), DOC_CONFIG), DOC_CONFIG, 2, True)
     docs = table(spark, d, "documents").select("doc_id", found.alias("t"))
     return docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_terms"), F.md5(F.array_join("t", " ")).alias("digest"))
 
