@@ -184,6 +184,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_col:
         found = some if found is None else found.unionByName(some)
     if found is None:
         found = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    ws.only(*(n for n in ws.names if n.startswith("found")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # k rows from each task at most
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -90,14 +90,23 @@ class Workspace:
             base = tempfile.mkdtemp(prefix="tessella-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base}/{name}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as a table of this workspace and return the table."""
         df.write.parquet(f"{self.root}/{name}")
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
-    def drop(self, name: str = "") -> None:
-        """Delete a table, or all, once nothing reads it any more."""
+    def only(self, *names: str) -> None:
+        """Delete all tables but these."""
+        for name in self.names:
+            if name not in names:
+                self.drop(name)
+        self.names = [n for n in self.names if n in names]
+
+    def drop(self, name: str) -> None:
+        """Delete a table once nothing reads it any more."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -10,8 +10,8 @@
 5. Each member first has its few most similar heads verified on full sets, then those other heads that lie
    in another component. Documents whose buckets still hold several components are then compared across
    components, all of them: candidates share a shingle early enough in rarity order, which loses no
-   link. They go through the same pruning, and all survivors are verified. Pairs already connected need no verdict: it can't change
-   any component.
+   link. They go through the same pruning, and all survivors are verified. Pairs already connected need
+   no verdict: it can't change any component.
 """
 
 from __future__ import annotations
@@ -295,4 +295,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp_hi", "fp_lo", F.coalesce("label", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "fp_hi", "fp_lo").join(named, ["fp_hi", "fp_lo"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = ws.keep(out, "result")
+    ws.only("result")
+    return out
