@@ -83,11 +83,13 @@ def list_statistics(lists: DataFrame, queries: DataFrame, k: int, thin: int = TH
 def value_places(rows: DataFrame, value: str) -> DataFrame:
     """(value, n, before): for each distinct value how many rows hold it and how many hold smaller ones.
 
-    Values are counted first, then dealt by their place between the extremes, so that no task orders them all.
+    Values are counted first, then dealt by their place between the extremes on a scale of logarithms, as such values have
+    long tails, so that no task orders them all.
     """
     counts = rows.groupBy(F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
-    lo, hi = (counts.agg(f("value")).scalar() for f in (F.min, F.max))
-    width = F.coalesce(F.try_divide((F.col("value") - lo) * BUCKETS, hi - lo), F.lit(0.0))
+    counts = counts.withColumn("at", F.signum("value") * F.log1p(F.abs("value")))
+    lo, hi = (counts.agg(f("at")).scalar() for f in (F.min, F.max))
+    width = F.coalesce(F.try_divide((F.col("at") - lo) * BUCKETS, hi - lo), F.lit(0.0))
     dealt = counts.withColumn("bucket", F.least(F.floor(width), F.lit(BUCKETS - 1)))
     sums = dealt.groupBy("bucket").agg(F.sum("n").alias("m"))
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows at most

@@ -81,9 +81,9 @@ def feature_records(records: DataFrame, config: Config) -> DataFrame:
 
 
 def first_of_each_id(rows: DataFrame, order: tuple[str, ...] = ("line_no",)) -> DataFrame:
-    """Rows with an id, of several with one id the first in order."""
-    first = Window.partitionBy("id").orderBy(*order)
-    return rows.where("id is not null").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    """Rows with an id, of several with one id the first in order. A partial aggregate, so a hot id gathers nowhere."""
+    first = F.min_by(F.struct(*rows.columns), F.struct(*order))
+    return rows.where("id is not null").groupBy("id").agg(first.alias("_first")).select("_first.*")
 
 
 def load_report(rows: DataFrame) -> DataFrame:
@@ -114,16 +114,19 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, target: int, seed
     """
     strata = rows.select(stratum).distinct().agg(F.count("*").alias("n")).scalar()
     draw = F.xxhash64(F.col(key), F.lit(seed))
-    inside = Window.partitionBy(stratum).orderBy(draw, key)
-    ranked = rows.dropDuplicates([key]).withColumn("_place", F.row_number().over(inside)).withColumn("_quota", F.ceil(F.lit(float(target)) / strata))
-    sizes = ranked.groupBy(stratum).agg(F.count("*").alias("_size"), F.max("_quota").alias("_q"))
+    rows = rows.dropDuplicates([key]).withColumn("_salt", F.pmod(draw, F.lit(64)))
+    sizes = rows.groupBy(stratum).agg(F.count("*").alias("_size")).withColumn("_q", F.ceil(F.lit(float(target)) / strata))
+    # no stratum gives more than target rows: a hot one is cut in salted parts before its rows meet
+    part = Window.partitionBy(stratum, "_salt").orderBy(draw, key)
+    few = rows.withColumn("_place", F.row_number().over(part)).where(F.col("_place") <= target)
+    ranked = few.withColumn("_place", F.row_number().over(Window.partitionBy(stratum).orderBy(draw, key)))
     # leftovers in order of their stratum's size; a running total over strata, one row each, says how many each gives
     taken = F.least("_size", "_q")
     every = Window.partitionBy()
     running = Window.orderBy(F.desc(F.col("_size") - taken), stratum).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_need", F.greatest(F.lit(target) - F.sum(taken).over(every), F.lit(0))).withColumn("_given", F.coalesce(F.sum(F.col("_size") - taken).over(running), F.lit(0)))
     sizes = sizes.select(stratum, (taken + F.greatest(F.lit(0), F.least(F.col("_size") - taken, F.col("_need") - F.col("_given")))).alias("_keep"))
-    return ranked.join(sizes, stratum).where("_place <= _keep").drop("_place", "_quota", "_keep")
+    return ranked.join(sizes, stratum).where("_place <= _keep").drop("_place", "_salt", "_keep")
 
 
 def project_record(rows: DataFrame, cast_limit: int, jobs: tuple[str, ...] = ("Director", "Screenplay", "Story")) -> DataFrame:
