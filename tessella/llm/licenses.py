@@ -1,6 +1,6 @@
 """Licence recognition by sentences, in DataFrame functions only.
 
-A text falls into sentences; each is normalised and looked up among the known licence sentences. What is found
+A text falls into sentences, whose lines may be wrapped; known licence sentences are looked up among them, normalised. What is found
 gives a path of sentence identifiers, in which ordered rules, the longest first, replace what they match.
 """
 
@@ -74,8 +74,8 @@ RULES = [
 
 #: Ends of a sentence: a line feed, or marks before white space or the end. "Version 2.0" stays whole.
 BREAK = r"\n+|[.!?;:]+([ \t\r]+|$)"
-#: Every known sentence holds one of these; a text without any has no licence sentence.
-CUES = ("licen", "permi", "redistribut", "warrant", "liab", "copyright", "public domain", "rights reserved", "free software", "specific prior", "obtain")
+#: Every known sentence holds one of these, single words since a line may end between two; a text without any has no licence sentence.
+CUES = ("licen", "permi", "redistribut", "warrant", "liab", "copyright", "domain", "reserved", "software", "prior", "obtain")
 
 
 def normal(sentence: str) -> str:
@@ -108,12 +108,39 @@ def rules() -> list[tuple[str, str]]:
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def flow(text: Column) -> Column:
+    """The text's words by single spaces, with S where a sentence ends and L where a line ends inside one.
+
+    Marks before the first letter or digit of a line (comment marks, bullets, the words rem and dnl) belong to no
+    sentence. A line without letters and digits is blank, and ends a sentence unless an address follows.
+    Every pattern takes a run of its characters once, so the work is linear.
+    """
+    low = F.concat(F.lit("\n"), F.translate(text, _UPPER, _LOWER), F.lit("\n"))
+    for pattern, mark in (
+        (r"\n[^a-z0-9\n]*+(?:(?:rem|dnl)\b[^a-z0-9\n]*+)?", "\n"),
+        (r"(?<!\n)\n\n++(?=https?://)", "\n"),
+        (r"\n\n++", " S "),
+        (r"(?<![.!?;:])[.!?;:]++(?=[ \t\r\n]|$)", " S "),
+        (r"\n", " L "),
+        (r"[^a-z0-9LS]+", " "),
+    ):
+        low = F.regexp_replace(low, pattern, mark)
+    return low
+
+
+def wrapped() -> str:
+    """Any known sentence, the longest first, from the start of a line or sentence to the end of one; lines may end
+    between its words."""
+    longest = sorted(known(), key=lambda s: (-s.count(" "), s))
+    return "[LS] (" + "|".join(s.replace(" ", " (?:L )?") for s in longest) + ")(?= [LS])"
+
+
 def sentence_path(text: Column) -> Column:
     """The codes of a text's known sentences, in order; those unknown leave nothing."""
     codes = F.create_map(*(F.lit(x) for pair in known().items() for x in pair))
+    found = F.regexp_extract_all(flow(text), F.lit(wrapped()), F.lit(1))
+    found = F.array_join(F.transform(found, lambda s: F.try_element_at(codes, F.replace(s, F.lit(" L "), F.lit(" ")))), "")
     low = F.translate(text, _UPPER, _LOWER)
-    clean = lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
-    found = F.array_join(F.transform(F.split(low, BREAK), lambda s: F.try_element_at(codes, clean(s))), "")
     cue = low.contains(CUES[0])
     for c in CUES[1:]:
         cue = cue | low.contains(c)
@@ -137,7 +164,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_sentences (known ones), n_matches (rules applied), n_left (known sentences in no rule),
     licenses ("name:count,..." by name).
 
-    Whole texts. Longer rules apply first, so a full notice counts once; sentences that aren't known may stand
+    Whole texts; a sentence may be wrapped over lines, behind comment marks too. Longer rules apply first, so a full notice counts once; sentences that aren't known may stand
     between those of a rule. Null and empty texts have none. One row for each row of docs; only the
     named columns are read, and nothing is shuffled.
     """
@@ -154,7 +181,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def oracle() -> str:
-    """DuckDB SQL that says the same, rule by rule."""
+    """DuckDB SQL that says the same, rule by rule, for sentences that stand on one line each."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     codes = ", ".join(f"({quote(s)}, {quote(c)})" for s, c in known().items())
     steps, last = [], "path_of"

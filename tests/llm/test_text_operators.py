@@ -285,3 +285,25 @@ def test_licences(spark):
         assert got[100 + k][3].startswith(f"{name}:1"), name
     assert all(any(c in s.lower() for c in licenses.CUES) for s in licenses.SENTENCES.values())
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
+
+
+def test_wrapped_licences(spark):
+    """Each full notice wrapped at 72 columns, plain and behind comment marks, says the same as on single lines."""
+    import textwrap
+
+    docs, want = [], {}
+    for k, (_, ids) in enumerate(licenses.RULES):
+        sentences = [licenses.SENTENCES[i] for i in ids]
+        one, lines = "\n".join(sentences), [line for s in sentences for line in textwrap.wrap(s, 66)]
+        forms = [textwrap.fill(" ".join(sentences), 72)] if all(x[-1] in ".:" for x in sentences) else []
+        forms += ["\n".join(m + line for line in lines) for m in ("", "# ", " * ", "// ", ";; ", "rem ")]
+        forms += ["\r\n".join(lines), "A heading\n" + "\n".join(lines) + "\nand more"]
+        for j, form in enumerate(forms):
+            docs.append((1_000 * (j + 1) + k, form))
+            want[docs[-1][0]] = plain_licences(one)
+    docs += [(1, "Licensed under the\n\nMIT License."), (2, "Licensed under. The\nMIT License."), (3, " * Licensed under the\n *\n * MIT License."), (4, "we are Licensed under the\nMIT License."), (5, "Licensed under the\nMIT License to all."), (6, "\n" * 200_000 + "Licensed under the\nMIT License" + "." * 200_000 + "x")]
+    want |= dict.fromkeys(range(1, 7), (0, 0, 0, ""))
+    docs.append((7, "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless"))
+    want[7] = (1, 0, 1, "")
+    got = {r.doc_id: tuple(r)[1:] for r in licenses.scan_licenses(frame(spark, docs)).collect()}
+    assert got == want
