@@ -8,6 +8,7 @@ their margins and sets each kind's threshold.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import random
 import re
 from collections import Counter
@@ -82,8 +83,11 @@ _NUMERIC = {
     "national_id": re.compile(r"(?<![0-9A-Za-z.-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9A-Za-z-])"),
     "iban": re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
     "phone_local": re.compile(r"(?<![0-9A-Za-z+.(-])\(?0?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z-])"),
-    "secret": re.compile(r"(?<![0-9A-Za-z_/+-])[0-9A-Za-z_/+-]{20,128}(?![0-9A-Za-z_/+-])"),
 }
+#: Addresses with '::' for zeros, also at either end.
+_IPV6_SHORT = re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![0-9A-Za-z]|:[0-9A-Fa-f:])")
+#: Of any length, with digits or without.
+_SECRET = re.compile(r"(?<![0-9A-Za-z_/+-])[0-9A-Za-z_/+-]{20,}+")
 
 
 def candidates(text: str) -> list[Span]:
@@ -95,7 +99,11 @@ def candidates(text: str) -> list[Span]:
         for kind, pattern in _NUMERIC.items():
             if kind == "ipv6" and ":" not in text:
                 continue
-            out += [(*m.span(), kind) for m in pattern.finditer(text) if kind != "secret" or _DIGIT.search(m.group())]
+            out += [(*m.span(), kind) for m in pattern.finditer(text)]
+    if "::" in text:
+        known = set(out)
+        out += [s for m in _IPV6_SHORT.finditer(text) if m.end() - m.start() > 2 and (s := (*m.span(), "ipv6")) not in known]
+    out += [(*m.span(), "secret") for m in _SECRET.finditer(text)]
     return out
 
 
@@ -120,6 +128,7 @@ def features(text: str, span: Span) -> list[float]:
         len(groups), max(groups), min(groups), groups[0], groups[-1], "(" in s, s.count("."), s.count("-"), s.count(" "),
         all(c in "0123456789abcdefABCDEF" for c in s), any(c.isupper() for c in s), any(c.islower() for c in s), _checks(kind, s),
         sum(w in before for w in _FOR), sum(w in before for w in _AGAINST), last.endswith(_FOR), last.endswith(_AGAINST),
+        sum(a.islower() != b.islower() for a, b in zip(s, s[1:])) / len(s), sum(counts[c] for c in "aeiouAEIOU") / len(s),
         "=" in before[-4:], ":" in before[-4:], bool(before) and before[-1] in "\"'", bool(after) and after[0] in "\"'", before[-1:] in ("", "\n"),
     ]
 
@@ -130,6 +139,11 @@ def _checks(kind: str, s: str) -> bool:
         return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
     if kind == "national_id":
         return s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[-4:] != "0000"
+    if kind == "ipv6":
+        try:
+            return bool(ipaddress.IPv6Address(s))
+        except ValueError:
+            return False
     return False
 
 
@@ -146,26 +160,52 @@ def _made(seed: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
         return f"{country}{check if valid else (check + r.randint(1, 90)) % 97:02d}{body}"
 
+    def short() -> str:
+        """An address with '::' in place of its zeros."""
+        groups = lambda k: ":".join(pick(hexes, r.randint(1, 4)) for _ in range(k))
+        head = r.choice(("fe80", "2001:db8", f"2001:{groups(1)}", f"fd{pick(hexes, 2)}:{groups(2)}", "", groups(r.randint(1, 4))))
+        return f"{head}::{r.choice(('', *'123456789')) if head and r.random() < 0.4 else groups(r.randint(1, 3))}"
+
+    letters = mixed[:52]
+    said = lambda: "".join(r.choice("bcdfghjklmnprstvwyz") + r.choice("aeiou") + r.choice(("", "", "n", "r", "s", "t", "l")) for _ in range(r.randint(1, 4)))
+    words = lambda join, low, high: r.choice(("", "", join)) + join.join(said() for _ in range(r.randint(low, high)))
+    camel = lambda: "".join(said().capitalize() for _ in range(r.randint(6, 12)))
+
+    def secret() -> str:
+        kind = r.random()
+        if kind < 0.4:
+            return pick(hexes, r.choice((32, 40, 64, 128, 256)))
+        if kind < 0.7:
+            return pick(mixed, r.randint(20, 48))
+        return pick(mixed, r.randint(100, 900)) if kind < 0.85 else pick(r.choice((letters, letters[:26], letters[26:])), r.randint(20, 64))
+
+    plain = (
+        lambda: words("-", 5, 9), lambda: words("/", 5, 12), lambda: words("/", 5, 9), lambda: words("_", 5, 12), lambda: words("", 6, 10), camel, lambda: words("_", 5, 12).upper(),
+        lambda: words("/", 40, 90), lambda: words("", 50, 90), lambda: r.choice("-_/+ax") * r.randint(20, 300), lambda: num(r.randint(100, 400)), lambda: r.choice(("ha", "la", "ab-", "+-", "no")) * r.randint(10, 90),
+    )
+
     right = {
         "email_words": (lambda: f"{word()}.{word()}{r.choice((' at ', ' [at] ', '(at)', ' (at) '))}{word()}{r.choice((' dot ', ' [dot] ', '(dot)'))}{r.choice(('com', 'org', 'net', 'de', 'fr'))}", ("mail", "contact", "write to", "reach me:", "e-mail:", "")),
-        "ipv6": (lambda: ":".join(pick(hexes, r.randint(1, 4)) for _ in range(8)), ("host", "addr", "from", "server", "")),
+        "ipv6": (lambda: ":".join(pick(hexes, r.randint(1, 4)) for _ in range(8)) if r.random() < 0.5 else short(), ("host", "addr", "from", "server", "")),
         "national_id": (lambda: f"{r.randint(1, 665):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}", ("ssn", "ssn:", "social security", "social security number", "")),
         "iban": (lambda: iban(True), ("iban", "account", "iban:", "pay to", "")),
         "phone_local": (lambda: r.choice((f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"0{num(3)} {num(3)} {num(4)}")), ("phone", "tel", "tel:", "call", "call me at", "mobile", "fax:")),
-        "secret": (lambda: pick(hexes, r.choice((32, 40, 64))) if r.random() < 0.5 else pick(mixed, r.randint(20, 48)), ('token = "', 'api_key = "', "secret: ", 'password="', "auth: ", "bearer ", 'key="')),
+        "secret": (secret, ('token = "', 'api_key = "', "secret: ", 'password="', "auth: ", "bearer ", 'key="')),
     }
     wrong = {
         "email_words": (lambda: f"{word()} at {word()} dot {word()}", ("look", "the", "stood", "a", "was")),
-        "ipv6": (lambda: ":".join(f"{r.randint(0, 59):02d}" for _ in range(r.choice((4, 5)))), ("time", "at", "date", "row")),
+        "ipv6": (lambda: ":".join(f"{r.randint(0, 59):02d}" for _ in range(r.choice((4, 5)))) if r.random() < 0.5 else r.choice((lambda: f"{pick('abcdefABCDEF', r.randint(1, 4))}::{pick('abcdefABCDEF', r.randint(1, 4))}", lambda: f"{pick('abcdef', r.randint(1, 4))}::", lambda: f"::{pick('abcdefABCDEF', r.randint(1, 4))}", lambda: f"{num(r.randint(1, 2))}::{num(r.randint(1, 2))}"))(), ("time", "at", "date", "row", "see", "type", "using", "class", "")),
         "national_id": (lambda: r.choice((f"{r.choice(('000', '666', '9' + num(2)))}-{num(2)}-{num(4)}", f"{num(3)}-{num(2)}-{num(4)}")), ("order", "ref", "lot", "serial", "invoice")),
         "iban": (lambda: iban(False) if r.random() < 0.7 else f"{pick('ABCDEFG', 2)}{num(2)} {pick('ABCDEFGHIJ0123', 4)} {pick('ABCDEFG012', 4)}", ("serial", "ref", "build", "order", "lot", "")),
         "phone_local": (lambda: r.choice((f"{num(3)} {num(3)} {num(3)}", f"{num(2)}.{num(3)}.{num(3)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(4)} {num(4)} {num(4)}")), ("version", "price", "order", "isbn", "score", "row", "ref", "the", "page")),
-        "secret": (lambda: r.choice((lambda: pick(hexes, r.choice((32, 40, 64))), lambda: f"{word()}-{word()}-{word()}-{word()}-{word()}-{word()}-{r.randint(1, 99)}", lambda: f"{word()}/{word()}/{word()}_{word()}/{word()}{num(2)}", lambda: num(r.randint(20, 40)), lambda: word() * 3 + word() * 2 + "abcdefghij" + num(1)))(), ("commit ", "sha ", "checksum: ", "md5 ", "build ", "see ", "the ", "page ", "")),
+        "secret": (lambda: r.choice((lambda: pick(hexes, r.choice((32, 40, 64, 128))), r.choice(plain), r.choice(plain), lambda: f"{word()}-{word()}-{word()}-{word()}-{word()}-{word()}-{r.randint(1, 99)}", lambda: f"{word()}/{word()}/{word()}_{word()}/{word()}{num(2)}", lambda: num(r.randint(20, 40)), lambda: word() * 3 + word() * 2 + "abcdefghij" + num(1)))(), ("commit ", "sha ", "checksum: ", "md5 ", "build ", "see ", "the ", "page ", "")),
     }
     x, y, kinds = [], [], []
     for i in range(n):
         kind, truth = ADDED_KINDS[i % len(ADDED_KINDS)], (i // len(ADDED_KINDS)) % 2 == 0
         make, cues = (right if truth else wrong)[kind]
+        if kind == "secret" and not truth and r.random() < 0.3:  # words, paths and rules aren't secrets anywhere
+            make, cues = r.choice(plain), right[kind][1]
         cue = r.choice(cues)
         lead = " ".join(word() for _ in range(r.randint(0, 6)))
         head = f"{lead} {cue}".strip()

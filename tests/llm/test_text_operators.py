@@ -179,6 +179,20 @@ def test_added_spans():
     assert pii.redact(text, spans).startswith('a token = "[SECRET]" and commit f91f')
 
 
+def test_candidates_of_any_length_and_form():
+    """Long tokens, tokens without digits and addresses with '::' are proposed and, in telling places, found."""
+    judge, r = pii.model(), random.Random(9)
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    secrets = [("".join(r.choice(chars) for _ in range(n))) for chars, n in ((mixed, 129), (mixed, 700), ("0123456789abcdef", 256), (mixed[:52], 40), (mixed[26:52], 32))]
+    addresses = ["fe80::1", "2001:db8::1", "2001:db8::8a2e:370:7334", "2001:db8::", "fe80::abcd"]
+    for kind, body in [*(("secret", x) for x in secrets), *(("ipv6", x) for x in addresses)]:
+        for text in (f'token = "{body}"', f'a token = "{body}" here') if kind == "secret" else (f"host {body}", f"from server {body}, ok", f"addr:{body}: up"):
+            span = (text.index(body), text.index(body) + len(body), kind)
+            assert span in pii.candidates(text) and span in judge(text)[1], text[:60]
+    plain = ["at 12:30:45:10", "std::vector, ad::be(x), A::B", "a :: b", "-" * 80 + " " + "_" * 40, "/usr/local/share/documents/readme/here", "SomeVeryLongClassNameFactoryBean", "x" * 30_000, "key-value-store-with-many-words", "token: /home/user/projects/some/readme"]
+    assert [judge(f"see {t} here")[1] for t in plain] == [[]] * len(plain)
+
+
 def test_personal_data_columns(spark):
     docs = [*ODD, (9, "mail a.b@c.de from 10.0.0.255, not 1.2.3.256, card 4539148803436467"), (10, "é" * 9 + "a@b.c")]
     got = rows_of(pii.find_personal_data(frame(spark, docs)).drop("spans"))
