@@ -10,7 +10,10 @@ Any other text is plain content. An argument object may also be given as a strin
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from fractions import Fraction
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,37 +65,207 @@ def _arguments(value):
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+#: Keywords whose meaning depends on how a schema was reached or on its vocabulary; none can be checked here.
+_UNKNOWN = ("$dynamicRef", "$recursiveRef")
+
+
 def fits(value, schema) -> bool:
-    """Whether a value fits a JSON schema's type, enum, const, required, properties, additionalProperties, items,
-    minimum, maximum, minLength and maxLength. Other keywords admit everything."""
-    if isinstance(schema, bool) or not isinstance(schema, dict):
-        return schema is not False
-    kinds = schema.get("type")
-    if kinds is not None and not any(_is(value, k) for k in (kinds if isinstance(kinds, list) else [kinds])):
-        return False
-    if "enum" in schema and not any(canonical(value) == canonical(x) for x in schema["enum"]):
-        return False
-    if "const" in schema and canonical(value) != canonical(schema["const"]):
-        return False
-    if isinstance(value, str) and not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
-        return False
-    if _is(value, "number") and not schema.get("minimum", value) <= value <= schema.get("maximum", value):
-        return False
-    if isinstance(value, list) and "items" in schema:
-        return all(fits(v, schema["items"]) for v in value)
+    """Whether a value fits a JSON schema: every assertion and combining keyword of drafts 4 to 2020-12, with references
+    inside the schema. format and what else only annotates admits everything.
+
+    ValueError where that can't be told: a reference that leads out of the schema or nowhere, a dynamic one, or a
+    pattern that isn't one of Python's. Where the rest refuses the value already, False.
+    """
+    return _Schema(schema).judge(value, schema)[0]
+
+
+def _same(value) -> str:
+    """Text that is equal for equal JSON values: 1 and 1.0 are one number."""
+    if isinstance(value, float) and value.is_integer():
+        value = int(value)
+    if isinstance(value, list):
+        return f"[{','.join(map(_same, value))}]"
     if isinstance(value, dict):
-        known = schema.get("properties", {})
-        if any(r not in value for r in schema.get("required", ())):
+        return "{" + ",".join(f"{canonical(k)}:{_same(v)}" for k, v in sorted(value.items())) + "}"
+    return canonical(value)
+
+
+def _matches(pattern: str, text: str) -> bool:
+    """Search as ECMA-262 says: classes are ASCII, $ is the end alone, groups are named without P."""
+    try:
+        own = re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]|\$|\(\?<(?![=!])", lambda m: {"$": r"\Z", "(?<": "(?P<"}.get(m[0], m[0]), pattern, flags=re.S)
+        return re.search(own, text, re.A) is not None
+    except re.error as e:
+        raise ValueError(f"pattern {pattern!r}") from e
+
+
+class _Schema:
+    """A schema's root, for references, and the judgement of values by its parts."""
+
+    def __init__(self, root):
+        self.root = root
+
+    def find(self, reference: str):
+        if isinstance(self.root, dict) and (own := self.root.get("$id", self.root.get("id"))) and isinstance(own, str) and reference.startswith(own.rstrip("#")):
+            reference = "#" + reference[len(own.rstrip("#")) :].lstrip("#")
+        if not reference.startswith("#"):
+            raise ValueError(f"reference {reference}")
+        path = unquote(reference[1:])
+        if path and path[0] != "/":
+            return self.anchored(path)
+        at = self.root
+        for step in path.split("/")[1:]:
+            step = step.replace("~1", "/").replace("~0", "~")
+            if isinstance(at, list) and step.isdecimal() and int(step) < len(at):
+                at = at[int(step)]
+            elif isinstance(at, dict) and step in at:
+                at = at[step]
+            else:
+                raise ValueError(f"reference {reference}")
+        return at
+
+    def anchored(self, name: str):
+        rest = [self.root]
+        while rest:
+            at = rest.pop()
+            if isinstance(at, dict):
+                if name in (at.get("$anchor"), at.get("$dynamicAnchor")) or f"#{name}" in (at.get("$id"), at.get("id")):
+                    return at
+                rest += at.values()
+            elif isinstance(at, list):
+                rest += at
+        raise ValueError(f"reference #{name}")
+
+    def judge(self, value, schema) -> tuple[bool, set]:
+        """(whether value fits, the names or places in it that the schema judged)."""
+        if not isinstance(schema, dict):
+            return schema is not False, set()
+        if not self._plain(value, schema):
+            return False, set()
+        seen: set = set()
+        for good, more in self._combined(value, schema):
+            if not good:
+                return False, set()
+            seen |= more
+        good = True
+        if isinstance(value, dict):
+            good = self._object(value, schema, seen)
+        elif isinstance(value, list):
+            good = self._array(value, schema, seen)
+        if good and any(k in schema for k in _UNKNOWN):
+            raise ValueError("a dynamic reference")
+        return good, seen if good else set()
+
+    def _plain(self, value, schema: dict) -> bool:
+        kinds = schema.get("type")
+        if kinds is not None and not any(self.judge(value, k)[0] if isinstance(k, dict) else _is(value, k) for k in (kinds if isinstance(kinds, list) else [kinds])):
+            return False
+        if "enum" in schema and _same(value) not in map(_same, schema["enum"]):
+            return False
+        if "const" in schema and _same(value) != _same(schema["const"]):
             return False
-        rest = schema.get("additionalProperties", True)
-        return all(fits(v, known[k] if k in known else rest) for k, v in value.items())
-    return True
+        if isinstance(value, str):
+            if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
+                return False
+            return "pattern" not in schema or _matches(schema["pattern"], value)
+        if _is(value, "number"):
+            low, high = schema.get("exclusiveMinimum"), schema.get("exclusiveMaximum")
+            if low is True or low is False:  # draft 4: whether minimum itself is out
+                low = schema.get("minimum") if low else None
+            if high is True or high is False:
+                high = schema.get("maximum") if high else None
+            if not schema.get("minimum", value) <= value <= schema.get("maximum", value):
+                return False
+            if low is not None and value <= low or high is not None and value >= high:
+                return False
+            return "multipleOf" not in schema or Fraction(str(value)) % Fraction(str(schema["multipleOf"])) == 0
+        if isinstance(value, list):
+            if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)):
+                return False
+            return schema.get("uniqueItems") is not True or len(set(map(_same, value))) == len(value)
+        if isinstance(value, dict):
+            if not schema.get("minProperties", 0) <= len(value) <= schema.get("maxProperties", len(value)):
+                return False
+            required = schema.get("required", ())
+            if isinstance(required, (list, tuple)) and any(r not in value for r in required):
+                return False
+            needs = {**schema.get("dependentRequired", {}), **{k: v for k, v in schema.get("dependencies", {}).items() if isinstance(v, list)}}
+            return all(r in value for k, names in needs.items() if k in value for r in names)
+        return True
+
+    def _combined(self, value, schema: dict):
+        """Judgements of value by the schemas that apply to it in place; those that fail without harm count as judging nothing."""
+        if "$ref" in schema:
+            yield self.judge(value, self.find(schema["$ref"]))
+        for s in schema.get("allOf", ()):
+            yield self.judge(value, s)
+        for name in ("anyOf", "oneOf"):
+            if name in schema:
+                fitting, unknown = [], None
+                for s in schema[name]:
+                    try:
+                        fitting += [x for x in (self.judge(value, s),) if x[0]]
+                    except ValueError as e:
+                        unknown = e
+                if unknown and (name == "oneOf" and len(fitting) < 2 or not fitting):
+                    raise unknown
+                yield bool(fitting) if name == "anyOf" else len(fitting) == 1, set().union(*(x[1] for x in fitting))
+        if "not" in schema:
+            yield not self.judge(value, schema["not"])[0], set()
+        if "if" in schema:
+            good, seen = self.judge(value, schema["if"])
+            yield True, seen
+            if (then := "then" if good else "else") in schema:
+                yield self.judge(value, schema[then])
+        if isinstance(value, dict):
+            for k, s in {**schema.get("dependencies", {}), **schema.get("dependentSchemas", {})}.items():
+                if k in value and not isinstance(s, list):
+                    yield self.judge(value, s)
+
+    def _object(self, value: dict, schema: dict, seen: set) -> bool:
+        known, patterns, own = schema.get("properties", {}), schema.get("patternProperties", {}), set()
+        for k, v in value.items():
+            by = [known[k]] if k in known else []
+            by += [s for p, s in patterns.items() if _matches(p, k)]
+            if not by and "additionalProperties" in schema:
+                by = [schema["additionalProperties"]]
+            if by:
+                own.add(k)
+            if not all(self.judge(v, s)[0] for s in by) or "propertyNames" in schema and not self.judge(k, schema["propertyNames"])[0]:
+                return False
+        seen |= own
+        if "unevaluatedProperties" in schema:
+            if not all(self.judge(v, schema["unevaluatedProperties"])[0] for k, v in value.items() if k not in seen):
+                return False
+            seen |= value.keys()
+        return True
+
+    def _array(self, value: list, schema: dict, seen: set) -> bool:
+        items, first, rest = schema.get("items"), schema.get("prefixItems", []), schema.get("items")
+        if isinstance(items, list):  # before 2020-12
+            first, rest = items, schema.get("additionalItems")
+        for i, v in enumerate(value):
+            s = first[i] if i < len(first) else rest
+            if s is not None:
+                seen.add(i)
+                if not self.judge(v, s)[0]:
+                    return False
+        if "contains" in schema:
+            held = {i for i, v in enumerate(value) if self.judge(v, schema["contains"])[0]}
+            if not schema.get("minContains", 1) <= len(held) <= schema.get("maxContains", len(held)):
+                return False
+            seen |= held
+        if "unevaluatedItems" in schema:
+            if not all(self.judge(v, schema["unevaluatedItems"])[0] for i, v in enumerate(value) if i not in seen):
+                return False
+            seen |= set(range(len(value)))
+        return True
 
 
 def _is(value, kind: str) -> bool:
     if kind in ("number", "integer"):
         good = isinstance(value, (int, float)) and not isinstance(value, bool)
-        return good and (kind == "number" or float(value).is_integer())
+        return good and (kind == "number" or isinstance(value, int) or value.is_integer())
     return isinstance(value, _TYPES.get(kind, object)) and not (kind != "boolean" and isinstance(value, bool))
 
 
@@ -118,7 +291,7 @@ def _parse():
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds whether arguments fit the declared schema; without one, whether they are an object."""
+    """Adds whether arguments fit the declared schema; without one, whether they are an object. What can't be told isn't valid."""
     for batch in batches:
         at = batch.schema.names.index
         good = []
@@ -126,7 +299,7 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             try:
                 value = json.loads(arguments)
                 good.append(isinstance(value, dict) and (schema is None or fits(value, json.loads(schema))))
-            except (ValueError, TypeError, RecursionError):
+            except (ValueError, TypeError, AttributeError, ArithmeticError, RecursionError):
                 good.append(False)
         yield pa.RecordBatch.from_arrays([batch.column(at("row")), batch.column(at("conv_id")), batch.column(at("call")), batch.column(at("turn")), pa.array(good, pa.bool_())], ["row", "conv_id", "call", "turn", "valid"])
 
@@ -139,7 +312,8 @@ def link_tool_calls(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     before its call moves behind the call's turn (order_step 1), everything else keeps its place. Calls and results
     meet by identifier. Of several calls or results with one identifier, those of the first turn (in one turn, the first
     listed) are linked; the others aren't. n_linked counts a turn's calls that have a result; n_invalid
-    those whose arguments don't fit their tool's schema (the first declared under its name), or are no object.
+    those whose arguments aren't known to fit their tool's schema (the first declared under its name), or are no object;
+    a schema that is broken or leads outside itself vouches for nothing.
     answers_call says whether a turn is the linked result of a call; null for turns that answer nothing.
     Null roles and texts stay null in the JSON, a null conversation is one of its own and links nothing, and
     a null turn number comes first. Rows of one (conv_id, turn) are separate turns.

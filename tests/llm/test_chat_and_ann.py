@@ -58,6 +58,38 @@ def test_schemas(value, schema, good):
     assert fits(value, schema) is good
 
 
+NESTED = {"$defs": {"place": {"type": "object", "required": ["lat"], "properties": {"lat": {"type": "number", "exclusiveMaximum": 90}, "in": {"$ref": "#/$defs/place"}}}, "a/b": {"$anchor": "odd", "multipleOf": 0.1}}}
+
+
+@pytest.mark.parametrize(
+    ("schema", "good", "bad"),
+    [
+        ({**NESTED, "$ref": "#/$defs/place"}, [{"lat": 1}, {"lat": 1, "in": {"lat": 2}}], [{}, {"lat": 90}, {"lat": 1, "in": {"lat": "x"}}]),
+        ({**NESTED, "items": {"$ref": "#/$defs/a~1b"}}, [[0.3, 1]], [[0.35]]), ({**NESTED, "$ref": "#odd"}, [0.7, "x"], [0.75]),
+        ({"anyOf": [{"type": "string"}, {"type": "null"}]}, ["a", None], [1]), ({"oneOf": [{"minimum": 2}, {"maximum": 3}]}, [1, 4], [2]), ({"allOf": [{"minimum": 2}, {"maximum": 3}]}, [2], [1, 4]), ({"not": {"type": "string"}}, [1], ["a"]),
+        ({"if": {"required": ["a"]}, "then": {"required": ["b"]}, "else": {"required": ["c"]}}, [{"a": 1, "b": 1}, {"c": 1}], [{"a": 1}, {}]),
+        ({"pattern": "^[a-z$]+$"}, ["ab$", 1], ["ab\n", "A"]), ({"pattern": r"^(?<y>\d{4})$"}, ["2024"], ["२०२४"]), ({"exclusiveMinimum": 1}, [1.1], [1]), ({"minimum": 1, "exclusiveMinimum": True}, [2], [1]), ({"multipleOf": 3}, [9, 10**400 * 3], [10]),
+        ({"minItems": 1, "maxItems": 2}, [[1]], [[], [1, 2, 3]]), ({"uniqueItems": True}, [[1, True, "1"]], [[1, 1.0], [{"a": 1}, {"a": 1.0}]]), ({"const": 1}, [1.0], [True]), ({"contains": {"type": "integer"}, "maxContains": 1}, [["a", 1]], [["a"], [1, 2]]),
+        ({"prefixItems": [{"type": "string"}], "items": False}, [["a"], []], [[1], ["a", 1]]), ({"items": [{"type": "string"}], "additionalItems": False}, [["a"]], [["a", 1]]),
+        ({"patternProperties": {"^x-": {"type": "string"}}, "additionalProperties": False}, [{"x-a": "b"}], [{"x-a": 1}, {"y": "b"}]), ({"propertyNames": {"maxLength": 1}}, [{"a": 1}], [{"ab": 1}]), ({"minProperties": 1, "maxProperties": 1}, [{"a": 1}], [{}, {"a": 1, "b": 1}]),
+        ({"dependentRequired": {"a": ["b"]}}, [{"b": 1}, {"a": 1, "b": 1}], [{"a": 1}]), ({"dependencies": {"a": {"required": ["b"]}}}, [{}], [{"a": 1}]),
+        ({"allOf": [{"properties": {"a": True}}], "unevaluatedProperties": False}, [{"a": 1}], [{"b": 1}]), ({"prefixItems": [True], "unevaluatedItems": False}, [[1]], [[1, 2]]),
+    ],
+)
+def test_combined_schemas(schema, good, bad):
+    assert [fits(v, schema) for v in good] == [True] * len(good) and [fits(v, schema) for v in bad] == [False] * len(bad)
+
+
+def test_references_that_lead_nowhere_are_not_valid(spark):
+    loop, away = {"$ref": "#"}, {"properties": {"q": {"$ref": "https://ex.org/s.json"}}}
+    nested = {**NESTED, "properties": {"q": {"anyOf": [{"$ref": "#/$defs/place"}, {"type": "null"}]}}}
+    rows = []
+    for k, (schema, value) in enumerate([(nested, {"lat": 1}), (nested, None), (nested, {"lat": 95}), (nested, "x"), (away, 1), (loop, 1), ({"properties": {"q": {"pattern": "("}}}, "x"), ({"properties": {"q": {"multipleOf": 0}}}, 1)]):
+        rows += [(k, 0, "system", json.dumps({"tools": [{"name": "find", "parameters": schema}]})), (k, 1, "assistant", json.dumps({"tool_calls": [call("a", "find", q=value)]}))]
+    got = {r.conv_id: r.n_invalid for r in link_tool_calls(turns(spark, rows)).where("turn = 1").collect()}
+    assert got == {0: 0, 1: 0, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1}
+
+
 def test_canonical_round_trip():
     value = {"b": [1, {"z": None, "a": "ü\n"}], "a": 1.5}
     assert canonical(json.loads(canonical(value))) == canonical(value) == '{"a":1.5,"b":[1,{"a":"ü\\n","z":null}]}'
