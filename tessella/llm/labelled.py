@@ -21,20 +21,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
 
     Of each class, the SAMPLE_ROWS ids that come first by a hash, among ids that learn admits, that all
     their labels agree on and whose text has at most SAMPLE_CHARS characters. Everything that reaches the driver is bounded
-    by these two. Null and other labels than 0 and 1 teach nothing.
+    by these two. Texts come in the order of the hash. Null and other labels than 0 and 1 teach nothing.
     """
     known = labels.where(learn & F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("_id"))
     known = known.agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("_y")).where("y = _y").drop("_y")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where(f"length(_text) <= {SAMPLE_CHARS}")
     rows, sizes = [], {0: 0, 1: 0}
     for y, n in known.groupBy("y").count().collect():
         sizes[y] = n
     spark = docs.sparkSession
-    picked = [(r._id, r.y) for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS).collect()]
+    able = known.join(texts.select("_id"), "_id", "left_semi").select("_id", "y", F.xxhash64("_id").alias("at"))
+    picked = [tuple(r) for y in (0, 1) for r in able.where(F.col("y") == y).orderBy("at", "_id").limit(SAMPLE_ROWS).collect()]
     if picked:
-        few = F.broadcast(spark.createDataFrame(picked, "_id long, y int"))  # 2 x SAMPLE_ROWS rows at most
-        texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where(f"length(_text) <= {SAMPLE_CHARS}")
-        found = texts.join(few, "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.min("y").alias("y")).collect()
-        rows = [(r._text.encode(), r.y) for r in sorted(found, key=lambda r: r._id)]
+        few = F.broadcast(spark.createDataFrame(picked, "_id long, y int, at long"))  # 2 x SAMPLE_ROWS rows at most
+        found = texts.join(few, "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.min("y").alias("y"), F.min("at").alias("at")).collect()
+        rows = [(r._text.encode(), r.y) for r in sorted(found, key=lambda r: (r.at, r._id))]
     return rows, sizes
 
 

@@ -14,17 +14,21 @@ from .common import bounded_batches, owns_memory
 from .labelled import Logistic, class_weights, labelled_sample, remainder
 
 DICT_BYTES = 65_536
-PIECE = 2_000
+PIECE = 128, 2_000
 #: Each block is compressed alone, so that a long text is measured against the dictionaries all along.
 BLOCK = 4_096
 LEVEL = 3
 
 
 def dictionary(texts: list[bytes]) -> bytes:
-    """Pieces of the texts, one each in turn, up to the dictionary's size."""
+    """A piece of every text, as long as the dictionary's size allows, but PIECE[0] bytes at least and PIECE[1] at most;
+    pieces begin at places spread over the texts. Texts that no longer fit are left out from the end."""
+    share = DICT_BYTES // max(len(texts), 1)
     out, size = [], 0
-    for text in texts:
-        out.append(text[:PIECE])
+    for i, text in enumerate(texts):
+        length = min(max(share, PIECE[0]), PIECE[1])
+        start = int(max(len(text) - length, 0) * (i * 0.6180339887498949 % 1))
+        out.append(text[start : start + length])
         size += len(out[-1])
         if size >= DICT_BYTES:
             break

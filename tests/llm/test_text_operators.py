@@ -8,9 +8,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, normalizers
 
-from tessella.llm import bpe, decontam, licenses, pii, quality, tokencount, toxicity
+from tessella.llm import bpe, decontam, labelled, licenses, pii, quality, tokencount, toxicity
 from tessella.llm.labelled import Logistic, remainder
 
 BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -253,6 +254,20 @@ def test_classifiers(spark, scores, truth, modulus, held):
     assert scores(frame(spark, []), known).count() == 0
 
 
+def test_samples_and_dictionaries_are_no_prefix(spark, monkeypatch):
+    """The length bound comes before the limit, rows come by the hash of the id, and dictionaries read all along."""
+    monkeypatch.setattr(labelled, "SAMPLE_ROWS", 20)
+    docs = frame(spark, [(k, "x" * 20_000 if k % 4 else f"text {k}") for k in range(400)])
+    labels = spark.createDataFrame([(k, k // 4 % 2) for k in range(400)], "doc_id long, quality int")
+    rows, sizes = labelled.labelled_sample(docs, labels, "quality", F.lit(True), "doc_id", "text")
+    order = [r.doc_id for r in docs.where("doc_id % 4 = 0").orderBy(F.xxhash64("doc_id")).collect()]
+    picked = {i for y in (0, 1) for i in [i for i in order if i // 4 % 2 == y][:20]}
+    assert [t.decode() for t, _ in rows] == [f"text {i}" for i in order if i in picked] and sizes == {0: 200, 1: 200}
+    many = quality.dictionary([b"%03d " % k * 750 for k in range(400)])
+    assert len(many) <= quality.DICT_BYTES and len({int(x) for x in re.findall(rb"(?<= )\d{3}(?= )", many)}) == 400
+    assert b"0590" in quality.dictionary([b"".join(b"%04d " % j for j in range(600))] * 400)
+
+
 def test_rejecting_toxic_documents(spark):
     docs, labels = corpus()
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
