@@ -7,8 +7,10 @@ their margins and sets each kind's threshold.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import ipaddress
+import itertools
 import random
 import re
 from collections import Counter
@@ -30,11 +32,15 @@ KINDS = BASE_KINDS + ADDED_KINDS
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 #: A kind's threshold is the least score from which this share of its calibration candidates is right.
 PRECISION = 0.98
+#: Candidates of one text that are judged at a time.
+CHUNK = 4_096
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _DIGIT = re.compile(r"[0-9]")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Digits joined by single dots, whole runs: an address is four numbers of one, and runs are scanned once.
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)++")
+_NUMBER = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -52,6 +58,11 @@ def luhn(numbers: list[int]) -> bool:
     return total % 10 == 0
 
 
+def _octet(number: str) -> bool:
+    kept = number.lstrip("0")
+    return len(kept) <= 3 and int(kept or 0) <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     """The base kinds' spans, each kind leftmost and non-overlapping, failing matches dropped."""
     out: list[Span] = []
@@ -65,7 +76,11 @@ def base_spans(text: str) -> list[Span]:
             done = m.end()
         at = text.find("@", at + 1)
     if _DIGIT.search(text):
-        out += [(*m.span(), "ip") for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))]
+        for run in _DOTTED.finditer(text) if "." in text else ():
+            parts = [m.span() for m in _NUMBER.finditer(text, *run.span())]
+            for four in zip(parts[::4], parts[1::4], parts[2::4], parts[3::4]):  # what is left over is no address
+                if all(_octet(text[a:b]) for a, b in four):
+                    out.append((four[0][0], four[3][1], "ip"))
         out += [(*m.span(), "card") for m in _CARD.finditer(text) if m.end() - m.start() >= 14 and 14 <= len(d := digits(m.group())) <= 19 and luhn(d)]
         if "+" in text:
             out += [(*m.span(), "phone") for m in _PHONE.finditer(text) if 10 <= len(digits(m.group())) <= 15]
@@ -77,17 +92,18 @@ def _by_place(s: Span):
 
 
 #: Generators of the added kinds; what they propose may overlap and is often wrong.
-_EMAIL_WORDS = re.compile(r"[A-Za-z0-9._%+-]{2,64}\s?(?:\(at\)|\[at\]|\sat\s)\s?[A-Za-z0-9-]{2,64}(?:\s?(?:\(dot\)|\[dot\]|\sdot\s)\s?[A-Za-z0-9-]{2,24}){1,4}", re.I)
+_EMAIL_WORDS = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s?(?:\(at\)|\[at\]|\sat\s)\s?[A-Za-z0-9-]++(?:\s?(?:\(dot\)|\[dot\]|\sdot\s)\s?[A-Za-z0-9-]++)++", re.I)
 _NUMERIC = {
-    "ipv6": re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}(?::?[0-9A-Fa-f]{1,4})+(?![0-9A-Za-z:])"),
+    "ipv6": re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){3,}+(?![0-9A-Za-z:])"),
     "national_id": re.compile(r"(?<![0-9A-Za-z.-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9A-Za-z-])"),
     "iban": re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
     "phone_local": re.compile(r"(?<![0-9A-Za-z+.(-])\(?0?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z-])"),
 }
 #: Addresses with '::' for zeros, also at either end.
 _IPV6_SHORT = re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![0-9A-Za-z]|:[0-9A-Fa-f:])")
-#: Of any length, with digits or without.
+#: Of any length, with digits or without; and tokens of three and more parts joined by dots.
 _SECRET = re.compile(r"(?<![0-9A-Za-z_/+-])[0-9A-Za-z_/+-]{20,}+")
+_SECRET_PARTS = re.compile(r"(?<![0-9A-Za-z_.-])[0-9A-Za-z_-]{8,}+(?:\.[0-9A-Za-z_-]{8,}+){2,}+")
 
 
 def candidates(text: str) -> list[Span]:
@@ -104,6 +120,8 @@ def candidates(text: str) -> list[Span]:
         known = set(out)
         out += [s for m in _IPV6_SHORT.finditer(text) if m.end() - m.start() > 2 and (s := (*m.span(), "ipv6")) not in known]
     out += [(*m.span(), "secret") for m in _SECRET.finditer(text)]
+    if "." in text:
+        out += [(*m.span(), "secret") for m in _SECRET_PARTS.finditer(text)]
     return out
 
 
@@ -173,7 +191,9 @@ def _made(seed: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     def secret() -> str:
         kind = r.random()
-        if kind < 0.4:
+        if kind < 0.15:  # parts of a signed token, the first often the code of a brace and a quote
+            return ".".join((r.choice(("eyJ", "")) + pick(mixed, r.randint(12, 60)), r.choice(("eyJ", "")) + pick(mixed, r.randint(20, 400)), pick(mixed, r.randint(20, 90))))
+        if kind < 0.45:
             return pick(hexes, r.choice((32, 40, 64, 128, 256)))
         if kind < 0.7:
             return pick(mixed, r.randint(20, 48))
@@ -181,11 +201,11 @@ def _made(seed: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     plain = (
         lambda: words("-", 5, 9), lambda: words("/", 5, 12), lambda: words("/", 5, 9), lambda: words("_", 5, 12), lambda: words("", 6, 10), camel, lambda: words("_", 5, 12).upper(),
-        lambda: words("/", 40, 90), lambda: words("", 50, 90), lambda: r.choice("-_/+ax") * r.randint(20, 300), lambda: num(r.randint(100, 400)), lambda: r.choice(("ha", "la", "ab-", "+-", "no")) * r.randint(10, 90),
+        lambda: ".".join("".join(said() for _ in range(r.randint(4, 6))) for _ in range(r.randint(3, 6))), lambda: ".".join(camel() for _ in range(3)), lambda: words("/", 40, 90), lambda: words("", 50, 90), lambda: r.choice("-_/+ax") * r.randint(20, 300), lambda: num(r.randint(100, 400)), lambda: r.choice(("ha", "la", "ab-", "+-", "no")) * r.randint(10, 90),
     )
 
     right = {
-        "email_words": (lambda: f"{word()}.{word()}{r.choice((' at ', ' [at] ', '(at)', ' (at) '))}{word()}{r.choice((' dot ', ' [dot] ', '(dot)'))}{r.choice(('com', 'org', 'net', 'de', 'fr'))}", ("mail", "contact", "write to", "reach me:", "e-mail:", "")),
+        "email_words": (lambda: f"{r.choice((f'{word()}.{word()}', f'{word()}{num(2)}', word(), pick(hexes[10:], 1)))}{r.choice((' at ', ' [at] ', '(at)', ' (at) '))}{r.choice((word(), word(), f'{word()}-{word()}', pick(hexes[10:], 1)))}{r.choice((' dot ', ' [dot] ', '(dot)'))}{r.choice(('com', 'org', 'net', 'de', 'fr'))}", ("mail", "contact", "write to", "reach me:", "e-mail:", "")),
         "ipv6": (lambda: ":".join(pick(hexes, r.randint(1, 4)) for _ in range(8)) if r.random() < 0.5 else short(), ("host", "addr", "from", "server", "")),
         "national_id": (lambda: f"{r.randint(1, 665):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}", ("ssn", "ssn:", "social security", "social security number", "")),
         "iban": (lambda: iban(True), ("iban", "account", "iban:", "pay to", "")),
@@ -230,20 +250,49 @@ class Model:
         score = self.curve(margins)
         self.thresholds = {k: _threshold(score[kinds == i], y[kinds == i]) for i, k in enumerate(ADDED_KINDS)}
 
+    def judged(self, text: str) -> list[tuple[float, Span]]:
+        """Candidates that reach their kind's threshold, with their scores, but those inside another such of their kind."""
+        out, proposed = [], candidates(text)
+        for k in range(0, len(proposed), CHUNK):  # bounds the features of a very long text
+            part = proposed[k : k + CHUNK]
+            scores = self.curve(self.trees.margins(np.array([features(text, s) for s in part], float))[:, None])
+            out += [(score, s) for score, s in zip(scores.tolist(), part, strict=True) if score >= self.thresholds[s[2]]]
+        out.sort(key=lambda p: (p[1][0], -p[1][1]))
+        reach: dict[str, int] = {}
+        whole = []
+        for score, (start, end, kind) in out:
+            if end > reach.get(kind, -1):
+                whole.append((score, (start, end, kind)))
+                reach[kind] = end
+        return whole
+
     def __call__(self, text: str) -> tuple[list[Span], list[Span]]:
-        """(base spans, all spans): base ones stay, candidates over the threshold join, the best first, where nothing overlaps them."""
+        """(base spans, all spans): base ones stay, judged candidates join, the best first, where nothing overlaps them."""
         base = base_spans(text)
-        proposed = candidates(text)
-        if not proposed:
+        good = self.judged(text)
+        if not good:
             return base, base
-        scores = self.curve(self.trees.margins(np.array([features(text, s) for s in proposed], float))[:, None])
         chosen = list(base)
-        for score, span in sorted(zip(scores.tolist(), proposed, strict=True), key=lambda p: (-p[0], p[1])):
-            if score >= self.thresholds[span[2]] and all(span[1] <= a or b <= span[0] for a, b, _ in chosen):
-                chosen.append(span)
+        taken = [*itertools.chain.from_iterable(_united(base))]  # starts and ends in turn, all apart
+        for _, (start, end, kind) in sorted(good, key=lambda p: (-p[0], p[1])):
+            at = bisect.bisect_right(taken, start)
+            if at % 2 == 0 and (at == len(taken) or end <= taken[at]):
+                taken[at:at] = [start, end]
+                chosen.append((start, end, kind))
         return base, sorted(chosen, key=_by_place)
 
 
+def _united(spans: list[Span]) -> list[tuple[int, int]]:
+    """The stretches that spans, sorted by start, cover; those that touch are one."""
+    out: list[tuple[int, int]] = []
+    for start, end, _ in spans:
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((start, end))
+    return out
+
+
 def _threshold(score: np.ndarray, truth: np.ndarray) -> float:
     order = np.argsort(-score)
     right = truth[order].cumsum() / np.arange(1, len(order) + 1)
@@ -253,7 +302,7 @@ def _threshold(score: np.ndarray, truth: np.ndarray) -> float:
 
 @cache
 def model() -> Model:
-    """Trained once in a process; the same in every one, since nothing but the seed goes in."""
+    """Trained once, in the driver, and broadcast (some 100 KB), so that all executors judge alike."""
     return Model()
 
 
@@ -275,20 +324,23 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join(out) + text[done:] if out else text
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    owns_memory("pii", model.cache_clear)
-    judge = model()
-    for batch in batches:
-        counts, base_out, out = [[] for _ in BASE_KINDS], [], []
-        for text in batch.column(1):
-            base, spans = judge(text.as_py() or "")
-            n = Counter(k for _, _, k in base)
-            for column, kind in zip(counts, BASE_KINDS, strict=True):
-                column.append(n[kind])
-            base_out.append(hashlib.sha256(written(base).encode()).hexdigest())
-            out.append(written(spans))
-        columns = [*(pa.array(c, pa.int64()) for c in counts), pa.array(base_out, pa.string()), pa.array(out, pa.string())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
+def _find(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns_memory("pii", None)
+        judge = held.value
+        for batch in batches:
+            counts, base_out, out = [[] for _ in BASE_KINDS], [], []
+            for text in batch.column(1):
+                base, spans = judge(text.as_py() or "")
+                n = Counter(k for _, _, k in base)
+                for column, kind in zip(counts, BASE_KINDS, strict=True):
+                    column.append(n[kind])
+                base_out.append(hashlib.sha256(written(base).encode()).hexdigest())
+                out.append(written(spans))
+            columns = [*(pa.array(c, pa.int64()) for c in counts), pa.array(base_out, pa.string()), pa.array(out, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
+
+    return run
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,17 +351,17 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     bounded_batches(docs.sparkSession)
     columns = ", ".join(f"n_{k} long" for k in BASE_KINDS)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_find, f"doc_id {docs.schema[id_col].dataType.simpleString()}, {columns}, base_sha256 string, spans string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_find(docs.sparkSession.sparkContext.broadcast(model())), f"doc_id {docs.schema[id_col].dataType.simpleString()}, {columns}, base_sha256 string, spans string")
 
 
 def redact_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs, whole, with all spans of text_col replaced by [KIND]; a null text stays null."""
     bounded_batches(docs.sparkSession)
-    at = docs.columns.index(text_col)
+    at, held = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owns_memory("pii", model.cache_clear)
-        judge = model()
+        owns_memory("pii", None)
+        judge = held.value
         for batch in batches:
             texts = [t if t is None else redact(t, judge(t)[1]) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
