@@ -2,62 +2,112 @@
 
 A turn's text may be a JSON object with tool content:
   {"tools": [{"name": ..., "parameters": {JSON schema}}]}             declares tools (any role)
-  {"tool_calls": [{"id": ..., "name": ..., "arguments": {...}}]}      calls tools (any role but tool)
-  {"tool_call_id": ..., "content": ...}                               answers a call (role tool)
+  {"tool_calls": [{"id": ..., "name": ..., "arguments": {...}}]}      calls tools (any role)
+  {"tool_call_id": ..., "content": ...}                               answers a call (role tool); may call tools itself
 Any other text is plain content. An argument object may also be given as a string of JSON.
+
+Plain turns never leave the JVM. Only texts that begin like an object are parsed, once, into a table that all joins read.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
+from decimal import Decimal
 from fractions import Fraction
 from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import Workspace, bounded_batches
 
+#: What parsing and writing JSON may raise on texts from outside: such a text is plain content.
+_BROKEN = (ValueError, ArithmeticError, RecursionError)
 
-def canonical(value) -> str:
-    """JSON with sorted keys and no spaces; characters beyond ASCII stay as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
-
-def parsed(role: str | None, text: str | None) -> tuple[str, list[tuple[str, str, str]], str | None, list[tuple[str, str]]]:
-    """(message JSON, calls (id, name, arguments), call id answered, tools (name, schema)) of a turn."""
-    message, calls, answer, tools = {"role": role, "content": text}, [], None, []
-    if text and text.lstrip()[:1] == "{":
-        try:
-            value = json.loads(text, parse_constant=_no_constant)
-        except (ValueError, RecursionError):
-            value = None
-        if isinstance(value, dict):
-            if role == "tool" and isinstance(value.get("tool_call_id"), str):
-                answer = value["tool_call_id"]
-                message = {"role": role, "tool_call_id": answer, "content": value.get("content")}
-            elif role != "tool" and isinstance(value.get("tool_calls"), list):
-                for c in value["tool_calls"]:
-                    if isinstance(c, dict) and isinstance(c.get("id"), str) and isinstance(c.get("name"), str):
-                        calls.append((c["id"], c["name"], canonical(_arguments(c.get("arguments")))))
-                message = {"role": role, "content": value.get("content"), "tool_calls": [{"id": i, "name": n, "arguments": json.loads(a)} for i, n, a in calls]}
-            if isinstance(value.get("tools"), list):
-                tools = [(t["name"], canonical(t.get("parameters") or {})) for t in value["tools"] if isinstance(t, dict) and isinstance(t.get("name"), str)]
-    return canonical(message), calls, answer, tools
+def loads(text: str):
+    """JSON as RFC 8259 says; numbers that no double holds stay exact decimals. Of repeated keys the last counts."""
+    return json.loads(text, parse_constant=_no_constant, parse_float=_number)
 
 
 def _no_constant(name: str):
     raise ValueError(f"{name} isn't JSON")
 
 
+def _number(literal: str):
+    near = float(literal)
+    if math.isinf(near) or near == 0 and any(c in "123456789" for c in literal.lower().partition("e")[0]):
+        return Decimal(literal)
+    return near
+
+
+def canonical(value) -> str:
+    """JSON with sorted keys and no spaces; characters beyond ASCII stay as they are, but half a surrogate pair is escaped."""
+    try:
+        text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    except TypeError:  # holds a decimal
+        text = _written(value)
+    return _HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+_HALF = re.compile("[\ud800-\udfff]")
+
+
+def _written(value) -> str:
+    if isinstance(value, Decimal):
+        return str(value).replace("E+", "e").replace("E", "e")
+    if isinstance(value, list):
+        return f"[{','.join(map(_written, value))}]"
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_written(v)}" for k, v in sorted(value.items())) + "}"
+    return json.dumps(value, ensure_ascii=False, allow_nan=False)
+
+
+def plain_message(role: str | None, text: str | None) -> str:
+    return canonical({"role": role, "content": text})
+
+
+def parsed(role: str | None, text: str | None) -> tuple[str, list[tuple[str, str, str]], str | None, list[tuple[str, str]]]:
+    """(message JSON, calls (id, name, arguments), call id answered, tools (name, schema)) of a turn; ids and names as JSON."""
+    if text and text.lstrip(" \t\r\n")[:1] == "{":
+        try:
+            message, *rest = _tooled(role, loads(text))
+            return message or plain_message(role, text), *rest
+        except _BROKEN:
+            pass
+    return plain_message(role, text), [], None, []
+
+
+def _tooled(role: str | None, value: dict):
+    calls, answer, tools = [], None, []
+    if role == "tool" and isinstance(value.get("tool_call_id"), str):
+        answer = canonical(value["tool_call_id"])
+    listed = value.get("tool_calls")
+    if isinstance(listed, list) and (role != "tool" or answer is not None):
+        calls = [{"id": c["id"], "name": c["name"], "arguments": _arguments(c.get("arguments"))} for c in listed if isinstance(c, dict) and isinstance(c.get("id"), str) and isinstance(c.get("name"), str)]
+    else:
+        listed = None
+    if isinstance(value.get("tools"), list):
+        tools = [(canonical(t["name"]), canonical(t.get("parameters") or {})) for t in value["tools"] if isinstance(t, dict) and isinstance(t.get("name"), str)]
+    if answer is None and not isinstance(listed, list):
+        return None, [], None, tools  # plain content, whatever it declares
+    message = {"role": role, "content": value.get("content")}
+    if answer is not None:
+        message["tool_call_id"] = value["tool_call_id"]
+    if isinstance(listed, list) and (calls or answer is None):
+        message["tool_calls"] = calls
+    return canonical(message), [(canonical(c["id"]), canonical(c["name"]), canonical(c["arguments"])) for c in calls], answer, tools
+
+
 def _arguments(value):
     if isinstance(value, str):
         try:
-            return json.loads(value, parse_constant=_no_constant)
-        except (ValueError, RecursionError):
+            return loads(value)
+        except _BROKEN:
             return value
     return {} if value is None else value
 
@@ -83,6 +133,8 @@ def _same(value) -> str:
     """Text that is equal for equal JSON values: 1 and 1.0 are one number."""
     if isinstance(value, float) and value.is_integer():
         value = int(value)
+    if isinstance(value, Decimal):
+        value = value.normalize()
     if isinstance(value, list):
         return f"[{','.join(map(_same, value))}]"
     if isinstance(value, dict):
@@ -178,6 +230,8 @@ class _Schema:
                 return False
             if low is not None and value <= low or high is not None and value >= high:
                 return False
+            if "multipleOf" in schema and (isinstance(value, Decimal) or isinstance(schema["multipleOf"], Decimal)):
+                raise ValueError("a multiple beyond doubles")
             return "multipleOf" not in schema or Fraction(str(value)) % Fraction(str(schema["multipleOf"])) == 0
         if isinstance(value, list):
             if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)):
@@ -264,8 +318,8 @@ class _Schema:
 
 def _is(value, kind: str) -> bool:
     if kind in ("number", "integer"):
-        good = isinstance(value, (int, float)) and not isinstance(value, bool)
-        return good and (kind == "number" or isinstance(value, int) or value.is_integer())
+        good = isinstance(value, (int, float, Decimal)) and not isinstance(value, bool)
+        return good and (kind == "number" or isinstance(value, int) or (value.as_tuple().exponent >= 0 if isinstance(value, Decimal) else value.is_integer()))
     return isinstance(value, _TYPES.get(kind, object)) and not (kind != "boolean" and isinstance(value, bool))
 
 
@@ -297,42 +351,86 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good = []
         for arguments, schema in zip(batch.column(at("arguments")).to_pylist(), batch.column(at("parameters")).to_pylist(), strict=True):
             try:
-                value = json.loads(arguments)
-                good.append(isinstance(value, dict) and (schema is None or fits(value, json.loads(schema))))
+                value = loads(arguments)
+                good.append(isinstance(value, dict) and (schema is None or fits(value, loads(schema))))
             except (ValueError, TypeError, AttributeError, ArithmeticError, RecursionError):
                 good.append(False)
         yield pa.RecordBatch.from_arrays([batch.column(at("row")), batch.column(at("conv_id")), batch.column(at("call")), batch.column(at("turn")), pa.array(good, pa.bool_())], ["row", "conv_id", "call", "turn", "valid"])
 
 
+def _first_known(a: Column, b: Column) -> Column:
+    """Whether b is as large as a or larger; a null is smaller than anything."""
+    return F.when(b.isNull(), a.isNull()).when(a.isNull(), True).otherwise(b >= a)
+
+
+def _order(turns: DataFrame, links: DataFrame, ws: Workspace) -> DataFrame:
+    """(row, order_turn, order_step) of the linked results.
+
+    A result hangs on the turn that called it, which may be a result itself. Its place is the latest turn on its way up,
+    and how far up the farthest turn of that number stands. Ways are doubled every round, so rounds are few;
+    who answers in a circle has no end of a way after that, and keeps its own place.
+    """
+    up = links.groupBy(F.col("result_row").alias("row")).agg(F.max("call_row").alias("up"))
+    ends = links.select(F.col("call_row").alias("row")).distinct().join(up, "row", "left_anti").withColumn("up", F.lit(None).cast("string"))
+    own = turns.select("row", "turn")
+    way = up.unionByName(ends).join(own, "row").select("row", "up", F.col("turn").alias("top"), F.lit(0).alias("far"), F.lit(1).alias("steps"), "turn")
+    way = ws.keep(way, "way-0")
+    rounds = max(1, math.ceil(math.log2(max(2, way.count()))) + 1)
+    for k in range(rounds):
+        if way.where("up is not null").isEmpty():
+            break
+        rest = way.select(F.col("row").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("far").alias("_far"), F.col("steps").alias("_steps"))
+        both = way.join(rest, "up", "left")
+        farther = F.col("_steps").isNotNull() & _first_known(F.col("top"), F.col("_top"))
+        way = both.select(
+            "row", F.col("_up").alias("up"), F.when(farther, F.col("_top")).otherwise(F.col("top")).alias("top"),
+            F.when(farther, F.col("steps") + F.col("_far")).otherwise(F.col("far")).alias("far"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), "turn",
+        )
+        way = ws.keep(way, f"way-{k + 1}")
+    round_about = F.col("up").isNotNull()
+    return way.select("row", F.when(round_about, F.col("turn")).otherwise(F.col("top")).alias("order_turn"), F.when(round_about, 0).otherwise(F.col("far")).alias("order_step"))
+
+
 def link_tool_calls(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row for each turn: conv_id, turn, role, order_turn, order_step, n_calls, n_linked, n_invalid,
     answers_call, message (canonical JSON).
 
     Within a conversation, (order_turn, order_step, turn) orders the turns topologically: a result that stands
-    before its call moves behind the call's turn (order_step 1), everything else keeps its place. Calls and results
+    before its call, or in the same turn, moves behind it (order_step counts from the turn it moved to, over calls that are results themselves),
+    everything else keeps its place; results that answer each other in a circle stay. Calls and results
     meet by identifier. Of several calls or results with one identifier, those of the first turn (in one turn, the first
     listed) are linked; the others aren't. n_linked counts a turn's calls that have a result; n_invalid
     those whose arguments aren't known to fit their tool's schema (the first declared under its name), or are no object;
     a schema that is broken or leads outside itself vouches for nothing.
     answers_call says whether a turn is the linked result of a call; null for turns that answer nothing.
     Null roles and texts stay null in the JSON, a null conversation is one of its own and links nothing, and
-    a null turn number comes first. Rows of one (conv_id, turn) are separate turns.
+    a null turn number comes first. Rows of one (conv_id, turn) are separate turns; equal rows are treated alike.
     """
     spark = turns.sparkSession
     bounded_batches(spark)
+    ws = Workspace(spark, "chat")
     kind = lambda c: turns.schema[c].dataType.simpleString()
-    row = F.sha2(F.to_json(F.struct(F.col(conv_col).alias("c"), F.col(turn_col).alias("t"), F.col(role_col).alias("r"), F.col(text_col).alias("x")), {"ignoreNullFields": "false"}), 256)
-    chosen = turns.select(row.alias("row"), F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    base = chosen.mapInArrow(_parse(), _PARSED.format(id=kind(conv_col), turn=kind(turn_col)))
+    chosen = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    # an object, or a character that JSON writers of the JVM escape in another way
+    apart = F.coalesce(F.col("text").rlike(r"^[ \t\r\n]*\{"), F.lit(False)) | F.coalesce(F.concat_ws("", "role", "text").rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), F.lit(False))
+    row = F.sha2(F.to_json(F.struct(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("role").alias("r"), F.col("text").alias("x")), {"ignoreNullFields": "false"}), 256)
+    objects = chosen.where(apart).select(row.alias("row"), "conv_id", "turn", "role", "text")
+    objects = ws.keep(objects.mapInArrow(_parse(), _PARSED.format(id=kind(conv_col), turn=kind(turn_col))), "objects")
+
+    message = F.to_json(F.struct(F.col("text").alias("content"), F.col("role").alias("role")), {"ignoreNullFields": "false"})
+    zero = F.lit(0).cast("long")
+    flat = chosen.where(~apart).select("conv_id", "turn", "role", F.col("turn").alias("order_turn"), F.lit(0).alias("order_step"), zero.alias("n_calls"), zero.alias("n_linked"), zero.alias("n_invalid"), F.lit(None).cast("boolean").alias("answers_call"), message.alias("message"))
+    if objects.isEmpty():
+        return flat
 
-    # turns with tool content, once each; plain turns take no part in any join but the last
-    tooled = base.where("size(calls) > 0 or answers is not null or size(tools) > 0").dropDuplicates(["row"])
+    # turns with tool content, once each; plain turns take no part in any join
+    tooled = objects.where("size(calls) > 0 or answers is not null or size(tools) > 0").dropDuplicates(["row"])
     tooled = tooled.where("conv_id is not null")
     calls = tooled.select("row", "conv_id", "turn", F.posexplode("calls").alias("at", "c"))
     calls = calls.select("row", "conv_id", "turn", "at", F.col("c.id").alias("call"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"))
     first_call = calls.groupBy("conv_id", "call").agg(F.min(F.struct("turn", "row", "at")).alias("c"))
     results = tooled.where("answers is not null").groupBy("conv_id", F.col("answers").alias("call")).agg(F.min(F.struct("turn", "row")).alias("r"))
-    links = first_call.join(results, ["conv_id", "call"]).select("conv_id", "call", F.col("c.turn").alias("call_turn"), F.col("c.row").alias("call_row"), F.col("r.row").alias("result_row"))
+    links = ws.keep(first_call.join(results, ["conv_id", "call"]).select(F.col("c.row").alias("call_row"), F.col("r.row").alias("result_row")), "links")
 
     tools = tooled.select("conv_id", "turn", "row", F.posexplode("tools").alias("at", "t"))
     tools = tools.groupBy("conv_id", F.col("t.name").alias("name")).agg(F.min(F.struct("turn", "row", "at", F.col("t.parameters").alias("parameters"))).alias("t"))
@@ -341,17 +439,12 @@ def link_tool_calls(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     invalid = judged.groupBy("row").agg(F.count_if(~F.col("valid")).alias("n_invalid"))
 
     linked = links.groupBy(F.col("call_row").alias("row")).agg(F.count("*").alias("n_linked"))
-    moved = links.groupBy(F.col("result_row").alias("row")).agg(F.max("call_turn").alias("call_turn"), F.lit(True).alias("is_linked"))
-    marks = tooled.select("row").join(linked, "row", "left").join(moved, "row", "left").join(invalid, "row", "left")
-
-    plain = base.where("size(calls) = 0 and answers is null")
-    tool = base.where("size(calls) > 0 or answers is not null").join(marks, "row", "left")
-    later = F.col("call_turn") > F.col("turn")
-    zero = F.lit(0).cast("long")
+    order = _order(tooled, links, ws)
+    moved = links.select(F.col("result_row").alias("row"), F.lit(True).alias("is_linked")).distinct().join(order, "row")
+    tool = objects.join(linked, "row", "left").join(moved, "row", "left").join(invalid, "row", "left")
     out = tool.select(
-        "conv_id", "turn", "role", F.when(later, F.col("call_turn")).otherwise(F.col("turn")).alias("order_turn"), F.when(later, 1).otherwise(0).alias("order_step"),
+        "conv_id", "turn", "role", F.when(F.col("is_linked"), F.col("order_turn")).otherwise(F.col("turn")).alias("order_turn"), F.coalesce("order_step", F.lit(0)).alias("order_step"),
         F.size("calls").cast("long").alias("n_calls"), F.coalesce("n_linked", zero).alias("n_linked"), F.coalesce("n_invalid", zero).alias("n_invalid"),
         F.when(F.col("answers").isNotNull(), F.coalesce("is_linked", F.lit(False))).alias("answers_call"), "message",
     )
-    flat = plain.select("conv_id", "turn", "role", F.col("turn").alias("order_turn"), F.lit(0).alias("order_step"), zero.alias("n_calls"), zero.alias("n_linked"), zero.alias("n_invalid"), F.lit(None).cast("boolean").alias("answers_call"), "message")
     return flat.unionByName(out)

@@ -1,4 +1,5 @@
 import json
+import random
 
 import numpy as np
 import pytest
@@ -96,6 +97,92 @@ def test_canonical_round_trip():
     assert parsed("assistant", '{"tool_calls": [{"id": 1}]}')[1] == [] and parsed("user", "{" * 100_000)[1] == []
 
 
+def plain_links(rows):
+    """link_tool_calls said plainly, for texts made by talk(): walk up from each result, stop at a circle."""
+    def content(role, text):
+        if not isinstance(text, str) or not text.startswith("{"):
+            return {}
+        v = json.loads(text)
+        return v if role == "tool" and "tool_call_id" in v or role != "tool" else {}
+
+    calls, results, tools = {}, {}, {}
+    ordered = sorted(range(len(rows)), key=lambda i: (rows[i][1], rows[i][3] or ""))
+    for i in ordered:
+        conv, turn, role, text = rows[i]
+        v = content(role, text)
+        if role == "tool" and "tool_call_id" in v:
+            results.setdefault((conv, v["tool_call_id"]), i)
+        for c in v.get("tool_calls", ()):
+            calls.setdefault((conv, c["id"]), i)
+        for t in v.get("tools", ()):
+            tools.setdefault((conv, t["name"]), t["parameters"])
+    up = {r: calls[k] for k, r in results.items() if k in calls}
+    out = []
+    for i, (conv, turn, role, text) in enumerate(rows):
+        way, at = [i], i
+        while at in up and up[at] not in way:
+            at = up[at]
+            way.append(at)
+        if at in up:
+            way = [i]  # in or into a circle
+        top = max(rows[j][1] for j in way)
+        step = max(k for k, j in enumerate(way) if rows[j][1] == top)
+        v = content(role, text)
+        own = v.get("tool_calls", ())
+        bad = sum(not fits(c["arguments"], tools.get((conv, c["name"]), {})) for c in own)
+        linked = sum(up.get(results.get((conv, k))) == i for k in {c["id"] for c in own} if (conv, k) in results)
+        out.append((conv, turn, top, step, len(own), linked, bad, (i in up) if role == "tool" and "tool_call_id" in v else None))
+    return out
+
+
+def talk(r, convs):
+    """Random conversations: calls, answers that may come early or call tools themselves, unknown and repeated identifiers."""
+    rows = []
+    for conv in range(convs):
+        for turn in range(r.randrange(1, 12)):
+            some = lambda: [call(f"c{r.randrange(8)}", r.choice("fg"), n=r.randrange(3), conv=conv, turn=turn, x=r.random()) for _ in range(r.randrange(3))]  # noqa: E731, B023
+            kind = r.random()
+            if kind < 0.3:
+                rows.append((conv, turn, "assistant", json.dumps({"tool_calls": some()})))
+            elif kind < 0.6:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": f"c{r.randrange(8)}", "content": turn, "tool_calls": some() if r.random() < 0.6 else []})))
+            elif kind < 0.7:
+                rows.append((conv, turn, "system", json.dumps({"tools": [{"name": r.choice("fg"), "parameters": {"properties": {"n": {"maximum": r.randrange(2)}}}}]})))
+            else:
+                rows.append((conv, turn, "user", f"plain {turn}"))
+    return rows
+
+
+def test_links_equal_a_plain_walk(spark):
+    rows = talk(random.Random(8), 150)
+    got = [(r.conv_id, r.turn, r.order_turn, r.order_step, r.n_calls, r.n_linked, r.n_invalid, r.answers_call) for r in link_tool_calls(turns(spark, rows)).collect()]
+    want = plain_links(rows)
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert max(w[3] for w in want) >= 2 and sum(w[7] or False for w in want) > 50 and sum(w[6] for w in want) > 20
+
+
+def test_valid_json_that_is_hard_to_write(spark):
+    """Half pairs, numbers beyond doubles, huge whole numbers, repeated keys, deep nesting and control characters."""
+    long_number = "1" + "0" * 400
+    rows = [
+        (1, 0, "system", '{"tools": [{"name": "f", "parameters": {"properties": {"n": {"type": "integer", "minimum": 1}}}}]}'),
+        (1, 1, "assistant", '{"tool_calls": [{"id": "\\ud800", "name": "f", "arguments": {"n": 1e999}}, {"id": "b", "name": "f", "arguments": {"n": %s}}, {"id": "c", "name": "f", "arguments": {"n": -1e999}}, {"id": "d", "name": "f", "arguments": {"n": 1e-999}}]}' % long_number),
+        (1, 2, "tool", '{"tool_call_id": "\\ud800", "content": "half \\udc00", "content": [1e999, -2.5e-400, "\\u001b"]}'),
+        (2, 0, "assistant", '{"tool_calls": [], "content": ' + "[" * 5_000 + "]" * 5_000 + "}"),
+        (2, 1, "assistant", '{"tool_calls": [], "content": 1e99999999999999999999999}'),
+        (2, 2, "user", "bell \x07 escape \x1b tab \t quote \" \x7f \u2028"), (2, 3, "user", '{"tool_calls": NaN}'), (2, 4, "user", "\u00a0{}"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in link_tool_calls(turns(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    assert (got[1, 1].n_calls, got[1, 1].n_linked, got[1, 1].n_invalid) == (4, 1, 2) and got[1, 2].answers_call
+    assert "1e999" in got[1, 1].message.lower() and long_number in got[1, 1].message and "Infinity" not in got[1, 1].message and "\\ud800" in got[1, 1].message
+    assert got[1, 2].message == '{"content":[1e999,-2.5e-400,"\\u001b"],"role":"tool","tool_call_id":"\\ud800"}'
+    for k, text in ((2, rows[5][3]), (3, rows[6][3]), (4, rows[7][3])):
+        assert got[2, k].message == json.dumps({"content": text, "role": "user"}, ensure_ascii=False, separators=(",", ":"))
+    for r in got.values():
+        assert json.loads(r.message)["role"] == r.role
+
+
 def exact(rows, k=20, every=20):
     known = [(i, np.array(v, np.float64)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
     out = {}
