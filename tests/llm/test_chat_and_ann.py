@@ -197,28 +197,57 @@ def vectors(spark, rows):
     return spark.createDataFrame([(i, v, 1, 2.0) for i, v in rows], "vec_id long, embedding array<float>, rank int, score double")
 
 
-def test_recall_and_exact_scores(spark):
+def found_by(frame, k=20):
+    out: dict = {}
+    for g in ann.nearest_neighbours(frame, k).orderBy("query_id", "rank").collect():
+        assert g["rank"] == len(out.setdefault(g.query_id, [])) + 1
+        out[g.query_id].append((g.vec_id, g.score))
+    return out
+
+
+def recall(found, truth):
+    return np.mean([len({i for i, _ in found.get(q, ())} & {i for i, _ in truth[q]}) / max(len(truth[q]), 1) for q in truth])
+
+
+@pytest.mark.parametrize(("dim", "n", "k", "scale"), [(32, 3_000, 20, 1.0), (2, 400, 20, 1.0), (64, 600, 20, 1e20), (64, 600, 20, 1e-25), (8, 1_500, 100, 1.0), (16, 900, 200, 1.0), (1, 300, 5, 1e-38), (300, 500, 20, 1e30)])
+def test_recall_and_exact_scores(spark, dim, n, k, scale):
     r = np.random.default_rng(3)
-    x = r.normal(size=(3_000, 32)).astype(np.float32)
+    x = (r.normal(size=(n, dim)) * scale).astype(np.float32)
     x[100:160] = x[100]  # equal vectors tie
-    rows = [(int(i), v.tolist()) for i, v in enumerate(x)]
-    truth = exact(rows)
-    got = ann.nearest_neighbours(vectors(spark, rows)).orderBy("query_id", "rank").collect()
-    found: dict = {}
-    for g in got:
-        found.setdefault(g.query_id, []).append((g.vec_id, g.score))
-    assert found.keys() == truth.keys() and all(len(v) == 20 for v in found.values())
-    assert np.mean([len({i for i, _ in found[q]} & {i for i, _ in truth[q]}) / 20 for q in truth]) >= 0.9
-    for q in found:
-        assert found[q] == sorted(found[q], key=lambda p: (-p[1], p[0]))
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x) if v.any()]
+    truth, found = exact(rows, k), found_by(vectors(spark, rows), k)
+    assert found.keys() == truth.keys() and all(len(v) == k for v in found.values())
+    assert recall(found, truth) >= 0.9
+    for q, near in found.items():
+        assert near == sorted(near, key=lambda p: (-p[1], p[0]))
         known = x[q].astype(np.float64)
-        assert np.allclose([s for _, s in found[q]], [(known * x[i].astype(np.float64)).sum() for i, _ in found[q]], rtol=0, atol=1e-12)
-    assert [i for i, _ in found[100]] == list(range(101, 121))
+        want = [(known * x[i].astype(np.float64)).sum() for i, _ in near]
+        assert np.allclose([s for _, s in near], want, rtol=1e-12, atol=1e-12 * scale * scale)
+
+
+def test_clusters_hot_copies_and_one_giant(spark, monkeypatch):
+    """Few cells are probed where rows cluster; a third of equal rows is split over shards; giants meet every query."""
+    monkeypatch.setattr(ann, "SHARD_ROWS", 500)
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(40, 24))
+    x = (centres[r.integers(0, 40, 6_000)] + 0.15 * r.normal(size=(6_000, 24))).astype(np.float64)
+    x[r.random(6_000) < 0.35] = x[7]
+    x[[11, 2_011]] *= 1e12
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)]
+    truth, found = exact(rows), found_by(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert recall(found, truth) >= 0.9
+    giants = [q for q in truth if truth[q][0][0] in (11, 2_011)]
+    assert giants and all(found[q][0] == truth[q][0] for q in giants)
+    hot = 7 if 7 % 20 == 0 else next(q for q in truth if (x[q] == x[7]).all())
+    assert [i for i, _ in found[hot]] == [i for i, _ in truth[hot]]
+    index = ann.fit(x, 77, 20)
+    assert index.probes <= 40
 
 
 def test_vectors_that_take_no_part(spark):
-    rows = [(0, [1.0, 0.0]), (20, None), (40, [0.0, 0.0]), (60, [float("nan"), 1.0]), (80, [float("inf"), 1.0]), (1, [0.5, None]), (2, [0.5, 0.5]), (3, [0.5, -0.5]), (None, [1.0, 1.0]), (4, [1.0]), (2, [0.5, 0.5])]
-    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest_neighbours(vectors(spark, rows)).orderBy("rank").collect()]
-    assert got == [(0, 1, 2, 0.5), (0, 2, 3, 0.5)]
+    rows = [(0, [1.0, 0.0]), (20, None), (40, [0.0, 0.0]), (60, [float("nan"), 1.0]), (80, [float("inf"), 1.0]), (1, [0.5, None]), (2, [0.5, 0.5]), (3, [0.5, -0.5]), (None, [1.0, 1.0]), (4, [2.0]), (2, [0.5, 0.5]), (5, []), (6, [0.25, 0.0, 9.0]), (100, [0.0, 1.0, 1.0])]
+    got = found_by(vectors(spark, rows))
+    assert got[0] == [(4, 2.0), (2, 0.5), (3, 0.5), (6, 0.25), (100, 0.0)] and got[100] == [(6, 9.0), (2, 0.5), (0, 0.0), (4, 0.0), (3, -0.5)] and got.keys() == {0, 100}
     assert ann.nearest_neighbours(vectors(spark, [])).count() == 0
-    assert ann.nearest_neighbours(vectors(spark, rows[1:])).count() == 0
+    assert ann.nearest_neighbours(vectors(spark, rows[1:5])).count() == 0
+    assert found_by(vectors(spark, rows[:1])) == {}
