@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of each class in a training sample, and the longest text in one: 2 x 3,000 x 16,384 characters at most.
+#: Rows of each class in a training sample, and the most characters that one of them teaches by: of a longer text PIECES pieces of equal
+#: length, spread evenly from its start to its end. 2 x 3,000 x 16,384 characters at most reach the driver.
 SAMPLE_ROWS = 3_000
-SAMPLE_CHARS = 16_384
+SAMPLE_CHARS, PIECES = 16_384, 8
 
 
 def remainder(id_col: str, modulus: int) -> Column:
@@ -16,29 +19,46 @@ def remainder(id_col: str, modulus: int) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % modulus
 
 
+def excerpt(text: Column) -> Column:
+    """The text, or pieces of a text of more than SAMPLE_CHARS characters."""
+    size = SAMPLE_CHARS // PIECES
+    start = lambda k: (F.lit(1) + F.floor((F.length(text) - size) * F.lit(k) / F.lit(max(PIECES - 1, 1)))).cast("int")
+    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.concat(*(F.substring(text, start(k), F.lit(size)) for k in range(PIECES))))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, id_col: str, text_col: str) -> tuple[list[tuple[bytes, int]], dict[int, int]]:
     """(texts with labels, labelled ids of each class).
 
     Of each class, the SAMPLE_ROWS ids that come first by a hash, among ids that learn admits, that all
-    their labels agree on and whose text has at most SAMPLE_CHARS characters. Everything that reaches the driver is bounded
-    by these two. Texts come in the order of the hash. Null and other labels than 0 and 1 teach nothing.
+    their labels agree on and that have a text. Everything that reaches the driver is bounded by SAMPLE_ROWS and
+    SAMPLE_CHARS. Texts come in the order of the hash. Ids of any type meet as text. Null and other labels than 0 and 1 teach nothing.
     """
-    known = labels.where(learn & F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("_id"))
-    known = known.agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("_y")).where("y = _y").drop("_y")
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where(f"length(_text) <= {SAMPLE_CHARS}")
-    rows, sizes = [], {0: 0, 1: 0}
-    for y, n in known.groupBy("y").count().collect():
-        sizes[y] = n
+    known = labels.where(learn & F.col(label).isin(0, 1)).groupBy(F.col(id_col).cast("string").alias("_id"))
+    known = known.agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("_y")).where("y = _y").select("_id", "y", F.xxhash64("_id").alias("at"))
+    texts = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_text is not null")
+    sizes = {0: 0, 1: 0} | {y: n for y, n in known.groupBy("y").count().collect()}
     spark = docs.sparkSession
-    able = known.join(texts.select("_id"), "_id", "left_semi").select("_id", "y", F.xxhash64("_id").alias("at"))
-    picked = [tuple(r) for y in (0, 1) for r in able.where(F.col("y") == y).orderBy("at", "_id").limit(SAMPLE_ROWS).collect()]
+    rows, picked = [], []
+    for y in (0, 1):
+        # ids that come first by the hash, few more than are wanted, so that no task sorts a whole class; all where too few have texts
+        for share in (2 * SAMPLE_ROWS / max(sizes[y], 1), 1.0):
+            few = known.where((F.col("y") == y) & (F.col("at") <= _quantile(share)))
+            found = few.join(texts.select("_id"), "_id", "left_semi").orderBy("at", "_id").limit(SAMPLE_ROWS).collect()
+            if len(found) == SAMPLE_ROWS or share >= 1:
+                break
+        picked += [tuple(r) for r in found]
     if picked:
-        few = F.broadcast(spark.createDataFrame(picked, "_id long, y int, at long"))  # 2 x SAMPLE_ROWS rows at most
-        found = texts.join(few, "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.min("y").alias("y"), F.min("at").alias("at")).collect()
+        few = F.broadcast(spark.createDataFrame(picked, "_id string, y int, at long"))  # 2 x SAMPLE_ROWS rows at most
+        found = texts.join(few, "_id").groupBy("_id").agg(F.min(excerpt(F.col("_text"))).alias("_text"), F.min("y").alias("y"), F.min("at").alias("at")).collect()
         rows = [(r._text.encode(), r.y) for r in sorted(found, key=lambda r: (r.at, r._id))]
     return rows, sizes
 
 
+def _quantile(share: float) -> int:
+    """The hash under which a share of evenly spread hashes lies."""
+    return (1 << 63) - 1 if share >= 1 else math.floor(share * (1 << 64)) - (1 << 63)
+
+
 def class_weights(y: np.ndarray, sizes: dict[int, int]) -> np.ndarray:
     """Weights that give the sample's classes the shares that all labelled ids have."""
     w = np.ones(len(y))

@@ -1,4 +1,8 @@
-"""Compression classifier: how much smaller good and bad dictionaries make a text."""
+"""Compression classifier: how much smaller dictionaries of good and of bad texts make a text.
+
+A zstandard dictionary is trained on the good half-sample and one on the bad. The score is a calibrated function of one
+number, the difference of a text's compressed sizes under the two, over its length.
+"""
 
 from __future__ import annotations
 
@@ -13,53 +17,41 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, owns_memory
 from .labelled import Logistic, class_weights, labelled_sample, remainder
 
-DICT_BYTES = 65_536
-PIECE = 128, 2_000
+DICT_BYTES = 112_640
+#: Samples that the trainer chooses from: texts of the sample in pieces of this length.
+PIECE = 2_000
 #: Each block is compressed alone, so that a long text is measured against the dictionaries all along.
-BLOCK = 4_096
+BLOCK = 1_024
 LEVEL = 3
 
 
 def dictionary(texts: list[bytes]) -> bytes:
-    """A piece of every text, as long as the dictionary's size allows, but PIECE[0] bytes at least and PIECE[1] at most;
-    pieces begin at places spread over the texts. Texts that no longer fit are left out from the end."""
-    share = DICT_BYTES // max(len(texts), 1)
-    out, size = [], 0
-    for i, text in enumerate(texts):
-        length = min(max(share, PIECE[0]), PIECE[1])
-        start = int(max(len(text) - length, 0) * (i * 0.6180339887498949 % 1))
-        out.append(text[start : start + length])
-        size += len(out[-1])
-        if size >= DICT_BYTES:
-            break
-    return b"".join(out)[:DICT_BYTES]
+    """A trained dictionary of all pieces of all texts; where they are too few to train on, the pieces themselves."""
+    pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
+    try:
+        return zstandard.train_dictionary(min(DICT_BYTES, max(sum(map(len, pieces)) // 4, 256)), pieces).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(pieces)[-DICT_BYTES:]
 
 
 class Sizes:
-    """Compressed sizes of a text by the good, the bad and no dictionary."""
+    """The difference of a text's compressed sizes by the good and the bad dictionary, over its length."""
 
     def __init__(self, good: bytes, bad: bytes):
         plain = dict(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.by = []
-        for content in (good, bad, b""):
+        for content in (good, bad):
             if len(content) >= 8:
-                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d = zstandard.ZstdCompressionDict(content)
                 d.precompute_compress(level=LEVEL)
                 self.by.append(zstandard.ZstdCompressor(dict_data=d, **plain))
             else:
                 self.by.append(zstandard.ZstdCompressor(**plain))
 
-    def __call__(self, text: bytes) -> list[float]:
+    def __call__(self, text: bytes) -> float:
         blocks = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)] or [b""]
-        n = len(text) + 16
-        good, bad, none = (sum(len(c.compress(b)) for b in blocks) / n for c in self.by)
-        return [good - bad, good, none, 1 / np.log(n)]
-
-
-def expand(x: np.ndarray) -> np.ndarray:
-    """The normalised sizes and their products."""
-    n = x.shape[1]
-    return np.column_stack([x, *(x[:, i] * x[:, j] for i in range(n) for j in range(i, n))])
+        good, bad = (sum(len(c.compress(b)) for b in blocks) for c in self.by)
+        return (good - bad) / (len(text) + 16)
 
 
 class Model:
@@ -71,15 +63,15 @@ class Model:
         y = np.array([y for _, y in rest])
         self.curve = None
         if len(set(y.tolist())) == 2:
-            x = expand(np.array([Sizes(self.good, self.bad)(t) for t, _ in rest]))
-            self.curve = Logistic(x, y, class_weights(y, sizes))
+            measure = Sizes(self.good, self.bad)
+            self.curve = Logistic(np.array([[measure(t)] for t, _ in rest]), y, class_weights(y, sizes))
         total = sum(sizes.values())
         self.prior = sizes.get(1, 0) / total if total else 0.5
 
     def scores(self, sizes: Sizes, texts: list[bytes]) -> np.ndarray:
         if self.curve is None:
             return np.full(len(texts), self.prior)
-        return self.curve(expand(np.array([sizes(t) for t in texts]).reshape(len(texts), 4)))
+        return self.curve(np.array([sizes(t) for t in texts]).reshape(len(texts), 1))
 
 
 def _score(held):

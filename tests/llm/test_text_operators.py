@@ -4,11 +4,14 @@ import hashlib
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, normalizers
 
@@ -266,8 +269,6 @@ def test_classifiers(spark, scores, truth, modulus, held):
     assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.count() == len(docs) + 4
     rows = got.collect()
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
-    import zlib
-
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % modulus == held) for r in rows)
     out = {r.doc_id: r.predicted for r in rows if r.held_out}
     right = [out[i] == labels[i][truth] for i in out if i < 1_000]
@@ -282,18 +283,146 @@ def test_classifiers(spark, scores, truth, modulus, held):
     assert scores(frame(spark, []), known).count() == 0
 
 
-def test_samples_and_dictionaries_are_no_prefix(spark, monkeypatch):
-    """The length bound comes before the limit, rows come by the hash of the id, and dictionaries read all along."""
+def by_hash(ids):
+    """Ids in the order of Spark's 64-bit hash of their text."""
+    def signed(i):
+        h = xxhash.xxh64_intdigest(str(i).encode(), seed=42)
+        return h - (1 << 64) if h >> 63 else h
+
+    return sorted(ids, key=lambda i: (signed(i), str(i)))
+
+
+def plain_sample(docs, labels, column, modulus, held, rows):
+    """The sample said plainly, for docs and labels with one row each and short texts."""
+    text, out, sizes = dict(docs), {}, {0: 0, 1: 0}
+    for i, *ys in labels:
+        if zlib.crc32(str(i).encode()) % modulus != held:
+            sizes[ys[column]] += 1
+            out.setdefault(ys[column], []).append(i)
+    picked = {i: y for y, ids in out.items() for i in by_hash([i for i in ids if text.get(i) is not None])[:rows]}
+    return [(text[i].encode(), picked[i]) for i in by_hash(picked)], sizes
+
+
+def plain_curve(x, y, weight, ridge):
+    """Weighted ridge logistic regression of one standardised column, by many small steps of gradient descent with momentum."""
+    mean, scale = x.mean(), x.std() + 1e-9
+    z, a, b, va, vb = (x - mean) / scale, 0.0, 0.0, 0.0, 0.0
+    for _ in range(60_000):
+        p = 1 / (1 + np.exp(-(a + b * z)))
+        ga, gb = (weight * (y - p)).sum() - 1e-6 * a, (weight * (y - p) * z).sum() - ridge * b
+        va, vb = 0.9 * va + ga / len(y), 0.9 * vb + gb / len(y)
+        a, b = a + va, b + vb
+    return lambda v: 1 / (1 + np.exp(-(a + b * (v - mean) / scale)))
+
+
+def test_quality_equals_a_plain_version(spark):
+    """Dictionaries, differences and calibration once more, by hand."""
+    docs, labels = corpus(300)
+    docs += [(500, ""), (501, "any word here " * 400)]
+    rows, sizes = plain_sample(docs, labels, 0, 4, 2, labelled.SAMPLE_ROWS)
+    dicts = []
+    for c in (1, 0):
+        pieces = [t[i : i + 2_000] for t, y in rows[::2] if y == c for i in range(0, len(t), 2_000)]
+        dicts.append(zstandard.train_dictionary(min(112_640, sum(map(len, pieces)) // 4), pieces))
+
+    def difference(text):
+        cut = [text[i : i + 1_024] for i in range(0, len(text), 1_024)] or [b""]
+        make = lambda d: zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        good, bad = (sum(len(make(d).compress(c)) for c in cut) for d in dicts)
+        return (good - bad) / (len(text) + 16)
+
+    x, y = np.array([difference(t) for t, _ in rows[1::2]]), np.array([y for _, y in rows[1::2]])
+    weight = np.array([sizes[c] / (y == c).sum() for c in y])
+    curve = plain_curve(x, y, weight / weight.mean(), 0.1)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in quality.quality_scores(frame(spark, docs), known).collect()}
+    want = {i: curve(difference(t.encode())) for i, t in docs}
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-3
+
+
+def test_toxicity_equals_a_plain_version(spark, monkeypatch):
+    """Slots by hand, and FTRL-proximal coordinate by coordinate, in double precision."""
+    monkeypatch.setattr(toxicity, "L1", (0.5,))
+    docs, labels = corpus(200)
+    rows, sizes = plain_sample(docs, labels, 1, 3, 1, labelled.SAMPLE_ROWS)
+    mask, step = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def mixed(h):
+        h ^= h >> 33
+        h = h * 0xFF51AFD7ED558CCD & mask
+        h ^= h >> 33
+        h = h * 0xC4CEB9FE1A85EC53 & mask
+        return (h ^ h >> 33) >> 42
+
+    def slots(text):
+        words = re.findall(rb"[a-z0-9\x80-\xff]+", text.lower())
+        h = [xxhash.xxh64_intdigest(w) for w in words]
+        out = {0} | {mixed(v) for v in h} | {mixed(xxhash.xxh64_intdigest(w.decode()[:n].encode(), seed=n)) for w in words for n in (4, 5)}
+        out |= {mixed((a * step + b) & mask) for a, b in zip(h, h[1:])} | {mixed(((a ^ step) * step + b) & mask) for a, b in zip(h, h[2:])}
+        return sorted(out)
+
+    train, rest = [(slots(t), y) for k, (t, y) in enumerate(rows) if k % 5], rows[::5]
+    z, n = {}, {}
+    weigh = lambda i: 0.0 if abs(z.get(i, 0.0)) <= 0.5 else -(z[i] - np.sign(z[i]) * 0.5) / ((1 + n[i] ** 0.5) / 1.0 + 0.1)
+    order = np.random.default_rng(11)
+    for _ in range(toxicity.EPOCHS):
+        for k in order.permutation(len(train)):
+            at, y = train[k]
+            w = [weigh(i) for i in at]
+            g = 1 / (1 + np.exp(-np.clip(sum(w), -35, 35))) - y
+            for i, v in zip(at, w, strict=True):
+                z[i] = z.get(i, 0.0) + g - ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) * v
+                n[i] = n.get(i, 0.0) + g * g
+    margin = lambda t: sum(weigh(i) for i in slots(t) if i in z)
+    x, y = np.array([margin(t) for t, _ in rest]), np.array([y for _, y in rest])
+    weight = np.array([sizes[c] / (y == c).sum() for c in y])
+    curve = Logistic(x[:, None], y, weight / weight.mean(), ridge=1e-3)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(frame(spark, docs), known).collect()}
+    want = {i: curve(np.array([[margin(t.encode())]]))[0] for i, t in docs}
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-2
+
+
+def test_samples(spark, monkeypatch):
+    """Rows come by the hash of the id; long texts teach by pieces from all along; ids of any type meet as text."""
     monkeypatch.setattr(labelled, "SAMPLE_ROWS", 20)
-    docs = frame(spark, [(k, "x" * 20_000 if k % 4 else f"text {k}") for k in range(400)])
+    monkeypatch.setattr(labelled, "SAMPLE_CHARS", 80)
+    texts = {k: f"text {k}" if k % 4 else " ".join(f"{k}-{j}" for j in range(900)) for k in range(400)}
     labels = spark.createDataFrame([(k, k // 4 % 2) for k in range(400)], "doc_id long, quality int")
-    rows, sizes = labelled.labelled_sample(docs, labels, "quality", F.lit(True), "doc_id", "text")
-    order = [r.doc_id for r in docs.where("doc_id % 4 = 0").orderBy(F.xxhash64("doc_id")).collect()]
-    picked = {i for y in (0, 1) for i in [i for i in order if i // 4 % 2 == y][:20]}
-    assert [t.decode() for t, _ in rows] == [f"text {i}" for i in order if i in picked] and sizes == {0: 200, 1: 200}
-    many = quality.dictionary([b"%03d " % k * 750 for k in range(400)])
-    assert len(many) <= quality.DICT_BYTES and len({int(x) for x in re.findall(rb"(?<= )\d{3}(?= )", many)}) == 400
-    assert b"0590" in quality.dictionary([b"".join(b"%04d " % j for j in range(600))] * 400)
+    for kind in ("long", "string"):
+        docs = frame(spark, texts.items()).withColumn("doc_id", F.col("doc_id").cast(kind))
+        rows, sizes = labelled.labelled_sample(docs, labels, "quality", F.lit(True), "doc_id", "text")
+        picked = {i for y in (0, 1) for i in by_hash([i for i in texts if i // 4 % 2 == y])[:20]}
+        want = []
+        for i in by_hash(picked):
+            t = texts[i]
+            want.append(t if len(t) <= 80 else "".join(t[(len(t) - 10) * p // 7 :][:10] for p in range(8)))
+        assert [t.decode() for t, _ in rows] == want and sizes == {0: 200, 1: 200}
+    # fewer than wanted have a text: all of them are found, whatever their hash
+    few = frame(spark, [(i, t) for i, t in texts.items() if i in by_hash(texts)[-30:]])
+    rows, _ = labelled.labelled_sample(few, labels, "quality", F.lit(True), "doc_id", "text")
+    assert len(rows) == 30 - max(0, sum(i // 4 % 2 for i in by_hash(texts)[-30:]) - 20) - max(0, sum(1 - i // 4 % 2 for i in by_hash(texts)[-30:]) - 20)
+
+
+@pytest.mark.parametrize("scores", [quality.quality_scores, toxicity.toxicity_scores])
+def test_long_texts_and_string_ids_are_learnt(spark, scores):
+    """Nothing but texts of 20,000 characters and more, and ids that are no numbers."""
+    r = random.Random(12)
+    say = lambda words: " ".join(r.choice(words) + r.choice(("", "s", "ly")) for _ in range(4_000))
+    good, bad = ("river", "stone", "window", "garden", "letter"), ("vile", "grim", "snarl", "scum", "rot")
+    docs = [(f"id-{k}", say(bad if k % 2 else good)) for k in range(120)]
+    frame_ = spark.createDataFrame([(i, t, 1.0) for i, t in docs], "doc_id string, text string, score double")
+    labels = spark.createDataFrame([(i, 1 - k % 2, k % 2) for k, (i, _) in enumerate(docs)], "doc_id string, quality int, toxic int")
+    got = {r.doc_id: r for r in scores(frame_, labels).collect()}
+    sign = -1 if scores is quality.quality_scores else 1
+    assert all(sign * (got[i].score - 0.5) * (k % 2 - 0.5) > 0 for k, (i, _) in enumerate(docs) if got[i].held_out)
+
+
+def test_dictionaries():
+    few = quality.dictionary([b"one short text"])
+    assert few == b"one short text" and quality.dictionary([]) == b""
+    many = quality.dictionary([b"".join(b"%04d and so on, " % (j * 7 % 600) for j in range(600))] * 40)
+    assert 8 <= len(many) <= quality.DICT_BYTES
 
 
 def test_rejecting_toxic_documents(spark):
@@ -309,7 +438,7 @@ def test_logistic_and_remainder(spark):
     x = np.linspace(-3, 3, 200)[:, None]
     curve = Logistic(x, (x[:, 0] > 0.5).astype(float), np.ones(200))
     assert curve(np.array([[2.5]]))[0] > 0.95 and curve(np.array([[-2.0]]))[0] < 0.05
-    assert spark.range(3).select(remainder("id", 4).alias("r")).first().r == __import__("zlib").crc32(b"0") % 4
+    assert spark.range(3).select(remainder("id", 4).alias("r")).first().r == zlib.crc32(b"0") % 4
 
 
 # -- licences ---------------------------------------------------------------------------------------
