@@ -181,36 +181,54 @@ class Shard:
         self.odd_ids, self.odd = ids[odd], [vectors[i] for i in odd]
         self.flat = index.books.reshape(-1, index.dim).T
 
-    def search(self, own: int, q: np.ndarray, probed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, exact scores) of the k nearest rows among the probed cells and the odd ones."""
-        ids, scores = [self.odd_ids], [np.array([(v[: len(q)] * q[: len(v)]).sum() for v in self.odd], np.float64)]
+    def search(self, owners: list[int], queries: list[np.ndarray], probed: list[np.ndarray], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query (ids, exact scores) of the k nearest rows among its probed cells and the odd rows."""
+        index = self.index
+        for start in range(0, len(queries), 256):
+            some = queries[start : start + 256]
+            full = np.array([_resized(q, index.dim) for q in some])
+            units = np.array([q / (_length(q) or 1.0) for q in full])
+            single = units.astype(np.float32)
+            tables = (single @ self.flat).reshape(len(some), len(index.books), -1)
+            base = single @ index.cells.T
+            for j, q in enumerate(some):
+                own = owners[start + j]
+                rows, true = self._plain(own, full[j], units[j], tables[j], base[j], probed[start + j], k)
+                ids = self.ids[rows]
+                if self.odd:
+                    other = np.flatnonzero(self.odd_ids != own)
+                    ids = np.concatenate([ids, self.odd_ids[other]])
+                    true = np.concatenate([true, [(self.odd[i][: len(q)] * q[: len(self.odd[i])]).sum() for i in other]])
+                best = nearest(true, ids, k)
+                yield ids[best], true[best]
+
+    def _plain(self, own: int, q: np.ndarray, unit: np.ndarray, tables: np.ndarray, base: np.ndarray, probed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, exact scores) of the quantised rows that may be among the k nearest."""
         spans = [self.span[c] for c in probed.tolist() if c in self.span]
-        if spans:
-            at, true = self._plain(own, _resized(q, self.index.dim), spans, k)
-            ids.append(self.ids[at]), scores.append(true)
-        ids, scores = np.concatenate(ids), np.concatenate(scores)
-        other = ids != own
-        ids, scores = ids[other], scores[other]
-        best = nearest(scores, ids, k)
-        return ids[best], scores[best]
-
-    def _plain(self, own: int, q: np.ndarray, spans: list[tuple[int, int]], k: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = np.concatenate([np.arange(a, b) for a, b in spans]) if len(spans) < len(self.span) else np.arange(len(self.ids))
-        rows = rows[self.ids[rows] != own]
+        n = sum(b - a for a, b in spans)
+        if 2 * n > len(self.ids):  # most rows: all are scored where they lie, those of other cells as nothing
+            rows, apart = None, np.full(len(base), -np.inf, np.float32)
+            apart[probed[probed < len(base)]] = base[probed[probed < len(base)]]
+            score, columns, left, ids = apart[self.cells], self.codes, self.left, self.ids
+        else:
+            rows = np.concatenate([np.arange(a, b) for a, b in spans]) if spans else np.zeros(0, np.intp)
+            score, columns, left, ids = base[self.cells[rows]], self.codes[:, rows], self.left[rows], self.ids[rows]
         few = max(64, 4 * k)
-        if len(rows) > few:
-            length = _length(q)
-            unit = q / length if length else q
-            tables = (unit.astype(np.float32) @ self.flat).reshape(len(self.index.books), -1)
-            score = (self.index.cells @ unit.astype(np.float32))[self.cells[rows]]
-            for m, column in enumerate(self.codes):
-                score += tables[m].take(column[rows])
-            first = rows[np.argpartition(score, len(score) - few)[-few:]]
-            near = ((self.x[first] * self.index.scale) * unit).sum(axis=1)
-            bound = np.partition(near, few - k)[few - k]
+        if n > few:
+            for m, column in enumerate(columns):
+                score += tables[m].take(column)
+            score[ids == own] = -np.inf
+            first = np.argpartition(score, len(score) - few)[-few:]
+            first = first[score[first] > -np.inf]
+            near = ((self.x[first if rows is None else rows[first]] * self.index.scale) * unit).sum(axis=1)
+            bound = np.partition(near, len(near) - k)[len(near) - k] if len(near) >= k else -np.inf
             slack = min(1.0, SLACK / math.sqrt(self.index.dim))
-            rows = np.union1d(first, rows[score >= bound - slack * self.left[rows] - ROUNDING])
-        return rows, (self.x[rows] * q).sum(axis=1)
+            good = (score >= bound - slack * left - ROUNDING) & (score > -np.inf)
+            good[first] = True
+        else:
+            good = (score > -np.inf) & (ids != own)
+        at = np.flatnonzero(good) if rows is None else rows[good]
+        return at, (self.x[at] * q).sum(axis=1)
 
 
 def _lists(column: pa.Array) -> list[np.ndarray]:
@@ -304,8 +322,8 @@ def _search(held, k: int):
                     shard, rows = _shard(index, rows), []
                 asked = part.slice(n)
                 owner, ids, scores = [], [], []
-                for own, q, cells in zip(asked.column(2).to_pylist(), _lists(asked.column(3)), asked.column(5).to_pylist(), strict=True):
-                    found, score = shard.search(own, q, np.frombuffer(cells, np.int32), k)
+                owners, probed = asked.column(2).to_pylist(), [np.frombuffer(c, np.int32) for c in asked.column(5).to_pylist()]
+                for own, (found, score) in zip(owners, shard.search(owners, _lists(asked.column(3)), probed, k), strict=True):
                     owner.append(np.full(len(found), own, np.int64)), ids.append(found), scores.append(score)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owner)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(scores))], ["query_id", "vec_id", "score"])
 

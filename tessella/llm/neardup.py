@@ -9,9 +9,11 @@
    the threshold falls under the chosen miss probability goes.
 5. Each member first has its few most similar heads verified on full sets, then those other heads that lie
    in another component. Documents whose buckets still hold several components are then compared across
-   components, all of them: candidates share a shingle early enough in rarity order, which loses no
-   link. They go through the same pruning, and all survivors are verified. Pairs already connected need
-   no verdict: it can't change any component.
+   components, all of them: candidates share a shingle early enough in rarity order, and are of like size, which loses no
+   link; crowded shingles are dealt over several tasks. They go through the same pruning, and all survivors are verified. Pairs already connected need
+   no verdict: it can't change any component. Later links join whole components, so each step only sees the few links that are new.
+
+Inside, every row has a number of its own. Where ids are unique they are the numbers; else rows are numbered once.
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ BATCHES = (32, 64, 128, 200)
 MISS = 1e-6
 #: Heads of a member that are verified before components are looked at.
 FIRST_HEADS = 4
-#: Bits of the filter that keeps texts in no candidate pair out of the shuffle: 1 MB, at any input size.
+#: Bits of the filters that keep rows which can't matter out of a shuffle: 1 MB, at any input size.
 FILTER_BITS = 1 << 23
+#: Members of a shingle's bucket in one task; a larger bucket is dealt over several.
+CROWD = 1_000
 
 _rng = np.random.default_rng(20240607)
 _MUL = _rng.integers(1 << 20, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -179,6 +183,28 @@ def _verify(k: int, num: int, den: int):
     return run
 
 
+def _slot(c: str):
+    return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+
+
+def _marked(df: DataFrame, ids: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """df with _may: whether its doc_id may be one of ids; a filter of fixed size says so, without a shuffle of df."""
+    marks = ids.select(_slot("doc_id").alias("s")).groupBy(F.expr("bitmap_bucket_number(s)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("_bits"))
+    marks = ws.keep(marks, f"{name}-marks")
+    rows = df.withColumn("_s", _slot("doc_id")).withColumn("_bucket", F.expr("bitmap_bucket_number(_s)")).withColumn("_bit", F.expr("bitmap_bit_position(_s)"))
+    # at most FILTER_BITS / 8 bytes, whatever the input
+    rows = rows.join(F.broadcast(marks), "_bucket", "left")
+    may = F.expr("coalesce((cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int) >> cast(_bit % 8 as int)) & 1 = 1, false)")
+    return rows.withColumn("_may", may).drop("_s", "_bucket", "_bit", "_bits")
+
+
+def _without(df: DataFrame, ids: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """The rows of df whose doc_id isn't one of ids; only those that may be are shuffled."""
+    rows = _marked(df, ids, ws, name)
+    clear = rows.where("not _may").drop("_may")
+    return clear.unionByName(rows.where("_may").drop("_may").join(ids.select("doc_id"), "doc_id", "left_anti").select(*(f"`{c}`" for c in df.columns)))
+
+
 class _Search:
     def __init__(self, texts: DataFrame, reps: DataFrame, ws: Workspace, k: int, num: int, den: int):
         self.texts, self.reps, self.ws, self.k, self.num, self.den = texts, reps, ws, k, num, den
@@ -193,13 +219,8 @@ class _Search:
         return self.ws.keep(both.mapInArrow(_compare(self.limits), "a long, b long, matches int"), name)
 
     def chosen(self, ids: DataFrame, name: str) -> DataFrame:
-        """The texts of ids (doc_id), and few others: what a filter of fixed size lets through, without a shuffle."""
-        slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-        marks = ids.select(slot.alias("s")).groupBy(F.expr("bitmap_bucket_number(s)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("bits"))
-        marks = self.ws.keep(marks, f"{name}-marks")
-        texts = self.texts.withColumn("s", slot).withColumn("bucket", F.expr("bitmap_bucket_number(s)")).withColumn("bit", F.expr("bitmap_bit_position(s)"))
-        # at most FILTER_BITS / 8 bytes, whatever the input
-        return texts.join(F.broadcast(marks), "bucket").where("(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int) >> cast(bit % 8 as int)) & 1 = 1").select("doc_id", "text")
+        """The texts of ids (doc_id), and few others."""
+        return _marked(self.texts, ids, self.ws, name).where("_may").drop("_may")
 
     def across(self, labelled: DataFrame) -> DataFrame:
         """(a, b): pairs of these documents (doc_id, label) that may be linked and have different labels.
@@ -216,10 +237,19 @@ class _Search:
         mine = Window.partitionBy("doc_id", "n")  # one document's shingles
         place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "shingle"))
         early = flat.join(known, "shingle").withColumn("place", place).where(f"{den} * (n - place + 1) >= {num} * n")
-        early = _mixed(self.ws.keep(early.select(F.col("shingle").alias("key"), "doc_id", "label", "n", "place"), "early"))
-        a = early.where("label <> main").select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"), "main", F.col("n").alias("na"), F.col("place").alias("pa"))
-        b = early.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
-        both = a.join(b, "key").where(f"la <> lb and (lb = main or la < lb) and {num + den} * (1 + least(na - pa, nb - pb)) >= {num} * (na + nb)")
+        # linked sets differ by a factor of den / num at most, so by one class of sizes
+        size = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).cast("int") if num < den else F.col("n").cast("int")
+        early = _mixed(self.ws.keep(early.select(F.col("shingle").alias("key"), "doc_id", "label", "n", "place"), "early")).withColumn("size", size)
+        early = self.ws.keep(early, "mixed")
+        near = F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)) if num < den else F.col("size")
+        a = early.where("label <> main").select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"), "main", F.col("n").alias("na"), F.col("place").alias("pa"), near.alias("size"))
+        b = early.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("place").alias("pb"), "size")
+        # a crowded bucket is dealt over several tasks, and what meets it goes to all of them
+        crowds = early.groupBy("key", "size").agg(F.count("*").alias("_n")).where(F.col("_n") > CROWD).select("key", "size", F.ceil(F.col("_n") / CROWD).cast("int").alias("parts"))
+        crowds = self.ws.keep(crowds, "crowds")
+        a = a.join(crowds, ["key", "size"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        b = b.join(crowds, ["key", "size"], "left").withColumn("part", F.pmod(F.hash("b"), F.coalesce("parts", F.lit(1)))).drop("parts")
+        both = a.join(b, ["key", "size", "part"]).where(f"la <> lb and (lb = main or la < lb) and {num + den} * (1 + least(na - pa, nb - pb)) >= {num} * (na + nb)")
         return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -239,32 +269,29 @@ def _mixed(spread: DataFrame) -> DataFrame:
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Those pairs whose ends lie in different components."""
+    """Those pairs whose ends lie in different components, with their labels (la, lb)."""
     a = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
     b = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    both = pairs.join(a, "a", "left").join(b, "b", "left")
-    return both.where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
+    both = pairs.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
+    return both.where("la <> lb")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: the near-duplicate components of whole texts.
+def _joined(labels: DataFrame, links: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """labels (node, label) once links between documents have joined components; only the components that they touch are worked on."""
+    steps = _apart(links.select("a", "b"), labels).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    to = ws.keep(connected_components(steps, ws, name).select(F.col("node").alias("label"), F.col("label").alias("_to")), f"{name}-to")
+    moved = labels.join(to, "label", "left").select("node", F.coalesce("_to", "label").alias("label"))
+    single = to.select(F.col("label").alias("node"), F.col("_to").alias("label")).join(labels.select("node"), "node", "left_anti")
+    return ws.keep(moved.unionByName(single), f"{name}-labels")
 
-    Two documents are linked if den * |intersection| >= num * |union| of their k-word shingle sets; links
-    are confirmed on full sets. component_id is the smallest id reachable and kept says whether a
-    document is that one. Rows come out as they went in, one each: an empty or null text has no shingles
-    and is alone; rows that share an id are each placed by their own text; a row whose id is null is linked with
-    nothing, its component_id is null and it is kept. Other columns of docs, whatever their names, aren't read.
-    """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    ws = Workspace(spark, "neardup")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    signed = ws.keep(texts.mapInArrow(_sign(k), _SIGNED), "signed")
 
-    full = signed.where("n_shingles > 0 and doc_id is not null")
+def _grouped(texts: DataFrame, ws: Workspace, k: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n_shingles, component) of texts (doc_id, text), whose ids are unique; component is the smallest id reachable."""
+    signed = ws.keep(texts.mapInArrow(_sign(k), _SIGNED), "signed")
+    full = signed.where("n_shingles > 0")
     classes = ws.keep(full.groupBy("fp_hi", "fp_lo").agg(F.min("doc_id").alias("rep")), "classes")
-    stand = classes.select("fp_hi", "fp_lo", F.col("rep").alias("doc_id"))
-    reps = ws.keep(full.join(stand, ["fp_hi", "fp_lo", "doc_id"], "left_semi").select("doc_id", "bytes", "bands").dropDuplicates(["doc_id", "bytes"]), "reps")
+    copies = full.select("doc_id", "fp_hi", "fp_lo").join(classes, ["fp_hi", "fp_lo"]).where("doc_id <> rep").select("doc_id")
+    reps = ws.keep(_without(full.select("doc_id", "bytes", "bands"), ws.keep(copies, "copies"), ws, "copies"), "reps")
 
     members = reps.select("doc_id", F.explode("bands").alias("key"))
     # a head by the key's own order: flipping ids by the key's bits and back needs no further column
@@ -277,25 +304,82 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = search.pruned(star, "star")
     best = Window.partitionBy("a").orderBy(F.desc("matches"), F.xxhash64("b"), "b")  # a member has BANDS heads at most
     first = ws.keep(star.withColumn("rank", F.row_number().over(best)), "ranked")
-    links = search.confirmed(first.where(f"rank <= {FIRST_HEADS}"), "first")
-    labels = connected_components(links, ws, "first-components")
-    other = _apart(first.where(f"rank > {FIRST_HEADS}").select("a", "b"), labels)
-    second = search.confirmed(ws.keep(other, "other"), "second")
-    links = links.unionByName(second)
-    labels = connected_components(links, ws, "second-components")
+    ws.drop("star")
+    labels = connected_components(search.confirmed(first.where(f"rank <= {FIRST_HEADS}"), "first"), ws, "first-components")
+    other = ws.keep(_apart(first.where(f"rank > {FIRST_HEADS}").select("a", "b"), labels).select("a", "b"), "other")
+    labels = _joined(labels, search.confirmed(other, "second"), ws, "second-components")
 
     # what may still be linked across components
     label = labels.select(F.col("node").alias("doc_id"), "label")
     spread = crowded.select("key", "doc_id").join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     apart = _mixed(ws.keep(spread, "spread")).select("doc_id", "label").distinct()
     rest = search.across(ws.keep(apart, "apart"))
-    more = search.confirmed(search.pruned(rest, "rest"), "more")
+    labels = _joined(labels, search.confirmed(search.pruned(rest, "rest"), "more"), ws, "components")
 
-    labels = connected_components(links.unionByName(more), ws, "components")
-    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp_hi", "fp_lo", F.coalesce("label", "rep").alias("component_id"))
+    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp_hi", "fp_lo", F.coalesce("label", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "fp_hi", "fp_lo").join(named, ["fp_hi", "fp_lo"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    out = ws.keep(out, "result")
+    out = ws.keep(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")), "grouped")
+    ws.only("grouped", "keyed")
+    return out
+
+
+def _plain_ids(ids: DataFrame) -> bool:
+    """Whether ids (doc_id) are whole numbers, none null and none on two rows."""
+    if ids.schema["doc_id"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        return False
+    return ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").isEmpty()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: the near-duplicate components of whole texts.
+
+    Two documents are linked if den * |intersection| >= num * |union| of their k-word shingle sets; links
+    are confirmed on full sets. component_id is the smallest id reachable and kept says whether a
+    document's id is that one. Rows come out as they went in, one each: an empty or null text has no shingles
+    and is alone; rows that share an id are each placed by their own text; a row whose id is null is linked with
+    nothing, its component_id is null and it is kept. Ids may be of any type that has an order. Other columns of docs, whatever their names, aren't read.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    ws = Workspace(spark, "neardup")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    if _plain_ids(texts.select("doc_id")):
+        found = _grouped(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ws, k, num, den)
+        found = found.select(F.col("doc_id").cast(texts.schema["doc_id"].dataType).alias("doc_id"), "n_shingles", F.col("component").cast(texts.schema["doc_id"].dataType).alias("component_id"))
+        return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    # numbered once and for all: a written table says the same to every task and after every loss
+    keyed = ws.keep(texts.withColumn("row", F.monotonically_increasing_id()), "keyed")
+    found = _grouped(keyed.where("doc_id is not null").select(F.col("row").alias("doc_id"), "text"), ws, k, num, den)
+    found = found.withColumnRenamed("doc_id", "row").join(keyed.select("row", "doc_id"), "row")
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    found = found.join(least, "component").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    bare = keyed.where("doc_id is null").select(F.col("row").alias("doc_id"), "text").mapInArrow(_sign(k), _SIGNED)
+    nothing = F.lit(None).cast(texts.schema["doc_id"].dataType)
+    out = ws.keep(found.unionByName(bare.select(nothing.alias("doc_id"), "n_shingles", nothing.alias("component_id"), F.lit(True).alias("kept"))), "result")
     ws.only("result")
     return out
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """The rows of docs, whole, one for each near-duplicate component: the row with the smallest id, a null one last.
+
+    Every row is a document of its own, whatever its id: rows that share an id, or have none, are judged by their own texts, and of
+    equal rows one stays. Rows with empty and null texts all stay.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    ws = Workspace(spark, "neardup")
+    if _plain_ids(docs.select(F.col(id_col).alias("doc_id"))):
+        rows, id_of = docs, F.col(id_col).cast("long")
+    else:
+        name = next(f"_row{n}" for n in range(len(docs.columns) + 1) if f"_row{n}" not in docs.columns)
+        rows, id_of = ws.keep(docs.withColumn(name, F.monotonically_increasing_id()), "keyed"), F.col(name)
+    found = _grouped(rows.select(id_of.alias("doc_id"), F.col(text_col).cast("binary").alias("text")), ws, k, num, den)
+    if rows is docs:
+        gone = found.where("doc_id <> component").select("doc_id")
+    else:
+        placed = found.join(rows.select(id_of.alias("doc_id"), F.col(id_col).alias("_id")), "doc_id")
+        first = placed.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "doc_id")).alias("_first"))
+        gone = placed.join(first, "component").where("doc_id <> _first.doc_id").select("doc_id")
+    left = rows.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_docs"), id_of.alias("doc_id"))
+    return _without(left, ws.keep(gone, "gone"), ws, "gone").select("_docs.*")
