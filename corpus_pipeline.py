@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessella.llm.bpe import digests
 from tessella.llm.common import Workspace, read
 from tessella.llm.decontam import without_contaminated
-from tessella.llm.neardup import near_duplicates
+from tessella.llm.neardup import without_near_duplicates
 from tessella.llm.pii import redact_personal_data
 from tessella.llm.toxicity import without_toxic
 
@@ -24,9 +24,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, its smallest id, and rows without an id."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each near-duplicate component, the row with its smallest id; rows are judged by their own texts."""
+    return without_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
