@@ -4,9 +4,9 @@ import random
 
 import corpus_pipeline
 from tessella.llm import pii
-from tessella.llm.toxicity import toxicity_scores
+from tessella.llm.toxicity import Features, train
 
-from .test_neardup import brute
+from .test_neardup import by_rows
 from .test_text_operators import corpus, encoding, plain_contamination
 
 
@@ -14,7 +14,7 @@ def tables(spark, path):
     docs, labels = corpus(300)
     r = random.Random(3)
     item = " ".join(r.choice(("alpha", "beta", "gamma", "delta")) + str(k) for k in range(30))
-    docs += [(400, docs[0][1]), (401, docs[1][1] + " tail"), (402, "before " + item + " after"), (403, "write to jo.doe@ex.org or 10.0.0.1 now"), (404, None), (405, ""), (None, "a row without an id")]
+    docs += [(400, docs[0][1]), (401, docs[1][1] + " tail"), (402, "before " + item + " after"), (403, "write to jo.doe@ex.org or 10.0.0.1 now"), (404, None), (405, ""), (None, "a row without an id"), (7, "a second text under the id of another row"), (8, docs[0][1]), (9, docs[9][1])]
     rows = [(i, t, "en", "src", None if t is None else len(t)) for i, t in docs]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
@@ -28,14 +28,15 @@ def test_stages(spark, tmp_path):
     columns = table.columns
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "pii", "bpe"]
 
-    toxic = {r.doc_id for r in toxicity_scores(table, spark.read.parquet(f"{tmp_path}/labels.parquet")).where("predicted = 1").collect()}
-    kept = [d for d in docs if d[0] not in toxic]
-    groups = brute([d for d in kept if d[0] is not None])
-    kept = [d for d in kept if d[0] is None or groups[d[0]][2]]
+    model = train(table, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    weights, features = model.dense(), Features()
+    kept = [d for d in docs if model.scores(weights, features, [(d[1] or "").encode()])[0] < 0.7]
+    kept = by_rows(kept)
+    assert [t for i, t in kept if i == 7 and t.startswith("a second text")] and len([i for i, _ in kept if i == 9]) <= 1
     bad = {i for i, *_, c in plain_contamination(kept, [(1, item)]) if c}
     assert bad == {402}
     kept = [d for d in kept if d[0] not in bad]
-    clean = {i: t if t is None else pii.redact(t, pii.model()(t)[1]) for i, t in kept}
+    clean = sorted(((i, t if t is None else pii.redact(t, pii.model()(t)[1])) for i, t in kept), key=repr)
 
     at = table
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
@@ -45,12 +46,12 @@ def test_stages(spark, tmp_path):
         if name != "bpe":
             assert at.columns == columns
         if name == "pii":
-            assert {r.doc_id: r.text for r in at.collect()} == clean
-            assert clean[403] == "write to [EMAIL] or [IP] now"
+            assert sorted(((r.doc_id, r.text) for r in at.collect()), key=repr) == clean
+            assert dict(clean)[403] == "write to [EMAIL] or [IP] now"
             assert at.where("n_chars <> length(text)").count() == 0
-    want = {i: len(encoding().encode_ordinary(t or "")) for i, t in clean.items()}
-    assert {r.doc_id: r.n_tokens for r in at.collect()} == want
-    assert {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want
+    want = sorted(((i, len(encoding().encode_ordinary(t or ""))) for i, t in clean), key=repr)
+    assert sorted(((r.doc_id, r.n_tokens) for r in at.collect()), key=repr) == want
+    assert sorted(((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=repr) == want
 
 
 def test_empty_tables(spark, tmp_path):
