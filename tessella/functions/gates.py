@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessella.functions.text import stripped
+
 
 def kind(value: Column) -> Column:
     """STRING, BIGINT, BOOLEAN, VOID, DECIMAL(..), DOUBLE, ARRAY<..> or OBJECT<..>; null where there is no value."""
@@ -45,5 +47,5 @@ def objects(value: Column) -> Column:
 
 def coerced_id(value: Column) -> Column:
     """A whole number, or a string of digits with a sign and white space around; a boolean, a broken number and all else give null."""
-    text = F.trim(string(value))
+    text = stripped(string(value))
     return F.coalesce(integer(value), F.when(text.rlike("^-?[0-9]+$"), text.try_cast("bigint")))

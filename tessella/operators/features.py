@@ -21,9 +21,12 @@ def overview_block(overview: Column, config: Config) -> Column:
 
 
 def _labels(values: Column, config: Config) -> Column:
-    """Labels joined, normalised together and split again, so that composition needs one call for each row."""
+    """Labels joined, normalised together and split again, so that composition needs one call for each row.
+
+    The mark between them may stand in a label of JSON too; there it is a space, as it separates words like one.
+    """
     mark = "\x00"
-    joined = F.array_join(F.transform(values, lambda v: F.coalesce(v, F.lit(""))), mark)
+    joined = F.array_join(F.transform(values, lambda v: F.translate(F.coalesce(v, F.lit("")), mark, " ")), mark)
     text = F.lower(joined)
     if config.unicode_form == "NFC":
         text = F.lower(nfc(joined))

@@ -35,7 +35,7 @@ def _ranked(scored: DataFrame) -> DataFrame:
 def top_k(scored: DataFrame, k: int) -> DataFrame:
     """The first k of each query; a limit for each partition goes before the shuffle."""
     if k < 1:
-        raise ValueError(f"k must be >= 1, got {k}")
+        raise ValueError(f"a list needs room for one result, not {k}")
     # the cast comes after the filter, so that the plan can limit each group before it is dealt out
     return _ranked(scored).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
@@ -51,7 +51,7 @@ def recommend(scored: DataFrame, k: int, min_score: float = 0.0, min_shared: int
     The gates look at one row only, so filtering first leaves what a scan down the ranks would find.
     """
     if min_shared < 1:
-        raise ValueError(f"min_shared must be >= 1, got {min_shared}")
+        raise ValueError(f"at least one shared term must be asked for, not {min_shared}")
     return top_k(scored.where(_reason(min_score, min_shared).isNull()), k).select("query_id", "rank", "item_id", "score", "shared")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import gates
+from tessella.functions.text import stripped
 
 #: A raw record once its types are gated. Names of genres and keywords keep their order.
 RECORD = (
@@ -51,18 +52,18 @@ def parsed(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def typed(rows: DataFrame) -> DataFrame:
-    """Adds the gated fields of RECORD to parsed rows."""
+    """Adds the gated fields of RECORD to parsed rows. Whole numbers beyond a field's range are null, like any wrong type."""
     v = F.col("record")
     get = lambda name: gates.part(v, name)
     names = lambda name: F.transform(gates.objects(get(name)), lambda o: gates.string(gates.part(o, "name")))
     text = F.coalesce(gates.string(get("overview")), F.try_variant_get(v, "$.overview", "string"))
-    cast = F.transform(gates.objects(get("cast")), lambda o: F.struct(gates.integer(gates.part(o, "order")).cast("int").alias("order"), gates.boolean(gates.part(o, "order")).alias("flag"), gates.string(gates.part(o, "name")).alias("name")))
+    cast = F.transform(gates.objects(get("cast")), lambda o: F.struct(gates.integer(gates.part(o, "order")).try_cast("int").alias("order"), gates.boolean(gates.part(o, "order")).alias("flag"), gates.string(gates.part(o, "name")).alias("name")))
     crew = F.transform(gates.objects(get("crew")), lambda o: F.struct(gates.string(gates.part(o, "job")).alias("job"), gates.string(gates.part(o, "name")).alias("name")))
-    collection = F.trim(gates.string(gates.part(get("belongs_to_collection"), "name")))
+    collection = stripped(gates.string(gates.part(get("belongs_to_collection"), "name")))
     fields = {
         "id": gates.coerced_id(get("id")), "title": gates.string(get("title")), "original_title": gates.string(get("original_title")), "overview": text,
         "genres": names("genres"), "keywords": names("keywords"), "cast": cast, "crew": crew, "collection_name": F.nullif(collection, F.lit("")),
-        "release_date": gates.string(get("release_date")), "runtime": gates.integer(get("runtime")).cast("int"), "original_language": gates.string(get("original_language")),
+        "release_date": gates.string(get("release_date")), "runtime": gates.integer(get("runtime")).try_cast("int"), "original_language": gates.string(get("original_language")),
         "popularity": gates.number(get("popularity")), "vote_average": gates.number(get("vote_average")), "vote_count": gates.number(get("vote_count")),
         "adult": F.coalesce(gates.boolean(get("adult")), F.lit(False)),
     }
@@ -97,8 +98,33 @@ def manifest_digest(manifest: dict) -> str:
     return hashlib.sha256(json.dumps(manifest, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 
 
+#: A file of feature records under this size is a wrong path or an error page.
+LEAST_BYTES = 65_536
+
+
+class UnusableCorpus(ValueError):
+    """A corpus artefact that isn't one, with the reason."""
+
+
 def validate_corpus(features: DataFrame, least_rows: int = 1) -> DataFrame:
-    """One row: rows, whether every row has an id, a title and tokens, and whether the artefact is usable."""
-    whole = F.count_if(F.col("id").isNotNull() & F.col("tokens").isNotNull()).alias("complete")
+    """One row: rows, complete (those with an id, a title and tokens), and whether the artefact is usable: all are, and they are enough."""
+    whole = F.count_if(F.col("id").isNotNull() & F.col("title").isNotNull() & F.col("tokens").isNotNull()).alias("complete")
     out = features.agg(F.count("*").alias("rows"), whole)
     return out.withColumn("usable", (F.col("rows") >= least_rows) & (F.col("rows") == F.col("complete")))
+
+
+def validate_files(spark: SparkSession, path: str, least_bytes: int = LEAST_BYTES) -> tuple[int, str]:
+    """(records, digest) of JSON Lines on storage, or UnusableCorpus: too small, no records, a line that isn't an object, or one without
+    id, title or tokens. Every line is looked at. The digest is that of the files' digests, in the order of their paths."""
+    files = content_digest(spark, path).orderBy("path").select("length", "sha256").collect()  # one row for each file
+    if sum(f.length for f in files) < least_bytes:
+        raise UnusableCorpus(f"{path} holds {sum(f.length for f in files)} bytes, under {least_bytes}: too little for a corpus")
+    record = F.col("record")
+    missing = F.concat_ws(", ", *(F.when(gates.part(record, f).isNull(), f) for f in ("id", "title", "tokens")))
+    rows = parsed(spark.read.text(path)).withColumn("error", F.coalesce("error", F.when(missing != "", F.concat(F.lit("misses "), missing))))
+    found = rows.agg(F.count("*").alias("n"), F.count("error").alias("bad"), F.min("error").alias("why")).first()
+    if not found.n:
+        raise UnusableCorpus(f"{path} holds no records")
+    if found.bad:
+        raise UnusableCorpus(f"{path}: {found.bad} of {found.n} lines are no feature records ({found.why})")
+    return found.n, hashlib.sha256("\n".join(f.sha256 for f in files).encode()).hexdigest()

@@ -10,16 +10,20 @@ from tessella.plans.config import Config
 from tessella.sources import jsonl
 from tessella.streaming.records import stream_features, write_features
 
-OVERVIEW = "A determined detective confronts a sprawling conspiracy across three cities."
+OVERVIEW = "On a drowned coast, twin keepers light an abandoned beacon and wait for whoever answers."
+WORDS = ["drowned", "coast", "twin", "keepers", "light", "abandoned", "beacon", "wait", "whoever", "answers"]
+
+
+def named(*names, **fields):
+    return [{"id": k, "name": n, **fields} for k, n in enumerate(names, 50)]
 
 
 def raw(i=1, **changes):
-    record = {
-        "id": i, "title": "Test Film", "original_title": "Test Film", "overview": OVERVIEW, "genres": [{"id": 1, "name": "Drama"}], "keywords": [{"id": 1, "name": "detective"}],
-        "cast": [{"id": 1, "name": "Ada Lovelace", "order": 0}, {"id": 2, "name": "Grace Hopper", "order": 1}], "crew": [{"id": 3, "name": "Kenji Watanabe", "job": "Director"}],
-        "release_date": "1999-05-07", "runtime": 120, "original_language": "en", "popularity": 12.5, "vote_average": 7.4, "vote_count": 340, "adult": False, "belongs_to_collection": None,
-    }
-    return record | changes
+    """A whole record; changes replace its fields."""
+    billed = [c | {"order": k} for k, c in enumerate(named("Ines Okafor", "Ravi Lindqvist"))]
+    record = {"id": i, "title": "Harbour Lights", "original_title": "Harbour Lights", "overview": OVERVIEW, "release_date": "2011-02-23", "original_language": "pt", "adult": False}
+    record |= {"genres": named("Mystery"), "keywords": named("lighthouse"), "cast": billed, "crew": named("Oona Beltran", job="Director"), "belongs_to_collection": None}
+    return record | {"runtime": 97, "popularity": 3.75, "vote_average": 6.5, "vote_count": 88} | changes
 
 
 def records(spark, tmp_path, lines):
@@ -40,7 +44,7 @@ def test_lines_errors_and_report(spark, tmp_path):
     assert got == {1: (None, 1), 3: ("json_decode_error", None), 4: ("record_is_not_an_object", None), 5: (None, 2), 6: (None, None), 7: (None, None), 8: (None, 1), 9: (None, None), 11: (None, -7)}
     assert features.load_report(rows).first().asDict() == {"lines_total": 9, "records_parsed": 7, "malformed": 2, "invalid_id": 3, "duplicate_id": 1, "kept": 3}
     first = features.first_of_each_id(rows).where("id = 1").first()
-    assert first.title == "Test Film"
+    assert first.title == "Harbour Lights"
 
 
 def test_empty_file(spark, tmp_path):
@@ -68,8 +72,8 @@ def test_blocks(spark, tmp_path):
     assert row.tokens.keywords == ["post_apocalyptic_future"] and row.stinger_keywords_removed == ["after credits stinger", "duringcreditsstinger"]
     assert row.tokens.genres == ["science_fiction"]
     assert row.tokens.cast == ["ann", "first", "no", "order", "sixth"] and row.tokens.director == ["one", "two"]
-    assert row.tokens.overview == ["determined", "detective", "confronts", "sprawling", "conspiracy", "across", "three", "cities"]
-    assert row.document[0] == "ov:determined" and row.document[-1] == "dir:two" and row.document_size == len(row.document)
+    assert row.tokens.overview == WORDS
+    assert row.document[0] == "ov:drowned" and row.document[-1] == "dir:two" and row.document_size == len(row.document)
 
 
 @pytest.mark.parametrize(("overview", "n"), [("x" * 39, 0), ("word " * 8, 0), ("word " * 8 + "abcd", 9), (None, 0), (12345, 0), ("   ", 0)])
@@ -78,7 +82,7 @@ def test_overview_floor(spark, tmp_path, overview, n):
 
 
 def test_fields_of_the_wrong_type(spark, tmp_path):
-    odd = raw(1, title=5, release_date=1999, runtime=0, popularity=True, vote_count="3", adult="yes", genres=None, keywords=None, cast=None, crew=None, belongs_to_collection={"name": "  "}, original_language=None)
+    odd = raw(1, title=5, release_date=2011, runtime=0, popularity=True, vote_count="3", adult="yes", genres=None, keywords=None, cast=None, crew=None, belongs_to_collection={"name": "  "}, original_language=None)
     row = build(spark, tmp_path, odd)[1]
     assert (row.title, row.release_date, row.release_year, row.runtime_minutes, row.popularity, row.vote_count, row.adult, row.collection_name) == (None, None, None, None, None, None, False, None)
     assert row.tokens.genres == row.tokens.keywords == row.tokens.cast == row.tokens.director == []
@@ -86,6 +90,35 @@ def test_fields_of_the_wrong_type(spark, tmp_path):
     assert bare.document == [] and bare.document_size == 0
 
 
+def test_values_out_of_range_and_odd_white_space(spark, tmp_path):
+    """Numbers beyond a field's range are null and stop nothing; ids and names lose white space of every script; U+0000 in a label separates words."""
+    huge, wide = 1 << 40, 10**30
+    lines = [
+        raw(1, runtime=huge, vote_count=wide, cast=[{"name": "Late Comer", "order": huge}, {"name": "Second", "order": wide}, {"name": "Third", "order": 1}]), raw("\t12\n"), raw("\u00a0-13\u3000"), raw(wide), raw("9" * 30), raw("+14"),
+        raw(15, keywords=named("ab\u0000cd", "during\u0000creditsstinger"), genres=named("Sci\u0000Fi", "War"), crew=named("Jo\u0000Day", "Al", job="Director"), belongs_to_collection={"name": "\u2003Sa ga\u00a0"}),
+    ]
+    rows = records(spark, tmp_path, lines)
+    assert [r.id for r in rows.orderBy("line_no").collect()] == [1, 12, -13, None, None, None, 15]
+    found = build(spark, tmp_path, *lines)
+    assert found[1].runtime_minutes is None and found[1].tokens.cast == ["late", "comer", "second", "third"]
+    odd = found[15]
+    assert odd.tokens.keywords == ["ab_cd"] and odd.stinger_keywords_removed == ["during creditsstinger"] and odd.tokens.genres == ["sci_fi", "war"] and odd.tokens.director == ["al", "jo", "day"] and odd.collection_name == "Sa ga"
+
+
+def test_usable_files(spark, tmp_path):
+    found = features.feature_records(records(spark, tmp_path, [raw(1), raw(2)]), Config())
+    jsonl.export_jsonl(found, str(tmp_path / "good"))
+    n, digest = jsonl.validate_files(spark, str(tmp_path / "good"), 100)
+    assert n == 2 and len(digest) == 64 and jsonl.validate_files(spark, str(tmp_path / "good"), 100)[1] == digest
+    line = json.dumps({"id": 1, "title": "t", "tokens": {}})
+    for name, text, why in (("small", line, "bytes"), ("page", "<html>" * 30, "json_decode"), ("array", "[1]\n" * 60, "object"), ("blank", "\n" * 200, "no records"), ("partial", (line + "\n") * 9 + json.dumps({"id": 2, "tokens": {}}) + " " * 80, "misses title")):
+        (tmp_path / f"{name}.jsonl").write_text(text)
+        with pytest.raises(jsonl.UnusableCorpus, match=why):
+            jsonl.validate_files(spark, str(tmp_path / f"{name}.jsonl"), 100)
+    usable = lambda df: jsonl.validate_corpus(df).first().usable
+    assert usable(found) and not usable(found.withColumn("title", F.lit(None).cast("string"))) and not usable(found.limit(0))
+
+
 def test_round_trip_export_and_stream(spark, tmp_path):
     rows = records(spark, tmp_path, [raw(1), raw(2, title="Ünï")])
     found = features.feature_records(rows, Config())
@@ -135,7 +168,7 @@ def test_describe_equals_the_statistics_module(spark, values):
 
 
 def test_audit_counts(spark, tmp_path):
-    lines = [raw(1), raw(2, title=" ", overview="N/A", cast=[], keywords=[{"name": " "}]), raw(2, title="Test film (2001)", release_date="soon"), raw(4, title="untitled", overview="", crew=[], release_date=""), raw(5, title="12.5", overview="short")]
+    lines = [raw(1), raw(2, title=" ", overview="N/A", cast=[], keywords=[{"name": " "}]), raw(2, title="Harbour lights (2001)", release_date="soon"), raw(4, title="untitled", overview="", crew=[], release_date=""), raw(5, title="12.5", overview="short")]
     rows = records(spark, tmp_path, lines)
     assert {r["item"]: r.n for r in audit.missing_counts(rows).collect()} == {"title": 1, "overview_blank": 1, "genres": 0, "keywords": 1, "cast": 1, "release_date_blank": 1, "release_date_malformed": 1, "director": 1}
     assert audit.id_integrity(rows).first().asDict() == {"rows": 5, "null_ids": 0, "duplicated_ids": 1, "redundant_rows": 1}

@@ -47,9 +47,9 @@ def test_gates_backfill(scored, k, score, shared, accepted, rejected):
 def test_scores_and_errors(scored):
     by = {r.item_id: (round(r.score, 3), r.shared) for r in scored.collect()}
     assert by[101] == (0.961, 1) and by[104] == (0.74, 3) and by[105] == (0.277, 3) and by[107] == (0.16, 1) and 100 not in by
-    with pytest.raises(ValueError, match="k must"):
+    with pytest.raises(ValueError, match="room for one"):
         retrieve.top_k(scored, 0)
-    with pytest.raises(ValueError, match="min_shared"):
+    with pytest.raises(ValueError, match="shared term"):
         retrieve.recommend(scored, 1, 0.0, 0)
     assert ids(retrieve.ranked(scored), "rank") == [101, 102, 103, 104, 106, 105, 107]
     assert {r.reason: r.n for r in retrieve.skip_tally(retrieve.skipped(scored, 9, 0.2, 2)).collect()} == {"insufficient_shared_terms": 3, "below_min_score": 1}
