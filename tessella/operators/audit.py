@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,16 +122,35 @@ def describe(rows: DataFrame, value: str) -> DataFrame:
     )
 
 
-def distribution(records: DataFrame, kind: str) -> DataFrame:
-    """(value, n) of genres, keywords, years, languages or crew jobs."""
-    many = {"genre": lambda: F.explode(names(F.col("genres"))), "keyword": lambda: F.explode(names(F.col("keywords"))), "job": lambda: F.explode(F.transform("crew", lambda c: c["job"]))}
-    one = {"year": lambda: F.when(stripped(F.col("release_date")).rlike(DATE), F.substring(stripped(F.col("release_date")), 1, 4)), "language": lambda: F.col("original_language")}
-    return records.select((many | one)[kind]().alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
+def distribution(records: DataFrame, kind: str, order: str = "id") -> DataFrame:
+    """(value, n, first) of genres, keywords, years, languages or crew jobs; first is where a value first occurs, by a column and the place in its list."""
+    listed = {"genre": lambda: names(F.col("genres")), "keyword": lambda: names(F.col("keywords")), "job": lambda: F.filter(F.transform("crew", lambda c: c["job"]), lambda j: j != "")}
+    single = {"year": lambda: F.when(stripped(F.col("release_date")).rlike(DATE), F.substring(stripped(F.col("release_date")), 1, 4)), "language": lambda: F.col("original_language")}
+    values = listed[kind]() if kind in listed else F.array(single[kind]())
+    rows = records.select(F.col(order).alias("_order"), F.posexplode(values).alias("_pos", "value")).where("value is not null")
+    return rows.groupBy("value").agg(F.count("*").alias("n"), F.min(F.struct("_order", "_pos")).alias("first"))
 
 
 def most_common(counts: DataFrame, n: int) -> DataFrame:
-    """The n most frequent values, ties by value."""
-    return counts.orderBy(F.desc("n"), "value").limit(n)
+    """The n most frequent values; of equally frequent ones those that occur first."""
+    return counts.orderBy(F.desc("n"), "first", "value").limit(n)
+
+
+def structure(records: DataFrame) -> DataFrame:
+    """One row: distinct_genres, distinct_keywords, single_keywords (those of one record's list only), adult, in_collection, several_directors."""
+    p = presence(records)
+    keywords = distribution(records, "keyword")
+    distinct = lambda kind: distribution(records, kind).agg(F.count("*")).scalar()
+    out = p.agg(F.count_if(F.coalesce("adult", F.lit(False))).alias("adult"), F.count_if(F.col("collection_name").isNotNull()).alias("in_collection"), F.count_if(F.col("n_directors") > 1).alias("several_directors"))
+    return out.select(distinct("genre").alias("distinct_genres"), distinct("keyword").alias("distinct_keywords"), keywords.agg(F.count_if(F.col("n") == 1)).scalar().alias("single_keywords"), "adult", "in_collection", "several_directors")
+
+
+def list_sizes(records: DataFrame) -> DataFrame:
+    """(measure, and describe()'s columns) of the lengths of keyword, cast and genre lists that aren't empty, and of running times over 0."""
+    cast = F.transform(F.coalesce("cast", F.array().cast("array<struct<order:int,flag:boolean,name:string>>")), lambda c: c["name"])
+    sizes = {"keywords": F.size(names(F.col("keywords"))), "cast": F.size(names(cast)), "genres": F.size(names(F.col("genres"))), "runtime": F.col("runtime")}
+    rows = [describe(records.select(F.when(c > 0, c.cast("double")).alias("v")), "v").select(F.lit(k).alias("measure"), "*") for k, c in sizes.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def cast_order(records: DataFrame) -> DataFrame:

@@ -11,91 +11,140 @@ from tessella.plans.config import CUTOFFS, THIN_TERMS
 BUCKETS = 1024
 
 
-def ranked_lists(scored: DataFrame, ks: tuple[int, ...] = CUTOFFS) -> DataFrame:
-    """(query_id, rank, item_id, score, shared): each query's list down to the largest cutoff."""
-    return top_k(scored, max(ks)).select("query_id", "rank", "item_id", "score", "shared")
+def ranked_lists(scored: DataFrame, ks: tuple[int, ...] = CUTOFFS, by: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, rank, item_id, score, shared): each query's list down to the largest cutoff.
+
+    by, here and below, names columns that keep the lists of several configurations in one table apart; results have a row for each.
+    """
+    return top_k(scored, max(ks), by).select(*by, "query_id", "rank", "item_id", "score", "shared")
 
 
-def filtered_lists(lists: DataFrame, min_shared: int) -> DataFrame:
+def filtered_lists(lists: DataFrame, min_shared: int | Column, by: tuple[str, ...] = ()) -> DataFrame:
     """Lists without results on too little evidence, ranked anew. They were cut before, so the filter only takes away."""
-    if min_shared <= 1:
-        return lists
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
-    return lists.where(F.col("shared") >= min_shared).withColumn("rank", place)
+    place = F.row_number().over(Window.partitionBy(*by, "query_id").orderBy("rank"))
+    return lists.where(F.col("shared") >= min_shared).withColumn("rank", place.cast("long"))
+
+
+def backfilled_lists(scored: DataFrame, min_shared: int | Column, ks: tuple[int, ...] = CUTOFFS, by: tuple[str, ...] = ()) -> DataFrame:
+    """As filtered_lists, but filtered before the cut, so that later candidates move up."""
+    return ranked_lists(scored.where(F.col("shared") >= min_shared), ks, by)
 
 
-def label_scores(lists: DataFrame, pairs: DataFrame, ks: tuple[int, ...] = CUTOFFS) -> DataFrame:
-    """(kind, k, queries, recall, hit_rate, ndcg, mean_relevant) over the queries that a kind can judge.
+def label_scores(lists: DataFrame, pairs: DataFrame, ks: tuple[int, ...] = CUTOFFS, by: tuple[str, ...] = (), names: tuple[str, ...] = ()) -> DataFrame:
+    """(kind, k, queries, recall, hit_rate, ndcg, mean_relevant) over the queries that a kind can judge, by pairs (kind, query_id, item_id).
 
-    The ideal of NDCG counts the hits inside the list, so a list with hits on top scores 1 whatever it misses.
+    The ideal of NDCG counts the hits inside the list, so a list with hits on top scores 1 whatever it misses. With by, one column, names
+    lists its values, as a configuration may find nothing.
     """
     relevant = pairs.groupBy("kind", "query_id").agg(F.count("*").alias("n_relevant"))
-    hits = lists.join(pairs, ["query_id", "item_id"]).select("kind", "query_id", "rank")
-    found = hits.groupBy("kind", "query_id").agg(*(F.count_if(F.col("rank") <= k).alias(f"f{k}") for k in ks), *(F.sum(F.when(F.col("rank") <= k, 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias(f"d{k}") for k in ks))
+    return _judged(relevant, lists.join(pairs, ["query_id", "item_id"]).select(*by, "kind", "query_id", "rank"), ks, by, names)
+
+
+def group_scores(lists: DataFrame, groups: DataFrame, queries: DataFrame, ks: tuple[int, ...] = CUTOFFS, by: tuple[str, ...] = (), names: tuple[str, ...] = ()) -> DataFrame:
+    """As label_scores, by groups (kind, group_key, item_id) themselves: what one group makes relevant is never written out as pairs."""
+    asked = groups.select("kind", "group_key", F.col("item_id").alias("query_id"))
+    near = lists.select(*by, "query_id", "item_id", "rank").join(asked, "query_id").join(groups, ["kind", "group_key", "item_id"])
+    hits = near.select(*by, "kind", "query_id", "rank").distinct()
+    relevant = relevant_counts(groups).join(queries.select("query_id").distinct(), "query_id", "left_semi")
+    return _judged(relevant, hits, ks, by, names)
+
+
+def relevant_counts(groups: DataFrame) -> DataFrame:
+    """(kind, query_id, n_relevant): how many other items share a group with an item, each counted once.
+
+    One group says so by its size. Several are united, once for each set of groups that occurs.
+    """
+    own = groups.groupBy("kind", F.col("item_id").alias("query_id")).agg(F.array_sort(F.collect_set("group_key")).alias("keys"))  # an item's few groups
+    sizes = groups.groupBy("kind", "group_key").agg(F.countDistinct("item_id").alias("n"))
+    one = own.where(F.size("keys") == 1).select("kind", "query_id", F.col("keys")[0].alias("group_key")).join(sizes, ["kind", "group_key"]).select("kind", "query_id", "n")
+    many = own.where(F.size("keys") > 1)
+    united = many.select("kind", "keys").distinct().select("kind", "keys", F.explode("keys").alias("group_key")).join(groups, ["kind", "group_key"])
+    united = united.groupBy("kind", "keys").agg(F.countDistinct("item_id").alias("n"))
+    several = many.join(united, ["kind", "keys"]).select("kind", "query_id", "n")
+    return one.unionByName(several).where("n > 1").select("kind", "query_id", (F.col("n") - 1).alias("n_relevant"))
+
+
+def _judged(relevant: DataFrame, hits: DataFrame, ks: tuple[int, ...], by: tuple[str, ...], names: tuple[str, ...]) -> DataFrame:
+    if by:
+        relevant = relevant.withColumn(by[0], F.explode(F.array(*map(F.lit, names))))
+    found = hits.groupBy(*by, "kind", "query_id").agg(*(F.count_if(F.col("rank") <= k).alias(f"f{k}") for k in ks), *(F.sum(F.when(F.col("rank") <= k, 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias(f"d{k}") for k in ks))
     ideal = lambda n: F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
-    per = relevant.join(found, ["kind", "query_id"], "left").na.fill(0)
+    per = relevant.join(found, [*by, "kind", "query_id"], "left").na.fill(0)
     rows = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("k"), F.col(f"f{k}").alias("f"), F.col(f"d{k}").alias("d")) for k in ks)))
-    per = per.select("kind", "n_relevant", rows.alias("x")).select("kind", "n_relevant", "x.*")
+    per = per.select(*by, "kind", "n_relevant", rows.alias("x")).select(*by, "kind", "n_relevant", "x.*")
     ndcg = F.when(F.col("f") > 0, F.col("d") / ideal(F.greatest("f", F.lit(1)))).otherwise(0.0)
-    out = per.groupBy("kind", "k").agg(F.count("*").alias("queries"), F.avg(F.col("f") / F.col("n_relevant")).alias("recall"), F.avg((F.col("f") > 0).cast("double")).alias("hit_rate"), F.avg(ndcg).alias("ndcg"), F.avg("n_relevant").alias("mean_relevant"))
-    return out.select("kind", "k", "queries", *(F.round(c, 6).alias(c) for c in ("recall", "hit_rate", "ndcg", "mean_relevant")))
+    out = per.groupBy(*by, "kind", "k").agg(F.count("*").alias("queries"), F.avg(F.col("f") / F.col("n_relevant")).alias("recall"), F.avg((F.col("f") > 0).cast("double")).alias("hit_rate"), F.avg(ndcg).alias("ndcg"), F.avg("n_relevant").alias("mean_relevant"))
+    return out.select(*by, "kind", "k", "queries", *(F.round(c, 6).alias(c) for c in ("recall", "hit_rate", "ndcg", "mean_relevant")))
 
 
 def _rate(a: Column, b: Column) -> Column:
     return F.round(F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0)), 6)
 
 
-def coverage(lists: DataFrame, features: DataFrame) -> DataFrame:
+def coverage(lists: DataFrame, features: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """coverage: distinct items in any list over all items."""
     n = features.agg(F.count("*")).scalar()
-    return lists.agg(F.countDistinct("item_id").alias("n")).select(_rate(F.col("n"), n).alias("coverage"))
+    return lists.groupBy(*by).agg(F.countDistinct("item_id").alias("n")).select(*by, _rate(F.col("n"), n).alias("coverage"))
 
 
-def diversity(lists: DataFrame, scored: DataFrame) -> DataFrame:
-    """diversity: mean of 1 - similarity over all pairs inside lists, pooled over queries; pairs that share nothing count as 1."""
-    a = lists.select("query_id", F.col("item_id").alias("a"))
-    b = lists.select("query_id", F.col("item_id").alias("b"))
-    pairs = a.join(b, "query_id").where("a < b")  # lists hold at most the largest cutoff
-    alike = scored.select(F.col("query_id").alias("a"), F.col("item_id").alias("b"), "score")
-    out = pairs.join(alike, ["a", "b"], "left").agg(F.avg(1 - F.coalesce("score", F.lit(0.0))).alias("d"))
-    return out.select(F.round(F.coalesce("d", F.lit(0.0)), 6).alias("diversity"))
+def diversity(lists: DataFrame, weights: DataFrame, by: tuple[str, ...] = (), matrix: tuple[str, ...] = ()) -> DataFrame:
+    """diversity: mean of 1 - similarity over all pairs inside lists, pooled over queries; pairs that share nothing count as 1.
 
-
-def breadth(lists: DataFrame, features: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    Only pairs that stand in a list are compared, each once, by the rows of weights; matrix names the columns (of lists too) that
+    keep several matrices apart.
+    """
+    a = lists.select(*dict.fromkeys((*by, *matrix)), "query_id", F.col("item_id").alias("a"))
+    b = lists.select(*by, "query_id", F.col("item_id").alias("b"))
+    pairs = a.join(b, [*by, "query_id"]).where("a < b")  # lists hold at most the largest cutoff
+    pairs = pairs.groupBy(*dict.fromkeys((*by, *matrix)), "a", "b").agg(F.count("*").alias("n"))
+    left = weights.select(*matrix, F.col("item_id").alias("a"), "field", "term", F.col("w").alias("wa"))
+    right = weights.select(*matrix, F.col("item_id").alias("b"), "field", "term", F.col("w").alias("wb"))
+    alike = pairs.select(*matrix, "a", "b").distinct().join(left, [*matrix, "a"]).join(right, [*matrix, "b", "field", "term"])
+    alike = alike.groupBy(*matrix, "a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 9).alias("score"))
+    both = pairs.join(alike, [*matrix, "a", "b"], "left")
+    out = both.groupBy(*by).agg((F.sum(F.col("n") * (1 - F.coalesce("score", F.lit(0.0)))) / F.sum("n")).alias("d"))
+    return out.select(*by, F.round(F.coalesce("d", F.lit(0.0)), 6).alias("diversity"))
+
+
+def breadth(lists: DataFrame, features: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(distinct_genres, distinct_decades): means over all queries, those without results as 0, of the first k."""
+    n = queries.select("query_id").distinct().agg(F.count("*")).scalar()
     shown = features.select(F.col("id").alias("item_id"), F.col("tokens.genres").alias("genres"), (F.floor(F.col("release_year") / 10) * 10).alias("decade"))
     top = lists.where(F.col("rank") <= k).join(shown, "item_id")
-    genres = top.select("query_id", F.explode("genres").alias("g")).groupBy("query_id").agg(F.countDistinct("g").alias("genres"))
-    decades = top.where("decade > 0").groupBy("query_id").agg(F.countDistinct("decade").alias("decades"))
-    per = queries.select("query_id").distinct().join(genres, "query_id", "left").join(decades, "query_id", "left").na.fill(0)
-    return per.agg(*(F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(f"distinct_{c}") for c in ("genres", "decades")))
+    decade = F.when(F.col("decade") > 0, F.col("decade"))
+    # k rows a query: genres and decades of one list meet in one row
+    per = top.groupBy(*by, "query_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("genres")))).alias("g"), F.countDistinct(decade).alias("d"))
+    out = per.groupBy(*by).agg(F.sum("g").alias("g"), F.sum("d").alias("d"))
+    return out.select(*by, _rate(F.coalesce("g", F.lit(0)), n).alias("distinct_genres"), _rate(F.coalesce("d", F.lit(0)), n).alias("distinct_decades"))
 
 
-def list_statistics(lists: DataFrame, queries: DataFrame, k: int, thin: int = THIN_TERMS) -> DataFrame:
+def list_statistics(lists: DataFrame, queries: DataFrame, k: int, thin: int = THIN_TERMS, by: tuple[str, ...] = ()) -> DataFrame:
     """(mean_top1_score, thin_rate, mean_returned): best scores of queries with results, results of the first k on
     little evidence, and the mean length of a list over all queries."""
     n = queries.select("query_id").distinct().agg(F.count("*")).scalar()
     first = F.col("rank") <= k
-    out = lists.agg(F.avg(F.when(F.col("rank") == 1, F.col("score"))).alias("top1"), F.count_if(first).alias("n"), F.count_if(first & (F.col("shared") <= thin)).alias("thin"), F.count("*").alias("all"))
-    return out.select(F.round(F.coalesce("top1", F.lit(0.0)), 6).alias("mean_top1_score"), _rate(F.col("thin"), F.col("n")).alias("thin_rate"), _rate(F.col("all"), n).alias("mean_returned"))
+    out = lists.groupBy(*by).agg(F.avg(F.when(F.col("rank") == 1, F.col("score"))).alias("top1"), F.count_if(first).alias("n"), F.count_if(first & (F.col("shared") <= thin)).alias("thin"), F.count("*").alias("all"))
+    return out.select(*by, F.round(F.coalesce("top1", F.lit(0.0)), 6).alias("mean_top1_score"), _rate(F.col("thin"), F.col("n")).alias("thin_rate"), _rate(F.col("all"), n).alias("mean_returned"))
 
 
-def value_places(rows: DataFrame, value: str) -> DataFrame:
+def value_places(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     """(value, n, before): for each distinct value how many rows hold it and how many hold smaller ones.
 
     Values are counted first, then dealt by their place between the extremes on a scale of logarithms, as such values have
     long tails, so that no task orders them all.
     """
-    counts = rows.groupBy(F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
+    counts = rows.groupBy(*by, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
     counts = counts.withColumn("at", F.signum("value") * F.log1p(F.abs("value")))
     lo, hi = (counts.agg(f("at")).scalar() for f in (F.min, F.max))
     width = F.coalesce(F.try_divide((F.col("at") - lo) * BUCKETS, hi - lo), F.lit(0.0))
     dealt = counts.withColumn("bucket", F.least(F.floor(width), F.lit(BUCKETS - 1)))
-    sums = dealt.groupBy("bucket").agg(F.sum("n").alias("m"))
-    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows at most
-    sums = sums.select("bucket", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*by, "bucket").agg(F.sum("n").alias("m"))
+    earlier = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows at most
+    sums = sums.select(*by, "bucket", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy(*by, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    if by:  # as many tables of BUCKETS rows as there are configurations
+        return placed.join(sums, [*by, "bucket"]).select(*by, "value", "n", (F.col("inside") + F.col("offset")).alias("before"))
     return placed.join(F.broadcast(sums), "bucket").select("value", "n", (F.col("inside") + F.col("offset")).alias("before"))
 
 
@@ -108,17 +157,19 @@ def popularity_percentiles(features: DataFrame) -> DataFrame:
     return rows.join(value_places(rows, "value"), "value").select("item_id", percentile.alias("percentile"))
 
 
-def spearman(pairs: DataFrame, x: str, y: str) -> DataFrame:
+def spearman(pairs: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
     """rho of mean ranks; under two rows, or a constant column, 0."""
-    rank = lambda c: value_places(pairs, c).select(F.col("value").alias(c), (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias(f"r_{c}"))
-    both = pairs.select(F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).join(rank(x), x).join(rank(y), y)
+    rank = lambda c: value_places(pairs, c, by).select(*by, F.col("value").alias(c), (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias(f"r_{c}"))
+    both = pairs.select(*by, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).join(rank(x), [*by, x]).join(rank(y), [*by, y])
     a, b = f"r_{x}", f"r_{y}"
     rho = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-    return both.agg(F.round(F.coalesce(rho, F.lit(0.0)), 6).alias("rho"))
+    return both.groupBy(*by).agg(F.round(F.coalesce(rho, F.lit(0.0)), 6).alias("rho"))
 
 
-def popularity_bias(lists: DataFrame, percentiles: DataFrame) -> DataFrame:
+def popularity_bias(lists: DataFrame, percentiles: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(mean_percentile, rho) of the popularity of what lists hold, and of rank against it, pooled over queries."""
-    pairs = lists.join(percentiles, "item_id").select("rank", "percentile")
-    mean = pairs.agg(F.round(F.coalesce(F.avg("percentile"), F.lit(0.0)), 6).alias("mean_percentile"))
+    pairs = lists.join(percentiles, "item_id").select(*by, "rank", "percentile")
+    mean = pairs.groupBy(*by).agg(F.round(F.coalesce(F.avg("percentile"), F.lit(0.0)), 6).alias("mean_percentile"))
+    if by:
+        return mean.join(spearman(pairs, "rank", "percentile", by), list(by))
     return mean.withColumn("rho", spearman(pairs, "rank", "percentile").scalar())

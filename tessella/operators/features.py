@@ -113,11 +113,11 @@ def token_statistics(features: DataFrame) -> DataFrame:
 def stratified_sample(rows: DataFrame, stratum: str, key: str, target: int, seed: int) -> DataFrame:
     """About target rows: from each stratum its quota, ceil(target / strata), then the largest leftovers until the target.
 
-    Draws follow a hash of key and seed, so a plan is the same on every run and every partitioning. Rows are unique by key.
+    Draws follow the MD5 of "key:seed", so a plan is the same on every run, every partitioning and every engine. Rows are unique by key.
     """
     strata = rows.select(stratum).distinct().agg(F.count("*").alias("n")).scalar()
-    draw = F.xxhash64(F.col(key), F.lit(seed))
-    rows = rows.dropDuplicates([key]).withColumn("_salt", F.pmod(draw, F.lit(64)))
+    draw = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    rows = rows.dropDuplicates([key]).withColumn("_salt", F.substring(draw, 1, 2))
     sizes = rows.groupBy(stratum).agg(F.count("*").alias("_size")).withColumn("_q", F.ceil(F.lit(float(target)) / strata))
     # no stratum gives more than target rows: a hot one is cut in salted parts before its rows meet
     part = Window.partitionBy(stratum, "_salt").orderBy(draw, key)

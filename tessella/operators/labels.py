@@ -56,8 +56,8 @@ def label_summary(groups: DataFrame) -> DataFrame:
     return groups.groupBy("kind").agg(F.countDistinct("group_key").alias("groups"), F.countDistinct("item_id").alias("items"))
 
 
-def unevaluable(pairs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(kind, queries): queries to which a kind has nothing relevant."""
+def unevaluable(groups: DataFrame, queries: DataFrame) -> DataFrame:
+    """(kind, queries): queries to which a kind has nothing relevant, as they stand in none of its groups."""
     kinds = queries.select("query_id", F.explode(F.array(*(F.lit(k) for k in LABEL_KINDS))).alias("kind"))
-    none = kinds.join(pairs.select("kind", "query_id").distinct(), ["kind", "query_id"], "left_anti")
+    none = kinds.join(groups.select("kind", F.col("item_id").alias("query_id")).distinct(), ["kind", "query_id"], "left_anti")
     return none.groupBy("kind").agg(F.count("*").alias("queries"))

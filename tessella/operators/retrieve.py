@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def scores(weights: DataFrame, queries: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+def scores(weights: DataFrame, queries: DataFrame, candidates: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, item_id, score, shared) for every other item that shares a term with a query.
 
-    queries has a column query_id; candidates, where given, a column item_id. Scores are sums of products of normalised rows, rounded to nine
+    queries has a column query_id; candidates, where given, a column item_id; by names columns of weights that keep matrices in
+    one table apart. Scores are sums of products of normalised rows, rounded to nine
     digits: sums come together in any order, and ranks must not depend on it.
     """
     asked = weights.join(queries.select(F.col("query_id").alias("item_id")).distinct(), "item_id", "left_semi")
-    asked = asked.select(F.col("item_id").alias("query_id"), "field", "term", F.col("w").alias("qw"))
+    asked = asked.select(*by, F.col("item_id").alias("query_id"), "field", "term", F.col("w").alias("qw"))
     items = weights if candidates is None else weights.join(candidates.select("item_id").distinct(), "item_id", "left_semi")
-    both = items.join(asked, ["field", "term"]).where("item_id <> query_id")
-    return both.groupBy("query_id", "item_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("score"), F.count("*").alias("shared"))
+    both = items.join(asked, [*by, "field", "term"]).where("item_id <> query_id")
+    return both.groupBy(*by, "query_id", "item_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("score"), F.count("*").alias("shared"))
 
 
 def by_score() -> list[Column]:
@@ -28,16 +29,32 @@ def ranked(scored: DataFrame) -> DataFrame:
     return _ranked(scored).withColumn("rank", F.col("rank").cast("long"))
 
 
-def _ranked(scored: DataFrame) -> DataFrame:
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*by_score())))
+def _ranked(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "query_id").orderBy(*by_score())))
 
 
-def top_k(scored: DataFrame, k: int) -> DataFrame:
+def top_k(scored: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
     """The first k of each query; a limit for each partition goes before the shuffle."""
     if k < 1:
         raise ValueError(f"a list needs room for one result, not {k}")
     # the cast comes after the filter, so that the plan can limit each group before it is dealt out
-    return _ranked(scored).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+    return _ranked(scored, by).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+
+
+def padded(lists: DataFrame, queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """Lists (query_id, rank, item_id, score, shared) of k results: short ones go on with other items at score 0, in the order of their ids.
+
+    A list and its query leave out k + 1 items at most, so the first 2 k + 1 ids are enough for all.
+    """
+    few = items.select("item_id").distinct().orderBy("item_id").limit(2 * k + 1)
+    place = few.withColumn("_at", F.row_number().over(Window.orderBy("item_id")))  # 2 k + 1 rows
+    ids = place.groupBy().agg(F.array_sort(F.collect_list(F.struct("_at", "item_id"))).alias("a")).select(F.transform("a", lambda x: x["item_id"])).scalar()
+    held = lists.groupBy("query_id").agg(F.collect_list("item_id").alias("_held"), F.count("*").alias("_n"))  # k each
+    short = queries.select("query_id").distinct().join(held, "query_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0))).where(F.col("_n") < k)
+    free = F.filter(ids, lambda i: (i != F.col("query_id")) & ~F.coalesce(F.array_contains("_held", i), F.lit(False)))
+    more = short.select("query_id", "_n", F.posexplode(F.slice(free, 1, k)).alias("_p", "item_id")).where(F.col("_n") + F.col("_p") < k)
+    more = more.select("query_id", (F.col("_n") + F.col("_p") + 1).cast("long").alias("rank"), "item_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("shared"))
+    return lists.select("query_id", "rank", "item_id", "score", "shared").unionByName(more)
 
 
 def _reason(min_score: float, min_shared: int) -> Column:
@@ -56,13 +73,16 @@ def recommend(scored: DataFrame, k: int, min_score: float = 0.0, min_shared: int
 
 
 def skipped(scored: DataFrame, k: int, min_score: float = 0.0, min_shared: int = 1) -> DataFrame:
-    """(query_id, place, item_id, reason): rejected candidates above the k-th accepted one, or all where fewer pass."""
-    above = Window.partitionBy("query_id").orderBy(*by_score()).rowsBetween(Window.unboundedPreceding, -1)
+    """(query_id, place, item_id, reason): rejected candidates above the k-th accepted one, or all where fewer pass.
+
+    The k-th accepted one is found by a limited ranking; only the rejected above it are ranked at all.
+    """
     judged = scored.withColumn("reason", _reason(min_score, min_shared))
-    judged = judged.withColumn("_accepted", F.coalesce(F.sum(F.when(F.col("reason").isNull(), 1).otherwise(0)).over(above), F.lit(0)))
-    passed_over = judged.where((F.col("_accepted") < k) & F.col("reason").isNotNull())
+    last = top_k(judged.where("reason is null"), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("_score"), F.col("item_id").alias("_item"))
+    rejected = judged.where("reason is not null").join(last, "query_id", "left")
+    above = rejected.where("_score is null or score > _score or score = _score and item_id < _item")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(*by_score()))
-    return passed_over.withColumn("place", place.cast("long")).select("query_id", "place", "item_id", "reason")
+    return above.withColumn("place", place.cast("long")).select("query_id", "place", "item_id", "reason")
 
 
 def evidence(accepted: DataFrame, rejected: DataFrame, queries: DataFrame, k: int, min_shared: int) -> DataFrame:

@@ -29,16 +29,28 @@ def search_titles(features: DataFrame, query: str, limit: int) -> DataFrame:
     return first.select(place.cast("long").alias("place"), "id", "title", names.alias("match"), total.alias("total_matches"))
 
 
-def select_queries(features: DataFrame, weights: DataFrame) -> DataFrame:
-    """(purpose, id): items worth a look: most and least popular, fewest terms, the first with three siblings in its collection."""
-    sizes = weights.groupBy(F.col("item_id").alias("id")).agg(F.count("*").alias("n"))
-    popular = F.coalesce("popularity", F.lit(0.0))
-    one = features.agg(F.min(F.struct((-popular).alias("x"), "id")).alias("most_popular"), F.min(F.struct(popular.alias("x"), "id")).alias("least_popular"))
-    few = sizes.agg(F.min(F.struct("n", "id")).alias("fewest_terms"))
-    family = features.where("collection_name is not null").groupBy("collection_name").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n >= 4").agg(F.min("id").alias("id"))
-    return (
-        one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("purpose"), F.col(f"{c}.id").alias("id")) for c in ("most_popular", "least_popular")))).alias("p")).select("p.*")
-        .unionByName(few.select(F.lit("fewest_terms").alias("purpose"), F.col("fewest_terms.id").alias("id")))
-        .unionByName(family.select(F.lit("family").alias("purpose"), "id"))
-        .where("id is not null")
-    )
+#: Genres that name a kind of query. Fixed values.
+GENRE_PURPOSES = {"documentary": ("documentary",), "animation_family": ("animation", "family")}
+
+
+def select_queries(features: DataFrame, weights: DataFrame, groups: DataFrame, genres: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(purpose, id): items worth a look, each the one with the smallest id of its kind; a kind without items has no row.
+
+    popular, obscure and sparse_features are the extremes of popularity and of the number of terms, items without terms included. no_overview,
+    those of GENRE_PURPOSES (genres as tokens), same_title and franchise (three others in its collection) are the first that are so.
+    """
+    genres = GENRE_PURPOSES if genres is None else genres
+    terms = weights.groupBy(F.col("item_id").alias("id")).agg(F.count("*").alias("n_terms"))
+    labelled = groups.where("kind in ('franchise', 'same_title')").select("kind", "group_key", F.col("item_id").alias("id"))
+    sizes = labelled.groupBy("kind", "group_key").agg(F.count("*").alias("size"))
+    kin = labelled.join(sizes, ["kind", "group_key"]).groupBy("id").agg(F.max(F.when(F.col("kind") == "franchise", F.col("size"))).alias("family"), F.count_if((F.col("kind") == "same_title") & (F.col("size") > 1)).alias("namesakes"))
+    rows = features.select("id", F.coalesce("popularity", F.lit(0.0)).alias("popularity"), F.col("tokens.genres").alias("genres"), F.size("tokens.overview").alias("n_overview"))
+    rows = rows.join(terms, "id", "left").join(kin, "id", "left").withColumn("n_terms", F.coalesce("n_terms", F.lit(0)))
+    first = lambda condition: F.min(F.when(condition, F.col("id")))
+    kinds = {
+        "popular": F.min(F.struct((-F.col("popularity")).alias("x"), "id"))["id"], "obscure": F.min(F.struct("popularity", "id"))["id"], "sparse_features": F.min(F.struct("n_terms", "id"))["id"],
+        "no_overview": first(F.col("n_overview") == 0), **{k: first(F.arrays_overlap("genres", F.array(*map(F.lit, names)))) for k, names in genres.items()},
+        "same_title": first(F.col("namesakes") > 0), "franchise": first(F.col("family") >= 4),
+    }
+    one = rows.agg(*(c.alias(k) for k, c in kinds.items()))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("purpose"), F.col(k).alias("id")) for k in kinds))).alias("p")).select("p.*").where("id is not null")

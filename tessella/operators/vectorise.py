@@ -7,11 +7,13 @@ the tokens to the norms: one shuffle by item, and one join with the document fre
 from __future__ import annotations
 
 import math
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.plans.config import FIELDS, REPRESENTATIONS, Config
+from tessella.plans.config import BLOCK_MODES, FIELDS, REPRESENTATIONS, Config
 
 
 def token_table(features: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -99,27 +101,43 @@ def representation(features: DataFrame, config: Config, fields: str | tuple[str,
     raise ValueError(f"unknown block mode {config.block_mode!r}")
 
 
-def geometry(weights: DataFrame, features: DataFrame) -> DataFrame:
-    """One row: items, dimensions, nonzeros, density_pct, mean_nonzeros, empty_items. An empty matrix has density 0."""
+def geometry(weights: DataFrame, features: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row: items, dimensions, nonzeros, density_pct, mean_nonzeros, empty_items. An empty matrix has density 0. by names the
+    columns that keep several matrices apart; each has a row."""
     n = features.agg(F.count("*")).scalar()
-    cells = weights.agg(F.count("*").alias("nonzeros"), F.countDistinct("item_id").alias("_rows"))
-    words = weights.select("field", "term").distinct().agg(F.count("*")).scalar()
-    out = cells.select(n.alias("items"), words.alias("dimensions"), "nonzeros", "_rows")
+    cells = weights.groupBy(*by).agg(F.count("*").alias("nonzeros"), F.countDistinct("item_id").alias("_rows"))
+    words = weights.select(*by, "field", "term").distinct().groupBy(*by).agg(F.count("*").alias("dimensions"))
+    both = cells.join(words, list(by)) if by else cells.withColumn("dimensions", words.scalar())
+    out = both.withColumn("items", n)
     size = F.col("items").cast("double") * F.col("dimensions").cast("double")
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     cells = F.col("nonzeros").cast("double")
-    return out.select("items", "dimensions", "nonzeros", F.round(ratio(cells * 100, size), 6).alias("density_pct"), F.round(ratio(cells, F.col("items").cast("double")), 6).alias("mean_nonzeros"), (F.col("items") - F.col("_rows")).alias("empty_items"))
+    return out.select(*by, "items", "dimensions", "nonzeros", F.round(ratio(cells * 100, size), 6).alias("density_pct"), F.round(ratio(cells, F.col("items").cast("double")), 6).alias("mean_nonzeros"), (F.col("items") - F.col("_rows")).alias("empty_items"))
 
 
-def energy_share(weights: DataFrame) -> DataFrame:
+def energy_share(weights: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(field, share_pct): each field's part of the squared weights."""
-    by = weights.groupBy("field").agg(F.sum(F.col("w") * F.col("w")).alias("e"))
-    return by.select("field", F.round(F.col("e") * 100 / F.sum("e").over(Window.partitionBy()), 2).alias("share_pct"))
+    sums = weights.groupBy(*by, "field").agg(F.sum(F.col("w") * F.col("w")).alias("e"))
+    return sums.select(*by, "field", F.round(F.col("e") * 100 / F.sum("e").over(Window.partitionBy(*by)), 2).alias("share_pct"))
 
 
-def coverage_by_field(weights: DataFrame) -> DataFrame:
+def coverage_by_field(weights: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(field, items): items with at least one cell."""
-    return weights.select("field", "item_id").distinct().groupBy("field").agg(F.count("*").alias("items"))
+    return weights.select(*by, "field", "item_id").distinct().groupBy(*by, "field").agg(F.count("*").alias("items"))
+
+
+def field_columns(rows: DataFrame, value: str, prefix: str, by: tuple[str, ...]) -> DataFrame:
+    """Rows (by, field, value) as one row for each by, with a column for each field; what isn't there is 0."""
+    return rows.groupBy(*by).agg(*(F.coalesce(F.max(F.when(F.col("field") == f, F.col(value))), F.lit(0)).alias(f"{prefix}_{f}") for f in FIELDS))
+
+
+def comparison(features: DataFrame, config: Config) -> DataFrame:
+    """(representation, block_mode, geometry, share_<field>, items_<field>): every representation in both block modes."""
+    by = ("representation", "block_mode")
+    tables = [representation(features, replace(config, block_mode=mode), r).select(F.lit(r).alias("representation"), F.lit(mode).alias("block_mode"), "*") for mode in BLOCK_MODES for r in REPRESENTATIONS]
+    weights = reduce(DataFrame.unionByName, tables).persist()
+    shares, items = field_columns(energy_share(weights, by), "share_pct", "share", by), field_columns(coverage_by_field(weights, by), "items", "items", by)
+    return geometry(weights, features, by).join(shares, list(by)).join(items, list(by))
 
 
 def weight_for_share(target: float, current: float) -> float:

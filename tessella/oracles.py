@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.plans.config import FIELDS, FUNCTION_WORDS, LABEL_KINDS, REPRESENTATIONS
+from tessella.plans.config import BLOCK_MODES, FIELDS, FUNCTION_WORDS, LABEL_KINDS, REPRESENTATIONS
 from tessella.plans.experiments import CAST_SIZES, GENRE_WEIGHTS, SHARED_TERMS
 
 _STOP = ", ".join(f"'{w}'" for w in FUNCTION_WORDS)
@@ -128,14 +128,53 @@ lab_sc{tag} AS (SELECT kind, CAST(k AS BIGINT) AS k, count(*) AS queries, round(
 """
 
 
+_DOC_GROUPS = f"""
+grp AS (SELECT kind, group_key, item_id FROM (SELECT DISTINCT * FROM (
+  SELECT 'franchise' AS kind, sha256(text) AS group_key, doc_id AS item_id FROM documents
+  UNION ALL SELECT 'same_title', trim(regexp_replace(replace(lower({_FIRST}), 'ß', 'ss'), '{_WS}', ' ', 'g')), doc_id FROM documents
+  UNION ALL SELECT 'director', lower(source), doc_id FROM documents) WHERE group_key <> '') QUALIFY count(*) OVER (PARTITION BY kind, group_key) >= 2)
+"""
+
+_PERCENTILES = "pct AS (SELECT p_partkey AS item_id, (rank() OVER (ORDER BY coalesce(popularity, 0)) - 1 + (count(*) OVER (PARTITION BY coalesce(popularity, 0)) - 1) / 2.0) / greatest(count(*) OVER () - 1, 1) * 100.0 AS percentile FROM pp)"
+
+
+def _geometry(tag: str = "") -> str:
+    """Columns of one row over wts and items."""
+    return f"""(SELECT count(*) FROM items) AS items, (SELECT count(*) FROM (SELECT DISTINCT field, term FROM wts{tag})) AS dimensions, (SELECT count(*) FROM wts{tag}) AS nonzeros,
+  round((SELECT count(*) FROM wts{tag}) * 100.0 / ((SELECT count(*) FROM items) * (SELECT count(*) FROM (SELECT DISTINCT field, term FROM wts{tag}))), 6) AS density_pct,
+  round((SELECT count(*) FROM wts{tag}) / (SELECT count(*) FROM items), 6) AS mean_nonzeros, (SELECT count(*) FROM items) - (SELECT count(DISTINCT item_id) FROM wts{tag}) AS empty_items,
+  {", ".join(f"coalesce((SELECT round(sum(w * w) * 100 / (SELECT sum(w * w) FROM wts{tag}), 2) FROM wts{tag} WHERE field = '{f}'), 0) AS share_{f}" for f in FIELDS)}"""
+
+
 def _experiments(rows: list[tuple[str, tuple, float, int, int]]) -> str:
     """(name, fields, genre weight, min shared, cast size) one after another; a cast size replaces tok by a subquery of its own."""
+    kinds, ks = ", ".join(f"('{k}')" for k in LABEL_KINDS), "(5), (10), (20)"
     parts = []
     for i, (name, fields, genre, shared, cast_k) in enumerate(rows):
-        parts.append(f"""SELECT * FROM (WITH {_part(cast_k)}, {_MEMBERS}, {_PAIRS}, {_weights(fields, genre, str(i))}, {_scores("true", str(i))}, {_lists(str(i), shared)}, {_label_scores(str(i), (10,))}
-SELECT '{name}' AS experiment, kind, k, queries, recall, hit_rate, ndcg, mean_relevant,
+        parts.append(f"""SELECT * FROM (WITH {_part(cast_k)}, {_MEMBERS}, {_PAIRS}, {_weights(fields, genre, str(i))}, {_scores("true", str(i))}, {_lists(str(i), shared)}, {_label_scores(str(i))}, {_PERCENTILES},
+pp{i} AS (SELECT rank() OVER (ORDER BY rank) + (count(*) OVER (PARTITION BY rank) - 1) / 2.0 AS a, rank() OVER (ORDER BY percentile) + (count(*) OVER (PARTITION BY percentile) - 1) / 2.0 AS b, percentile FROM fil{i} JOIN pct USING (item_id)),
+br{i} AS (SELECT query_id, count(DISTINCT p_type) AS g, count(DISTINCT CAST(left(release_date, 4) AS INT) // 10) AS d FROM fil{i} JOIN pp ON p_partkey = item_id WHERE rank <= 10 GROUP BY query_id),
+no{i} AS (SELECT kind, count(*) AS n FROM items CROSS JOIN (VALUES {kinds}) v(kind) WHERE (kind, id) NOT IN (SELECT kind, item_id FROM grp) GROUP BY kind)
+SELECT '{name}' AS experiment, v.kind, CAST(ks.k AS BIGINT) AS k, coalesce(l.queries, 0) AS queries, coalesce(n.n, 0) AS unevaluable, coalesce(l.recall, 0) AS recall, coalesce(l.hit_rate, 0) AS hit_rate, coalesce(l.ndcg, 0) AS ndcg, coalesce(l.mean_relevant, 0) AS mean_relevant,
+  (SELECT round(count(DISTINCT item_id) / (SELECT count(*) FROM items), 6) FROM fil{i}) AS coverage,
+  (SELECT round(coalesce(avg(1 - coalesce(s.score, 0)), 0), 6) FROM fil{i} a JOIN fil{i} b ON a.query_id = b.query_id AND a.item_id < b.item_id LEFT JOIN sc{i} s ON s.query_id = a.item_id AND s.item_id = b.item_id) AS diversity,
+  (SELECT round(coalesce(sum(g), 0) / (SELECT count(*) FROM items), 6) FROM br{i}) AS distinct_genres, (SELECT round(coalesce(sum(d), 0) / (SELECT count(*) FROM items), 6) FROM br{i}) AS distinct_decades,
+  (SELECT round(coalesce(avg(score), 0), 6) FROM fil{i} WHERE rank = 1) AS mean_top1_score,
+  (SELECT round(coalesce(count(*) FILTER (WHERE shared <= 3) / nullif(count(*), 0), 0), 6) FROM fil{i} WHERE rank <= 10) AS thin_rate,
   (SELECT round(count(*) / (SELECT count(*) FROM items), 6) FROM fil{i}) AS mean_returned,
-  (SELECT round(coalesce(count(*) FILTER (WHERE shared <= 3) / nullif(count(*), 0), 0), 6) FROM fil{i} WHERE rank <= 10) AS thin_rate FROM lab_sc{i})""")
+  (SELECT round(coalesce(avg(percentile), 0), 6) FROM pp{i}) AS mean_percentile, (SELECT round(CASE WHEN count(*) < 2 OR min(a) = max(a) OR min(b) = max(b) THEN 0 ELSE corr(a, b) END, 6) FROM pp{i}) AS rho,
+  {_geometry(str(i))}
+FROM (VALUES {kinds}) v(kind) CROSS JOIN (VALUES {ks}) ks(k) LEFT JOIN lab_sc{i} l ON l.kind = v.kind AND l.k = ks.k LEFT JOIN no{i} n ON n.kind = v.kind)""")
+    return "\nUNION ALL ".join(parts)
+
+
+def _samples(rows: list[tuple[str, float, int]]) -> str:
+    parts = []
+    for i, (name, genre, shared) in enumerate(rows):
+        parts.append(f"""SELECT * FROM (WITH {_PART}, {_MEMBERS}, {_weights(genre=genre, tag=str(i))}, ask AS (SELECT DISTINCT item_id FROM grp WHERE kind = 'franchise' ORDER BY item_id LIMIT 20), {_scores("q.item_id IN (SELECT item_id FROM ask)", str(i))}
+SELECT '{name}' AS experiment, query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s.item_id) AS rank, s.item_id, p_name AS title, round(score, 6) AS score, shared,
+  EXISTS (SELECT 1 FROM grp a JOIN grp b USING (kind, group_key) WHERE kind = 'franchise' AND a.item_id = query_id AND b.item_id = s.item_id) AS same_collection
+FROM sc{i} s JOIN part ON p_partkey = s.item_id WHERE shared >= {shared} QUALIFY rank <= 10)""")
     return "\nUNION ALL ".join(parts)
 
 
@@ -166,7 +205,6 @@ SELECT n, round(a[1], 2) AS min, CASE WHEN n > 3 THEN round((a[j1] * (4 - (n + 1
   CASE WHEN n > 19 THEN round((a[j95] * (20 - (19 * (n + 1) - j95 * 20)) + a[j95 + 1] * (19 * (n + 1) - j95 * 20)) / 20, 2) END AS p95, round(a[n], 2) AS max FROM q
 """
 
-_PERCENTILES = "pct AS (SELECT p_partkey AS item_id, (rank() OVER (ORDER BY coalesce(popularity, 0)) - 1 + (count(*) OVER (PARTITION BY coalesce(popularity, 0)) - 1) / 2.0) / greatest(count(*) OVER () - 1, 1) * 100.0 AS percentile FROM pp)"
 
 
 def _search(query: str, limit: int) -> str:
@@ -177,28 +215,45 @@ SELECT row_number() OVER (ORDER BY tier, lower(title), id) AS place, id, title,
 """
 
 
+#: The events' lines as they might arrive, and the value of k in each.
+_RAW = r"""
+raw AS (SELECT event_id AS line_no, event_id % 10 AS kind, props FROM events WHERE event_id % 10 <> 2),
+typed AS (SELECT line_no, CASE kind WHEN 0 THEN 'json_decode_error' WHEN 1 THEN 'record_is_not_an_object' END AS error,
+  CASE kind WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 3 THEN 'STRING' WHEN 4 THEN 'BOOLEAN' WHEN 5 THEN 'DECIMAL(2,1)' WHEN 6 THEN 'VOID' WHEN 7 THEN 'STRING' ELSE 'BIGINT' END AS k_kind,
+  CASE WHEN kind >= 8 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
+  CASE WHEN kind >= 8 THEN CAST(json_extract(props, '$.k') AS DOUBLE) WHEN kind = 5 THEN 1.5 END AS k_number,
+  CASE kind WHEN 3 THEN chr(9) || '-' || line_no || chr(160) WHEN 7 THEN 'x1' END AS k_text, CASE WHEN kind = 4 THEN true END AS k_flag,
+  CASE WHEN kind >= 8 THEN CAST(json_extract(props, '$.k') AS BIGINT) WHEN kind = 3 THEN -line_no END AS id FROM raw)
+"""
+#: The varied parts: brands, types in two cases, a director each for type and brand, and credits out of order.
+_BRAND, _TYPE = "lower(replace(p_brand, '#', ''))", "replace(lower(p_type), ' ', '_')"
+
 _PLACEHOLDER = r"^no overview available\.?$|^no overview found\.?$|^n/?a$|^unknown$|^tbd$|^coming soon$|^lorem ipsum|^[^\p{L}\p{N}_]*$"
 
 ORACLES = {
-    "ingest_events_props": "SELECT event_id AS line_no, CAST(NULL AS VARCHAR) AS error, 'BIGINT' AS k_kind, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE trim(props) <> ''",
-    "coerce_id": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS whole, -CAST(json_extract(props, '$.k') AS BIGINT) AS digits, CAST(NULL AS BIGINT) AS broken FROM events",
+    "ingest_events_props": f"WITH {_RAW} SELECT line_no, error, k_kind, k, k_number, k_text, k_flag FROM typed",
+    "coerce_id": f"WITH {_RAW} SELECT line_no, id FROM typed",
+    "load_samples": f"WITH {_RAW} SELECT * FROM (SELECT 'malformed' AS reason, line_no, error AS detail FROM typed WHERE error IS NOT NULL ORDER BY line_no LIMIT 10) UNION ALL SELECT * FROM (SELECT 'invalid_id', line_no, NULL FROM typed WHERE error IS NULL AND id IS NULL ORDER BY line_no LIMIT 10) UNION ALL SELECT * FROM (SELECT 'duplicate_id', line_no, CAST(id AS VARCHAR) FROM typed WHERE error IS NULL AND id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY line_no) > 1 ORDER BY line_no LIMIT 10)",
+    "manifest_corpus": f"WITH {_PART}, {_PART_DOC}, n AS (SELECT id, count(*) AS n FROM blocks GROUP BY id) SELECT count(*) AS records, count(n) AS nonempty_documents, CAST(sum(coalesce(n, 0)) AS BIGINT) AS total_tokens, round(sum(coalesce(n, 0)) / count(*), 4) AS mean_tokens, CAST(0 AS BIGINT) AS stinger_items FROM items LEFT JOIN n USING (id)",
+    "validate_corpus": "SELECT count(*) AS rows, count(text) AS complete, count(*) >= 100 AND count(*) = count(text) AS usable FROM documents",
+    "stratified_sample": "WITH s AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY md5(p_partkey || ':42'), p_partkey) AS place, count(*) OVER (PARTITION BY p_type) AS size FROM part), q AS (SELECT p_type, size, least(size, ceil(300.0 / count(*) OVER ())) AS taken FROM (SELECT DISTINCT p_type, size FROM s)), k AS (SELECT p_type, taken + greatest(0, least(size - taken, greatest(300 - sum(taken) OVER (), 0) - coalesce(sum(size - taken) OVER (ORDER BY size - taken DESC, p_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS keep FROM q) SELECT p_partkey, s.p_type FROM s JOIN k USING (p_type) WHERE place <= keep",
     "text_normalise": f"SELECT doc_id, md5({_NORM}) AS digest FROM documents",
     "tokenize_documents": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_terms, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, list_filter(regexp_extract_all({_NORM}, '[\\p{{L}}\\p{{N}}]+'), lambda x: {_KEEP}) AS t FROM documents)",
     "canonical_phrase": "SELECT p_partkey, trim(regexp_replace(lower(p_brand || ' -- ' || p_type || ' -- ' || p_name), '[^a-z0-9_]+', ' ', 'g')) AS phrase FROM part",
     "phrase_tokens": "SELECT c_custkey, replace(lower(c_mktsegment), ' ', '_') AS token FROM customer",
     "release_year": f"WITH {_PART} SELECT p_partkey AS id, release_date, CAST(left(release_date, 4) AS BIGINT) AS release_year FROM pp",
-    "normalise_name": f"SELECT doc_id, trim(regexp_replace(replace(lower({_FIRST}), 'ß', 'ss'), '{_WS}', ' ', 'g')) AS name FROM documents",
-    "project_nested": f"WITH {_PART} SELECT p_partkey AS id, coalesce(c, '') AS \"cast\", replace(p_brand, '#', '') AS crew FROM part LEFT JOIN (SELECT id, string_agg(name, '|' ORDER BY o) AS c FROM cast_names WHERE o < 3 GROUP BY id) ON id = p_partkey",
+    "normalise_name": f"SELECT doc_id, md5(trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '{_WS}', ' ', 'g'))) AS digest FROM documents",
+    "project_nested": f"WITH {_PART} SELECT p_partkey AS id, coalesce(c, '') AS \"cast\", 'Director:' || p_type || '|Story:' || p_name || '|Director:' || replace(p_brand, '#', '') AS crew FROM part LEFT JOIN (SELECT id, string_agg(name, '|' ORDER BY CASE WHEN id % 3 = 0 THEN -o ELSE o END) AS c FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN id % 3 = 0 THEN -o ELSE o END) AS place FROM cast_names) WHERE place <= 3 GROUP BY id) ON id = p_partkey",
     "resume_anti_join": "SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)",
     "overview_block": _doc_block("overview"),
     "keyword_block": _doc_block("keywords"),
-    "genre_block": "SELECT p_partkey AS id, CAST(1 AS BIGINT) AS n, md5(replace(lower(p_type), ' ', '_')) AS digest FROM part",
+    "genre_block": f"SELECT p_partkey AS id, CASE WHEN {_BRAND} = {_TYPE} THEN 1 ELSE 2 END AS n, md5({_TYPE} || CASE WHEN {_BRAND} = {_TYPE} THEN '' ELSE ' ' || {_BRAND} END) AS digest FROM part",
     "cast_block": f"WITH {_PART} SELECT p_partkey AS id, coalesce(n, 0) AS n, md5(coalesce(d, '')) AS digest FROM part LEFT JOIN (SELECT id, count(*) AS n, string_agg(name, ' ' ORDER BY o) AS d FROM cast_names WHERE o < 5 GROUP BY id) ON id = p_partkey",
-    "director_block": "SELECT p_partkey AS id, CAST(1 AS BIGINT) AS n, md5(lower(replace(p_brand, '#', ''))) AS digest FROM part",
+    "director_block": f"SELECT id, CAST(len(t) AS BIGINT) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT p_partkey AS id, list_filter(regexp_extract_all(CASE WHEN replace(p_brand, '#', '') <= p_type THEN {_BRAND} || ' ' || lower(p_type) ELSE lower(p_type) || ' ' || {_BRAND} END, '[a-z0-9]+'), lambda x: length(x) >= 2) AS t FROM part)",
     "feature_records": f"WITH {_PART}, {_PART_DOC} SELECT p_partkey AS id, p_name AS title, p_brand || ' ' || p_name AS original_title, CAST(left(release_date, 4) AS INT) AS release_year, p_brand || ' ' || p_type AS collection_name, popularity, CAST(votes AS DOUBLE) AS vote_count, n AS document_size, d AS document FROM pp JOIN (SELECT id, count(*) AS n, string_agg(x, ' ' ORDER BY b, pos) AS d FROM blocks GROUP BY id) ON id = p_partkey",
     "item_metadata": f"WITH {_PART}, {_PART_DOC} SELECT p_partkey AS id, p_name AS title, p_brand || ' ' || p_name AS original_title, CAST(left(release_date, 4) AS BIGINT) AS release_year, lower(p_type) AS genres, popularity, CAST(NULL AS DOUBLE) AS vote_average, CAST(votes AS DOUBLE) AS vote_count, p_brand || ' ' || p_type AS collection_name, {', '.join(f'count(*) FILTER (WHERE b = {i}) AS n_{f}' for i, f in enumerate(FIELDS))} FROM pp JOIN blocks ON id = p_partkey GROUP BY ALL",
     "dedupe_first_wins": "SELECT l_partkey AS id, min(l_orderkey * 10 + l_linenumber) AS line_no FROM lineitem GROUP BY l_partkey",
-    "load_report": "SELECT count(*) AS lines_total, count(*) AS records_parsed, CAST(0 AS BIGINT) AS malformed, CAST(0 AS BIGINT) AS invalid_id, count(*) - count(DISTINCT props) AS duplicate_id, count(DISTINCT props) AS kept FROM events WHERE trim(props) <> ''",
+    "load_report": f"WITH {_RAW} SELECT count(*) AS lines_total, count(*) FILTER (WHERE error IS NULL) AS records_parsed, count(error) AS malformed, count(*) FILTER (WHERE error IS NULL AND id IS NULL) AS invalid_id, count(id) - count(DISTINCT id) AS duplicate_id, count(DISTINCT id) AS kept FROM typed",
     "manifest_token_stats": f"WITH {_DOC}, f AS (SELECT unnest([{', '.join(repr(f) for f in FIELDS)}]) AS field), t AS (SELECT field, count(*) AS n, count(DISTINCT item_id) AS d FROM tok GROUP BY field) SELECT field, coalesce(n, 0) AS n_tokens, round(coalesce(n, 0) * 100.0 / (SELECT count(*) FROM tok), 2) AS share_pct, (SELECT count(*) FROM items) - coalesce(d, 0) AS empty_blocks, round(coalesce(n, 0) / (SELECT count(*) FROM items), 4) AS mean_tokens FROM f LEFT JOIN t USING (field)",
     "tf_sublinear": f"WITH {_DOC}, {_weights()} SELECT item_id, count(*) AS n, round(sum(1 + ln(tf)), 6) AS sum_tf FROM tf WHERE field = 'overview' GROUP BY item_id",
     "idf_smooth": f"WITH {_DOC}, {_weights()} SELECT field, term, df, round(ln((1.0 + (SELECT count(*) FROM items)) / (1 + df)) + 1, 6) AS idf FROM df",
@@ -209,10 +264,7 @@ ORACLES = {
     "representation_d": f"WITH {_PART}, {_weights(genre=0.44)} SELECT item_id, field, term, round(w, 6) AS w FROM wts",
     "representation_flat": f"WITH {_DOC}, {_weights(strict=True)} {_SUMS} wts GROUP BY item_id",
     "representation_geometry": f"WITH {_DOC}, {_weights()}, n AS (SELECT (SELECT count(*) FROM items) AS items, (SELECT count(*) FROM (SELECT DISTINCT field, term FROM wts)) AS dimensions, count(*) AS nonzeros, count(DISTINCT item_id) AS r FROM wts) SELECT items, dimensions, nonzeros, round(nonzeros * 100.0 / (items * dimensions), 6) AS density_pct, round(nonzeros / items, 6) AS mean_nonzeros, items - r AS empty_items FROM n",
-    "representation_compare": "\nUNION ALL ".join(
-        f"SELECT * FROM (WITH {_PART}, {_weights(fields)}, n AS (SELECT (SELECT count(*) FROM items) AS items, (SELECT count(*) FROM (SELECT DISTINCT field, term FROM wts)) AS dimensions, count(*) AS nonzeros, count(DISTINCT item_id) AS r FROM wts) SELECT items, dimensions, nonzeros, round(nonzeros * 100.0 / (items * dimensions), 6) AS density_pct, round(nonzeros / items, 6) AS mean_nonzeros, items - r AS empty_items, '{key}' AS representation FROM n)"
-        for key, fields in REPRESENTATIONS.items()
-    ),
+    "representation_compare": "\nUNION ALL ".join(f"SELECT * FROM (WITH {_PART}, {_weights(fields, strict=mode == 'flat')} SELECT '{key}' AS representation, '{mode}' AS block_mode, {_geometry()}, {', '.join(f"(SELECT count(DISTINCT item_id) FROM wts WHERE field = '{f}') AS items_{f}" for f in FIELDS)})" for mode in BLOCK_MODES for key, fields in REPRESENTATIONS.items()),
     "field_energy_share": f"WITH {_DOC}, {_weights(genre=0.44)} SELECT field, round(sum(w * w) * 100 / (SELECT sum(w * w) FROM wts), 2) AS share_pct FROM wts GROUP BY field",
     "field_coverage": f"WITH {_DOC}, {_weights()} SELECT field, count(DISTINCT item_id) AS items FROM wts GROUP BY field",
     "weight_solver": f"WITH {_PART}, {_weights()} SELECT field, share_pct, round(sqrt(0.05 / 0.95 * (1 - share_pct / 100) / (share_pct / 100)), 6) AS weight FROM (SELECT field, round(sum(w * w) * 100 / (SELECT sum(w * w) FROM wts), 2) AS share_pct FROM wts GROUP BY field)",
@@ -230,12 +282,17 @@ ORACLES = {
     "sparse_topk": f"{_DOC_SEARCH} SELECT query_id, item_id, round(score, 6) AS score, {_RANK} AS rank FROM sc QUALIFY rank <= 20",
     "topk_batch": f"WITH {_PART}, {_weights(genre=0.44)}, {_scores('true')} SELECT query_id, item_id, round(score, 6) AS score, shared, {_RANK} AS rank FROM sc QUALIFY rank <= 10",
     "search_titles": f"SELECT * FROM ({_search('brand#1', 50)}) UNION ALL SELECT * FROM ({_search('ring', 20)})",
-    "select_queries": f"WITH {_PART}, {_weights()}, z AS (SELECT item_id, count(*) AS n FROM wts GROUP BY item_id) SELECT 'most_popular' AS purpose, (SELECT p_partkey FROM pp ORDER BY coalesce(popularity, 0) DESC, p_partkey LIMIT 1) AS id UNION ALL SELECT 'least_popular', (SELECT p_partkey FROM pp ORDER BY coalesce(popularity, 0), p_partkey LIMIT 1) UNION ALL SELECT 'fewest_terms', (SELECT item_id FROM z ORDER BY n, item_id LIMIT 1) UNION ALL SELECT 'family', (SELECT min(m) FROM (SELECT min(p_partkey) AS m FROM part GROUP BY p_brand, p_type HAVING count(*) >= 4))",
+    "select_queries": f"""WITH {_PART}, {_MEMBERS}, {_weights()}, z AS (SELECT id, count(item_id) AS n FROM items LEFT JOIN wts ON item_id = id GROUP BY id),
+r AS (SELECT 'popular' AS purpose, (SELECT p_partkey FROM pp ORDER BY coalesce(popularity, 0) DESC, p_partkey LIMIT 1) AS id UNION ALL SELECT 'obscure', (SELECT p_partkey FROM pp ORDER BY coalesce(popularity, 0), p_partkey LIMIT 1)
+UNION ALL SELECT 'sparse_features', (SELECT id FROM z ORDER BY n, id LIMIT 1) UNION ALL SELECT 'no_overview', (SELECT min(id) FROM items WHERE id NOT IN (SELECT item_id FROM tok WHERE field = 'overview'))
+UNION ALL SELECT 'documentary', (SELECT min(p_partkey) FROM part WHERE p_type = 'ECONOMY') UNION ALL SELECT 'animation_family', (SELECT min(p_partkey) FROM part WHERE p_type IN ('PROMO', 'SMALL'))
+UNION ALL SELECT 'same_title', (SELECT min(item_id) FROM grp WHERE kind = 'same_title') UNION ALL SELECT 'franchise', (SELECT min(item_id) FROM (SELECT item_id, count(*) OVER (PARTITION BY group_key) AS n FROM grp WHERE kind = 'franchise') WHERE n >= 4))
+SELECT * FROM r WHERE id IS NOT NULL""",
     "label_groups": f"WITH {_PART}, {_MEMBERS} SELECT * FROM grp",
     "labels_restricted": f"WITH {_PART}, {_MEMBERS}, r AS (SELECT mem.* FROM mem JOIN part ON p_partkey = item_id WHERE p_size >= 25) SELECT * FROM r QUALIFY count(*) OVER (PARTITION BY kind, group_key) >= 2",
-    "label_pairs": f"WITH grp AS (SELECT DISTINCT * FROM (SELECT 'franchise' AS kind, sha256(text) AS group_key, doc_id AS item_id FROM documents UNION ALL SELECT 'same_title', trim(regexp_replace(replace(lower({_FIRST}), 'ß', 'ss'), '{_WS}', ' ', 'g')), doc_id FROM documents UNION ALL SELECT 'director', lower(source), doc_id FROM documents) WHERE group_key <> ''), {_PAIRS} SELECT * FROM pairs WHERE query_id % 100 = 0",
+    "label_pairs": f"WITH {_DOC_GROUPS}, {_PAIRS} SELECT * FROM pairs WHERE query_id % 100 = 0",
     "label_summary": f"WITH {_PART}, {_MEMBERS} SELECT kind, count(DISTINCT group_key) AS groups, count(DISTINCT item_id) AS items FROM grp GROUP BY kind",
-    "eval_unevaluable": f"WITH {_PART}, {_MEMBERS}, {_PAIRS} SELECT kind, count(*) AS queries FROM items CROSS JOIN (SELECT unnest([{', '.join(repr(k) for k in LABEL_KINDS)}]) AS kind) WHERE (kind, id) NOT IN (SELECT kind, query_id FROM pairs) GROUP BY kind",
+    "eval_unevaluable": f"WITH {_DOC_GROUPS} SELECT kind, count(*) AS queries FROM documents CROSS JOIN (SELECT unnest([{', '.join(repr(k) for k in LABEL_KINDS)}]) AS kind) WHERE (kind, doc_id) NOT IN (SELECT kind, item_id FROM grp) GROUP BY kind",
     "eval_recall": f"{_PART_EVAL}, {_MEMBERS}, {_PAIRS}, {_label_scores()} SELECT * EXCLUDE (ndcg) FROM lab_sc",
     "eval_ndcg": f"{_PART_EVAL}, {_MEMBERS}, {_PAIRS}, {_label_scores()} SELECT kind, k, ndcg FROM lab_sc",
     "eval_coverage": f"{_PART_EVAL} SELECT round(count(DISTINCT item_id) / (SELECT count(*) FROM items), 6) AS coverage FROM fil",
@@ -248,13 +305,16 @@ ORACLES = {
     "eval_spearman": f"{_PART_EVAL}, {_PERCENTILES}, r AS (SELECT rank() OVER (ORDER BY rank) + (count(*) OVER (PARTITION BY rank) - 1) / 2.0 AS a, rank() OVER (ORDER BY percentile) + (count(*) OVER (PARTITION BY percentile) - 1) / 2.0 AS b FROM fil JOIN pct USING (item_id)) SELECT round(corr(a, b), 6) AS rho FROM r",
     "popularity_percentiles": f"WITH {_PART}, {_PERCENTILES} SELECT item_id, round(percentile, 6) AS percentile FROM pct",
     "audit_missing": f"WITH {_DOC}, n AS (SELECT count(*) AS c FROM documents), x AS (SELECT 'title' AS item, count(*) FILTER (WHERE {_strip(_FIRST)} = '') AS n FROM dd UNION ALL SELECT 'overview_blank', count(*) FILTER (WHERE {_strip('text')} = '') FROM dd UNION ALL SELECT 'genres', count(*) FILTER (WHERE coalesce(trim(lang), '') = '') FROM dd UNION ALL SELECT 'keywords', count(*) FILTER (WHERE quality IS NULL AND toxic IS NULL) FROM dd UNION ALL SELECT 'cast', count(*) FROM dd UNION ALL SELECT 'release_date_blank', count(*) FROM dd UNION ALL SELECT 'release_date_malformed', 0 UNION ALL SELECT 'director', count(*) FILTER (WHERE coalesce(trim(source), '') = '') FROM dd) SELECT item, CAST(n AS BIGINT) AS n, round(n * 100.0 / c, 2) AS pct FROM x, n",
-    "audit_ids": "WITH g AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS null_ids, count(*) FILTER (WHERE n > 1) AS duplicated_ids, CAST(sum(n - 1) AS BIGINT) AS redundant_rows FROM g",
+    "audit_ids": "WITH l AS (SELECT CASE WHEN l_linenumber <> 3 THEN l_orderkey END AS id FROM lineitem), g AS (SELECT id, count(*) AS n FROM l GROUP BY id) SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(coalesce(sum(n) FILTER (WHERE id IS NULL), 0) AS BIGINT) AS null_ids, count(*) FILTER (WHERE id IS NOT NULL AND n > 1) AS duplicated_ids, CAST(coalesce(sum(n - 1) FILTER (WHERE id IS NOT NULL), 0) AS BIGINT) AS redundant_rows FROM g",
     "audit_title_groups": f"WITH {_PART}, k AS (SELECT 'exact' AS g, p_name AS a, '' AS y, p_partkey AS id FROM pp UNION ALL SELECT 'normalised', trim(regexp_replace(lower(p_name), '[^a-z0-9_]+', ' ', 'g')), '', p_partkey FROM pp UNION ALL SELECT 'normalised_year', trim(regexp_replace(lower(p_name), '[^a-z0-9_]+', ' ', 'g')), left(release_date, 4), p_partkey FROM pp WHERE release_date IS NOT NULL), c AS (SELECT g, count(DISTINCT id) AS n FROM k GROUP BY g, a, y) SELECT g AS grouping, count(*) FILTER (WHERE n > 1) AS groups, CAST(sum(n - 1) AS BIGINT) AS redundant FROM c GROUP BY g",
     "audit_text_quality": f"WITH x AS (SELECT {_strip('text')} AS o, lower({_strip(_FIRST)}) AS t FROM documents), y AS (SELECT *, o <> '' AND regexp_matches(lower(o), '{_PLACEHOLDER}') AS p FROM x) SELECT count(*) FILTER (WHERE p) AS placeholders, count(*) FILTER (WHERE o <> '' AND NOT p AND length(o) < 40) AS stubs, count(*) FILTER (WHERE o <> '' AND NOT p AND length(o) >= 40) AS prose, count(*) FILTER (WHERE regexp_matches(t, '^(test|untitled|untitled[0-9]*|dummy|placeholder|sample|example|movie|film|asdf|qwerty|xxx+|\\?+)$')) AS junk_titles, count(*) FILTER (WHERE regexp_matches(t, '^[0-9\\s.\\-]+$')) AS numeric_titles FROM y",
     "audit_usability": f"WITH {_PART}, x AS (SELECT release_date IS NOT NULL AS d, id IS NOT NULL AS c, length(p_name || ' ' || p_type) >= 40 AS o FROM pp LEFT JOIN (SELECT DISTINCT id FROM cast_names) ON id = p_partkey) SELECT count(*) FILTER (WHERE d AND c AND o) AS full_tier, count(*) FILTER (WHERE d AND c) AS core_tier, count(*) AS minimal_tier FROM x",
     "audit_describe": _DESCRIBE,
-    "audit_distributions": f"WITH {_PART}, k AS (SELECT 'size ' || p_size AS v, count(*) AS n FROM part GROUP BY 1) SELECT 'genre' AS kind, p_type AS value, count(*) AS n FROM part GROUP BY p_type UNION ALL SELECT 'keyword', v, n FROM k UNION ALL SELECT 'year', left(release_date, 4), count(*) FROM pp WHERE release_date IS NOT NULL GROUP BY 2 UNION ALL SELECT 'language', lang, count(*) FROM documents WHERE lang IS NOT NULL GROUP BY lang UNION ALL SELECT 'job', 'Director', count(*) FROM documents UNION ALL SELECT * FROM (SELECT 'top_keyword', v, n FROM k ORDER BY n DESC, v LIMIT 10)",
-    "audit_cast_order": f"WITH {_PART}, c AS (SELECT count(DISTINCT id) AS n FROM cast_names) SELECT n AS credited, n AS ordered, n AS ascending FROM c",
+    "audit_distributions": f"WITH {_PART}, k AS (SELECT 'size ' || p_size AS v, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1) SELECT 'genre' AS kind, p_type AS value, count(*) AS n FROM part GROUP BY p_type UNION ALL SELECT 'keyword', v, n FROM k UNION ALL SELECT 'year', left(release_date, 4), count(*) FROM pp WHERE release_date IS NOT NULL GROUP BY 2 UNION ALL SELECT 'language', lang, count(*) FROM documents WHERE lang IS NOT NULL GROUP BY lang UNION ALL SELECT 'job', j, count(*) * m FROM part, (VALUES ('Director', 2), ('Producer', 1), ('Story', 1), ('Editor', 1)) v(j, m) GROUP BY j, m UNION ALL SELECT * FROM (SELECT 'top_keyword', v, n FROM k ORDER BY n DESC, first LIMIT 10)",
+    "audit_cast_order": f"WITH {_PART}, c AS (SELECT id, count(*) AS n FROM cast_names GROUP BY id) SELECT count(*) AS credited, count(*) FILTER (WHERE id % 5 <> 0) AS ordered, count(*) FILTER (WHERE id % 5 <> 0 AND (id % 3 <> 0 OR n = 1)) AS ascending FROM c",
+    "audit_structure": "SELECT (SELECT count(*) FROM (SELECT p_type FROM part UNION SELECT replace(p_brand, '#', '') FROM part UNION SELECT upper(p_type) FROM part UNION SELECT 'x')) AS distinct_genres, count(DISTINCT p_size) AS distinct_keywords, (SELECT count(*) FROM (SELECT p_size FROM part GROUP BY 1 HAVING count(*) = 1)) AS single_keywords, CAST(0 AS BIGINT) AS adult, count(*) AS in_collection, count(*) AS several_directors FROM part",
+    "audit_list_sizes": f"WITH {_PART}, m AS (SELECT 'keywords' AS measure, 1.0 AS v FROM part UNION ALL SELECT 'genres', 1.0 FROM part UNION ALL SELECT 'cast', count(*) FROM cast_names GROUP BY id UNION ALL SELECT 'runtime', votes - 30 FROM pp WHERE votes > 30)" + ", " + _DESCRIBE.replace("WITH v AS (SELECT CAST(n_chars AS DOUBLE) AS x FROM documents WHERE n_chars IS NOT NULL), s AS (SELECT list(x ORDER BY x) AS a, count(*) AS n FROM v)", "s AS (SELECT measure, list(CAST(v AS DOUBLE) ORDER BY v) AS a, count(*) AS n FROM m GROUP BY measure)").replace("q AS (SELECT a, n,", "q AS (SELECT measure, a, n,").replace("SELECT n, round(a[1], 2) AS min", "SELECT measure, n, round(a[1], 2) AS min"),
+    "exp_samples": _samples([("rep_D", 1.0, 1), ("selected", 0.44, 3)]),
     "exp_representation": _experiments([(f"rep_{k}", f, 1.0, 1, 5) for k, f in REPRESENTATIONS.items()]),
     "exp_genre_sweep": _experiments([(f"genre_w{w:g}", _ALL, w, 1, 5) for w in GENRE_WEIGHTS]),
     "exp_cast_k": _experiments([(f"cast_k{k}", _ALL, 1.0, 1, k) for k in CAST_SIZES]),

@@ -24,6 +24,9 @@ STINGERS = ("duringcreditsstinger", "aftercreditsstinger", "beforecreditsstinger
 #: The representations: more fields from one to the next. Fixed values.
 REPRESENTATIONS = {"A": ("overview",), "B": ("overview", "genres"), "C": ("overview", "genres", "keywords"), "D": FIELDS}
 
+#: One norm for each field, or one for the whole item. Fixed values.
+BLOCK_MODES = ("per_block", "flat")
+
 CUTOFFS = (5, 10, 20)
 THIN_TERMS = 3
 GROUP_SIZE = 2

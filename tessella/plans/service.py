@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import retrieve, vectorise
 from tessella.operators.search import search_titles
 from tessella.plans.config import SELECTED_GENRE_WEIGHT, SELECTED_SHARED_TERMS, Config
+from tessella.sources import artefacts
 
 
 class ServiceError(Exception):
@@ -18,17 +21,25 @@ class ServiceError(Exception):
     code, status = "internal_error", 500
 
     def __init__(self, message: str = "", **details):
-        super().__init__(message or self.code)
+        super().__init__(message or self.code.replace("_", " "))
         self.details = details
 
+    def envelope(self) -> dict:
+        body = {"code": self.code, "message": str(self), "status": self.status}
+        return {"error": body | ({"details": self.details} if self.details else {})}
+
 
 def _error(code: str, status: int) -> type[ServiceError]:
     return type("".join(p.title() for p in code.split("_")), (ServiceError,), {"code": code, "status": status})
 
 
+#: Codes and statuses of answers that can't be given. Fixed values.
 EmptyQuery, QueryTooLong = _error("empty_query", 400), _error("query_too_long", 400)
 InvalidK, InvalidLimit, InsufficientFeatures = _error("invalid_k", 422), _error("invalid_limit", 422), _error("insufficient_features", 422)
-UnknownItem, CatalogueUnavailable = _error("unknown_movie", 404), _error("catalogue_unavailable", 503)
+ValidationError, UnknownItem, CatalogueUnavailable = _error("validation_error", 422), _error("unknown_movie", 404), _error("catalogue_unavailable", 503)
+NotFound, MethodNotAllowed = _error("not_found", 404), _error("method_not_allowed", 405)
+#: Rows of the list of skipped candidates that an answer shows; evidence counts all of them.
+SHOWN_SKIPPED = 1_000
 
 
 @dataclass(frozen=True)
@@ -40,14 +51,46 @@ class Limits:
     max_query_length: int = 200
 
 
+def _whole(value, name: str) -> int:
+    """A whole number, or digits that say one."""
+    if isinstance(value, str) and value.strip().lstrip("+-").isdecimal():
+        return int(value)
+    if isinstance(value, bool) or not isinstance(value, int):
+        raise ValidationError(f"{name} isn't a whole number", **{name: str(value)})
+    return value
+
+
 class Catalogue:
-    """Feature records and their weights, computed once and kept; answers never change them."""
+    """Feature records and their weights, computed or read once and kept; answers never change them."""
 
-    def __init__(self, features: DataFrame, config: Config | None = None, limits: Limits | None = None, min_shared: int = SELECTED_SHARED_TERMS, min_score: float = 0.0):
+    def __init__(self, features: DataFrame, config: Config | None = None, limits: Limits | None = None, min_shared: int = SELECTED_SHARED_TERMS, min_score: float = 0.0, weights: DataFrame | None = None):
+        began = time.perf_counter()
         self.config = config or Config().with_field("genres", weight=SELECTED_GENRE_WEIGHT)
         self.limits, self.min_shared, self.min_score = limits or Limits(), min_shared, min_score
         self.features = features.persist()
-        self.weights = vectorise.representation(self.features, self.config).persist()
+        self.weights = (vectorise.representation(self.features, self.config) if weights is None else weights).persist()
+        self.load_seconds = time.perf_counter() - began
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, config: Config | None = None, **settings) -> Catalogue:
+        """A catalogue from what save() wrote, without computing a weight; CatalogueUnavailable says what is missing, empty or of other settings."""
+        config = config or Config().with_field("genres", weight=SELECTED_GENRE_WEIGHT)
+        try:
+            features = artefacts.read_corpus(spark, path)
+            weights, _, _ = artefacts.load_matrix(spark, f"{path}/matrix", config)
+        except (artefacts.MissingArtefact, ValueError) as e:
+            raise CatalogueUnavailable(str(e)) from e
+        if features.isEmpty():
+            raise CatalogueUnavailable(f"{path} holds no items")
+        return cls(features, config, weights=weights, **settings)
+
+    @staticmethod
+    def save(features: DataFrame, path: str, config: Config | None = None) -> dict:
+        """Writes features, weights and vocabulary for load(), and returns the corpus manifest."""
+        config = config or Config().with_field("genres", weight=SELECTED_GENRE_WEIGHT)
+        manifest = artefacts.write_corpus(features, path, config)
+        artefacts.save_matrix(artefacts.read_corpus(features.sparkSession, path), config, f"{path}/matrix")
+        return manifest
 
     def close(self) -> None:
         self.weights.unpersist()
@@ -62,17 +105,22 @@ class Catalogue:
             raise CatalogueUnavailable()
         return {"status": "ready"}
 
+    def stats(self) -> dict:
+        """Size of the catalogue, and the time that it took to set up."""
+        shape = vectorise.geometry(self.weights, self.features).first()
+        return {"items": shape["items"], "dimensions": shape.dimensions, "nonzeros": shape.nonzeros, "density_pct": shape.density_pct, "load_seconds": round(self.load_seconds, 4)}
+
     def meta(self) -> DataFrame:
         """One row: the matrix's geometry, the gates, the limits and the configuration's fingerprint."""
         extra = {"min_shared_terms": self.min_shared, "default_k": self.limits.default_k, "max_k": self.limits.max_k, "fingerprint": self.config.fingerprint()}
         return vectorise.geometry(self.weights, self.features).withColumns({k: F.lit(v) for k, v in extra.items()})
 
     def search(self, query: str, limit: int | None = None) -> DataFrame:
-        if not query.strip():
+        if not isinstance(query, str) or not query.strip():
             raise EmptyQuery()
         if len(query) > self.limits.max_query_length:
-            raise QueryTooLong()
-        limit = self.limits.default_limit if limit is None else limit
+            raise QueryTooLong(length=len(query), max_query_length=self.limits.max_query_length)
+        limit = self.limits.default_limit if limit is None else _whole(limit, "limit")
         if not 1 <= limit <= self.limits.max_limit:
             raise InvalidLimit(limit=limit)
         return search_titles(self.features, query, limit)
@@ -93,7 +141,7 @@ class Catalogue:
 
     def recommend(self, item_id: int, k: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(recommendations with metadata, skipped, evidence) of one item; k is checked before the id."""
-        k = self.limits.default_k if k is None else k
+        k = self.limits.default_k if k is None else _whole(k, "k")
         if not 1 <= k <= self.limits.max_k:
             raise InvalidK(k=k)
         self._require(item_id)
@@ -107,7 +155,7 @@ class Catalogue:
 
     def recommend_many(self, item_ids: list[int], k: int | None = None) -> DataFrame:
         """Recommendations of several items in one plan; one unknown id fails all."""
-        k = self.limits.default_k if k is None else k
+        k = self.limits.default_k if k is None else _whole(k, "k")
         if not 1 <= k <= self.limits.max_k:
             raise InvalidK(k=k)
         asked = self.features.sparkSession.createDataFrame([(i,) for i in item_ids], "query_id long")
@@ -115,3 +163,37 @@ class Catalogue:
         if missing:
             raise UnknownItem(item_id=missing[0].query_id)
         return retrieve.recommend(retrieve.scores(self.weights, asked), k, self.min_score, self.min_shared)
+
+    def answer(self, method: str, path: str, **asked) -> tuple[int, dict]:
+        """(status, payload) of a request: health, ready, meta, stats, movies/search?q=&limit=, movies/<id>, movies/<id>/recommendations?k=.
+
+        Payloads are plain values; their sizes are bounded by the limits and SHOWN_SKIPPED. Every error has the same envelope, and what
+        wasn't foreseen is an internal_error without details.
+        """
+        try:
+            return 200, self._answer(method, [p for p in path.split("/") if p], asked)
+        except ServiceError as e:
+            return e.status, e.envelope()
+        except Exception:  # noqa: BLE001 - the caller learns that it failed, the log why
+            logging.getLogger(__name__).exception("%s %s", method, path)
+            return ServiceError.status, ServiceError().envelope()
+
+    def _answer(self, method: str, path: list[str], asked: dict) -> dict:
+        rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
+        plain = {"health": self.health, "ready": self.ready, "stats": self.stats, "meta": lambda: rows(self.meta())[0]}
+        known = len(path) == 1 and path[0] in plain or path[:1] == ["movies"] and (len(path) == 2 or len(path) == 3 and path[2] == "recommendations")
+        if not known:
+            raise NotFound("/".join(path))
+        if method.upper() != "GET":
+            raise MethodNotAllowed(method)
+        if path[0] in plain:
+            return plain[path[0]]()
+        if path[1] == "search" and len(path) == 2:
+            found = rows(self.search(asked.get("q", ""), asked.get("limit")))
+            return {"query": asked.get("q"), "total_matches": found[0]["total_matches"] if found else 0, "count": len(found), "results": [{k: v for k, v in r.items() if k != "total_matches"} for r in found]}
+        item = _whole(path[1], "movie_id")
+        if len(path) == 2:
+            return rows(self.details(item))[0]
+        accepted, rejected, evidence = self.recommend(item, asked.get("k"))
+        shown = rejected.orderBy("place").limit(SHOWN_SKIPPED).drop("query_id")
+        return {"query": item, "evidence": rows(evidence)[0], "recommendations": rows(accepted.orderBy("rank").drop("query_id")), "skipped": rows(shown)}

@@ -16,7 +16,7 @@ from tessella.functions.text import canonical_phrase, folded, normalise_name, no
 from tessella.operators import audit, evaluate, features, labels, retrieve, search, vectorise
 from tessella.plans import experiments
 from tessella.plans.config import CUTOFFS, SELECTED_GENRE_WEIGHT, SELECTED_SHARED_TERMS
-from tessella.sources import jsonl
+from tessella.sources import artefacts, jsonl
 from tessella.sources.catalogues import DOC_CONFIG, PART_CONFIG, documents_catalogue, parts_catalogue, table
 
 #: The shipped settings.
@@ -47,12 +47,13 @@ def doc_scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return retrieve.scores(vectorise.representation(found, DOC_SELECTED), queries), queries
 
 
-def part_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(features, queries, scores, filtered lists) of all parts under the shipped settings."""
+def part_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(features, queries, weights, scores, filtered lists) of all parts under the shipped settings."""
     found = part_features(spark, d)
     queries = found.select(F.col("id").alias("query_id"))
-    scored = retrieve.scores(vectorise.representation(found, PART_SELECTED), queries)
-    return found, queries, scored, evaluate.filtered_lists(evaluate.ranked_lists(scored), SELECTED_SHARED_TERMS)
+    weights = vectorise.representation(found, PART_SELECTED)
+    scored = retrieve.scores(weights, queries)
+    return found, queries, weights, scored, evaluate.filtered_lists(evaluate.ranked_lists(scored), SELECTED_SHARED_TERMS)
 
 
 def part_members(spark: SparkSession, d: str) -> DataFrame:
@@ -62,18 +63,39 @@ def part_members(spark: SparkSession, d: str) -> DataFrame:
 # -- sources, gates and text ------------------------------------------------------------------------
 
 
+def raw_events(spark: SparkSession, d: str) -> DataFrame:
+    """(line_no, value): the events' properties as they might arrive, most of every ten lines broken in some way by their number."""
+    e = F.col("event_id")
+    k = lambda text: F.concat(F.lit('{"k": '), F.lit(text) if isinstance(text, str) else text, F.lit("}"))
+    odd = {
+        0: F.substring("props", 1, 4), 1: F.lit("[1, 2]"), 2: F.lit(" \t "), 3: k(F.concat(F.lit('"\\t-'), e.cast("string"), F.lit('\\u00a0"'))), 4: k("true"), 5: k("1.5"), 6: k("null"), 7: k('"x1"'),
+    }
+    value = F.col("props")
+    for n, text in odd.items():
+        value = F.when(e % 10 == n, text).otherwise(value)
+    return table(spark, d, "events").select(e.alias("line_no"), value.alias("value"))
+
+
+def varied_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts with several genres, jobs and directors, and with credits out of order or without an order."""
+    credit = lambda job, name: F.struct(F.lit(job).alias("job"), name.alias("name"))
+    parts = parts_catalogue(spark, d)
+    brand, name = F.col("crew")[0]["name"], F.col("title")
+    crew = F.array(credit("Producer", name), credit("Director", F.col("genres")[0]), credit("Story", name), credit("Director", brand), credit("Editor", name))
+    shuffled = F.when(F.col("id") % 3 == 0, F.reverse("cast")).otherwise(F.col("cast"))
+    cast = F.transform(shuffled, lambda c, i: F.struct(F.when((F.col("id") % 5 != 0) | (i > 0), c["order"]).alias("order"), c["flag"].alias("flag"), c["name"].alias("name")))
+    return parts.withColumn("genres", F.array(F.col("genres")[0], brand, F.upper(F.col("genres")[0]), F.lit("x"))).withColumn("cast", cast).withColumn("crew", crew)
+
+
 def ingest_events_props(spark, d):
-    rows = jsonl.parsed(table(spark, d, "events").select(F.col("event_id").alias("line_no"), "props"), "props")
+    rows = jsonl.parsed(raw_events(spark, d))
     k = gates.part(F.col("record"), "k")
-    return rows.select("line_no", "error", gates.kind(k).alias("k_kind"), gates.integer(k).alias("k"))
+    return rows.select("line_no", "error", gates.kind(k).alias("k_kind"), gates.integer(k).alias("k"), gates.number(k).alias("k_number"), gates.string(k).alias("k_text"), gates.boolean(k).alias("k_flag"))
 
 
 def coerce_id(spark, d):
-    rows = jsonl.parsed(table(spark, d, "events").select("event_id", "props"), "props")
-    k = gates.part(F.col("record"), "k")
-    as_text = F.to_variant_object(F.struct(F.concat(F.lit(" -"), k.cast("string"), F.lit(" ")).alias("k")))
-    broken = F.to_variant_object(F.struct(F.col("event_id").cast("double").alias("k")))
-    return rows.select("event_id", gates.coerced_id(k).alias("whole"), gates.coerced_id(gates.part(as_text, "k")).alias("digits"), gates.coerced_id(gates.part(broken, "k")).alias("broken"))
+    rows = jsonl.parsed(raw_events(spark, d))
+    return rows.select("line_no", gates.coerced_id(gates.part(F.col("record"), "k")).alias("id"))
 
 
 def text_normalise(spark, d):
@@ -101,13 +123,12 @@ def release_year(spark, d):
 
 
 def normalised_names(spark, d):
-    first = F.substring(F.split("text", "\n", 2)[0], 1, 80)
-    return table(spark, d, "documents").select("doc_id", normalise_name(first).alias("name"))
+    return table(spark, d, "documents").select("doc_id", F.md5(normalise_name(F.col("text"))).alias("digest"))
 
 
 def project_nested(spark, d):
-    found = features.project_record(parts_catalogue(spark, d), 3)
-    return found.select("id", F.array_join(F.transform("cast", lambda c: c["name"]), "|").alias("cast"), F.array_join(F.transform("crew", lambda c: c["name"]), "|").alias("crew"))
+    found = features.project_record(varied_parts(spark, d), 3)
+    return found.select("id", F.array_join(F.transform("cast", lambda c: c["name"]), "|").alias("cast"), F.array_join(F.transform("crew", lambda c: F.concat(c["job"], F.lit(":"), c["name"])), "|").alias("crew"))
 
 
 def resume_anti_join(spark, d):
@@ -135,7 +156,7 @@ def keyword_block(spark, d):
 
 
 def genre_block(spark, d):
-    return _block(part_features(spark, d), "genres")
+    return _block(features.feature_records(varied_parts(spark, d), PART_CONFIG), "genres")
 
 
 def cast_block(spark, d):
@@ -143,7 +164,7 @@ def cast_block(spark, d):
 
 
 def director_block(spark, d):
-    return _block(part_features(spark, d), "director")
+    return _block(features.feature_records(varied_parts(spark, d), PART_CONFIG), "director")
 
 
 def feature_records(spark, d):
@@ -159,9 +180,21 @@ def dedupe_first_wins(spark, d):
     return features.first_of_each_id(lines, ("line_no", "l_suppkey", "l_quantity")).select("id", "line_no")
 
 
+def _raw_ids(spark, d):
+    return jsonl.parsed(raw_events(spark, d)).select("line_no", "error", gates.coerced_id(gates.part(F.col("record"), "k")).alias("id"))
+
+
 def load_report(spark, d):
-    rows = jsonl.parsed(table(spark, d, "events").select("props"), "props")
-    return features.load_report(rows.select("error", gates.coerced_id(gates.part(F.col("record"), "k")).alias("id")))
+    return features.load_report(_raw_ids(spark, d).drop("line_no"))
+
+
+def load_samples(spark, d):
+    return artefacts.load_samples(_raw_ids(spark, d))
+
+
+def manifest_corpus(spark, d):
+    found = part_features(spark, d)
+    return artefacts.corpus_counts(found).drop("stinger_labels")
 
 
 def manifest_token_stats(spark, d):
@@ -221,9 +254,7 @@ def representation_geometry(spark, d):
 
 
 def representation_compare(spark, d):
-    found = part_features(spark, d)
-    rows = [vectorise.geometry(vectorise.representation(found, PART_CONFIG, r), found).withColumn("representation", F.lit(r)) for r in "ABCD"]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    return vectorise.comparison(part_features(spark, d), PART_CONFIG)
 
 
 def field_energy_share(spark, d):
@@ -303,7 +334,7 @@ def sparse_topk(spark, d):
 
 
 def topk_batch(spark, d):
-    _, _, scored, _ = part_lists(spark, d)
+    _, _, _, scored, _ = part_lists(spark, d)
     return _shown(retrieve.top_k(scored, 10))
 
 
@@ -312,8 +343,10 @@ def search_titles(spark, d):
 
 
 def select_queries(spark, d):
+    """Parts have no films' genres, so two of theirs stand for them."""
     found = part_features(spark, d)
-    return search.select_queries(found, vectorise.representation(found, PART_CONFIG))
+    groups = labels.label_groups(part_members(spark, d))
+    return search.select_queries(found, vectorise.representation(found, PART_CONFIG), groups, {"documentary": ("economy",), "animation_family": ("promo", "small")})
 
 
 # -- labels and evaluation --------------------------------------------------------------------------
@@ -338,17 +371,15 @@ def label_summary(spark, d):
     return labels.label_summary(labels.label_groups(part_members(spark, d)))
 
 
-def _part_pairs(spark, d):
-    return labels.label_pairs(labels.label_groups(part_members(spark, d)))
-
-
 def eval_unevaluable(spark, d):
-    return labels.unevaluable(_part_pairs(spark, d), part_features(spark, d).select(F.col("id").alias("query_id")))
+    """Documents that share nothing: parts all share a brand."""
+    groups = labels.label_groups(labels.memberships(documents_catalogue(spark, d), 5))
+    return labels.unevaluable(groups, table(spark, d, "documents").select(F.col("doc_id").alias("query_id")))
 
 
 def _label_scores(spark, d):
-    _, _, scored, _ = part_lists(spark, d)
-    return evaluate.label_scores(evaluate.ranked_lists(scored), _part_pairs(spark, d), CUTOFFS)
+    _, queries, _, scored, _ = part_lists(spark, d)
+    return evaluate.group_scores(evaluate.ranked_lists(scored), labels.label_groups(part_members(spark, d)), queries, CUTOFFS)
 
 
 def eval_recall(spark, d):
@@ -360,22 +391,22 @@ def eval_ndcg(spark, d):
 
 
 def eval_coverage(spark, d):
-    found, _, _, lists = part_lists(spark, d)
+    found, _, _, _, lists = part_lists(spark, d)
     return evaluate.coverage(lists, found)
 
 
 def eval_ild(spark, d):
-    _, _, scored, lists = part_lists(spark, d)
-    return evaluate.diversity(lists, scored)
+    _, _, weights, _, lists = part_lists(spark, d)
+    return evaluate.diversity(lists, weights)
 
 
 def eval_breadth(spark, d):
-    found, queries, _, lists = part_lists(spark, d)
+    found, queries, _, _, lists = part_lists(spark, d)
     return evaluate.breadth(lists, found, queries, 10)
 
 
 def _statistics(spark, d, column: str):
-    _, queries, _, lists = part_lists(spark, d)
+    _, queries, _, _, lists = part_lists(spark, d)
     return evaluate.list_statistics(lists, queries, 10).select(column)
 
 
@@ -385,12 +416,12 @@ eval_returned = partial(_statistics, column="mean_returned")
 
 
 def eval_popularity(spark, d):
-    found, _, _, lists = part_lists(spark, d)
+    found, _, _, _, lists = part_lists(spark, d)
     return evaluate.popularity_bias(lists, evaluate.popularity_percentiles(found)).select("mean_percentile")
 
 
 def eval_spearman(spark, d):
-    found, _, _, lists = part_lists(spark, d)
+    found, _, _, _, lists = part_lists(spark, d)
     return evaluate.popularity_bias(lists, evaluate.popularity_percentiles(found)).select("rho")
 
 
@@ -398,9 +429,16 @@ def popularity_percentiles(spark, d):
     return evaluate.popularity_percentiles(part_features(spark, d)).select("item_id", F.round("percentile", 6).alias("percentile"))
 
 
+def _run(spark, d, **which) -> experiments.Run:
+    return experiments.Run(experiments.chosen(experiments.matrix(PART_CONFIG), **which), parts_catalogue(spark, d), PART_CONFIG)
+
+
 def _family(spark, d, family: str):
-    chosen = [e for e in experiments.matrix(PART_CONFIG) if e.family == family]
-    return experiments.run(chosen, parts_catalogue(spark, d), PART_CONFIG).drop("family")
+    return _run(spark, d, families=[family]).results().drop("family")
+
+
+def exp_samples(spark, d):
+    return _shown(_run(spark, d, names=["rep_D", "selected"]).samples(["rep_D", "selected"]))
 
 
 # -- audit ------------------------------------------------------------------------------------------
@@ -411,7 +449,8 @@ def audit_missing(spark, d):
 
 
 def audit_ids(spark, d):
-    return audit.id_integrity(table(spark, d, "lineitem"), "l_orderkey")
+    lines = table(spark, d, "lineitem").select(F.when(F.col("l_linenumber") != 3, F.col("l_orderkey")).alias("id"))
+    return audit.id_integrity(lines, "id")
 
 
 def audit_title_groups(spark, d):
@@ -432,7 +471,8 @@ def audit_describe(spark, d):
 
 def audit_distributions(spark, d):
     parts, docs = parts_catalogue(spark, d), documents_catalogue(spark, d)
-    kinds = [("genre", parts), ("keyword", parts), ("year", parts), ("language", docs), ("job", docs)]
+    kinds = [("genre", parts), ("keyword", parts), ("year", parts), ("language", docs)]
+    kinds += [("job", varied_parts(spark, d))]
     rows = [audit.distribution(c, k).select(F.lit(k).alias("kind"), "value", "n") for k, c in kinds]
     top = audit.most_common(audit.distribution(parts, "keyword"), 10).select(F.lit("top_keyword").alias("kind"), "value", "n")
     out = top
@@ -442,7 +482,19 @@ def audit_distributions(spark, d):
 
 
 def audit_cast_order(spark, d):
-    return audit.cast_order(parts_catalogue(spark, d))
+    return audit.cast_order(varied_parts(spark, d))
+
+
+def audit_structure(spark, d):
+    return audit.structure(varied_parts(spark, d))
+
+
+def audit_list_sizes(spark, d):
+    return audit.list_sizes(parts_catalogue(spark, d).withColumn("runtime", F.col("vote_count").cast("int") - 30))
+
+
+def validate_corpus(spark, d):
+    return jsonl.validate_corpus(doc_features(spark, d), 100)
 
 
 _PLAIN = (
@@ -452,7 +504,7 @@ _PLAIN = (
     recommend_topk, recommend_many, recommend_min_score, recommend_evidence, recommend_subset, recommend_skipped, recommend_skip_tally, recommend_evidence_block, similarity_rows,
     ranked_candidates, sparse_topk, topk_batch, search_titles, select_queries, label_groups, labels_restricted, label_pairs, label_summary, eval_unevaluable, eval_recall, eval_ndcg,
     eval_coverage, eval_ild, eval_breadth, eval_popularity, eval_spearman, popularity_percentiles, audit_missing, audit_ids, audit_title_groups, audit_text_quality, audit_usability,
-    audit_describe, audit_distributions, audit_cast_order,
+    audit_describe, audit_distributions, audit_cast_order, exp_samples, load_samples, manifest_corpus, audit_structure, audit_list_sizes, validate_corpus,
 )
 QUERIES = {f.__name__: f for f in _PLAIN} | {
     "canonical_phrase": canonical_phrases, "normalise_name": normalised_names, "eval_top1": eval_top1, "eval_thin": eval_thin, "eval_returned": eval_returned,

@@ -114,8 +114,25 @@ def test_search_tiers(films):
     assert [r.match for r in got] == ["title_prefix"] * 3 and [r.id for r in got] == [100, 103, 106] and got[0].total_matches == 5
     assert [r.id for r in search.search_titles(films, "0% sp", 5).collect()] == [901]
     assert search.search_titles(films, "s_ace", 5).count() == 0 and [r.match for r in search.search_titles(films, "orig heist", 9).collect()] == ["original_title_prefix"] * 4
-    purposes = {r.purpose: r.id for r in search.select_queries(films, vectorise.representation(films, Config())).collect()}
-    assert purposes == {"most_popular": 901, "least_popular": 100, "fewest_terms": 901, "family": 100}
+
+
+def test_query_selection(spark, films):
+    groups = spark.createDataFrame([("franchise", "ocean", i) for i in (101, 104, 107, 110)] + [("franchise", "few", i) for i in (100, 103, 106)] + [("same_title", "t", 105), ("same_title", "t", 102), ("same_title", "u", 100)], "kind string, group_key string, item_id long")
+    weights = vectorise.representation(films, Config())
+    chosen = lambda **kw: {r.purpose: r.id for r in search.select_queries(films, weights, groups, **kw).collect()}
+    want = {"popular": 901, "obscure": 100, "sparse_features": 900, "no_overview": 900, "same_title": 102, "franchise": 101}
+    assert chosen() == want  # no film here is of the genres asked for
+    assert chosen(genres={"documentary": ("drama",), "animation_family": ("crime", "sf")}) == want | {"documentary": 101, "animation_family": 100}
+
+
+def test_padded_lists(spark):
+    lists = spark.createDataFrame([(1, 1, 9, 0.5, 2), (2, 1, 1, 0.9, 1), (2, 2, 3, 0.8, 1), (2, 3, 4, 0.7, 1)], "query_id long, rank long, item_id long, score double, shared long")
+    queries, items = spark.createDataFrame([(1,), (2,), (8,)], "query_id long"), spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 8, 9)], "item_id long")
+    got = {}
+    for r in retrieve.padded(lists, queries, items, 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.item_id, r.score, r.shared))
+    assert got == {1: [(1, 9, 0.5, 2), (2, 2, 0.0, 0), (3, 3, 0.0, 0)], 2: [(1, 1, 0.9, 1), (2, 3, 0.8, 1), (3, 4, 0.7, 1)], 8: [(1, 1, 0.0, 0), (2, 2, 0.0, 0), (3, 3, 0.0, 0)]}
+    assert retrieve.padded(lists.limit(0), queries, items.limit(1), 3).count() == 2
 
 
 def test_service(films):
@@ -136,4 +153,35 @@ def test_service(films):
         assert found.value.code and 400 <= found.value.status < 500
     with pytest.raises(service.CatalogueUnavailable):
         service.Catalogue(films.limit(0)).ready()
+    assert known.stats()["items"] == 14 and known.stats()["load_seconds"] >= 0
+    ask = known.answer
+    status, found = ask("GET", "/movies/search", q="space", limit="2")
+    assert status == 200 and found["total_matches"] == 5 and [r["id"] for r in found["results"]] == [100, 103]
+    status, near = ask("get", "movies/100/recommendations", k=2)
+    assert status == 200 and [r["rank"] for r in near["recommendations"]] == [1, 2] and near["evidence"]["requested_k"] == 2
+    assert ask("GET", "movies/900")[1]["recommendable"] is False and ask("GET", "meta")[1]["items"] == ask("GET", "stats")[1]["items"] == 14
+    errors = {("GET", "movies/search", ""): (400, "empty_query"), ("GET", "movies/x", ""): (422, "validation_error"), ("GET", "movies/1", ""): (404, "unknown_movie"), ("GET", "films", ""): (404, "not_found"), ("POST", "health", ""): (405, "method_not_allowed"), ("GET", "movies/900/recommendations", ""): (422, "insufficient_features")}
+    for (method, path, q), (status, code) in errors.items():
+        got = ask(method, path, q=q)
+        assert got[0] == status and got[1]["error"]["code"] == code and got[1]["error"]["status"] == status
+    assert ask("GET", "movies/search", q="x", limit="many")[1]["error"]["code"] == "validation_error" and ask("GET", "movies/search", q="x", limit=99)[0] == 422
+    known.features = None
+    assert ask("GET", "movies/100") == (500, {"error": {"code": "internal_error", "message": "internal error", "status": 500}})
+    known.features = films
     known.close()
+
+
+def test_catalogue_from_storage(spark, films, tmp_path):
+    """What save() wrote answers like the catalogue that it was made of; what isn't there, is empty or was built otherwise is unavailable."""
+    path = str(tmp_path / "catalogue")
+    manifest = service.Catalogue.save(films, path)
+    assert manifest["corpus"]["records"] == 14 and manifest["corpus"]["nonempty_documents"] == 13 and "stinger_labels" in manifest["corpus"]
+    built, loaded = service.Catalogue(films, min_shared=1), service.Catalogue.load(spark, path, min_shared=1)
+    show = lambda c: [(r.item_id, round(r.score, 9), r.shared) for r in c.recommend(103)[0].orderBy("rank").collect()]
+    assert show(built) == show(loaded) and loaded.stats()["nonzeros"] == built.stats()["nonzeros"]
+    for where, config in ((str(tmp_path / "nowhere"), None), (path, Config())):
+        with pytest.raises(service.CatalogueUnavailable):
+            service.Catalogue.load(spark, where, config)
+    service.Catalogue.save(films.limit(0), str(tmp_path / "empty"))
+    with pytest.raises(service.CatalogueUnavailable):
+        service.Catalogue.load(spark, str(tmp_path / "empty"))
