@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
-BOOKS, WORDS, BEAM = 8, 256, 4
+BOOKS, WORDS, BEAM = 8, 256, 2
 #: Words of the first codebook: the root of the number of rows, but CELLS at most.
 CELLS = 4_096
 #: Rows that the codebooks are fitted on, chosen by a hash of their id: SAMPLE_ROWS, or SAMPLE_PER_CELL for each
@@ -39,8 +39,9 @@ SLACK = 2.56
 ROUNDING = 1e-5
 #: Scaled vectors with a component beyond this aren't quantised, but compared with every query.
 HUGE = 1e6
-#: Rows of a shard, and their components, at most.
-SHARD_ROWS, SHARD_VALUES, LEAST_SHARDS = 65_536, 4_194_304, 12
+#: Rows of a shard, and their components, at most. Where there is room for all cores, a shard has SMALL_ROWS at least: a task of its own
+#: isn't worth fewer, and a bound over more rows is a better one.
+SHARD_ROWS, SHARD_VALUES, LEAST_SHARDS, SMALL_ROWS = 65_536, 4_194_304, 12, 8_192
 
 
 @dataclass
@@ -172,6 +173,7 @@ class Shard:
         plain = plain[np.argsort(cells[plain], kind="stable")]
         self.ids = ids[plain]
         self.x = np.array([vectors[i] for i in plain], np.float64).reshape(len(plain), index.dim)
+        self.near = (self.x * index.scale).astype(np.float32)
         self.cells, self.left = cells[plain].astype(np.intp), left[plain].astype(np.float64)
         self.codes = np.frombuffer(b"".join(codes[i] for i in plain), np.uint8).reshape(len(plain), BOOKS).astype(np.intp).T.copy()
         found, start = np.unique(self.cells, return_index=True)
@@ -225,9 +227,12 @@ class Shard:
             slack = min(1.0, SLACK / math.sqrt(self.index.dim))
             good = (score >= bound - slack * left - ROUNDING) & (score > -np.inf)
             good[first] = True
+            at = np.flatnonzero(good) if rows is None else rows[good]
+            # in single precision first, which leaves few more than k for the exact scores
+            at = at[self.near[at] @ unit.astype(np.float32) >= bound - ROUNDING * max(1.0, abs(bound))]
         else:
             good = (score > -np.inf) & (ids != own)
-        at = np.flatnonzero(good) if rows is None else rows[good]
+            at = np.flatnonzero(good) if rows is None else rows[good]
         return at, (self.x[at] * q).sum(axis=1)
 
 
@@ -359,7 +364,7 @@ def neighbouring(words: np.ndarray) -> list[int]:
 def _deal_out(index: Index, sizes: dict[int, int]) -> int:
     """Fills in each cell's first shard and how many it is split over; returns the number of shards."""
     n = sum(sizes.values())
-    room = max(1, min(SHARD_ROWS, SHARD_VALUES // max(index.dim, 1), math.ceil(n / LEAST_SHARDS)))
+    room = max(1, min(SHARD_ROWS, SHARD_VALUES // max(index.dim, 1), max(SMALL_ROWS, math.ceil(n / LEAST_SHARDS))))
     index.first, index.parts = np.zeros(index.odd + 1, np.int64), np.ones(index.odd + 1, np.int64)
     index.size = np.array([sizes.get(c, 0) for c in range(index.odd + 1)])
     shard, filled = 0, 0

@@ -19,8 +19,8 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: (every byte of a non-ASCII character in UTF-8) stay.
 ALNUM = bytes(LOWER[b] if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
-#: Rows in an Arrow batch: texts may be long, so a batch must not hold many of them.
-BATCH_ROWS = 512
+#: Rows and bytes in an Arrow batch: texts may be long, so a batch must not hold many of them. A row that is larger comes alone.
+BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
 #: Entries of a worker's memo of words before it is emptied (some 20 MB).
 MEMO_ENTRIES = 100_000
 
@@ -42,10 +42,14 @@ def owns_memory(name: str, release) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch for this session, unless someone set fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the rows and bytes of an Arrow batch, unless someone set less.
+
+    Plans read these settings when they run, after the operator has returned, so they stay set for the session.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(key, "")).lower().removesuffix("b")
+        if not now.isdecimal() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
