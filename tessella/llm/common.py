@@ -47,7 +47,7 @@ def bounded_batches(spark: SparkSession) -> None:
     Plans read these settings when they run, after the operator has returned, so they stay set for the session.
     """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = str(spark.conf.get(key, "")).lower().removesuffix("b")
+        now = str(spark.conf.get(key, None)).lower().removesuffix("b")
         if not now.isdecimal() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 

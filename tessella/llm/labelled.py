@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of each class in a training sample, and the most characters that one of them teaches by: of a longer text PIECES pieces of equal
@@ -38,15 +39,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     texts = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_text is not null")
     sizes = {0: 0, 1: 0} | {y: n for y, n in known.groupBy("y").count().collect()}
     spark = docs.sparkSession
-    rows, picked = [], []
-    for y in (0, 1):
-        # ids that come first by the hash, few more than are wanted, so that no task sorts a whole class; all where too few have texts
-        for share in (2 * SAMPLE_ROWS / max(sizes[y], 1), 1.0):
-            few = known.where((F.col("y") == y) & (F.col("at") <= _quantile(share)))
-            found = few.join(texts.select("_id"), "_id", "left_semi").orderBy("at", "_id").limit(SAMPLE_ROWS).collect()
-            if len(found) == SAMPLE_ROWS or share >= 1:
-                break
-        picked += [tuple(r) for r in found]
+    rows, picked, open_classes = [], [], [y for y in (0, 1) if sizes[y]]
+    # ids that come first by the hash, few more than are wanted, so that no task ranks a whole class; all where too few have texts
+    for wanted in (2 * SAMPLE_ROWS, math.inf):
+        if not open_classes:
+            break
+        some = known.where(reduce(Column.__or__, ((F.col("y") == y) & (F.col("at") <= _quantile(wanted / sizes[y])) for y in open_classes)))
+        place = F.row_number().over(Window.partitionBy("y").orderBy("at", "_id"))
+        found = some.join(texts.select("_id"), "_id", "left_semi").withColumn("place", place).where(F.col("place") <= SAMPLE_ROWS).drop("place").collect()
+        done = [y for y in open_classes if wanted >= sizes[y] or sum(r.y == y for r in found) == SAMPLE_ROWS]
+        picked += [(r._id, r.y, r["at"]) for r in found if r.y in done]
+        open_classes = [y for y in open_classes if y not in done]
     if picked:
         few = F.broadcast(spark.createDataFrame(picked, "_id string, y int, at long"))  # 2 x SAMPLE_ROWS rows at most
         found = texts.join(few, "_id").groupBy("_id").agg(F.min(excerpt(F.col("_text"))).alias("_text"), F.min("y").alias("y"), F.min("at").alias("at")).collect()
