@@ -6,20 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def scores(weights: DataFrame, queries: DataFrame, candidates: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+def scores(weights: DataFrame, queries: DataFrame | None = None, candidates: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, item_id, score, shared) for every other item that shares a term with a query.
 
-    queries has a column query_id; candidates, where given, a column item_id; by names columns of weights that keep matrices in
+    queries has a column query_id, without it every item asks; candidates, where given, a column item_id; by names columns of weights that keep matrices in
     one table apart. Scores are sums of products of normalised rows, rounded to nine
     digits: sums come together in any order, and ranks must not depend on it.
     """
-    asked = weights.join(queries.select(F.col("query_id").alias("item_id")).distinct(), "item_id", "left_semi")
+    if queries is None and candidates is None:
+        return _all_scores(weights, by)
+    asked = weights
+    if queries is not None:
+        asked = weights.join(queries.select(F.col("query_id").alias("item_id")).distinct(), "item_id", "left_semi")
     asked = asked.select(*by, F.col("item_id").alias("query_id"), "field", "term", F.col("w").alias("qw"))
     items = weights if candidates is None else weights.join(candidates.select("item_id").distinct(), "item_id", "left_semi")
     both = items.join(asked, [*by, "field", "term"]).where("item_id <> query_id")
     return both.groupBy(*by, "query_id", "item_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("score"), F.count("*").alias("shared"))
 
 
+def _all_scores(weights: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Each pair is joined, shuffled and summed once, and turned round at the end."""
+    a = weights.select(*by, "field", "term", F.col("item_id").alias("a"), F.col("w").alias("wa"))
+    b = weights.select(*by, "field", "term", F.col("item_id").alias("b"), F.col("w").alias("wb"))
+    half = a.join(b, [*by, "field", "term"]).where("a < b").groupBy(*by, "a", "b")
+    half = half.agg(F.round(F.sum(F.col("wa") * F.col("wb")), 9).alias("score"), F.count("*").alias("shared"))
+    ways = F.explode(F.array(F.struct(F.col("a").alias("query_id"), F.col("b").alias("item_id")), F.struct(F.col("b").alias("query_id"), F.col("a").alias("item_id"))))
+    return half.select(*by, ways.alias("way"), "score", "shared").select(*by, "way.query_id", "way.item_id", "score", "shared")
+
+
 def by_score() -> list[Column]:
     return [F.desc("score"), F.asc("item_id")]
 

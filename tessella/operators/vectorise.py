@@ -135,7 +135,7 @@ def comparison(features: DataFrame, config: Config) -> DataFrame:
     """(representation, block_mode, geometry, share_<field>, items_<field>): every representation in both block modes."""
     by = ("representation", "block_mode")
     tables = [representation(features, replace(config, block_mode=mode), r).select(F.lit(r).alias("representation"), F.lit(mode).alias("block_mode"), "*") for mode in BLOCK_MODES for r in REPRESENTATIONS]
-    weights = reduce(DataFrame.unionByName, tables).persist()
+    weights = reduce(DataFrame.unionByName, tables)
     shares, items = field_columns(energy_share(weights, by), "share_pct", "share", by), field_columns(coverage_by_field(weights, by), "items", "items", by)
     return geometry(weights, features, by).join(shares, list(by)).join(items, list(by))
 

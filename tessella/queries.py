@@ -18,6 +18,7 @@ from tessella.plans import experiments
 from tessella.plans.config import CUTOFFS, SELECTED_GENRE_WEIGHT, SELECTED_SHARED_TERMS
 from tessella.sources import artefacts, jsonl
 from tessella.sources.catalogues import DOC_CONFIG, PART_CONFIG, documents_catalogue, parts_catalogue, table
+from tessella.sources.scratch import Scratch
 
 #: The shipped settings.
 DOC_SELECTED = DOC_CONFIG.with_field("genres", weight=SELECTED_GENRE_WEIGHT)
@@ -47,13 +48,18 @@ def doc_scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return retrieve.scores(vectorise.representation(found, DOC_SELECTED), queries), queries
 
 
-def part_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(features, queries, weights, scores, filtered lists) of all parts under the shipped settings."""
-    found = part_features(spark, d)
-    queries = found.select(F.col("id").alias("query_id"))
-    weights = vectorise.representation(found, PART_SELECTED)
-    scored = retrieve.scores(weights, queries)
-    return found, queries, weights, scored, evaluate.filtered_lists(evaluate.ranked_lists(scored), SELECTED_SHARED_TERMS)
+def part_scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, Scratch]:
+    """(features, queries, weights, scores, scratch) of all parts under the shipped settings; features and weights are written once."""
+    scratch = Scratch(spark, "parts")
+    found = scratch.keep(part_features(spark, d), "features")
+    weights = scratch.keep(vectorise.representation(found, PART_SELECTED), "weights")
+    return found, found.select(F.col("id").alias("query_id")), weights, retrieve.scores(weights), scratch
+
+
+def part_lists(spark: SparkSession, d: str, gate: int = SELECTED_SHARED_TERMS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(features, queries, weights, filtered lists) of all parts, the lists written once."""
+    found, queries, weights, scored, scratch = part_scores(spark, d)
+    return found, queries, weights, scratch.keep(evaluate.filtered_lists(evaluate.ranked_lists(scored), gate), "lists")
 
 
 def part_members(spark: SparkSession, d: str) -> DataFrame:
@@ -334,7 +340,7 @@ def sparse_topk(spark, d):
 
 
 def topk_batch(spark, d):
-    _, _, _, scored, _ = part_lists(spark, d)
+    _, _, _, scored, _ = part_scores(spark, d)
     return _shown(retrieve.top_k(scored, 10))
 
 
@@ -378,8 +384,8 @@ def eval_unevaluable(spark, d):
 
 
 def _label_scores(spark, d):
-    _, queries, _, scored, _ = part_lists(spark, d)
-    return evaluate.group_scores(evaluate.ranked_lists(scored), labels.label_groups(part_members(spark, d)), queries, CUTOFFS)
+    _, queries, _, lists = part_lists(spark, d, 1)
+    return evaluate.group_scores(lists, labels.label_groups(part_members(spark, d)), queries, CUTOFFS)
 
 
 def eval_recall(spark, d):
@@ -391,22 +397,22 @@ def eval_ndcg(spark, d):
 
 
 def eval_coverage(spark, d):
-    found, _, _, _, lists = part_lists(spark, d)
+    found, _, _, lists = part_lists(spark, d)
     return evaluate.coverage(lists, found)
 
 
 def eval_ild(spark, d):
-    _, _, weights, _, lists = part_lists(spark, d)
+    _, _, weights, lists = part_lists(spark, d)
     return evaluate.diversity(lists, weights)
 
 
 def eval_breadth(spark, d):
-    found, queries, _, _, lists = part_lists(spark, d)
+    found, queries, _, lists = part_lists(spark, d)
     return evaluate.breadth(lists, found, queries, 10)
 
 
 def _statistics(spark, d, column: str):
-    _, queries, _, _, lists = part_lists(spark, d)
+    _, queries, _, lists = part_lists(spark, d)
     return evaluate.list_statistics(lists, queries, 10).select(column)
 
 
@@ -416,12 +422,12 @@ eval_returned = partial(_statistics, column="mean_returned")
 
 
 def eval_popularity(spark, d):
-    found, _, _, _, lists = part_lists(spark, d)
+    found, _, _, lists = part_lists(spark, d)
     return evaluate.popularity_bias(lists, evaluate.popularity_percentiles(found)).select("mean_percentile")
 
 
 def eval_spearman(spark, d):
-    found, _, _, _, lists = part_lists(spark, d)
+    found, _, _, lists = part_lists(spark, d)
     return evaluate.popularity_bias(lists, evaluate.popularity_percentiles(found)).select("rho")
 
 
