@@ -64,8 +64,8 @@ def padded(lists: DataFrame, queries: DataFrame, items: DataFrame, k: int) -> Da
     place = few.withColumn("_at", F.row_number().over(Window.orderBy("item_id")))  # 2 k + 1 rows
     ids = place.groupBy().agg(F.array_sort(F.collect_list(F.struct("_at", "item_id"))).alias("a")).select(F.transform("a", lambda x: x["item_id"])).scalar()
     held = lists.groupBy("query_id").agg(F.collect_list("item_id").alias("_held"), F.count("*").alias("_n"))  # k each
-    short = queries.select("query_id").distinct().join(held, "query_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0))).where(F.col("_n") < k)
-    free = F.filter(ids, lambda i: (i != F.col("query_id")) & ~F.coalesce(F.array_contains("_held", i), F.lit(False)))
+    short = queries.select("query_id").distinct().join(held, "query_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0))).where(F.col("_n") < k).withColumn("_ids", ids)
+    free = F.filter("_ids", lambda i: (i != F.col("query_id")) & ~F.coalesce(F.array_contains("_held", i), F.lit(False)))
     more = short.select("query_id", "_n", F.posexplode(F.slice(free, 1, k)).alias("_p", "item_id")).where(F.col("_n") + F.col("_p") < k)
     more = more.select("query_id", (F.col("_n") + F.col("_p") + 1).cast("long").alias("rank"), "item_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("shared"))
     return lists.select("query_id", "rank", "item_id", "score", "shared").unionByName(more)
