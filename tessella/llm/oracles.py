@@ -1,6 +1,7 @@
 """DuckDB SQL for those corpus queries that SQL can express."""
 
 from .licenses import oracle as _licenses
+from .turns import ORACLE as _turns
 
 #: Words, shingle sets, every pair that shares a shingle, and the smallest id along links.
 NEAR_DEDUP = r"""
@@ -57,4 +58,4 @@ SELECT conv_id, turn, role, turn AS order_turn, 0 AS order_step, CAST(0 AS BIGIN
 FROM conversations
 """
 
-ORACLES = {"op9_chat": CHAT, "op10_licenses": _licenses(), "op4_decontamination": DECONTAMINATION, "op7_near_dedup": NEAR_DEDUP}
+ORACLES = {"op9_chat": CHAT, "op10_licenses": _licenses(), "op4_decontamination": DECONTAMINATION, "op7_near_dedup": NEAR_DEDUP, "op11_turns": _turns}
