@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, licenses, oracles, packing, pii, quality, tokencount, toxicity, turns
+from . import alignment, ann, bpe, chat, licenses, oracles, packing, pii, quality, tokencount, toxicity, turns
 from .common import read
 from .decontam import contamination
 from .neardup import near_duplicates
@@ -63,5 +63,9 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_toxicity, op4_decontamination, op5_bpe, op6_token_counts, op7_near_dedup, op8_ann, op9_chat, op10_licenses, op11_turns, op12_packing)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_toxicity, op4_decontamination, op5_bpe, op6_token_counts, op7_near_dedup, op8_ann, op9_chat, op10_licenses, op11_turns, op12_packing, op13_alignment)}
 ORACLES = oracles.ORACLES
