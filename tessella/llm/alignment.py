@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import string
 from collections.abc import Iterator
 from functools import cache
 
@@ -20,15 +21,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, bounded_batches, owns_memory
+from .common import Workspace, bounded_batches, byte_characters, owns_memory
 
 #: Characters and documents of a unit, and pairs in a row of its table.
 UNIT_CHARS, UNIT_DOCS, PAIR_ROWS = 8 << 20, 4096, 4096
 #: Pieces that a worker remembers, twice over, and the longest of them.
 MEMO_PIECES, MEMO_LENGTH = 150_000, 48
-#: Characters that have an odd place in neither tokenizer: a space or line feed between two of them begins a piece, and so does a mark after a letter before white space.
-_CUT = re.compile(r"(?<=[!-~\w])(?=[ \n][!-~\w])|(?<=[a-zA-Z])(?=[.,](?:[ \n]|$))")
+#: Letters that stand for themselves in both tokenizers, and marks that may end a word.
+_LETTER, _MARKS = "a-zA-ZÀ-ÖØ-öø-ÿ", string.punctuation.replace("'", "")
 _SPACE = "▁"
+#: Pieces that are one match of the first tokenizer's own pattern, a line feed before them aside.
+_ONE = re.compile(rf"\n?(?:[{_LETTER}]+|[{re.escape(_MARKS)}]+)| [{_LETTER}]+")
 
 
 class Pair:
@@ -46,7 +49,9 @@ class Pair:
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        coded = _byte_characters()
+        self.model, coded = self.a.model, byte_characters()
+        self.coded = {b: c for c, b in coded.items()}
+        self.feed = [t.id for t in self.model.tokenize(self.coded[10])]
         names = self.a.get_vocab(with_added_tokens=True)
         self.a_bytes = [b""] * (max(names.values()) + 1)
         for name, i in names.items():
@@ -54,26 +59,39 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.a_lengths, self.b_lengths = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-        # no piece may go on over a cut; then texts stay whole
-        joins = any(_SPACE in p.lstrip(_SPACE) or "\n" in p or re.search(r"[a-zA-Z][.,]", p) for p in pieces)
-        self.cuts = not joins and self.b.encode(" \n a", out_type=str)[:2] == [_SPACE * 2, "<0x0A>"]
+        # a space or line feed between two plain characters begins a piece, and so do marks after a letter before white space; where a piece of
+        # the vocabulary could go on over a cut, nothing is cut there
+        joined = {p[i + 1] for p in pieces for i in range(len(p) - 1) if re.match(f"[{_LETTER}]", p[i])}
+        marks = "".join(c for c in _MARKS if c not in joined)
+        space = any(_SPACE in p.lstrip(_SPACE) or "\n" in p for p in pieces) or self.b.encode(" \n a", out_type=str)[:2] != [_SPACE * 2, "<0x0A>"]
+        after = rf"|(?<=[{_LETTER}])(?=[{re.escape(marks)}]+(?:[ \n]|$))" if marks else ""
+        self.cut = None if space else re.compile(rf"(?<=[!-~\w])(?=[ \n][!-~\w]){after}")
 
     def pieces(self, text: str) -> list[str]:
-        return _CUT.split(text) if self.cuts else [text]
+        return self.cut.split(text) if self.cut else [text]
+
+    def first(self, match: str) -> list[int]:
+        """The first tokenizer's ids of one match of its pattern."""
+        raw = match.replace(" ", self.coded[32]) if match.isascii() else "".join([self.coded[x] for x in match.encode()])
+        return [t.id for t in self.model.tokenize(raw)]
 
     def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for e in self.a.encode_batch(pieces, add_special_tokens=False)]
+        a: list = [None] * len(pieces)
+        odd = []
+        for i, p in enumerate(pieces):
+            if _ONE.fullmatch(p):
+                if p[0] == "\n":
+                    a[i] = self.feed + self.first(p[1:])
+                else:
+                    a[i] = self.first(p)
+            else:
+                odd.append(i)
+        for i, e in zip(odd, self.a.encode_batch([pieces[i] for i in odd], add_special_tokens=False), strict=True):
+            a[i] = e.ids
         b = self.b.encode([p[1:] if p[0] == " " else f"\n{p}" for p in pieces], num_threads=1)
         return a, [x if p[0] == " " else x[2:] for p, x in zip(pieces, b, strict=True)]
 
 
-def _byte_characters() -> dict[str, int]:
-    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from U+0100 on, in order."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
-
-
 def components(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     """Union-find over edges (u, v) of n nodes, all edges at a time: roots are hooked to smaller roots and paths halved until no edge joins two. The smallest node of each node's component."""
     parent = np.arange(n)
@@ -105,11 +123,13 @@ def aligned(pair: Pair, pieces: list[str]) -> list[tuple | None]:
     """For each piece (tokens of A, of B, groups, the groups as text, linked ids as a packed array), or None where a tokenizer gives other bytes."""
     a, b = pair.encode(pieces)
     out: list[tuple | None] = [None] * len(pieces)
-    good = []
-    for i, p in enumerate(pieces):
-        raw = p.encode()
-        if b"".join([pair.a_bytes[x] for x in a[i]]) == raw and b"".join([pair.b_bytes[x] for x in b[i]]) == raw:
-            good.append(i)
+    raw = [p.encode() for p in pieces]
+    good = list(range(len(pieces)))
+    for ids, tokens, lengths in ((a, pair.a_bytes, pair.a_lengths), (b, pair.b_bytes, pair.b_lengths)):
+        sizes = np.add.reduceat(np.append(lengths[[x for y in ids for x in (*y, 0)]], 0), np.cumsum([0, *(len(y) + 1 for y in ids)])[:-1]) - lengths[0] if ids else []
+        if np.array_equal(sizes, [len(x) for x in raw]) and b"".join([tokens[x] for y in ids for x in y]) == b"".join(raw):
+            continue  # as long as they should be, and the same together: the same one by one
+        good = [i for i in good if b"".join([tokens[x] for x in ids[i]]) == raw[i]]
     if not good:
         return out
     na, nb = np.array([len(a[i]) for i in good]), np.array([len(b[i]) for i in good])

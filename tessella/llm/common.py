@@ -56,6 +56,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def byte_characters() -> dict[str, int]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from U+0100 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
 class WordHashes(dict):
     """Word (bytes) to a 64-bit hash, computed once while it stays in the memo."""
 

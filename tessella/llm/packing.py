@@ -11,7 +11,10 @@ from __future__ import annotations
 import bisect
 import os
 import re
+import string
+import sys
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
@@ -22,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, Workspace, bounded_batches, owns_memory
+from .common import MEMO_ENTRIES, Workspace, bounded_batches, byte_characters, owns_memory
 
 #: Room of a sequence, and the id that ends a document.
 CAPACITY, END = 2048, 0
@@ -34,33 +37,72 @@ STEPS = 5
 #: Columns of a plan.
 LENGTH, FIRST, LAST, EACH, SEQUENCE, OFFSET = range(6)
 
-_CHUNK = re.compile(r"[^ \t\n\r]+")
-#: Words without these are encoded once and remembered.
-_LONG = 64
+#: Separators that Python's split takes for white space and the tokenizer doesn't; texts that hold one are split by pattern.
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")
+_CHUNK = re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Letters that neither compose nor change their kind in lower case, and marks that may follow them.
+_WORD, _MARKS = re.compile(r"[a-zA-ZÀ-ÖØ-öø-ÿ]+"), string.punctuation.replace("'", "")
+#: The longest chunks that are remembered, and how many of them, twice over.
+_LONG, _KNOWN = 64, 2 * MEMO_ENTRIES
 
 
-class _Ids(dict):
-    """Chunk without white space to its packed ids. The tokenizer drops white space and no token spans it, so a text's ids are those of its chunks."""
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class _Ids:
+    """Chunk without white space to its packed ids. The tokenizer drops white space and no token spans it, so a text's ids are those of its chunks.
+
+    Words of plain letters, and marks after them, are what the tokenizer's own pattern makes of a chunk: they go straight to its model.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.old = Tokenizer.from_file(path), {}
-
-    def learn(self, chunks: set[str]) -> None:
-        """Encode what isn't known; what is known stays."""
-        new = [x for x in chunks if x not in self]
-        if len(self) + len(new) > MEMO_ENTRIES:
-            self.old = dict(self)
-            self.clear()
-            for x in [x for x in chunks if x in self.old]:
-                self[x] = self.old[x]
-        for i in range(0, len(new), 1024):
-            part = new[i : i + 1024]
+        self.tokenizer, self.new, self.old, self.words = Tokenizer.from_file(path), {}, {}, {}
+        self.model = self.tokenizer.model
+        coded = byte_characters()
+        self.coded = {b: c for c, b in coded.items()}
+
+    def word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            raw = word if word.isascii() else "".join([self.coded[b] for b in word.encode()])
+            ids = self.words[word] = packed([t.id for t in self.model.tokenize(raw)])
+            if len(self.words) > _KNOWN:
+                self.words = {}
+        return ids
+
+    def look_up(self, chunks: set[str]) -> dict[str, bytes]:
+        out, odd = {}, []
+        for x in chunks:
+            ids = self.new.get(x)
+            if ids is None:
+                ids = self.old.get(x)
+                if ids is None:
+                    core = x.rstrip(_MARKS)
+                    if not core or len(x) > _LONG or not _WORD.fullmatch(core):
+                        odd.append(x)
+                        continue
+                    ids = self.word(core.lower())
+                    if len(core) < len(x):
+                        ids += self.word(x[len(core) :])
+                self.new[x] = ids
+            out[x] = ids
+        for i in range(0, len(odd), 1024):
+            part = odd[i : i + 1024]
             for x, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self[x] = np.array(e.ids, "<u4").tobytes()
+                out[x] = packed(e.ids)
+                if len(x) <= _LONG:
+                    self.new[x] = out[x]
+        if len(self.new) > _KNOWN:
+            self.old, self.new = self.new, {}
+        return out
 
 
 @cache
@@ -69,7 +111,7 @@ def load(path: str) -> _Ids:
 
 
 def _pieces(path: str, capacity: int, end: int | None):
-    tail = b"" if end is None else np.array([end], "<u4").tobytes()
+    tail = b"" if end is None else packed([end])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owns_memory("packing", load.cache_clear)
@@ -77,10 +119,11 @@ def _pieces(path: str, capacity: int, end: int | None):
         nth = np.zeros(capacity + 1, np.int64)
         for b in batches:
             rows: list[tuple] = []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                chunks = _CHUNK.findall(text.as_py() or "")
-                known.learn(set(chunks))
-                ids = b"".join(map(known.__getitem__, chunks)) + tail
+            texts = [x.as_py() or "" for x in b.column(1)]
+            texts = [_CHUNK.findall(x) if _SEPARATORS.search(x) else x.split() for x in texts]
+            found = known.look_up({x for chunks in texts for x in chunks})
+            for key, chunks in zip(b.column(0).to_pylist(), texts, strict=True):
+                ids = b"".join([found[x] for x in chunks]) + tail
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     n = len(own) // 4
