@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessella.operators.retrieve import top_k
 from tessella.plans.config import CUTOFFS, THIN_TERMS
 
-BUCKETS = 1024
+#: Values are dealt to SPLIT * SPLIT parts, by quantiles as exact as one place in ACCURACY.
+SPLIT, ACCURACY = 24, 100_000
 
 
 def ranked_lists(scored: DataFrame, ks: tuple[int, ...] = CUTOFFS, by: tuple[str, ...] = ()) -> DataFrame:
@@ -127,27 +128,42 @@ def list_statistics(lists: DataFrame, queries: DataFrame, k: int, thin: int = TH
     return out.select(*by, F.round(F.coalesce("top1", F.lit(0.0)), 6).alias("mean_top1_score"), _rate(F.col("thin"), F.col("n")).alias("thin_rate"), _rate(F.col("all"), n).alias("mean_returned"))
 
 
+def splitters(counts: DataFrame, value: str) -> tuple[Column, Column]:
+    """(bounds, bounds inside): quantiles of a column's distinct values, SPLIT - 1 of them and for each part between them as many again; one small row."""
+    n = SPLIT * SPLIT
+    # a sketch of bounded size in each task; equal places of the sketch are equal numbers of values, however they are spread
+    found = counts.agg(F.approx_percentile(value, [i / n for i in range(1, n)], ACCURACY).alias("q"))
+    tops = F.transform(F.sequence(F.lit(1), F.lit(SPLIT - 1)), lambda i: F.element_at("q", (i * SPLIT).cast("int")))
+    inner = F.transform(F.sequence(F.lit(0), F.lit(SPLIT - 1)), lambda i: F.slice("q", (i * SPLIT + 1).cast("int"), SPLIT - 1))
+    return found.select(tops).scalar(), found.select(inner).scalar()
+
+
 def value_places(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     """(value, n, before): for each distinct value how many rows hold it and how many hold smaller ones.
 
-    Values are counted first, then dealt by their place between the extremes on a scale of logarithms, as such values have
-    long tails, so that no task orders them all.
+    Values are counted first, then dealt by splitters from a sketch of them, so that no task orders them all, whatever their spread; counts of the parts before a
+    part are added to the places inside it.
     """
     counts = rows.groupBy(*by, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
-    counts = counts.withColumn("at", F.signum("value") * F.log1p(F.abs("value")))
-    lo, hi = (counts.agg(f("at")).scalar() for f in (F.min, F.max))
-    width = F.coalesce(F.try_divide((F.col("at") - lo) * BUCKETS, hi - lo), F.lit(0.0))
-    dealt = counts.withColumn("bucket", F.least(F.floor(width), F.lit(BUCKETS - 1)))
+    tops, inner = splitters(counts, "value")
+    dealt = counts.withColumns({"_tops": tops, "_inner": inner}).withColumn("bucket", bucket_of(F.col("value"), F.col("_tops"), F.col("_inner"))).drop("_tops", "_inner")
     sums = dealt.groupBy(*by, "bucket").agg(F.sum("n").alias("m"))
-    earlier = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows at most
+    earlier = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # SPLIT * SPLIT rows at most
     sums = sums.select(*by, "bucket", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("offset"))
     inside = Window.partitionBy(*by, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    if by:  # as many tables of BUCKETS rows as there are configurations
+    if by:  # as many tables of so many rows as there are configurations
         return placed.join(sums, [*by, "bucket"]).select(*by, "value", "n", (F.col("inside") + F.col("offset")).alias("before"))
     return placed.join(F.broadcast(sums), "bucket").select("value", "n", (F.col("inside") + F.col("offset")).alias("before"))
 
 
+def bucket_of(value: Column, tops: Column, inner: Column) -> Column:
+    """The part that a value falls in; nulls come first."""
+    under = lambda bounds: F.size(F.filter(bounds, lambda b: b <= value))
+    top = under(tops)
+    return F.coalesce(top * SPLIT + under(F.element_at(inner, top + 1)), F.lit(-1))
+
+
 def popularity_percentiles(features: DataFrame) -> DataFrame:
     """(item_id, percentile): mean rank of an item's popularity, from 0 to 100; null counts as 0, ties share their mean."""
     rows = features.select(F.col("id").alias("item_id"), F.coalesce("popularity", F.lit(0.0)).alias("value"))

@@ -110,26 +110,47 @@ def token_statistics(features: DataFrame) -> DataFrame:
     return by.select("field", "n_tokens", F.round(share, 2).alias("share_pct"), "empty_blocks", F.round(F.try_divide(F.col("n_tokens").cast("double"), F.col("items").cast("double")), 4).alias("mean_tokens"))
 
 
+#: Rows that a stratum gives at a time while a sample is topped up. A fixed value.
+TOP_UP = 50
+
+
+def stratum_shares(sizes: DataFrame, stratum: str, target: int) -> DataFrame:
+    """(stratum, keep): how many rows each stratum of (stratum, size) gives to a sample of target rows.
+
+    First each gives its quota, ceil(target / strata), or all that it has. What is missing comes in steps of TOP_UP from whichever stratum has most left at that
+    time, ties to the smaller stratum; the last step is cut to what is missing. A stratum's steps have falling remainders, so the steps taken are
+    the first ones of all in the order of their remainders, and only as many as the target could need are ordered at all.
+    """
+    strata = sizes.agg(F.count("*")).scalar()
+    quota = sizes.withColumn("_taken", F.least("size", F.ceil(F.lit(float(target)) / strata)))
+    need = F.lit(target) - F.coalesce(quota.agg(F.sum("_taken")).scalar(), F.lit(0))
+    most = -(-target // TOP_UP)
+    left = F.col("size") - F.col("_taken")
+    steps = quota.where(left > 0).select(stratum, left.alias("_left"), F.explode(F.sequence(F.lit(0), F.least(F.ceil(left / TOP_UP), F.lit(most)) - 1)).alias("_step"))
+    steps = steps.withColumn("_left", F.col("_left") - F.col("_step") * TOP_UP).orderBy(F.desc("_left"), stratum).limit(most)
+    before = Window.orderBy(F.desc("_left"), stratum).rowsBetween(Window.unboundedPreceding, -1)  # target / TOP_UP rows
+    steps = steps.withColumn("_n", F.least("_left", F.lit(TOP_UP))).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    more = steps.withColumn("_n", F.greatest(F.least("_n", need - F.col("_before")), F.lit(0))).groupBy(F.col(stratum).alias("_of")).agg(F.sum("_n").alias("_more"))
+    return quota.join(more, F.col(stratum).eqNullSafe(F.col("_of")), "left").select(stratum, (F.col("_taken") + F.coalesce("_more", F.lit(0))).alias("keep"))
+
+
 def stratified_sample(rows: DataFrame, stratum: str, key: str, target: int, seed: int) -> DataFrame:
-    """About target rows: from each stratum its quota, ceil(target / strata), then the largest leftovers until the target.
+    """About target rows: from each stratum what stratum_shares() says, in the order of the MD5 of "key:seed".
 
-    Draws follow the MD5 of "key:seed", so a plan is the same on every run, every partitioning and every engine. Rows are unique by key.
+    So a plan is the same on every run, every partitioning and every engine. Rows are unique by key; a null stratum is one of its own. Draws are counted by their first four digits, and only the rows
+    up to the digits at which a stratum has given enough are ranked: its share, and one part in 65,536 of it.
     """
-    strata = rows.select(stratum).distinct().agg(F.count("*").alias("n")).scalar()
     draw = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
-    rows = rows.dropDuplicates([key]).withColumn("_salt", F.substring(draw, 1, 2))
-    sizes = rows.groupBy(stratum).agg(F.count("*").alias("_size")).withColumn("_q", F.ceil(F.lit(float(target)) / strata))
-    # no stratum gives more than target rows: a hot one is cut in salted parts before its rows meet
-    part = Window.partitionBy(stratum, "_salt").orderBy(draw, key)
-    few = rows.withColumn("_place", F.row_number().over(part)).where(F.col("_place") <= target)
-    ranked = few.withColumn("_place", F.row_number().over(Window.partitionBy(stratum).orderBy(draw, key)))
-    # leftovers in order of their stratum's size; a running total over strata, one row each, says how many each gives
-    taken = F.least("_size", "_q")
-    every = Window.partitionBy()
-    running = Window.orderBy(F.desc(F.col("_size") - taken), stratum).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_need", F.greatest(F.lit(target) - F.sum(taken).over(every), F.lit(0))).withColumn("_given", F.coalesce(F.sum(F.col("_size") - taken).over(running), F.lit(0)))
-    sizes = sizes.select(stratum, (taken + F.greatest(F.lit(0), F.least(F.col("_size") - taken, F.col("_need") - F.col("_given")))).alias("_keep"))
-    return ranked.join(sizes, stratum).where("_place <= _keep").drop("_place", "_salt", "_keep")
+    rows = rows.dropDuplicates([key]).withColumn("_draw", draw).withColumn("_digits", F.substring("_draw", 1, 4))
+    digits = rows.groupBy(stratum, "_digits").agg(F.count("*").alias("_n"))
+    shares = stratum_shares(digits.groupBy(stratum).agg(F.sum("_n").alias("size")), stratum, target).withColumnRenamed(stratum, "_of")
+    earlier = Window.partitionBy(stratum).orderBy("_digits").rowsBetween(Window.unboundedPreceding, -1)  # 65,536 rows
+    digits = digits.withColumn("_earlier", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    open_ = digits.join(shares, F.col(stratum).eqNullSafe(F.col("_of"))).where("_earlier < keep").select("_of", F.col("_digits").alias("_at"), "_earlier", "keep")
+    few = rows.join(open_, F.col(stratum).eqNullSafe(F.col("_of")) & (F.col("_digits") == F.col("_at")))
+    # earlier digits hold _earlier rows, so a row's rank starts from there
+    place = F.row_number().over(Window.partitionBy("_of", "_at").orderBy("_draw", key)) + F.col("_earlier")
+    return few.withColumn("_place", place).where("_place <= keep").drop("_draw", "_digits", "_of", "_at", "_earlier", "keep", "_place")
 
 
 def project_record(rows: DataFrame, cast_limit: int, jobs: tuple[str, ...] = ("Director", "Screenplay", "Story")) -> DataFrame:

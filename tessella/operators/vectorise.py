@@ -7,7 +7,7 @@ the tokens to the norms: one shuffle by item, and one join with the document fre
 from __future__ import annotations
 
 import math
-from dataclasses import replace
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -131,13 +131,52 @@ def field_columns(rows: DataFrame, value: str, prefix: str, by: tuple[str, ...])
     return rows.groupBy(*by).agg(*(F.coalesce(F.max(F.when(F.col("field") == f, F.col(value))), F.lit(0)).alias(f"{prefix}_{f}") for f in FIELDS))
 
 
+@dataclass(frozen=True)
+class Variant:
+    """One matrix of many: which of several feature tables it reads, its settings and its fields."""
+
+    config: Config
+    fields: tuple[str, ...] = FIELDS
+    source: int = 0
+
+
+def variants(sources: list[DataFrame], wanted: list[Variant]) -> DataFrame:
+    """(variant, item_id, field, term, w): the matrices of all variants, numbered from 0, each as representation() gives it.
+
+    Tokens are counted once for each table of features. A small table says what each variant makes of each field: its weight, its floor, whether counts are damped and whether blocks
+    have norms of their own. Rows are multiplied by it after the last shuffle, where an item's cells lie together already.
+    """
+    rows = []
+    for n, v in enumerate(wanted):
+        if v.config.block_mode not in BLOCK_MODES:
+            raise ValueError(f"unknown block mode {v.config.block_mode!r}")
+        flat_ = v.config.block_mode == "flat"
+        floor = max((v.config.fields[f].min_df for f in v.fields), default=1)
+        for f in v.fields:
+            own = v.config.fields[f]
+            if flat_ or own.weight:
+                rows.append((n, v.source, f, 1.0 if flat_ else float(own.weight), floor if flat_ else own.min_df, v.config.sublinear_tf, flat_))
+    tables = [term_counts(token_table(x.select("id", "tokens"))).select(F.lit(i).alias("source"), "*") for i, x in enumerate(sources)]
+    counts = reduce(DataFrame.unionByName, tables)
+    sizes = reduce(DataFrame.unionByName, [x.agg(F.count("*").alias("items")).select(F.lit(i).alias("source"), "items") for i, x in enumerate(sources)])
+    known = counts.groupBy("source", "field", "term").agg(F.count("*").alias("df")).join(F.broadcast(sizes), "source")  # a row for each source
+    cells = counts.join(known, ["source", "field", "term"]).select("source", "item_id", "field", "term", "tf", "df", smooth_idf(F.col("items"), F.col("df")).alias("idf")).repartition("item_id")
+    table = counts.sparkSession.createDataFrame(rows, "variant int, source int, field string, weight double, floor long, damped boolean, flat boolean")
+    cells = cells.join(F.broadcast(table), ["source", "field"]).where("df >= floor")  # a row for each variant and field
+    tf = F.when(F.col("damped"), sublinear(F.col("tf"))).otherwise(F.col("tf").cast("double"))
+    cells = cells.withColumn("w", tf * F.col("idf"))
+    cells = cells.withColumn("w", F.when(F.col("flat"), F.col("w")).otherwise(row_norm("w", "item_id", "variant", "field") * F.col("weight")))
+    return cells.select("variant", "item_id", "field", "term", row_norm("w", "item_id", "variant").alias("w"))
+
+
 def comparison(features: DataFrame, config: Config) -> DataFrame:
     """(representation, block_mode, geometry, share_<field>, items_<field>): every representation in both block modes."""
-    by = ("representation", "block_mode")
-    tables = [representation(features, replace(config, block_mode=mode), r).select(F.lit(r).alias("representation"), F.lit(mode).alias("block_mode"), "*") for mode in BLOCK_MODES for r in REPRESENTATIONS]
-    weights = reduce(DataFrame.unionByName, tables)
+    by, names = ("variant",), [(r, mode) for mode in BLOCK_MODES for r in REPRESENTATIONS]
+    weights = variants([features], [Variant(replace(config, block_mode=mode), REPRESENTATIONS[r]) for r, mode in names])
     shares, items = field_columns(energy_share(weights, by), "share_pct", "share", by), field_columns(coverage_by_field(weights, by), "items", "items", by)
-    return geometry(weights, features, by).join(shares, list(by)).join(items, list(by))
+    table = features.sparkSession.createDataFrame([(n, r, mode) for n, (r, mode) in enumerate(names)], "variant int, representation string, block_mode string")
+    out = geometry(weights, features, by).join(shares, list(by)).join(items, list(by)).join(F.broadcast(table), list(by))  # a row for each variant
+    return out.select("representation", "block_mode", *(c for c in out.columns if c not in ("variant", "representation", "block_mode")))
 
 
 def weight_for_share(target: float, current: float) -> float:

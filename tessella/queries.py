@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import gates
 from tessella.functions.text import canonical_phrase, folded, normalise_name, normalise_text, phrase_token, tokens, year_of
-from tessella.operators import audit, evaluate, features, labels, retrieve, search, vectorise
+from tessella.operators import audit, evaluate, features, labels, pruned, retrieve, search, vectorise
 from tessella.plans import experiments
 from tessella.plans.config import CUTOFFS, SELECTED_GENRE_WEIGHT, SELECTED_SHARED_TERMS
 from tessella.sources import artefacts, jsonl
@@ -48,18 +48,18 @@ def doc_scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return retrieve.scores(vectorise.representation(found, DOC_SELECTED), queries), queries
 
 
-def part_scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, Scratch]:
-    """(features, queries, weights, scores, scratch) of all parts under the shipped settings; features and weights are written once."""
+def part_best(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, Scratch]:
+    """(features, queries, weights, each part's k best, scratch) under the shipped settings; features and weights are written once."""
     scratch = Scratch(spark, "parts")
     found = scratch.keep(part_features(spark, d), "features")
     weights = scratch.keep(vectorise.representation(found, PART_SELECTED), "weights")
-    return found, found.select(F.col("id").alias("query_id")), weights, retrieve.scores(weights), scratch
+    return found, found.select(F.col("id").alias("query_id")), weights, pruned.best(weights, k, scratch=scratch).rows, scratch
 
 
 def part_lists(spark: SparkSession, d: str, gate: int = SELECTED_SHARED_TERMS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(features, queries, weights, filtered lists) of all parts, the lists written once."""
-    found, queries, weights, scored, scratch = part_scores(spark, d)
-    return found, queries, weights, scratch.keep(evaluate.filtered_lists(evaluate.ranked_lists(scored), gate), "lists")
+    found, queries, weights, lists, scratch = part_best(spark, d, max(CUTOFFS))
+    return found, queries, weights, scratch.keep(evaluate.filtered_lists(lists, gate), "lists")
 
 
 def part_members(spark: SparkSession, d: str) -> DataFrame:
@@ -340,8 +340,8 @@ def sparse_topk(spark, d):
 
 
 def topk_batch(spark, d):
-    _, _, _, scored, _ = part_scores(spark, d)
-    return _shown(retrieve.top_k(scored, 10))
+    lists = part_best(spark, d, 10)[3]
+    return _shown(lists.select("query_id", "item_id", "score", "shared", "rank"))
 
 
 def search_titles(spark, d):

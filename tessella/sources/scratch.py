@@ -20,6 +20,12 @@ class Scratch:
             base = tempfile.mkdtemp(prefix="tessella-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base}/{name}-{uuid.uuid4().hex}"
+        self.used = 0
+
+    def count(self) -> int:
+        """A number that no earlier call gave, for names of tables."""
+        self.used += 1
+        return self.used
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """df as a written table."""
