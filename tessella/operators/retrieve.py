@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def scores(weights: DataFrame, queries: DataFrame | None = None, candidates: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+def scores(weights: DataFrame, queries: DataFrame | None = None, candidates: DataFrame | None = None, by: tuple[str, ...] = (), rows: DataFrame | None = None) -> DataFrame:
     """(query_id, item_id, score, shared) for every other item that shares a term with a query.
 
     queries has a column query_id, without it every item asks; candidates, where given, a column item_id; by names columns of weights that keep matrices in
-    one table apart. Scores are sums of products of normalised rows, rounded to nine
+    one table apart; rows, where given, holds the same weights in an order in which items are quickly found. Scores are sums of products of normalised rows, rounded to nine
     digits: sums come together in any order, and ranks must not depend on it.
     """
     if queries is None and candidates is None:
         return _all_scores(weights, by)
-    asked = weights
+    asked = weights if rows is None else rows
     if queries is not None:
-        asked = weights.join(queries.select(F.col("query_id").alias("item_id")).distinct(), "item_id", "left_semi")
+        asked = asked.join(queries.select(F.col("query_id").alias("item_id")).distinct(), "item_id", "left_semi")
     asked = asked.select(*by, F.col("item_id").alias("query_id"), "field", "term", F.col("w").alias("qw"))
     items = weights if candidates is None else weights.join(candidates.select("item_id").distinct(), "item_id", "left_semi")
     both = items.join(asked, [*by, "field", "term"]).where("item_id <> query_id")

@@ -14,7 +14,7 @@ def _strip(c: str) -> str:
 
 
 _NORM = f"trim(regexp_replace(lower(nfc_normalize(text)), '{_WS}', ' ', 'g'))"
-_FIRST = "left(split_part(text, chr(10), 1), 80)"
+_FIRST = "split_part(text, chr(10), 1)"
 _KEEP = f"length(x) >= 2 AND x NOT IN ({_STOP})"
 
 _DOC = f"""
@@ -237,6 +237,7 @@ ORACLES = {
     "manifest_corpus": f"WITH {_PART}, {_PART_DOC}, n AS (SELECT id, count(*) AS n FROM blocks GROUP BY id) SELECT count(*) AS records, count(n) AS nonempty_documents, CAST(sum(coalesce(n, 0)) AS BIGINT) AS total_tokens, round(sum(coalesce(n, 0)) / count(*), 4) AS mean_tokens, CAST(0 AS BIGINT) AS stinger_items FROM items LEFT JOIN n USING (id)",
     "validate_corpus": "SELECT count(*) AS rows, count(text) AS complete, count(*) >= 100 AND count(*) = count(text) AS usable FROM documents",
     "stratified_sample": "WITH s AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY md5(p_partkey || ':42'), p_partkey) AS place FROM part), z AS (SELECT p_type, count(*) AS size FROM part GROUP BY p_type), q AS (SELECT p_type, size, least(size, ceil(300.0 / count(*) OVER ())) AS taken FROM z), steps AS (SELECT p_type, unnest(range(CAST(size - taken AS BIGINT), 0, -50)) AS rest FROM q WHERE size > taken), told AS (SELECT p_type, rest, least(rest, 50) AS n, coalesce(sum(least(rest, 50)) OVER (ORDER BY rest DESC, p_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM steps), more AS (SELECT p_type, sum(greatest(0, least(n, 300 - (SELECT sum(taken) FROM q) - earlier))) AS n FROM told GROUP BY p_type) SELECT p_partkey, s.p_type FROM s JOIN q USING (p_type) LEFT JOIN more USING (p_type) WHERE place <= taken + coalesce(more.n, 0)",
+    "stratified_uneven": "WITH s AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || ':42'), doc_id) AS place FROM documents), z AS (SELECT source, count(*) AS size FROM documents GROUP BY source), q AS (SELECT source, size, least(size, ceil(300.0 / count(*) OVER ())) AS taken FROM z), steps AS (SELECT source, unnest(range(CAST(size - taken AS BIGINT), 0, -50)) AS rest FROM q WHERE size > taken), told AS (SELECT source, rest, least(rest, 50) AS n, coalesce(sum(least(rest, 50)) OVER (ORDER BY rest DESC, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM steps), more AS (SELECT source, sum(greatest(0, least(n, 300 - (SELECT sum(taken) FROM q) - earlier))) AS n FROM told GROUP BY source) SELECT doc_id, s.source FROM s JOIN q USING (source) LEFT JOIN more USING (source) WHERE place <= taken + coalesce(more.n, 0)",
     "text_normalise": f"SELECT doc_id, md5({_NORM}) AS digest FROM documents",
     "tokenize_documents": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_terms, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, list_filter(regexp_extract_all({_NORM}, '[\\p{{L}}\\p{{N}}]+'), lambda x: {_KEEP}) AS t FROM documents)",
     "canonical_phrase": "SELECT p_partkey, trim(regexp_replace(lower(p_brand || ' -- ' || p_type || ' -- ' || p_name), '[^a-z0-9_]+', ' ', 'g')) AS phrase FROM part",

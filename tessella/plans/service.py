@@ -38,8 +38,8 @@ EmptyQuery, QueryTooLong = _error("empty_query", 400), _error("query_too_long",
 InvalidK, InvalidLimit, InsufficientFeatures = _error("invalid_k", 422), _error("invalid_limit", 422), _error("insufficient_features", 422)
 ValidationError, UnknownItem, CatalogueUnavailable = _error("validation_error", 422), _error("unknown_movie", 404), _error("catalogue_unavailable", 503)
 NotFound, MethodNotAllowed = _error("not_found", 404), _error("method_not_allowed", 405)
-#: Rows of the list of skipped candidates that an answer shows; evidence counts all of them.
-SHOWN_SKIPPED = 1_000
+#: Rows of the list of skipped candidates that an answer shows at a time; the next ones follow when asked for.
+SKIPPED_PAGE = 1_000
 
 
 @dataclass(frozen=True)
@@ -63,12 +63,13 @@ def _whole(value, name: str) -> int:
 class Catalogue:
     """Feature records and their weights, computed or read once and kept; answers never change them."""
 
-    def __init__(self, features: DataFrame, config: Config | None = None, limits: Limits | None = None, min_shared: int = SELECTED_SHARED_TERMS, min_score: float = 0.0, weights: DataFrame | None = None):
+    def __init__(self, features: DataFrame, config: Config | None = None, limits: Limits | None = None, min_shared: int = SELECTED_SHARED_TERMS, min_score: float = 0.0, matrix: artefacts.Matrix | None = None):
         began = time.perf_counter()
         self.config = config or Config().with_field("genres", weight=SELECTED_GENRE_WEIGHT)
         self.limits, self.min_shared, self.min_score = limits or Limits(), min_shared, min_score
         self.features = features.persist()
-        self.weights = (vectorise.representation(self.features, self.config) if weights is None else weights).persist()
+        self.weights = (matrix.weights if matrix else vectorise.representation(self.features, self.config)).persist()
+        self.rows = matrix.rows if matrix else self.weights
         self.load_seconds = time.perf_counter() - began
 
     @classmethod
@@ -77,12 +78,12 @@ class Catalogue:
         config = config or Config().with_field("genres", weight=SELECTED_GENRE_WEIGHT)
         try:
             features = artefacts.read_corpus(spark, path)
-            weights, _, _ = artefacts.load_matrix(spark, f"{path}/matrix", config)
+            matrix = artefacts.load_matrix(spark, f"{path}/matrix", config)
         except (artefacts.MissingArtefact, ValueError) as e:
             raise CatalogueUnavailable(str(e)) from e
         if features.isEmpty():
             raise CatalogueUnavailable(f"{path} holds no items")
-        return cls(features, config, weights=weights, **settings)
+        return cls(features, config, matrix=matrix, **settings)
 
     @staticmethod
     def save(features: DataFrame, path: str, config: Config | None = None) -> dict:
@@ -130,7 +131,7 @@ class Catalogue:
             raise UnknownItem(item_id=item_id)
 
     def _has_terms(self, item_id: int) -> bool:
-        return not self.weights.where(F.col("item_id") == item_id).isEmpty()
+        return not self.rows.where(F.col("item_id") == item_id).isEmpty()
 
     def details(self, item_id: int) -> DataFrame:
         """One row of metadata, with feature_counts and recommendable."""
@@ -148,7 +149,7 @@ class Catalogue:
         if not self._has_terms(item_id):
             raise InsufficientFeatures(item_id=item_id)
         queries = self.features.where(F.col("id") == item_id).select(F.col("id").alias("query_id"))
-        scored = retrieve.scores(self.weights, queries)
+        scored = retrieve.scores(self.weights, queries, rows=self.rows)
         accepted = retrieve.recommend(scored, k, self.min_score, self.min_shared)
         rejected = retrieve.skipped(scored, k, self.min_score, self.min_shared)
         return retrieve.with_metadata(accepted, self.features), rejected, retrieve.evidence(accepted, rejected, queries, k, self.min_shared)
@@ -162,12 +163,13 @@ class Catalogue:
         missing = asked.join(self.features.select(F.col("id").alias("query_id")), "query_id", "left_anti").take(1)
         if missing:
             raise UnknownItem(item_id=missing[0].query_id)
-        return retrieve.recommend(retrieve.scores(self.weights, asked), k, self.min_score, self.min_shared)
+        return retrieve.recommend(retrieve.scores(self.weights, asked, rows=self.rows), k, self.min_score, self.min_shared)
 
     def answer(self, method: str, path: str, **asked) -> tuple[int, dict]:
-        """(status, payload) of a request: health, ready, meta, stats, movies/search?q=&limit=, movies/<id>, movies/<id>/recommendations?k=.
+        """(status, payload) of a request: health, ready, meta, stats, movies/search?q=&limit=, movies/<id>, movies/<id>/recommendations?k=&skipped_after=.
 
-        Payloads are plain values; their sizes are bounded by the limits and SHOWN_SKIPPED. Every error has the same envelope, and what
+        Payloads are plain values; their sizes are bounded by the limits and SKIPPED_PAGE: skipped_next is the place after which the next page of skipped candidates begins, null where there is
+        none. Every error has the same envelope, and what
         wasn't foreseen is an internal_error without details.
         """
         try:
@@ -195,5 +197,7 @@ class Catalogue:
         if len(path) == 2:
             return rows(self.details(item))[0]
         accepted, rejected, evidence = self.recommend(item, asked.get("k"))
-        shown = rejected.orderBy("place").limit(SHOWN_SKIPPED).drop("query_id")
-        return {"query": item, "evidence": rows(evidence)[0], "recommendations": rows(accepted.orderBy("rank").drop("query_id")), "skipped": rows(shown)}
+        after = _whole(asked.get("skipped_after", 0), "skipped_after")
+        shown = rows(rejected.where(F.col("place") > after).orderBy("place").limit(SKIPPED_PAGE).drop("query_id"))
+        more = shown[-1]["place"] if len(shown) == SKIPPED_PAGE else None
+        return {"query": item, "evidence": rows(evidence)[0], "recommendations": rows(accepted.orderBy("rank").drop("query_id")), "skipped": shown, "skipped_next": more}

@@ -146,6 +146,11 @@ def stratified_sample(spark, d):
     return features.stratified_sample(table(spark, d, "part").select("p_partkey", "p_type"), "p_type", "p_partkey", 300, 42)
 
 
+def stratified_uneven(spark, d):
+    """Sources of documents differ in size, so the sample is topped up by steps."""
+    return features.stratified_sample(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 300, 42)
+
+
 # -- feature records --------------------------------------------------------------------------------
 
 
@@ -504,7 +509,7 @@ def validate_corpus(spark, d):
 
 
 _PLAIN = (
-    ingest_events_props, coerce_id, text_normalise, tokenize_documents, phrase_tokens, release_year, project_nested, resume_anti_join, stratified_sample, overview_block, keyword_block,
+    ingest_events_props, coerce_id, text_normalise, tokenize_documents, phrase_tokens, release_year, project_nested, resume_anti_join, stratified_sample, stratified_uneven, overview_block, keyword_block,
     genre_block, cast_block, director_block, feature_records, item_metadata, dedupe_first_wins, load_report, manifest_token_stats, tf_sublinear, idf_smooth, df_pruned_vocab, tfidf_weights,
     tfidf_block, l2_rows, representation_d, representation_flat, representation_geometry, representation_compare, field_energy_share, field_coverage, weight_solver, recommend_single,
     recommend_topk, recommend_many, recommend_min_score, recommend_evidence, recommend_subset, recommend_skipped, recommend_skip_tally, recommend_evidence_block, similarity_rows,

@@ -28,7 +28,7 @@ def documents_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents: the text is the overview, the language a genre, the source a director, labels are keywords, and exact copies a collection."""
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"))
     docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
-    first = F.substring(F.split("text", "\n", 2)[0], 1, 80)
+    first = F.split("text", "\n", 2)[0]
     tagged = F.array(F.concat(F.lit("quality "), F.col("quality")), F.concat(F.lit("toxic "), F.col("toxic")))
     return _record(
         docs, id=F.col("doc_id"), title=first, original_title=first, overview=F.col("text"), genres=F.array("lang"), keywords=F.filter(tagged, lambda k: k.isNotNull()),

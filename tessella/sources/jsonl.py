@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import gates
@@ -27,19 +27,26 @@ FEATURES = (
 )
 
 
+def _splits(lines: DataFrame, size: Column) -> DataFrame:
+    """(source, block, first, before): for each split of each file its first line's place and the sum of size over the splits before it."""
+    blocks = lines.groupBy("source", "block").agg(F.sum(size).alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    return blocks.select("source", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+
+
+def _lines(spark: SparkSession, path: str, **options) -> DataFrame:
+    place = [F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size")]
+    return spark.read.options(**options).text(path).select(*place, F.monotonically_increasing_id().alias("at"), "value")
+
+
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:
     """(source, line_no, value): the lines of one or many text files, numbered from 1 within each.
 
     Numbers come from the place of each split in its file and a count for each split, so neither
     an RDD nor one task for all lines is needed.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"
-    )
-    blocks = lines.groupBy("source", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
-    blocks = blocks.select("source", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    numbered = lines.join(blocks, ["source", "block"])
+    lines = _lines(spark, path).drop("size")
+    numbered = lines.join(_splits(lines, F.lit(1)), ["source", "block"])
     return numbered.select("source", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "value")
 
 
@@ -87,10 +94,47 @@ def export_jsonl(features: DataFrame, path: str, order: str = "id") -> None:
     features.repartitionByRange(order).sortWithinPartitions(order).select(text).write.mode("overwrite").text(path)
 
 
-def content_digest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of whole files."""
+#: Bytes of a leaf of a digest's tree, and digests that one node above the leaves stands for.
+LEAF_BYTES, FAN = 1 << 20, 4096
+
+
+def content_digest(spark: SparkSession, path: str, leaf: int = LEAF_BYTES, fan: int = FAN) -> DataFrame:
+    """(path, length, digest) of text files of any size: a tree of SHA-256.
+
+    A file's bytes are cut in ranges of leaf bytes; each range's SHA-256 is a leaf. fan digests in a row, joined as bytes, are hashed to one above them, until one is left; a file of one range
+    has that range's digest, an empty file SHA-256 of nothing. Where splits or lines end makes no difference. No task holds more than a leaf's lines, a split's lines in
+    order (as a stream) or fan digests. Lines end with a line feed; a single line has to fit a row.
+    """
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    lines = _lines(spark, path, lineSep="\n")
+    lines = lines.withColumn("bytes", F.col("value").cast("binary")).drop("value")
+    run = Window.partitionBy("source", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # a split's lines, one after the other
+    size = F.octet_length("bytes") + F.lit(1)
+    begun = lines.withColumn("inside", F.coalesce(F.sum(size).over(run), F.lit(0))).join(_splits(lines, size).drop("first"), ["source", "block"])
+    start = F.col("before") + F.col("inside")
+    ended = F.when(start + F.octet_length("bytes") < F.col("size"), F.concat("bytes", F.lit(b"\n"))).otherwise(F.col("bytes"))
+    begun = begun.select(F.struct("source", "size").alias("source"), start.alias("start"), ended.alias("bytes")).where(F.octet_length("bytes") > 0)
+    stop = F.col("start") + F.octet_length("bytes") - 1
+    ranges = begun.withColumn("range", F.explode(F.sequence(F.floor(F.col("start") / leaf), F.floor(stop / leaf))))
+    lo, hi = F.greatest(F.col("start"), F.col("range") * leaf), F.least(stop + 1, (F.col("range") + 1) * leaf)
+    part = F.substring("bytes", (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int"))
+    # a leaf's pieces come together in the order of their places, at most leaf bytes
+    node = ranges.select("source", "range", F.struct(lo.alias("lo"), part.alias("part")).alias("p")).groupBy("source", "range").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    node = node.select("source", "range", F.unhex(F.sha2(F.aggregate("p", F.lit(b""), lambda s, x: F.concat(s, x["part"])), 256)).alias("digest"))
+    longest = files.agg(F.max("length")).first()[0] or 0  # of lengths alone: the contents aren't read
+    n = -(-longest // leaf)
+    while n > 1:
+        pick = F.struct("range", "digest")
+        up = node.select("source", F.floor(F.col("range") / fan).alias("above"), pick.alias("p")).groupBy("source", "above").agg(F.array_sort(F.collect_list("p")).alias("p"))
+        joined = F.unhex(F.sha2(F.aggregate("p", F.lit(b""), lambda s, x: F.concat(s, x["digest"])), 256))
+        node = up.select("source", F.col("above").alias("range"), F.when((F.size("p") == 1) & (F.col("above") == 0), F.col("p")[0]["digest"]).otherwise(joined).alias("digest"))
+        n = -(-n // fan)
+    found = node.select("source.source", "source.size", F.lower(F.hex("digest"))).toDF("path", "length", "digest")
+    # scans leave empty files out; the driver has every name anyway, as it plans the scan
+    key = F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/")  # local paths are written with one slash or three
+    names = spark.createDataFrame([(x,) for x in files.inputFiles()], "path string").withColumn("key", key)
+    both = names.join(found.select(key.alias("key"), "length", "digest"), "key", "left")
+    return both.select("path", F.coalesce("length", F.lit(0).cast("long")).alias("length"), F.coalesce("digest", F.lit(hashlib.sha256(b"").hexdigest())).alias("digest"))
 
 
 def manifest_digest(manifest: dict) -> str:
@@ -116,7 +160,7 @@ def validate_corpus(features: DataFrame, least_rows: int = 1) -> DataFrame:
 def validate_files(spark: SparkSession, path: str, least_bytes: int = LEAST_BYTES) -> tuple[int, str]:
     """(records, digest) of JSON Lines on storage, or UnusableCorpus: too small, no records, a line that isn't an object, or one without
     id, title or tokens. Every line is looked at. The digest is that of the files' digests, in the order of their paths."""
-    files = content_digest(spark, path).orderBy("path").select("length", "sha256").collect()  # one row for each file
+    files = content_digest(spark, path).orderBy("path").select("length", "digest").collect()  # one row for each file
     if sum(f.length for f in files) < least_bytes:
         raise UnusableCorpus(f"{path} holds {sum(f.length for f in files)} bytes, under {least_bytes}: too little for a corpus")
     record = F.col("record")
@@ -127,4 +171,4 @@ def validate_files(spark: SparkSession, path: str, least_bytes: int = LEAST_BYTE
         raise UnusableCorpus(f"{path} holds no records")
     if found.bad:
         raise UnusableCorpus(f"{path}: {found.bad} of {found.n} lines are no feature records ({found.why})")
-    return found.n, hashlib.sha256("\n".join(f.sha256 for f in files).encode()).hexdigest()
+    return found.n, hashlib.sha256("\n".join(f.digest for f in files).encode()).hexdigest()

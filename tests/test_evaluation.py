@@ -187,8 +187,9 @@ def test_artefacts(spark, tmp_path):
         artefacts.read_labels(spark, str(tmp_path / "none"))
     found = feature_records(records, config)
     manifest = artefacts.save_matrix(found, config, str(tmp_path / "matrix"), "C")
-    weights, words, same = artefacts.load_matrix(spark, str(tmp_path / "matrix"), config)
-    assert same == manifest and manifest["fields"] == ["overview", "genres", "keywords"] and words.count() == manifest["geometry"]["dimensions"] and weights.count() == manifest["geometry"]["nonzeros"]
+    stored = artefacts.load_matrix(spark, str(tmp_path / "matrix"), config)
+    assert stored.manifest == manifest and manifest["fields"] == ["overview", "genres", "keywords"] and stored.vocabulary.count() == manifest["geometry"]["dimensions"]
+    assert stored.weights.count() == stored.rows.count() == manifest["geometry"]["nonzeros"]
     with pytest.raises(ValueError, match="other settings"):
         artefacts.load_matrix(spark, str(tmp_path / "matrix"), config.with_field("genres", weight=0.5))
     lines = spark.createDataFrame([(1, None, 7), (2, "json_decode_error", None), (3, None, None), (4, None, 7), (5, None, 7), (6, None, 8)], "line_no long, error string, id long")

@@ -128,7 +128,7 @@ def test_round_trip_export_and_stream(spark, tmp_path):
     assert sorted(map(str, again.select(found.columns).collect())) == want
     jsonl.write_corpus(found, str(tmp_path / "table"))
     assert jsonl.validate_corpus(spark.read.parquet(str(tmp_path / "table"))).first().usable
-    assert jsonl.content_digest(spark, str(tmp_path / "raw.jsonl")).first().sha256
+    assert jsonl.content_digest(spark, str(tmp_path / "raw.jsonl")).first().digest
     (tmp_path / "in").mkdir()
     (tmp_path / "raw.jsonl").rename(tmp_path / "in/raw.jsonl")
     write_features(stream_features(spark, str(tmp_path / "in"), Config()), str(tmp_path / "streamed"), str(tmp_path / "check")).awaitTermination()
