@@ -6,6 +6,9 @@ number, the difference of a text's compressed sizes under the two, over its leng
 
 from __future__ import annotations
 
+import pickle
+import subprocess
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +28,31 @@ BLOCK = 1_024
 LEVEL = 3
 
 
+#: Distinct runs of eight bytes that a class must hold for a dictionary to be trained on it. The native trainer dies of classes that repeat a few bytes.
+LEAST_GRAMS = 1_000
+_TRAIN = """
+import pickle, sys, zstandard
+size, pieces = pickle.load(sys.stdin.buffer)
+sys.stdout.buffer.write(zstandard.train_dictionary(size, pieces).as_bytes())
+"""
+
+
 def dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary of all pieces of all texts; where they are too few to train on, the pieces themselves."""
+    """A trained dictionary of all pieces of all texts; of a class with under LEAST_GRAMS distinct runs of eight bytes, the pieces themselves.
+
+    The trainer runs in a process of its own: should it die of other content, the pieces take its place there too, and the caller lives.
+    """
     pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
-    try:
-        return zstandard.train_dictionary(min(DICT_BYTES, max(sum(map(len, pieces)) // 4, 256)), pieces).as_bytes()
-    except (zstandard.ZstdError, ValueError):
-        return b"".join(pieces)[-DICT_BYTES:]
+    grams: set[bytes] = set()
+    for p in pieces:
+        grams.update(p[i : i + 8] for i in range(len(p) - 7))
+        if len(grams) >= LEAST_GRAMS:
+            size = min(DICT_BYTES, max(sum(map(len, pieces)) // 4, 256))
+            done = subprocess.run([sys.executable, "-c", _TRAIN], input=pickle.dumps((size, pieces)), capture_output=True, check=False)
+            if done.returncode == 0:
+                return done.stdout
+            break
+    return b"".join(pieces)[-DICT_BYTES:]
 
 
 class Sizes:
