@@ -20,6 +20,7 @@ from fractions import Fraction
 from urllib.parse import unquote
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,11 +144,13 @@ def _same(value) -> str:
 
 
 def _matches(pattern: str, text: str) -> bool:
-    """Search as ECMA-262 says: classes are ASCII, $ is the end alone, groups are named without P."""
+    """Search as ECMA-262 says: classes are ASCII, $ is the end alone, groups are named without P. The engine takes time in proportion to the text whatever the pattern, so it knows neither
+    looking ahead or behind nor references to groups."""
+    spelt = lambda x: re.sub(r"\\u([0-9a-fA-F]{4})", r"\\x{\1}", x)
+    own = re.sub(r"\\u[0-9a-fA-F]{4}|\\.|\[(?:\\.|[^\]\\])*\]|\$|\(\?<(?![=!])", lambda m: {"$": r"\z", "(?<": "(?P<"}.get(m[0], spelt(m[0])), pattern, flags=re.S)
     try:
-        own = re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]|\$|\(\?<(?![=!])", lambda m: {"$": r"\Z", "(?<": "(?P<"}.get(m[0], m[0]), pattern, flags=re.S)
-        return re.search(own, text, re.A) is not None
-    except re.error as e:
+        return pc.match_substring_regex(pa.scalar(text), own).as_py()
+    except pa.ArrowInvalid as e:
         raise ValueError(f"pattern {pattern!r}") from e
 
 
@@ -155,7 +158,7 @@ class _Schema:
     """A schema's root, for references, and the judgement of values by its parts."""
 
     def __init__(self, root):
-        self.root = root
+        self.root, self.known = root, {}
 
     def find(self, reference: str):
         if isinstance(self.root, dict) and (own := self.root.get("$id", self.root.get("id"))) and isinstance(own, str) and reference.startswith(own.rstrip("#")):
@@ -189,7 +192,21 @@ class _Schema:
         raise ValueError(f"reference #{name}")
 
     def judge(self, value, schema) -> tuple[bool, set]:
-        """(whether value fits, the names or places in it that the schema judged)."""
+        """(whether value fits, the names or places in it that the schema judged), each value by each part of the schema once."""
+        place = id(value), id(schema)  # both live as long as the judgement
+        if place not in self.known:
+            self.known[place] = ValueError("a reference that comes back to itself")
+            try:
+                self.known[place] = self._judge(value, schema)
+            except ValueError as e:
+                self.known[place] = e
+                raise
+        if isinstance(self.known[place], ValueError):
+            raise self.known[place]
+        good, seen = self.known[place]
+        return good, set(seen)
+
+    def _judge(self, value, schema) -> tuple[bool, set]:
         if not isinstance(schema, dict):
             return schema is not False, set()
         if not self._plain(value, schema):
