@@ -17,8 +17,9 @@ from tessella.sources.scratch import Scratch
 
 #: Classes of terms, by the logarithm of how many rows hold them.
 CLASSES = 8
-#: The first round joins classes until a query meets so many postings for each place of its list, and completes so many pairs for each.
-POSTINGS, SEEDS = 64, 4
+#: The first round joins classes as long as a query meets no more than so many postings for each place of its list (the rarest it has in any case), and
+#: completes so many pairs for each.
+POSTINGS, SEEDS = 200, 4
 #: Scores are rounded to nine digits; a bound must fall short by more than that.
 SLACK = 2e-9
 
@@ -53,15 +54,16 @@ def _rows(weights: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame
     return weights.join(members.where("row_id = item_id").select(*by, "item_id"), [*by, "item_id"], "left_semi"), members
 
 
-def _classed(weights: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """weights with df and class."""
+def _classed(weights: DataFrame, by: tuple[str, ...], scratch: Scratch, name: str) -> DataFrame:
+    """(by, item_id, key, w, df, class): weights with a number in place of each term, no two matrices sharing one, and what is known of it."""
     df = weights.groupBy(*by, "field", "term").agg(F.count("*").alias("df"))
+    df = scratch.keep(df.withColumn("key", F.monotonically_increasing_id()), name)  # written, so the numbers stay
     if by:
         most = df.join(F.broadcast(df.groupBy(*by).agg(F.max("df").alias("_most"))), list(by))  # a row for each matrix
     else:
         most = df.withColumn("_most", df.agg(F.max("df")).scalar())
     place = F.least(F.floor(F.log2(F.col("df")) / F.greatest(F.log2(F.col("_most")), F.lit(1.0)) * CLASSES), F.lit(CLASSES - 1)).cast("int")
-    return weights.join(most.select(*by, "field", "term", "df", place.alias("class")), [*by, "field", "term"])
+    return weights.join(most.select(*by, "field", "term", "key", "df", place.alias("class")), [*by, "field", "term"]).select(*by, "item_id", "key", "w", "df", "class")
 
 
 def best(weights: DataFrame, k: int, queries: DataFrame | None = None, by: tuple[str, ...] = (), scratch: Scratch | None = None) -> Lists:
@@ -75,7 +77,7 @@ def best(weights: DataFrame, k: int, queries: DataFrame | None = None, by: tuple
     tag = f"pruned-{scratch.count()}"
     kept, members = _rows(weights, by)
     members = scratch.keep(members, f"{tag}-members")
-    cells = scratch.keep(_classed(kept, by), f"{tag}-cells")
+    cells = scratch.keep(_classed(kept, by, scratch, f"{tag}-terms"), f"{tag}-cells")
     # of each row: what is left after each class, and how many postings the classes up to it hold
     left, met = [f"left{c}" for c in range(CLASSES)], [f"met{c}" for c in range(CLASSES)]
     square = F.col("w") * F.col("w")
@@ -83,7 +85,7 @@ def best(weights: DataFrame, k: int, queries: DataFrame | None = None, by: tuple
         *(F.sqrt(F.sum(F.when(F.col("class") > c, square).otherwise(0.0))).alias(left[c]) for c in range(CLASSES)),
         *(F.sum(F.when(F.col("class") <= c, F.col("df")).otherwise(0)).alias(met[c]) for c in range(CLASSES)),
         F.round(F.sum(square), 9).alias("own"), F.count("*").alias("terms"),
-        F.collect_list(F.struct("class", F.concat_ws("\x00", "field", "term").alias("key"), "w")).alias("cells"),
+        F.collect_list(F.struct("class", "key", "w")).alias("cells"),
     )
     norms = scratch.keep(norms, f"{tag}-norms")
     postings = scratch.keep(cells.join(norms.select(*by, "item_id", *left), [*by, "item_id"]), f"{tag}-postings")
@@ -93,13 +95,12 @@ def best(weights: DataFrame, k: int, queries: DataFrame | None = None, by: tuple
     else:
         asking = members.join(queries.select(F.col("query_id").alias("item_id")).distinct(), "item_id", "left_semi").select(*by, F.col("row_id").alias("item_id")).distinct()
         asked = norms.join(asking, [*by, "item_id"], "left_semi")
-    enough = F.lit(CLASSES - 1)
-    for c in reversed(range(CLASSES - 1)):
-        enough = F.when(F.col(met[c]) >= POSTINGS * k, c).otherwise(enough)
+    enough = F.lit(0)
+    for c in range(1, CLASSES):
+        enough = F.when((F.col(met[c]) <= POSTINGS * k) | (F.col(met[c - 1]) == 0), c).otherwise(enough)
     first = asked.select(*by, F.col("item_id").alias("query_id"), enough.alias("upto"), *left)
     sums = scratch.keep(_sums(postings, first.select(*by, "query_id", "upto"), left, by), f"{tag}-sums")
-    seeds = top_k(sums.withColumn("score", F.round("sum", 9)), SEEDS * k, by).drop("rank", "score")
-    floor = top_k(_completed(seeds, norms, by), k, by).where(F.col("rank") == k).select(*by, "query_id", (F.col("score") - SLACK).alias("floor"))
+    floor = _floor(sums, norms, k, by)
     # the classes that a query has to join, now that its k-th score is known to be at least floor
     first = first.join(floor, [*by, "query_id"], "left")
     first = first.join(F.broadcast(most), list(by)) if by else first.withColumn("most", most.scalar())  # a row for each matrix
@@ -110,6 +111,9 @@ def best(weights: DataFrame, k: int, queries: DataFrame | None = None, by: tuple
     late = first.where("need > upto").select(*by, "query_id", F.col("need").alias("upto"))
     more = scratch.keep(_sums(postings, late, left, by), f"{tag}-more")
     every = sums.join(first.where("need <= upto").select(*by, "query_id", "floor"), [*by, "query_id"]).unionByName(more.join(first.select(*by, "query_id", "floor"), [*by, "query_id"]))
+    # with more classes summed, better pairs stand first, and the k-th score is known better
+    again = _floor(every.drop("floor"), norms, k, by).withColumnRenamed("floor", "_floor")
+    every = every.join(again, [*by, "query_id"], "left").withColumn("floor", F.greatest("floor", "_floor")).drop("_floor")
     able = every.where(F.col("floor").isNull() | (F.col("sum") + F.col("rest") >= F.col("floor"))).drop("floor")
     done = scratch.keep(_completed(able, norms, by), f"{tag}-scores")
     # equal rows: the first k + 1 of them, and a query's own row among the rest
@@ -127,11 +131,17 @@ def best(weights: DataFrame, k: int, queries: DataFrame | None = None, by: tuple
     return Lists(lists, sums.unionByName(more), done)
 
 
+def _floor(sums: DataFrame, norms: DataFrame, k: int, by: tuple[str, ...]) -> DataFrame:
+    """(by, query_id, floor): a little under the k-th of the whole scores of a query's pairs with the largest sums; no row where there are fewer."""
+    seeds = top_k(sums.withColumn("score", F.round("sum", 9)), SEEDS * k, by).drop("rank", "score")
+    return top_k(_completed(seeds, norms, by), k, by).where(F.col("rank") == k).select(*by, "query_id", (F.col("score") - SLACK).alias("floor"))
+
+
 def _sums(postings: DataFrame, upto: DataFrame, left: list[str], by: tuple[str, ...]) -> DataFrame:
     """(by, query_id, item_id, sum, shared, upto, rest) of pairs that share a term of the classes up to a query's own; rest bounds what the other classes add."""
     own = postings.withColumnRenamed("item_id", "query_id").join(upto, [*by, "query_id"]).where("class <= upto")
-    own = own.select(*by, "query_id", "field", "term", F.col("w").alias("qw"), "upto", _at(left, F.col("upto")).alias("_rest"))
-    pairs = own.join(postings.select(*by, "item_id", "field", "term", "w", *left), [*by, "field", "term"]).where("item_id <> query_id")
+    own = own.select("query_id", "key", F.col("w").alias("qw"), "upto", _at(left, F.col("upto")).alias("_rest"))
+    pairs = own.join(postings.select(*by, "item_id", "key", "w", *left), "key").where("item_id <> query_id")
     pairs = pairs.select(*by, "query_id", "item_id", (F.col("w") * F.col("qw")).alias("x"), "upto", (F.col("_rest") * _at(left, F.col("upto"))).alias("rest"))
     sums = pairs.groupBy(*by, "query_id", "item_id").agg(F.sum("x").alias("sum"), F.count("*").alias("shared"), F.max("upto").alias("upto"), F.max("rest").alias("rest"))
     return sums.select(*by, "query_id", "item_id", "sum", "shared", "upto", "rest")
