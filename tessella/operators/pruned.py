@@ -100,7 +100,7 @@ def best(weights: DataFrame, k: int, queries: DataFrame | None = None, by: tuple
         enough = F.when((F.col(met[c]) <= POSTINGS * k) | (F.col(met[c - 1]) == 0), c).otherwise(enough)
     first = asked.select(*by, F.col("item_id").alias("query_id"), enough.alias("upto"), *left)
     sums = scratch.keep(_sums(postings, first.select(*by, "query_id", "upto"), left, by), f"{tag}-sums")
-    floor = _floor(sums, norms, k, by)
+    floor = _floor(sums, _rest(norms, first, by), norms, k, by)
     # the classes that a query has to join, now that its k-th score is known to be at least floor
     first = first.join(floor, [*by, "query_id"], "left")
     first = first.join(F.broadcast(most), list(by)) if by else first.withColumn("most", most.scalar())  # a row for each matrix
@@ -110,12 +110,13 @@ def best(weights: DataFrame, k: int, queries: DataFrame | None = None, by: tuple
     first = scratch.keep(first.select(*by, "query_id", "upto", need.alias("need"), "floor"), f"{tag}-floors")
     late = first.where("need > upto").select(*by, "query_id", F.col("need").alias("upto"))
     more = scratch.keep(_sums(postings, late, left, by), f"{tag}-more")
-    every = sums.join(first.where("need <= upto").select(*by, "query_id", "floor"), [*by, "query_id"]).unionByName(more.join(first.select(*by, "query_id", "floor"), [*by, "query_id"]))
     # with more classes summed, better pairs stand first, and the k-th score is known better
-    again = _floor(every.drop("floor"), norms, k, by).withColumnRenamed("floor", "_floor")
-    every = every.join(again, [*by, "query_id"], "left").withColumn("floor", F.greatest("floor", "_floor")).drop("_floor")
+    again = _floor(more, _rest(norms, late, by), norms, k, by).withColumnRenamed("floor", "_floor")
+    known = first.join(again, [*by, "query_id"], "left").select(*by, "query_id", F.greatest("upto", "need").alias("upto"), (F.col("need") <= F.col("upto")).alias("_early"), F.greatest("floor", "_floor").alias("floor"))
+    known = scratch.keep(known, f"{tag}-known")
+    every = sums.join(known.where("_early").select(*by, "query_id", "floor"), [*by, "query_id"]).unionByName(more.join(known.where("not _early").select(*by, "query_id", "floor"), [*by, "query_id"]))
     able = every.where(F.col("floor").isNull() | (F.col("sum") + F.col("rest") >= F.col("floor"))).drop("floor")
-    done = scratch.keep(_completed(able, norms, by), f"{tag}-scores")
+    done = scratch.keep(_completed(able, _rest(norms, known, by), norms, by), f"{tag}-scores")
     # equal rows: the first k + 1 of them, and a query's own row among the rest
     few = members.withColumn("_nth", F.row_number().over(Window.partitionBy(*by, "row_id").orderBy("item_id"))).where(F.col("_nth") <= k + 1)
     own = asked.select(*by, F.col("item_id").alias("query_id"), "item_id", F.col("own").alias("score"), F.col("terms").alias("shared"))
@@ -131,10 +132,16 @@ def best(weights: DataFrame, k: int, queries: DataFrame | None = None, by: tuple
     return Lists(lists, sums.unionByName(more), done)
 
 
-def _floor(sums: DataFrame, norms: DataFrame, k: int, by: tuple[str, ...]) -> DataFrame:
+def _rest(norms: DataFrame, upto: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(by, query_id, mine): the cells of each query's row that its sums leave out."""
+    own = norms.select(*by, F.col("item_id").alias("query_id"), "cells").join(upto.select(*by, "query_id", "upto"), [*by, "query_id"])
+    return own.select(*by, "query_id", F.filter("cells", lambda x: x["class"] > F.col("upto")).alias("mine"))
+
+
+def _floor(sums: DataFrame, rest: DataFrame, norms: DataFrame, k: int, by: tuple[str, ...]) -> DataFrame:
     """(by, query_id, floor): a little under the k-th of the whole scores of a query's pairs with the largest sums; no row where there are fewer."""
     seeds = top_k(sums.withColumn("score", F.round("sum", 9)), SEEDS * k, by).drop("rank", "score")
-    return top_k(_completed(seeds, norms, by), k, by).where(F.col("rank") == k).select(*by, "query_id", (F.col("score") - SLACK).alias("floor"))
+    return top_k(_completed(seeds, rest, norms, by), k, by).where(F.col("rank") == k).select(*by, "query_id", (F.col("score") - SLACK).alias("floor"))
 
 
 def _sums(postings: DataFrame, upto: DataFrame, left: list[str], by: tuple[str, ...]) -> DataFrame:
@@ -147,12 +154,10 @@ def _sums(postings: DataFrame, upto: DataFrame, left: list[str], by: tuple[str,
     return sums.select(*by, "query_id", "item_id", "sum", "shared", "upto", "rest")
 
 
-def _completed(pairs: DataFrame, norms: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """(by, query_id, item_id, score, shared) of pairs with the classes that their sums leave out."""
-    a = norms.select(*by, F.col("item_id").alias("query_id"), F.col("cells").alias("mine"))
+def _completed(pairs: DataFrame, rest: DataFrame, norms: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(by, query_id, item_id, score, shared) of pairs with the cells that their sums leave out."""
     b = norms.select(*by, "item_id", F.map_from_entries(F.transform("cells", lambda x: F.struct(x["key"], x["w"]))).alias("theirs"))
-    both = pairs.join(a, [*by, "query_id"]).join(b, [*by, "item_id"])
-    rest = F.transform(F.filter("mine", lambda x: x["class"] > F.col("upto")), lambda x: x["w"] * F.try_element_at("theirs", x["key"]))
-    both = both.withColumn("more", F.filter(rest, lambda x: x.isNotNull()))
+    both = pairs.join(rest, [*by, "query_id"]).join(b, [*by, "item_id"])
+    both = both.withColumn("more", F.filter(F.transform("mine", lambda x: x["w"] * F.try_element_at("theirs", x["key"])), lambda x: x.isNotNull()))
     score = F.round(F.col("sum") + F.aggregate("more", F.lit(0.0), lambda s, x: s + x), 9)
     return both.select(*by, "query_id", "item_id", score.alias("score"), (F.col("shared") + F.size("more")).alias("shared"))
