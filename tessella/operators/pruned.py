@@ -18,8 +18,8 @@ from tessella.sources.scratch import Scratch
 #: Classes of terms, by the logarithm of how many rows hold them.
 CLASSES = 8
 #: The first round joins classes as long as a query meets no more than so many postings for each place of its list (the rarest it has in any case), and
-#: completes so many pairs for each.
-POSTINGS, SEEDS = 200, 4
+#: completes so many pairs for each. Nor does it meet more than one part in SHARE of all rows.
+POSTINGS, SEEDS, SHARE = 200, 4, 8
 #: Scores are rounded to nine digits; a bound must fall short by more than that.
 SLACK = 2e-9
 
@@ -89,21 +89,22 @@ def best(weights: DataFrame, k: int, queries: DataFrame | None = None, by: tuple
     )
     norms = scratch.keep(norms, f"{tag}-norms")
     postings = scratch.keep(cells.join(norms.select(*by, "item_id", *left), [*by, "item_id"]), f"{tag}-postings")
-    most = norms.groupBy(*by).agg(F.struct(*(F.max(x).alias(f"most{c}") for c, x in enumerate(left))).alias("most"))
+    most = norms.groupBy(*by).agg(F.struct(*(F.max(x).alias(f"most{c}") for c, x in enumerate(left)), F.count("*").alias("rows")).alias("most"))
     if queries is None:
         asked = norms
     else:
         asking = members.join(queries.select(F.col("query_id").alias("item_id")).distinct(), "item_id", "left_semi").select(*by, F.col("row_id").alias("item_id")).distinct()
         asked = norms.join(asking, [*by, "item_id"], "left_semi")
+    asked = asked.join(F.broadcast(most), list(by)) if by else asked.withColumn("most", most.scalar())  # a row for each matrix
+    budget = F.least(F.lit(POSTINGS * k), F.greatest(F.col("most.rows") / SHARE, F.lit(SEEDS * k)))
     enough = F.lit(0)
     for c in range(1, CLASSES):
-        enough = F.when((F.col(met[c]) <= POSTINGS * k) | (F.col(met[c - 1]) == 0), c).otherwise(enough)
-    first = asked.select(*by, F.col("item_id").alias("query_id"), enough.alias("upto"), *left)
+        enough = F.when((F.col(met[c]) <= budget) | (F.col(met[c - 1]) == 0), c).otherwise(enough)
+    first = asked.select(*by, F.col("item_id").alias("query_id"), enough.alias("upto"), *left, "most")
     sums = scratch.keep(_sums(postings, first.select(*by, "query_id", "upto"), left, by), f"{tag}-sums")
     floor = _floor(sums, _rest(norms, first, by), norms, k, by)
     # the classes that a query has to join, now that its k-th score is known to be at least floor
     first = first.join(floor, [*by, "query_id"], "left")
-    first = first.join(F.broadcast(most), list(by)) if by else first.withColumn("most", most.scalar())  # a row for each matrix
     need = F.lit(CLASSES - 1)
     for c in reversed(range(CLASSES - 1)):
         need = F.when(F.col(left[c]) * F.col(f"most.most{c}") < F.col("floor"), c).otherwise(need)
