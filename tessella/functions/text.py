@@ -92,6 +92,11 @@ def casefold(text: Column) -> Column:
     return F.coalesce(_casefold(F.when(~ascii_only, text)), F.lower(text))
 
 
+def casefolded(text: str) -> str:
+    """casefold and stripped of one text in the driver, such as what a search asks for."""
+    return unicodedata.normalize("NFC", text).casefold().strip(WHITE)
+
+
 def normalise_name(value: Column) -> Column:
     """A name as the key of a person or title: folded and squeezed; null is empty."""
     return squeezed(casefold(F.coalesce(value, F.lit(""))))

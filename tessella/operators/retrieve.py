@@ -114,11 +114,11 @@ def skip_tally(rejected: DataFrame) -> DataFrame:
     return rejected.groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def metadata(features: DataFrame) -> DataFrame:
-    """What is shown of an item: genres as sorted names, numbers of tokens by field, whether it can be a query."""
+def metadata(features: DataFrame, **more: Column) -> DataFrame:
+    """What is shown of an item: genres as sorted names, numbers of tokens by field, and more columns where given."""
     names = F.array_sort(F.transform("tokens.genres", lambda g: F.replace(g, F.lit("_"), F.lit(" "))))
     sizes = {f"n_{f}": F.size(f"tokens.{f}").cast("long") for f in ("overview", "keywords", "genres", "cast", "director")}
-    shown = features.select("id", "title", "original_title", F.col("release_year").cast("long").alias("release_year"), F.array_join(names, "|").alias("genres"), "popularity", "vote_average", "vote_count", "collection_name", *(c.alias(n) for n, c in sizes.items()))
+    shown = features.select("id", "title", "original_title", F.col("release_year").cast("long").alias("release_year"), F.array_join(names, "|").alias("genres"), "popularity", "vote_average", "vote_count", "collection_name", *(c.alias(n) for n, c in (sizes | more).items()))
     return shown
 
 

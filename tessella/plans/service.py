@@ -6,13 +6,14 @@ import logging
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import retrieve, vectorise
-from tessella.operators.search import search_titles
+from tessella.operators.search import TitleIndex
 from tessella.plans.config import SELECTED_GENRE_WEIGHT, SELECTED_SHARED_TERMS, Config
 from tessella.sources import artefacts
+from tessella.sources.scratch import Scratch
 
 
 class ServiceError(Exception):
@@ -63,13 +64,14 @@ def _whole(value, name: str) -> int:
 class Catalogue:
     """Feature records and their weights, computed or read once and kept; answers never change them."""
 
-    def __init__(self, features: DataFrame, config: Config | None = None, limits: Limits | None = None, min_shared: int = SELECTED_SHARED_TERMS, min_score: float = 0.0, matrix: artefacts.Matrix | None = None):
+    def __init__(self, features: DataFrame, config: Config | None = None, limits: Limits | None = None, min_shared: int = SELECTED_SHARED_TERMS, min_score: float = 0.0, matrix: artefacts.Matrix | None = None, titles: TitleIndex | None = None):
         began = time.perf_counter()
         self.config = config or Config().with_field("genres", weight=SELECTED_GENRE_WEIGHT)
         self.limits, self.min_shared, self.min_score = limits or Limits(), min_shared, min_score
         self.features = features.persist()
         self.weights = (matrix.weights if matrix else vectorise.representation(self.features, self.config)).persist()
         self.rows = matrix.rows if matrix else self.weights
+        self._titles, self._scratch = titles, None
         self.load_seconds = time.perf_counter() - began
 
     @classmethod
@@ -79,23 +81,36 @@ class Catalogue:
         try:
             features = artefacts.read_corpus(spark, path)
             matrix = artefacts.load_matrix(spark, f"{path}/matrix", config)
+            titles = TitleIndex.read(spark, f"{path}/titles") if artefacts.exists(spark, f"{path}/titles/grams") else None
         except (artefacts.MissingArtefact, ValueError) as e:
             raise CatalogueUnavailable(str(e)) from e
         if features.isEmpty():
             raise CatalogueUnavailable(f"{path} holds no items")
-        return cls(features, config, matrix=matrix, **settings)
+        return cls(features, config, matrix=matrix, titles=titles, **settings)
 
     @staticmethod
     def save(features: DataFrame, path: str, config: Config | None = None) -> dict:
-        """Writes features, weights and vocabulary for load(), and returns the corpus manifest."""
+        """Writes features, weights, vocabulary and the index of titles for load(), and returns the corpus manifest."""
         config = config or Config().with_field("genres", weight=SELECTED_GENRE_WEIGHT)
         manifest = artefacts.write_corpus(features, path, config)
-        artefacts.save_matrix(artefacts.read_corpus(features.sparkSession, path), config, f"{path}/matrix")
+        stored = artefacts.read_corpus(features.sparkSession, path)
+        artefacts.save_matrix(stored, config, f"{path}/matrix")
+        TitleIndex.write(stored, f"{path}/titles")
         return manifest
 
     def close(self) -> None:
         self.weights.unpersist()
         self.features.unpersist()
+        if self._scratch:
+            self._scratch.delete()
+
+    @property
+    def titles(self) -> TitleIndex:
+        """The index of titles; without a stored one it is written to the scratch folder at the first search, and deleted by close()."""
+        if self._titles is None:
+            self._scratch = Scratch(self.features.sparkSession, "titles")
+            self._titles = TitleIndex.write(self.features, self._scratch.root)
+        return self._titles
 
     def health(self) -> dict:
         return {"status": "ok"}
@@ -124,35 +139,48 @@ class Catalogue:
         limit = self.limits.default_limit if limit is None else _whole(limit, "limit")
         if not 1 <= limit <= self.limits.max_limit:
             raise InvalidLimit(limit=limit)
-        return search_titles(self.features, query, limit)
+        return self.titles.search(query, limit)
 
-    def _require(self, item_id: int) -> None:
-        if self.features.where(F.col("id") == item_id).isEmpty():
-            raise UnknownItem(item_id=item_id)
+    def _terms(self, item_id: int) -> Column:
+        """Whether an item has terms, as a column of its own row's plan."""
+        return self.rows.where(F.col("item_id") == item_id).limit(1).agg(F.count("*")).scalar() > 0
 
-    def _has_terms(self, item_id: int) -> bool:
-        return not self.rows.where(F.col("item_id") == item_id).isEmpty()
+    def _row(self, item_id: int) -> Row:
+        """All that is shown of an item, in one job."""
+        counts = F.map_from_entries(F.array(*(F.struct(F.lit(f).alias("k"), F.size(f"tokens.{f}").alias("v")) for f in self.config.fields)))
+        found = self.features.where(F.col("id") == item_id)
+        row = retrieve.metadata(found, feature_counts=counts, recommendable=self._terms(item_id)).first()
+        if row is None:
+            raise UnknownItem(item_id=item_id)
+        return row
 
     def details(self, item_id: int) -> DataFrame:
         """One row of metadata, with feature_counts and recommendable."""
-        self._require(item_id)
-        counts = F.map_from_entries(F.array(*(F.struct(F.lit(f).alias("k"), F.size(f"tokens.{f}").alias("v")) for f in self.config.fields)))
-        row = self.features.where(F.col("id") == item_id)
-        return retrieve.metadata(row).join(row.select("id", counts.alias("feature_counts")), "id").withColumn("recommendable", F.lit(self._has_terms(item_id)))
+        row = self._row(item_id)
+        kinds = retrieve.metadata(self.features, feature_counts=F.lit(None).cast("map<string,int>"), recommendable=F.lit(True)).schema
+        return self.features.sparkSession.createDataFrame([row], kinds)
 
-    def recommend(self, item_id: int, k: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(recommendations with metadata, skipped, evidence) of one item; k is checked before the id."""
+    def _scored(self, item_id: int, k: int | None) -> tuple[DataFrame, DataFrame, int]:
+        """(scores, query, k) of one item; k is checked before the id, and one job says whether the item is there and has terms."""
         k = self.limits.default_k if k is None else _whole(k, "k")
         if not 1 <= k <= self.limits.max_k:
             raise InvalidK(k=k)
-        self._require(item_id)
-        if not self._has_terms(item_id):
+        query = self.features.where(F.col("id") == item_id).select(F.col("id").alias("query_id"))
+        known = query.select(self._terms(item_id).alias("terms")).first()
+        if known is None:
+            raise UnknownItem(item_id=item_id)
+        if not known.terms:
             raise InsufficientFeatures(item_id=item_id)
-        queries = self.features.where(F.col("id") == item_id).select(F.col("id").alias("query_id"))
-        scored = retrieve.scores(self.weights, queries, rows=self.rows)
+        return retrieve.scores(self.weights, query, rows=self.rows), query, k
+
+    def _judged(self, scored: DataFrame, query: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         accepted = retrieve.recommend(scored, k, self.min_score, self.min_shared)
         rejected = retrieve.skipped(scored, k, self.min_score, self.min_shared)
-        return retrieve.with_metadata(accepted, self.features), rejected, retrieve.evidence(accepted, rejected, queries, k, self.min_shared)
+        return retrieve.with_metadata(accepted, self.features), rejected, retrieve.evidence(accepted, rejected, query, k, self.min_shared)
+
+    def recommend(self, item_id: int, k: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(recommendations with metadata, skipped, evidence) of one item; k is checked before the id."""
+        return self._judged(*self._scored(item_id, k))
 
     def recommend_many(self, item_ids: list[int], k: int | None = None) -> DataFrame:
         """Recommendations of several items in one plan; one unknown id fails all."""
@@ -195,9 +223,14 @@ class Catalogue:
             return {"query": asked.get("q"), "total_matches": found[0]["total_matches"] if found else 0, "count": len(found), "results": [{k: v for k, v in r.items() if k != "total_matches"} for r in found]}
         item = _whole(path[1], "movie_id")
         if len(path) == 2:
-            return rows(self.details(item))[0]
-        accepted, rejected, evidence = self.recommend(item, asked.get("k"))
+            return self._row(item).asDict(recursive=True)
         after = _whole(asked.get("skipped_after", 0), "skipped_after")
-        shown = rows(rejected.where(F.col("place") > after).orderBy("place").limit(SKIPPED_PAGE).drop("query_id"))
-        more = shown[-1]["place"] if len(shown) == SKIPPED_PAGE else None
-        return {"query": item, "evidence": rows(evidence)[0], "recommendations": rows(accepted.orderBy("rank").drop("query_id")), "skipped": shown, "skipped_next": more}
+        scored, query, k = self._scored(item, asked.get("k"))
+        scored = scored.persist()  # all parts of the answer read one item's scores
+        try:
+            accepted, rejected, evidence = self._judged(scored, query, k)
+            shown = rows(rejected.where(F.col("place") > after).orderBy("place").limit(SKIPPED_PAGE).drop("query_id"))
+            more = shown[-1]["place"] if len(shown) == SKIPPED_PAGE else None
+            return {"query": item, "evidence": rows(evidence)[0], "recommendations": rows(accepted.orderBy("rank").drop("query_id")), "skipped": shown, "skipped_next": more}
+        finally:
+            scored.unpersist()

@@ -1,6 +1,7 @@
 """Vectors, ranks, gates, search and the service."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -185,3 +186,54 @@ def test_catalogue_from_storage(spark, films, tmp_path):
     service.Catalogue.save(films.limit(0), str(tmp_path / "empty"))
     with pytest.raises(service.CatalogueUnavailable):
         service.Catalogue.load(spark, str(tmp_path / "empty"))
+
+
+def test_title_index_says_what_the_scan_says(spark, tmp_path):
+    """Random titles of few characters, beyond ASCII, missing, empty, repeated and long ones; queries of every length; and how little a search reads."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abÄß é\U0001f600") for _ in range(rnd.randrange(0, 9)))
+    rows = [(i, rnd.choice((word(), "same title", None, "", "  ")), rnd.choice((word(), None, "aaaaaaa", "a\0b")), [], [], None) for i in range(400)]
+    rows += [(1000, "x" * 5_000 + "needle" + "\U0001f600" * 20_000, "Long", [], [], None), (1001, "a\0", "ab\0\0", [], [], None)]
+    found = catalogue(spark, rows).persist()
+    index = search.TitleIndex.write(found, str(tmp_path / "titles"))
+    show = lambda df: [tuple(r) for r in df.orderBy("place").collect()]
+    queries = {"a", "AB", "ss", "ß", " É ", "\U0001f600", "same title", "same", "me ti", "e t", "aaaa", "aaaaaaa", "aaaaaaaa", "a\0", "\0", "needle", "zz", "nothing at all", "b\0", "%", "_"}
+    queries |= {q for q in (word() for _ in range(4)) if q.strip()}
+    for q in sorted(queries):
+        for limit in (3, 500) if len(q) % 2 else (500,):
+            assert show(index.search(q, limit)) == show(search.search_titles(found, q, limit)), (q, limit)
+    assert show(index.search("  ", 30)) == show(search.search_titles(found, "  ", 30)) and index.search("zz", 3).columns == search.search_titles(found, "zz", 3).columns
+    assert index.postings("needle").count() == 2 and index.grams.count() > 25_000  # two grams at one place each
+    plan = index.postings("needle")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(gram, [dle,nee])]" in plan
+    none = search.TitleIndex.write(found.limit(0), str(tmp_path / "none"))
+    assert none.search("a", 3).count() == 0 and none.search(" ", 3).count() == 0
+    found.unpersist()
+
+
+def jobs(spark, name, ask):
+    """Jobs that asking starts."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        ask()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_an_item_is_looked_up_by_one_query(spark, films):
+    """One collect: the scalar that says whether it has terms is part of the row's plan. Unknown items cost no more."""
+    known = service.Catalogue(films, min_shared=2)
+    known.stats()
+    try:
+        asked = []
+        real = known._row
+        known._row = lambda item: asked.append(item) or real(item)
+        assert known.answer("GET", "movies/103")[1]["recommendable"] is True and known.answer("GET", "movies/1")[0] == 404 and asked == [103, 1]
+        # the row's own job and those of its subquery: no separate look whether the item exists, or has terms
+        assert jobs(spark, "details", lambda: known.answer("GET", "movies/103")) <= 3
+        accepted, rejected, evidence = known.recommend(103, 5)
+        got = known.answer("GET", "movies/103/recommendations", k=5)[1]
+        assert [r["item_id"] for r in got["recommendations"]] == ids(accepted, "rank") and [r["item_id"] for r in got["skipped"]] == ids(rejected, "place") and got["evidence"] == evidence.drop("query_id").first().asDict() | {"query_id": 103}
+    finally:
+        known.close()
