@@ -215,6 +215,9 @@ SELECT row_number() OVER (ORDER BY tier, lower(title), id) AS place, id, title,
 """
 
 
+#: Searches of the title index with their limits.
+_INDEXED = (("brand#1", 50), ("ring", 20), ("#1", 40), ("e", 30), ("brand#23 s", 30), ("nowhere", 5))
+
 #: The events' lines as they might arrive, and the value of k in each.
 _RAW = r"""
 raw AS (SELECT event_id AS line_no, event_id % 10 AS kind, props FROM events WHERE event_id % 10 <> 2),
@@ -282,6 +285,7 @@ ORACLES = {
     "ranked_candidates": f"{_DOC_SEARCH} SELECT query_id, item_id, round(score, 6) AS score, {_RANK} AS rank FROM sc",
     "sparse_topk": f"{_DOC_SEARCH} SELECT query_id, item_id, round(score, 6) AS score, {_RANK} AS rank FROM sc QUALIFY rank <= 20",
     "topk_batch": f"WITH {_PART}, {_weights(genre=0.44)}, {_scores('true')} SELECT query_id, item_id, round(score, 6) AS score, shared, {_RANK} AS rank FROM sc QUALIFY rank <= 10",
+    "search_index": " UNION ALL ".join(f"SELECT *, '{q}' AS query FROM ({_search(q, n)})" for q, n in _INDEXED),
     "search_titles": f"SELECT * FROM ({_search('brand#1', 50)}) UNION ALL SELECT * FROM ({_search('ring', 20)})",
     "select_queries": f"""WITH {_PART}, {_MEMBERS}, {_weights()}, z AS (SELECT id, count(item_id) AS n FROM items LEFT JOIN wts ON item_id = id GROUP BY id),
 r AS (SELECT 'popular' AS purpose, (SELECT p_partkey FROM pp ORDER BY coalesce(popularity, 0) DESC, p_partkey LIMIT 1) AS id UNION ALL SELECT 'obscure', (SELECT p_partkey FROM pp ORDER BY coalesce(popularity, 0), p_partkey LIMIT 1)
@@ -322,5 +326,6 @@ SELECT * FROM r WHERE id IS NOT NULL""",
     "exp_ablation": _experiments([(f"drop_{f}", tuple(x for x in FIELDS if x != f), 1.0, 1, 5) for f in FIELDS]),
     "exp_single_field": _experiments([(f"only_{f}", (f,), 1.0, 1, 5) for f in FIELDS]),
     "exp_evidence": _experiments([(f"evidence_mt{m}", _ALL, 1.0, m, 5) for m in SHARED_TERMS]),
+    "exp_stored": _experiments([("selected", _ALL, 0.44, 3, 5)]),
     "exp_selected": _experiments([("selected", _ALL, 0.44, 3, 5)]),
 }

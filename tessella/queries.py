@@ -6,7 +6,7 @@ divisible by 100, against all; evaluations ask with every part.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessella.functions import gates
 from tessella.functions.text import canonical_phrase, folded, normalise_name, normalise_text, phrase_token, tokens, year_of
 from tessella.operators import audit, evaluate, features, labels, pruned, retrieve, search, vectorise
-from tessella.plans import experiments
+from tessella.plans import experiments, results
 from tessella.plans.config import CUTOFFS, SELECTED_GENRE_WEIGHT, SELECTED_SHARED_TERMS
 from tessella.sources import artefacts, jsonl
 from tessella.sources.catalogues import DOC_CONFIG, PART_CONFIG, documents_catalogue, parts_catalogue, table
@@ -24,6 +24,8 @@ from tessella.sources.scratch import Scratch
 DOC_SELECTED = DOC_CONFIG.with_field("genres", weight=SELECTED_GENRE_WEIGHT)
 PART_SELECTED = PART_CONFIG.with_field("genres", weight=SELECTED_GENRE_WEIGHT)
 QUERY_STEP = 100
+#: Searches of the title index with their limits.
+INDEX_SEARCHES = (("brand#1", 50), ("ring", 20), ("#1", 40), ("e", 30), ("brand#23 s", 30), ("nowhere", 5))
 
 
 # -- catalogues -------------------------------------------------------------------------------------
@@ -56,10 +58,38 @@ def part_best(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame
     return found, found.select(F.col("id").alias("query_id")), weights, pruned.best(weights, k, scratch=scratch).rows, scratch
 
 
+#: Scratch folders of lists that this process wrote, by session and state of the tables' files.
+_LISTS: dict[tuple, Scratch] = {}
+
+
+def _files_state(spark: SparkSession, d: str) -> tuple:
+    """Paths, lengths and times of the files that parts are made of."""
+    found = []
+    for name in ("part", "lineitem", "supplier"):
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+        files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(place, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def part_lists(spark: SparkSession, d: str, gate: int = SELECTED_SHARED_TERMS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(features, queries, weights, filtered lists) of all parts, the lists written once."""
-    found, queries, weights, lists, scratch = part_best(spark, d, max(CUTOFFS))
-    return found, queries, weights, scratch.keep(evaluate.filtered_lists(lists, gate), "lists")
+    """(features, queries, weights, filtered lists) of all parts. Features, weights and ungated lists are written once for all evaluations
+    of the same files; other files, or a folder that is gone, make new ones in place of the old."""
+    application = spark.sparkContext.applicationId
+    key = (application, _files_state(spark, d), spark.conf.get("spark.checkpoint.dir", None))
+    scratch = _LISTS.get(key)
+    if scratch is None or not all(artefacts.exists(spark, f"{scratch.root}/{name}/_SUCCESS") for name in ("features", "weights", "lists")):
+        for old in [k for k in _LISTS if k[0] != application or k[1] and k[1][0][0] == key[1][0][0]]:
+            gone = _LISTS.pop(old)
+            if old[0] == application:  # of an earlier session nothing can be asked any more
+                gone.delete()
+        found, _, weights, lists, scratch = part_best(spark, d, max(CUTOFFS))
+        scratch.keep(lists, "lists")
+        _LISTS[application, key[1], spark.conf.get("spark.checkpoint.dir", None)] = scratch
+    found, weights, lists = (spark.read.parquet(f"{scratch.root}/{name}") for name in ("features", "weights", "lists"))
+    return found, found.select(F.col("id").alias("query_id")), weights, evaluate.filtered_lists(lists, gate)
 
 
 def part_members(spark: SparkSession, d: str) -> DataFrame:
@@ -353,6 +383,14 @@ def search_titles(spark, d):
     return search.search_titles(part_features(spark, d), " Brand#1 ", 50).unionByName(search.search_titles(part_features(spark, d), "ring", 20))
 
 
+def search_index(spark, d):
+    """Searches of an index over all parts: whole and partial titles, original titles, and queries shorter than a posting."""
+    scratch = Scratch(spark, "titles")
+    index = search.TitleIndex.write(part_features(spark, d), scratch.root)
+    found = [index.search(q, n).withColumn("query", F.lit(q)) for q, n in INDEX_SEARCHES]
+    return reduce(DataFrame.unionByName, found)
+
+
 def select_queries(spark, d):
     """Parts have no films' genres, so two of theirs stand for them."""
     found = part_features(spark, d)
@@ -448,6 +486,15 @@ def _family(spark, d, family: str):
     return _run(spark, d, families=[family]).results().drop("family")
 
 
+def exp_stored(spark, d):
+    """The selected experiment run into a result store, and read back from it after a comparison of inputs."""
+    store = results.Store(spark, Scratch(spark, "results").root)
+    which, records = experiments.chosen(experiments.matrix(PART_CONFIG), names=["selected"]), Scratch(spark, "records").keep(parts_catalogue(spark, d), "parts")
+    for _ in range(2):
+        found = store.results(which, records, PART_CONFIG)
+    return found.drop("family")
+
+
 def exp_samples(spark, d):
     return _shown(_run(spark, d, names=["rep_D", "selected"]).samples(["rep_D", "selected"]))
 
@@ -513,9 +560,9 @@ _PLAIN = (
     genre_block, cast_block, director_block, feature_records, item_metadata, dedupe_first_wins, load_report, manifest_token_stats, tf_sublinear, idf_smooth, df_pruned_vocab, tfidf_weights,
     tfidf_block, l2_rows, representation_d, representation_flat, representation_geometry, representation_compare, field_energy_share, field_coverage, weight_solver, recommend_single,
     recommend_topk, recommend_many, recommend_min_score, recommend_evidence, recommend_subset, recommend_skipped, recommend_skip_tally, recommend_evidence_block, similarity_rows,
-    ranked_candidates, sparse_topk, topk_batch, search_titles, select_queries, label_groups, labels_restricted, label_pairs, label_summary, eval_unevaluable, eval_recall, eval_ndcg,
+    ranked_candidates, sparse_topk, topk_batch, search_titles, search_index, select_queries, label_groups, labels_restricted, label_pairs, label_summary, eval_unevaluable, eval_recall, eval_ndcg,
     eval_coverage, eval_ild, eval_breadth, eval_popularity, eval_spearman, popularity_percentiles, audit_missing, audit_ids, audit_title_groups, audit_text_quality, audit_usability,
-    audit_describe, audit_distributions, audit_cast_order, exp_samples, load_samples, manifest_corpus, audit_structure, audit_list_sizes, validate_corpus,
+    audit_describe, audit_distributions, audit_cast_order, exp_samples, exp_stored, load_samples, manifest_corpus, audit_structure, audit_list_sizes, validate_corpus,
 )
 QUERIES = {f.__name__: f for f in _PLAIN} | {
     "canonical_phrase": canonical_phrases, "normalise_name": normalised_names, "eval_top1": eval_top1, "eval_thin": eval_thin, "eval_returned": eval_returned,

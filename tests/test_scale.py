@@ -200,3 +200,73 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", ["topk_batch", "stratified_uneven", "stratified_sample", "representation_compare"])
 def test_queries_equal_their_sql(spark, name):
     test_evaluation.test_queries_equal_their_sql(spark, name)
+
+
+def test_results_are_stored_by_fingerprint(spark, tmp_path, monkeypatch):
+    """What is stored isn't run again; other inputs are refused or replace it; damaged tables and failing runs are noticed."""
+    from tessella.plans import results
+
+    base, rows = Config(), records(spark, 30).persist()
+    which = experiments.chosen(experiments.matrix(base), names=["rep_A"])
+    store = results.Store(spark, str(tmp_path / "store"))
+    show = lambda df: sorted(map(tuple, df.select(*sorted(df.columns)).collect()))
+    first = show(store.results(which, rows, base))
+    key = results.fingerprint(which, base, ks=[5, 10, 20], k=10, first=None, backfill=False)
+    held = store.manifest(key)
+    assert held["rows"] == len(first) == 12 and held["inputs"]["records"] == 30 and held["experiments"][0]["name"] == "rep_A"
+    real = results.Run
+
+    def refuse(*_):
+        raise RuntimeError("run again")
+
+    monkeypatch.setattr(results, "Run", refuse)
+    assert show(store.results(which, rows, base)) == first and show(store.read(key)) == first
+    fewer = rows.where("id < 30")
+    with pytest.raises(results.InputsChanged, match="corpus, labels, records"):
+        store.results(which, fewer, base)
+    with pytest.raises(results.InputsChanged, match="queries"):
+        store.results(which, rows, base, queries=rows.select(F.col("id").alias("query_id")).limit(4))
+    with pytest.raises(RuntimeError, match="run again"):
+        store.results(which, fewer, base, replace=True)
+    assert show(store.read(key)) == first  # a run that fails leaves what was there
+    assert show(store.compare(key, key)) == sorted((r["experiment"], r["k"], r["kind"], r["ndcg"], r["ndcg"], r["recall"], r["recall"]) for r in store.read(key).collect())
+    monkeypatch.setattr(results, "Run", real)
+    again = show(store.results(which, fewer, base, replace=True))
+    assert again != first and store.manifest(key)["inputs"]["records"] == 29
+    spark.createDataFrame(store.read(key).limit(5).collect(), store.read(key).schema).write.mode("append").parquet(f"{store.path}/{key}/{store.manifest(key)['table']}")
+    with pytest.raises(ValueError, match="doesn't hold"):
+        store.results(which, fewer, base)
+    assert show(store.results(which, fewer, base, replace=True)) == again
+    with pytest.raises(artefacts.MissingArtefact):
+        store.read("nothing")
+    other = results.fingerprint(which, base, ks=[5, 10, 20], k=10, first=None, backfill=True)
+    assert other != key and results.fingerprint(which, base.with_field("genres", weight=0.5), ks=[5, 10, 20], k=10, first=None, backfill=False) != key
+    rows.unpersist()
+
+
+def test_evaluations_share_lists_of_the_same_files(spark, tmp_path, monkeypatch):
+    """Lists are made once for the same files, anew for changed ones or when their folder is gone."""
+    import shutil
+
+    from tessella import queries
+
+    where = tmp_path / "tables"
+    where.mkdir()
+    for name in ("part", "lineitem", "supplier"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", where / f"{name}.parquet")
+    made, real = [], queries.part_best
+    monkeypatch.setattr(queries, "part_best", lambda *a: made.append(a) or real(*a))
+    show = lambda: sorted(map(tuple, queries.part_lists(spark, str(where))[3].collect()))
+    before = show()
+    assert show() == before and len(made) == 1
+    loose = queries.part_lists(spark, str(where), 1)[3]
+    assert loose.count() >= len(before) and len(made) == 1  # the gate is applied to what is stored
+    small = spark.read.parquet(str(where / "part.parquet")).limit(40).toPandas()
+    small.to_parquet(where / "part.parquet")
+    old = [s for s in queries._LISTS.values()]
+    assert show() != before and len(made) == 2
+    assert any(not artefacts.exists(spark, s.root) for s in old)
+    current = next(s for k, s in queries._LISTS.items() if k[1] == queries._files_state(spark, str(where)))
+    current.delete()
+    show()
+    assert len(made) == 3
