@@ -95,7 +95,8 @@ class TitleIndex:
         n = len(q)
         if n:
             inside = self.postings(query).where(F.col("begin") + n <= F.col("size"))  # the filler is no part of a key
-            whole = inside.groupBy("at", "original", "size", "begin").agg(F.count("*").alias("grams")).where(F.col("grams") == len(_offsets(q)))
+            # dealt by title once; both counts find their rows together then
+            whole = inside.repartition("at").groupBy("at", "original", "size", "begin").agg(F.count("*").alias("grams")).where(F.col("grams") == len(_offsets(q)))
             at_start, title = F.col("begin") == 0, ~F.col("original")
             tier = F.when(at_start & (F.col("size") == n), 0).when(at_start & title, 1).when(at_start, 2).when(title, 3).otherwise(4)
             found = whole.groupBy("at").agg(F.min(tier).alias("tier"))
