@@ -92,7 +92,7 @@ def _by_place(s: Span):
 
 
 #: Generators of the added kinds; what they propose may overlap and is often wrong.
-_AT_WORD = re.compile(r"\s?[(\[{<]at[)\]}>]\s?|\sat\s", re.I)
+_AT_WORD = re.compile(r"[(\[{<][Aa][Tt][)\]}>]|\s[Aa][Tt]\s")
 _DOMAIN_WORDS = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|\s?[(\[{<]dot[)\]}>]\s?|\sdot\s)[A-Za-z0-9-]++)++", re.I)
 _NUMERIC = {
     "ipv6": re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){3,}+(?![0-9A-Za-z:])"),
@@ -110,16 +110,22 @@ _SECRET_PARTS = re.compile(r"(?<![0-9A-Za-z_.-])[0-9A-Za-z_-]{8,}+(?:\.[0-9A-Za-
 #: Values of any look that a name gives away, from SAID characters on.
 SAID = 6
 _SECRET_SAID = re.compile(r"(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential)s?[\"']?(?:\s?(?:[:=]|=>|:=)\s?|\sis\s)[\"'`]?([^\s\"'`<>,;()\[\]{}]{%d,}+)" % SAID, re.I)
+#: What one of them has in it. Fixed values.
+_SAID_BY = ("passw", "passphrase", "pwd", "secret", "token", "key", "credential")
 
 
 def _addresses(text: str) -> list[Span]:
     """Mail addresses with 'at' and 'dot' in words, leftmost and non-overlapping."""
     out, done = [], 0
     for at in _AT_WORD.finditer(text):
-        start = at.start()
+        end, after = at.span()
+        if not text[end].isspace():  # brackets may stand apart
+            end -= text[end - 1 : end].isspace()
+            after += text[after : after + 1].isspace()
+        start = end
         while start > done and text[start - 1] in _LOCAL:
             start -= 1
-        if start < at.start() and at.start() >= done and (m := _DOMAIN_WORDS.match(text, at.end())):
+        if start < end and (m := _DOMAIN_WORDS.match(text, after)):
             out.append((start, m.end(), "email_words"))
             done = m.end()
     return out
@@ -140,8 +146,8 @@ def candidates(text: str) -> list[Span]:
     out += [(*m.span(), "secret") for m in _SECRET.finditer(text)]
     if "." in text:
         out += [(*m.span(), "secret") for m in _SECRET_PARTS.finditer(text)]
-    known = set(out)
-    for m in _SECRET_SAID.finditer(text):
+    known, low = set(out), text.lower()
+    for m in _SECRET_SAID.finditer(text) if any(w in low for w in _SAID_BY) else ():
         end = m.end(1) - (text[m.end(1) - 1] in ".:?")  # what ends a sentence is no part
         if (s := (m.start(1), end, "secret")) not in known:
             out.append(s)
