@@ -270,3 +270,13 @@ def test_evaluations_share_lists_of_the_same_files(spark, tmp_path, monkeypatch)
     current.delete()
     show()
     assert len(made) == 3
+
+
+def test_no_table_of_pairs_is_written(spark):
+    """Rows that all share a term: what best neighbours write grows with cells and lists, not with pairs."""
+    weights, scratch = matrix(spark, 300, 12, 9), pruned.Scratch(spark, "bounded")
+    found = pruned.best(weights, 2, scratch=scratch)
+    assert shown(found.rows) == shown(retrieve.top_k(retrieve.scores(weights), 2))
+    tables = os.listdir(scratch.root.removeprefix("file:"))
+    assert tables and max(spark.read.parquet(f"{scratch.root}/{t}").count() for t in tables) <= weights.count()
+    scratch.delete()
