@@ -280,3 +280,50 @@ def test_no_table_of_pairs_is_written(spark):
     tables = os.listdir(scratch.root.removeprefix("file:"))
     assert tables and max(spark.read.parquet(f"{scratch.root}/{t}").count() for t in tables) <= weights.count()
     scratch.delete()
+
+
+def test_small_batches_of_postings_change_no_list(spark, monkeypatch):
+    """In this process, as workers don't see what a test sets."""
+    import pyarrow as pa
+
+    weights, scratch = matrix(spark, 90, 40, 3), pruned.Scratch(spark, "batches")
+    pruned.best(weights, 3, scratch=scratch)
+    table = lambda end: next(spark.read.parquet(f"{scratch.root}/{t}") for t in os.listdir(scratch.root.removeprefix("file:")) if t.endswith(end))
+    want = {r["row_id"]: [tuple(x) for x in r["items"]] for r in table("-found").collect()}
+    rows = [{c: bytes(v) if isinstance(v, bytearray) else v for c, v in r.asDict().items()} for r in table("-blocks").collect()]
+    assert len(rows) == 1 and len(want) > 50
+    rows = [r | {f"q_{c}": v for c, v in r.items()} for r in rows]
+    for name, value in (("POSTINGS", 1), ("SEEDS", 1), ("SUMS", 1), ("ROWS", 1)):
+        monkeypatch.setattr(pruned, name, value)
+        (out,) = pruned._met(3)(iter([pa.RecordBatch.from_pylist(rows)]))
+        found = {r["row_id"]: [(x["item_id"], x["score"], x["shared"]) for x in r["items"]] for r in out.to_pylist()}
+        assert found == want
+    scratch.delete()
+
+
+def test_lists_are_judged_without_dealing_their_pairs_out(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tessella.operators import listed
+
+    weights = matrix(spark, 60, 12, 4)
+    lists = retrieve.top_k(retrieve.scores(weights), 5)
+    found = evaluate.diversity(lists, weights)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    own, scores = {}, {(r["query_id"], r["item_id"]): r["score"] for r in retrieve.scores(weights).collect()}
+    for r in lists.collect():
+        own.setdefault(r["query_id"], []).append(r["item_id"])
+    pairs = [1 - scores.get((a, b), 0.0) for items in own.values() for a in items for b in items if a < b]
+    assert abs(found.first().diversity - sum(pairs) / len(pairs)) < 2e-6
+    rnd, held = random.Random(7), []
+    groups = {k: set(rnd.sample(range(50), 9)) for k in range(6)}
+    for q in range(50):
+        held += [(q, k) for k in groups if q in groups[k]]
+    binary = lambda x, t="<i8": b"".join(int(v).to_bytes(8 if t == "<i8" else 4, "little") for v in x)
+    per = [[k for k in groups if i in groups[k]] for i in range(50)]
+    row = {"part": 0, "q_query_id": binary(q for q, _ in held), "q_item_id": binary(k for _, k in held), "q_rank": binary(0 for _ in held), "sizes": binary(map(len, per), "<i4"), "keys": binary(k for x in per for k in x)}
+    for size in (1, 5, 10_000):
+        monkeypatch.setattr(listed, "PAIRS", size)
+        (out,) = listed._counted(iter([pa.RecordBatch.from_pylist([row])]))
+        assert {r["query_id"]: r["n"] for r in out.to_pylist()} == {q: len(set().union(*(groups[k] for a, k in held if a == q))) for q, _ in held}
