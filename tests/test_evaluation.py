@@ -50,6 +50,26 @@ def test_label_scores(spark):
     assert abs(got[3].ndcg - dcg / ideal / 3) < 1e-6 and got[1].ndcg == 0
 
 
+@pytest.mark.parametrize("most", [1, 2, 6])
+def test_unions_of_groups_are_counted_by_subsets(spark, monkeypatch, most):
+    """No pair is met while an item has few groups; items of more are counted beside them, whoever asks."""
+    import random
+
+    from tessella.operators import listed
+
+    r = random.Random(4)
+    members = sorted({("k", f"g{r.randrange(9)}", i) for i in range(50) for _ in range(1 + i % 4)} | {("other", "x", 3), ("other", "x", 4)})
+    groups = spark.createDataFrame(members, "kind string, group_key string, item_id long")
+    met, real = [], listed.union_sizes
+    monkeypatch.setattr(evaluate, "SETS", most)
+    monkeypatch.setattr(listed, "union_sizes", lambda *a: met.append(a) or real(*a))
+    want = {}
+    for k, q, i in labels.label_pairs(groups).select("kind", "query_id", "item_id").collect():
+        want[k, q] = want.get((k, q), 0) + 1
+    assert {(k, q): n for k, q, n in evaluate.relevant_counts(groups).collect()} == want
+    assert bool(met) == (most < 4)
+
+
 def test_scores_by_groups_equal_those_by_pairs(spark):
     """Groups judge as their pairs do: items in several groups of a kind, queries outside all, and a group that holds most items."""
     import random
