@@ -101,6 +101,40 @@ def test_variants_are_the_representations_one_by_one(spark):
         vectorise.variants(sources, [vectorise.Variant(replace(base, block_mode="other"))])
 
 
+@pytest.mark.parametrize(("k", "min_score", "min_shared"), [(4, 0.0, 1), (3, 0.15, 6), (100, 0.1, 5), (5, 0.0, 50)])
+def test_searches_by_blocks_are_those_over_pairs(spark, k, min_score, min_shared):
+    """Several blocks, gates and an item without terms; neither tokens nor pairs are dealt out."""
+    from tessella.operators import searched
+
+    config = Config().with_field("genres", weight=0.44).with_field("cast", weight=0.0)
+    rows = records(spark).withColumn("overview", F.when(F.col("id") != 40, F.col("overview")))
+    found = feature_records(rows.repartition(3, "id"), config).persist()
+    asks = F.col("id") % 5 == 0
+    queries = found.where(asks).select(F.col("id").alias("query_id"))
+    scored = retrieve.scores(vectorise.representation(found, config), queries).persist()
+    ours = searched.Searches.of(found, config, asks)
+    assert ours.blocks.count() > 1
+    best = ours.recommend(k, min_score, min_shared)
+    want = retrieve.recommend(scored, k, min_score, min_shared)
+    assert shown(best) == shown(want)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    show = lambda df: sorted(map(tuple, df.collect()))
+    want = retrieve.evidence(want, retrieve.skipped(scored, k, min_score, min_shared), queries, k, min_shared)
+    assert show(ours.evidence(k, min_score, min_shared)) == show(want)
+    ours.scratch.delete()
+    found.unpersist(), scored.unpersist()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are absent")
+@pytest.mark.parametrize("name", ["recommend_single", "recommend_evidence", "recommend_many"])
+def test_searches_shuffle_no_pair(spark, name):
+    from tessella import queries
+
+    found = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_rebuilt_corpus_must_have_the_same_records(spark, monkeypatch):
     base = Config()
     rebuild = [experiments.Experiment("cast_k3", "cast_top_k", base.with_field("cast", top_k=3), rebuild=True)]
