@@ -135,6 +135,15 @@ def test_searches_shuffle_no_pair(spark, name):
     assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_samples_make_no_lists(spark):
+    run = experiments.Run(experiments.chosen(experiments.matrix(Config()), names=["rep_A"]), records(spark, 20), Config())
+    run.samples(["rep_A"]).count()
+    names = os.listdir(run.scratch.root.removeprefix("file:"))
+    assert "weights" in names and not {"plain", "lists", "percentiles"} & set(names)
+    assert run.lists.count() and "lists" in os.listdir(run.scratch.root.removeprefix("file:"))
+    run.close()
+
+
 def test_a_rebuilt_corpus_must_have_the_same_records(spark, monkeypatch):
     base = Config()
     rebuild = [experiments.Experiment("cast_k3", "cast_top_k", base.with_field("cast", top_k=3), rebuild=True)]
