@@ -242,3 +242,29 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+def test_packed_lists_are_gated_and_judged_without_dealing_places_out(spark):
+    """Lists of a row each, gated without a shuffle, give what the metrics say of a row for each place."""
+    import random
+
+    from tessella.operators import pruned
+    from tessella.sources.scratch import Scratch
+
+    r = random.Random(5)
+    rows = [(q, k, i, round(1 - k / 10, 1), r.randrange(1, 6)) for q in range(0, 40, 2) for k, i in enumerate(r.sample([i for i in range(40) if i != q], r.randrange(1, 9)), 1)]
+    scratch = Scratch(spark, "packed")
+    plain, packed = lists(spark, rows), scratch.keep(evaluate.packed_lists(lists(spark, rows)), "lists")
+    gated = evaluate.gated_lists(packed, 3)
+    assert "Exchange" not in pruned.places(gated)._jdf.queryExecution().executedPlan().toString()
+    want = evaluate.filtered_lists(plain, 3)
+    show = lambda df: sorted(map(tuple, df.collect()))
+    assert show(pruned.places(gated).select(want.columns)) == show(want)
+    features = spark.createDataFrame([(i, [f"g{i % 3}", f"h{i % 5}"], 1900 + 7 * i if i % 4 else 0, float(i % 6)) for i in range(40)], "id long, genres array<string>, release_year int, popularity double")
+    features = features.select("id", F.struct("genres").alias("tokens"), "release_year", "popularity")
+    queries, percentiles = features.select(F.col("id").alias("query_id")), evaluate.popularity_percentiles(features)
+    wide, bias = evaluate.profiles(gated, features, queries, percentiles, 4, (), scratch)
+    assert show(wide) == show(evaluate.breadth(want, features, queries, 4)) and show(bias) == show(evaluate.popularity_bias(want, percentiles))
+    groups = spark.createDataFrame([("a", f"x{i % 7}", i) for i in range(40)] + [("b", f"y{i % 2}", i) for i in range(0, 30)], "kind string, group_key string, item_id long")
+    assert show(evaluate.group_scores(gated, groups, queries, (2, 8))) == show(evaluate.label_scores(want, labels.label_pairs(groups, queries), (2, 8)))
+    scratch.delete()
