@@ -370,3 +370,17 @@ def test_lists_are_judged_without_dealing_their_pairs_out(spark, monkeypatch):
         monkeypatch.setattr(listed, "PAIRS", size)
         (out,) = listed._counted(iter([pa.RecordBatch.from_pylist([row])]))
         assert {r["query_id"]: r["n"] for r in out.to_pylist()} == {q: len(set().union(*(groups[k] for a, k in held if a == q))) for q, _ in held}
+
+
+def test_ranked_candidates_shuffle_no_pair(spark):
+    """Blocks of queries hold what they meet: no row for a pair is dealt out before the result."""
+    from tessella.operators import searched
+    from tessella.operators.features import feature_records
+
+    found, asking = feature_records(records(spark, 60), Config()), F.col("id") % 3 == 0
+    ranked = searched.Searches.of(found, Config(), asking).ranked()
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Window" not in plan and "Join" not in plan
+    want = retrieve.ranked(retrieve.scores(vectorise.representation(found, Config()), found.where(asking).select(F.col("id").alias("query_id"))))
+    show = lambda df: sorted(map(tuple, df.select("query_id", "rank", "item_id", F.round("score", 6)).collect()))
+    assert show(ranked) == show(want) and ranked.count() > 100
