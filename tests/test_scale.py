@@ -384,3 +384,16 @@ def test_ranked_candidates_shuffle_no_pair(spark):
     want = retrieve.ranked(retrieve.scores(vectorise.representation(found, Config()), found.where(asking).select(F.col("id").alias("query_id"))))
     show = lambda df: sorted(map(tuple, df.select("query_id", "rank", "item_id", F.round("score", 6)).collect()))
     assert show(ranked) == show(want) and ranked.count() > 100
+
+
+def test_few_terms_deal_no_cell_by_term(spark, tmp_path):
+    """Sources that no variant reads aren't counted, and with a small vocabulary cells are dealt by item alone."""
+    base, scratch = Config(), pruned.Scratch(spark, "few")
+    sources = [feature_records(records(spark), base), feature_records(records(spark), base.with_field("cast", top_k=7))]
+    wanted = [vectorise.Variant(base.with_field("cast", top_k=7), FIELDS, 1)]
+    few, many = vectorise.variants(sources, wanted, scratch), vectorise.variants(sources, wanted)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    show = lambda df: sorted((r["item_id"], r["field"], r["term"], round(r["w"], 9)) for r in df.collect())
+    assert show(few) == show(many) and {r["source"] for r in spark.read.parquet(f"{scratch.root}/frequencies-1").collect()} == {1}
+    scratch.delete()
