@@ -397,3 +397,13 @@ def test_few_terms_deal_no_cell_by_term(spark, tmp_path):
     show = lambda df: sorted((r["item_id"], r["field"], r["term"], round(r["w"], 9)) for r in df.collect())
     assert show(few) == show(many) and {r["source"] for r in spark.read.parquet(f"{scratch.root}/frequencies-1").collect()} == {1}
     scratch.delete()
+
+
+def test_experiments_keep_no_table_that_a_measure_passed_by(spark):
+    run = experiments.Run(experiments.chosen(experiments.matrix(Config()), names=["only_genres", "cast_k5"]), records(spark, 20), Config())
+    assert run.results().count() > 0
+    root = run.scratch.root.removeprefix("file:")
+    names = os.listdir(root)
+    assert "plain" in names and not [n for n in names if n == "lists" or n.startswith(("pruned", "listed", "relevant", "features-"))]
+    assert not [n for n in os.listdir(os.path.dirname(root)) if n.startswith("experiments-passing")]
+    run.close()
