@@ -407,3 +407,20 @@ def test_experiments_keep_no_table_that_a_measure_passed_by(spark):
     assert "plain" in names and not [n for n in names if n == "lists" or n.startswith(("pruned", "listed", "relevant", "features-"))]
     assert not [n for n in os.listdir(os.path.dirname(root)) if n.startswith("experiments-passing")]
     run.close()
+
+
+def test_floors_rise_within_a_batch_and_a_task_reads_its_matrix_alone(spark):
+    import numpy as np
+
+    scratch = pruned.Scratch(spark, "floors")
+    weights = matrix(spark, 60, 12, 5)
+    both = weights.withColumn("variant", F.lit(0)).unionByName(weights.withColumn("variant", F.lit(1)))
+    found = pruned.best(both, 3, by=("variant",), scratch=scratch)
+    want = retrieve.top_k(retrieve.scores(weights), 3)
+    assert shown(found.rows.where("variant = 1")) == shown(want)
+    (blocks,) = [t for t in os.listdir(scratch.root.removeprefix("file:")) if t.endswith("-blocks")]
+    assert {t for t in os.listdir(f"{scratch.root.removeprefix('file:')}/{blocks}") if t.startswith("matrix")} == {"matrix=1", "matrix=2"}
+    queries = pruned._Queries.__new__(pruned._Queries)
+    queries.k, queries.floor = 1, np.array([0.1, 0.2, 0.9])
+    assert queries._raised(np.array([0, 0, 0, 1, 2, 2]), np.array([0.3, 0.5, 0.4, 0.9, 0.5, 0.6])).tolist() == [0.4, 0.2, 0.9]
+    scratch.delete()
