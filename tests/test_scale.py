@@ -424,3 +424,68 @@ def test_floors_rise_within_a_batch_and_a_task_reads_its_matrix_alone(spark):
     queries.k, queries.floor = 1, np.array([0.1, 0.2, 0.9])
     assert queries._raised(np.array([0, 0, 0, 1, 2, 2]), np.array([0.3, 0.5, 0.4, 0.9, 0.5, 0.6])).tolist() == [0.4, 0.2, 0.9]
     scratch.delete()
+
+
+@pytest.mark.parametrize(("k", "min_score", "min_shared", "size"), [(9, 0.5, 12, 7), (3, 0.9, 6, 100_000), (100, 0.5, 10, 3), (5, 0.0, 50, 100_000)])
+def test_what_blocks_pass_over_is_that_of_all_pairs(spark, monkeypatch, k, min_score, min_shared, size):
+    """Skipped candidates with places and reasons, and their tally: no row for a pair is dealt out."""
+    from tessella.operators import searched
+
+    monkeypatch.setattr(searched, "OUT", size)
+    found, asks = feature_records(records(spark, 60).repartition(3, "id"), Config()).persist(), F.col("id") % 5 == 0
+    want = retrieve.skipped(retrieve.scores(vectorise.representation(found, Config()), found.where(asks).select(F.col("id").alias("query_id"))), k, min_score, min_shared).persist()
+    ours = searched.Searches.of(found, Config(), asks)
+    show = lambda df: sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
+    skipped = ours.skipped(k, min_score, min_shared)
+    assert show(skipped) == show(want) and want.count() and skipped.schema["reason"].dataType == want.schema["reason"].dataType
+    assert "Window" not in skipped._jdf.queryExecution().executedPlan().toString()
+    assert show(ours.skip_tally(k, min_score, min_shared)) == show(retrieve.skip_tally(want))
+    ours.scratch.delete()
+    found.unpersist(), want.unpersist()
+
+
+def test_searches_by_blocks_find_only_candidates(spark):
+    """Weights are those of all items, queries need not be candidates."""
+    from tessella.operators import searched
+
+    found, asks, among = feature_records(records(spark, 60).repartition(3, "id"), Config()).persist(), F.col("id") % 5 == 0, F.when(F.col("id") != 7, F.col("id") % 2 == 1)
+    queries, candidates = found.where(asks).select(F.col("id").alias("query_id")), found.where(among).select(F.col("id").alias("item_id"))
+    want = retrieve.recommend(retrieve.scores(vectorise.representation(found, Config()), queries, candidates), 4)
+    ours = searched.Searches.of(found, Config(), asks, among=among)
+    assert shown(ours.recommend(4)) == shown(want) and want.count()
+    ours.scratch.delete()
+    found.unpersist()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are absent")
+@pytest.mark.parametrize("name", ["sparse_topk"])
+def test_gated_searches_join_no_cells(spark, name):
+    from tessella import queries
+
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+
+
+def test_a_task_holds_one_block_at_a_time(spark):
+    """What a worker gets is sorted by block, and a block with its weights goes out before the next is taken."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessella.operators import searched
+
+    def block(n):
+        cells = {"ids": [n], "asked": [True], "among": [True], "sizes": [2], "keys": [8, 16], "w": [1.0, 2.0]}
+        return {c: np.array(x, searched._CELLS[c]).tobytes() for c, x in cells.items()} | {"block": n}
+
+    taken = []
+
+    def passing():
+        for n in range(4):
+            taken.append(n)
+            for key in (8, 16):
+                yield pa.RecordBatch.from_pylist([block(n) | {"term": np.array([key]).tobytes(), "idf": np.array([1.0]).tobytes()}])
+
+    out = searched._weighed([1.0] * 8, False)(passing())
+    for n in range(3):
+        assert np.frombuffer(next(out).column("ids")[0].as_buffer(), np.int64).tolist() == [n] and taken[-1] == n + 1
+    assert np.frombuffer(next(out).column("w")[0].as_buffer()).round(6).tolist() == [0.447214, 0.894427] and not list(out)
