@@ -458,7 +458,7 @@ def test_searches_by_blocks_find_only_candidates(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are absent")
-@pytest.mark.parametrize("name", ["sparse_topk", "recommend_min_score", "recommend_subset", "recommend_skipped"])
+@pytest.mark.parametrize("name", ["sparse_topk", "recommend_min_score", "recommend_subset", "recommend_skipped", "recommend_skip_tally"])
 def test_gated_searches_join_no_cells(spark, name):
     from tessella import queries
 
