@@ -467,7 +467,7 @@ def test_gated_searches_join_no_cells(spark, name):
 
 
 def test_a_task_holds_one_block_at_a_time(spark):
-    """What a worker gets is sorted by block, and a block with its weights goes out before the next is taken."""
+    """A block comes once, before what passes by, and goes out with its weights before more than the next is taken."""
     import numpy as np
     import pyarrow as pa
 
@@ -475,15 +475,15 @@ def test_a_task_holds_one_block_at_a_time(spark):
 
     def block(n):
         cells = {"ids": [n], "asked": [True], "among": [True], "sizes": [2], "keys": [8, 16], "w": [1.0, 2.0]}
-        return {c: np.array(x, searched._CELLS[c]).tobytes() for c, x in cells.items()} | {"block": n}
+        return {c: np.array(x, searched._CELLS[c]).tobytes() for c, x in cells.items()}
 
-    taken = []
+    taken, types = [], pa.schema([(c, pa.binary()) for c in (*searched._CELLS, "term", "idf")])
 
     def passing():
         for n in range(4):
             taken.append(n)
-            for key in (8, 16):
-                yield pa.RecordBatch.from_pylist([block(n) | {"term": np.array([key]).tobytes(), "idf": np.array([1.0]).tobytes()}])
+            for row in (block(n), *({"term": np.array([key]).tobytes(), "idf": np.array([1.0]).tobytes()} for key in (8, 16))):
+                yield pa.RecordBatch.from_pylist([dict.fromkeys(searched._CELLS) | {"term": None, "idf": None} | row], types)
 
     out = searched._weighed([1.0] * 8, False)(passing())
     for n in range(3):
