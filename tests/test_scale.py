@@ -489,3 +489,21 @@ def test_a_task_holds_one_block_at_a_time(spark):
     for n in range(3):
         assert np.frombuffer(next(out).column("ids")[0].as_buffer(), np.int64).tolist() == [n] and taken[-1] == n + 1
     assert np.frombuffer(next(out).column("w")[0].as_buffer()).round(6).tolist() == [0.447214, 0.894427] and not list(out)
+
+
+def test_label_pairs_are_dealt_out_once_as_members(spark):
+    """Two that share several groups are one pair; no pair is dealt out to find that."""
+    from tessella.operators import labels
+
+    rnd = random.Random(3)
+    rows = sorted({(kind, f"g{rnd.randrange(6)}", rnd.randrange(40)) for kind in ("cast", "director") for _ in range(120)})
+    groups = labels.label_groups(spark.createDataFrame(rows, "kind string, group_key string, item_id long")).persist()
+    for asked in (None, {3, 5, 8, 99}):
+        queries = None if asked is None else spark.createDataFrame([(q,) for q in [*asked, 3]], "query_id long")
+        found = labels.label_pairs(groups, queries)
+        held = [tuple(r) for r in groups.collect()]
+        want = {(k, a, b) for k, g, a in held for l, h, b in held if (k, g) == (l, h) and a != b and (asked is None or a in asked)}
+        assert sorted(map(tuple, found.collect())) == sorted(want) and want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "query_id" not in "".join(x for x in plan.splitlines() if "HashAggregate" in x and "item_id" in x)
+    groups.unpersist()
